@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from flowspark.plans import packet_queries  # noqa: F401
+from flowspark.plans import (  # noqa: F401
+    decision_queries, feature_queries, packet_queries, sample_queries,
+)
 from flowspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
