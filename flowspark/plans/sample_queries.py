@@ -174,8 +174,9 @@ def read_flow_csv(spark, sf):
         F.lit("ruhig – ähnlich").alias("Note"))
     half = F.col("` Row_ID `") % 2
     rows.filter(half == 0).write.option("header", True).csv(f"{path}/part=a")
-    rows.filter(half == 1).write.option("header", True).option("encoding", "windows-1252") \
-        .csv(f"{path}/part=b")
+    # the second folder holds the same note in Windows-1252 bytes
+    rows.filter(half == 1).withColumn("Note", F.lit("ruhig \x96 \xe4hnlich")) \
+        .write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/part=b")
     df = flow_csv.read_flow_csv(spark, [f"{path}/part=a", f"{path}/part=b"])
     return df.select(c("row_id").cast("bigint").alias("row_id"), *[_as_text(x) for x in names], "note")
 

@@ -34,7 +34,7 @@ def file_layouts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     raw = F.col("value").cast("binary")
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), "value",
-        F.decode(raw, F.lit("ISO-8859-1")).alias("latin"),
+        F.decode(raw, "ISO-8859-1").alias("latin"),
         # ids grow within a task, and the first block of a file is read by one task
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))
     undefined = F.col("latin").rlike("[" + _chars(CP1252_UNDEFINED) + "]")
