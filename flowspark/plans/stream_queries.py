@@ -9,9 +9,9 @@ from flowspark.functions.scalar import c
 from flowspark.operators import clean as cl
 from flowspark.operators import training as tr
 from flowspark.operators.flows import with_flow_key
-from flowspark.plans.feature_queries import BINARY_NET, _BINARY_SQL, layer
+from flowspark.plans.feature_queries import BINARY_NET, _BINARY_SQL
 from flowspark.plans.fixtures import DIRTY, table, view, with_views
-from flowspark.plans.packet_queries import _K, _KEYED, _LO
+from flowspark.plans.packet_queries import _K, _KEYED
 from flowspark.plans.registry import b, query, rounded
 from flowspark.session import scratch_path
 from flowspark.sources.captures import decode_captures

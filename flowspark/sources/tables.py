@@ -53,10 +53,10 @@ def read_bench_runs(spark: SparkSession, root: str, kind: str = "timing") -> Dat
     """
     path = F.col("_metadata.file_path")
     size = F.coalesce(F.regexp_extract(path, r"/batch_(\d+)/", 1).try_cast("int"),
-                      F.regexp_extract(path, r"_b(\d+)\.csv$", 1).try_cast("int"))
-    variant = F.regexp_extract(path, kind + r"_([A-Za-z0-9]+?)(_b\d+)?\.csv$", 1)
-    df = spark.read.option("header", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", f"{kind}_*.csv").csv(root)
+                      F.regexp_extract(path, r"_b(\d+)\.csv", 1).try_cast("int"))
+    variant = F.regexp_extract(path, kind + r"_([A-Za-z0-9]+?)(_b\d+)?\.csv", 1)
+    df = spark.read.option("header", True).csv(
+        f"{root}/{{batch_*/{kind}_*.csv,{kind}_*_b*.csv}}")
     text = {"variant", "ts_iso"}
     return df.select(*[c(x) if x in text else c(x).try_cast("double").alias(x)
                        for x in df.columns if x != "variant"],
