@@ -28,17 +28,25 @@ def sort_by_time(df: DataFrame, ts: str, row_index: str) -> DataFrame:
     return df.orderBy(c(ts).asc_nulls_last(), c(row_index))
 
 
+def time_cuts(df: DataFrame, ts_us: Column, row_index: str, train: float = TRAIN_FRACTION,
+              validation: float = VALIDATION_FRACTION) -> DataFrame:
+    """The two cut keys of a split by position in time order, unreadable times last."""
+    order = F.coalesce(ts_us, F.lit(LAST)).cast("bigint")
+    return order_cuts(df, order, c(row_index).cast("bigint"), [train, train + validation])
+
+
 def time_split(df: DataFrame, ts_us: Column, row_index: str, train: float = TRAIN_FRACTION,
-               validation: float = VALIDATION_FRACTION, out: str = "part") -> DataFrame:
+               validation: float = VALIDATION_FRACTION, out: str = "part",
+               cuts: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = train / validation / test by position in time order.
 
-    Only the two cut keys are computed; rows are compared with them, never ranked or sorted.
-    ``row_index`` must be a unique BIGINT.
+    Only the two cut keys are computed (or passed in); rows are compared with them, never
+    ranked or sorted. ``row_index`` must be a unique BIGINT.
     """
-    order = F.coalesce(ts_us, F.lit(LAST)).cast("bigint")
-    tie = c(row_index).cast("bigint")
-    cuts = order_cuts(df, order, tie, [train, train + validation])
-    key = F.struct(order.alias("o"), tie.alias("t"))
+    if cuts is None:
+        cuts = time_cuts(df, ts_us, row_index, train, validation)
+    key = F.struct(F.coalesce(ts_us, F.lit(LAST)).cast("bigint").alias("o"),
+                   c(row_index).cast("bigint").alias("t"))
 
     def before(i: int) -> Column:
         cut = F.struct(F.col(f"cut_{i}").alias("o"), F.col(f"tie_{i}").alias("t"))

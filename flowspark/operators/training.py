@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.contract import TRAIN_FRACTION, VALIDATION_FRACTION
-from flowspark.functions.scalar import argmax, c, canonical_label, is_attack_label
-from flowspark.operators.clean import clean_columns, fit_scaler, impute_median
+from flowspark.functions.scalar import (
+    argmax, c, canonical_label, is_attack_label, standard_scale,
+)
+from flowspark.operators.clean import clean_columns, fit_scaler, impute_median, params_row
 from flowspark.operators.evaluate import classification_report, cross_entropy
-from flowspark.operators.sampling import time_split
+from flowspark.operators.lookups import with_single_row
+from flowspark.operators.quantiles import medians
+from flowspark.operators.sampling import time_cuts, time_split
 from flowspark.operators.schema import numeric_columns
-from flowspark.operators.scoring import label_index, prepare_features
+from flowspark.operators.scoring import label_index
+from flowspark.session import materialize
 
 # --- fixed values: hidden layer widths ---
 BINARY_HIDDEN = (256, 128)
@@ -38,6 +43,17 @@ def to_examples(df: DataFrame, x: str, y: str) -> DataFrame:
                      F.col(y).cast("double").alias("label"))
 
 
+def split_examples(ready: DataFrame, target: str) -> dict[str, DataFrame]:
+    """Train, validation and test examples from one prepared table, written once.
+
+    Training passes over its rows many times; the prepared table is read back from the
+    shared folder instead of being derived again.
+    """
+    stored = materialize(ready.select("x", F.col(target).alias("y"), "part"), "examples")
+    return {p: to_examples(stored.filter(F.col("part") == p), "x", "y")
+            for p in ("train", "validation", "test")}
+
+
 def predict(model, examples: DataFrame) -> DataFrame:
     """``label, probs, pred`` per example."""
     probs = vector_to_array("probability")
@@ -88,15 +104,22 @@ def prepare_training(rows: DataFrame, ts_us, row_index: str, label: str = "label
     """
     skip = {row_index, label}
     names = list(features or [x for x in numeric_columns(rows) if x not in skip])
-    filled = impute_median(clean_columns(rows, names, limit=None), names, "global")
-    parted = time_split(filled, ts_us, row_index, train, validation)
-    params = fit_scaler(parted.filter("part = 'train'"), names)
-    ready = prepare_features(parted, params, names, mode="fixed",
-                             fixed=params.agg(*[F.lit(0.0).alias(x) for x in names]))
-    named = ready.withColumns({"y_binary": is_attack_label(c(label)),
-                               "class": canonical_label(F.trim(c(label)))})
-    classes = label_index(named, "class").withColumnRenamed("class_idx", "y_class")
-    return named.join(F.broadcast(classes), "class"), names
+    cleaned = clean_columns(rows, names, limit=None)
+    # three small fitted tables, stored so that later steps read them instead of refitting
+    center = materialize(medians(cleaned, names), "medians")
+    cuts = materialize(time_cuts(rows, ts_us, row_index, train, validation), "cuts")
+    filled = impute_median(time_split(cleaned, ts_us, row_index, cuts=cuts), names, "fixed",
+                           fixed=center)
+    params = materialize(fit_scaler(filled.filter("part = 'train'"), names), "scaler")
+    scaled = [standard_scale(c(x), F.get("__mean", F.lit(i)), F.get("__scale", F.lit(i)))
+              for i, x in enumerate(names)]
+    text = F.trim(c(label))
+    ready = with_single_row(filled, params_row(params)).select(
+        *[c(x) for x in filled.columns if x not in set(names)], F.array(*scaled).alias("x"),
+        is_attack_label(text).alias("y_binary"), canonical_label(text).alias("class"))
+    classes = materialize(label_index(rows.select(canonical_label(text).alias("class")), "class"),
+                          "classes")
+    return ready.join(F.broadcast(classes.withColumnRenamed("class_idx", "y_class")), "class"), names
 
 
 def training_pipeline(rows: DataFrame, ts_us, row_index: str, label: str = "label",
@@ -104,11 +127,10 @@ def training_pipeline(rows: DataFrame, ts_us, row_index: str, label: str = "labe
                       rounds: int = 12, steps: int = 10, target: str = "y_binary") -> DataFrame:
     """Prepare, train on the first part, choose by the second, report on the last."""
     ready, names = prepare_training(rows, ts_us, row_index, label, features)
-    parts = {p: to_examples(ready.filter(F.col("part") == p), "x", target).persist()
-             for p in ("train", "validation", "test")}
+    parts = split_examples(ready, target)
     n_classes = 2
     if target != "y_binary":
-        n_classes = ready.agg(F.max(target)).first()[0] + 1
+        n_classes = label_index(ready, target).count()
     trained = train_network(parts["train"], parts["validation"], len(names), n_classes, hidden,
                             rounds, steps)
     scored = predict(trained.model, parts["test"])

@@ -177,8 +177,7 @@ def _examples(spark, sf):
 def _fitted(spark, sf, target, hidden, n_classes):
     rows = _examples(spark, sf)
     ready, names = tr.prepare_training(rows, F.col("vec_id"), "vec_id", features=_FEATS)
-    parts = {p: tr.to_examples(ready.filter(F.col("part") == p), "x", target)
-             for p in ("train", "validation", "test")}
+    parts = tr.split_examples(ready, target)
     trained = tr.train_network(parts["train"], parts["validation"], len(names), n_classes, hidden,
                                rounds=2, steps=8)
     return trained, parts
