@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.contract import CLIP_LIMIT, SIGMOID_CLIP
@@ -15,6 +15,40 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def quoted(name: str) -> str:
+    """Column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(value: str) -> str:
+    """String literal as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_finite(name: str) -> str:
+    """SQL text: the column as DOUBLE, NULL where it is NaN or infinite.
+
+    Wide tables use SQL text: one expression per column instead of a tree of calls.
+    """
+    v = f"CAST({quoted(name)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({v}) AND abs({v}) < double('Infinity') THEN {v} END"
+
+
+def sql_clean(name: str, limit: float | None = CLIP_LIMIT) -> str:
+    """SQL text: non-finite to NULL first, then clip, so an infinity never becomes the limit."""
+    if limit is None:
+        return sql_finite(name)
+    v = f"CAST({quoted(name)} AS DOUBLE)"
+    return (f"CASE WHEN NOT isnan({v}) AND abs({v}) < double('Infinity') "
+            f"THEN greatest({-limit!r}D, least({limit!r}D, {v})) END")
+
+
+def replace_columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Replace columns in place by SQL text, in one projection."""
+    return df.selectExpr(*[f"{exprs[x]} AS {quoted(x)}" if x in exprs else quoted(x)
+                           for x in df.columns])
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """``a / b``, 0 where the denominator is 0 or either side is missing."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -40,11 +74,6 @@ def clip(x: Column, limit: float = CLIP_LIMIT) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))
 
 
-def clean_value(x: Column, limit: float = CLIP_LIMIT) -> Column:
-    """Non-finite to NULL first, then clip: an infinity never turns into the limit."""
-    return clip(finite_or_null(x), limit)
-
-
 def finite_or_zero(x: Column) -> Column:
     return F.coalesce(finite_or_null(x), F.lit(0.0))
 

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.contract import CLIP_LIMIT
 from flowspark.functions.scalar import (
-    c, clean_value, clip, finite_or_null, finite_or_zero, is_nonfinite, standard_scale,
+    c, clip, quoted, replace_columns, sql_clean, sql_finite, sql_text,
 )
 from flowspark.operators.lookups import with_single_row
 from flowspark.operators.quantiles import medians
 
 
 def nonfinite_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({x: finite_or_null(c(x)) for x in columns})
+    return replace_columns(df, {x: sql_finite(x) for x in columns})
 
 
 def nonfinite_to_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({x: finite_or_zero(c(x)) for x in columns})
+    return replace_columns(df, {x: f"coalesce({sql_finite(x)}, 0D)" for x in columns})
 
 
 def clip_columns(df: DataFrame, columns: Sequence[str], limit: float = CLIP_LIMIT) -> DataFrame:
@@ -30,9 +30,7 @@ def clip_columns(df: DataFrame, columns: Sequence[str], limit: float = CLIP_LIMI
 def clean_columns(df: DataFrame, columns: Sequence[str],
                   limit: float | None = CLIP_LIMIT) -> DataFrame:
     """Non-finite to NULL, then clip; ``limit=None`` skips the clip, as training does."""
-    if limit is None:
-        return nonfinite_to_null(df, columns)
-    return df.withColumns({x: clean_value(c(x), limit) for x in columns})
+    return replace_columns(df, {x: sql_clean(x, limit) for x in columns})
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], mode: str = "global",
@@ -44,17 +42,22 @@ def impute_median(df: DataFrame, columns: Sequence[str], mode: str = "global",
     ``fixed``      medians from a one-row table fitted earlier; the only mode for streams.
     """
     if mode == "per_batch":
-        inside = Window.partitionBy(*batch)
-        return df.withColumns({
-            x: F.coalesce(c(x), F.median(c(x)).over(inside), F.lit(0.0)) for x in columns})
+        inside = "PARTITION BY " + ", ".join(quoted(x) for x in batch)
+        return replace_columns(df, {
+            x: f"coalesce({quoted(x)}, median({quoted(x)}) OVER ({inside}), 0D)" for x in columns})
     table = medians(df, columns) if mode == "global" else fixed
     if table is None:
         raise ValueError("mode 'fixed' needs a table of medians")
-    renamed = table.select(*[c(x).alias(f"__median_{i}") for i, x in enumerate(columns)])
-    filled = {x: F.coalesce(c(x), F.col(f"__median_{i}"), F.lit(0.0))
-              for i, x in enumerate(columns)}
-    return with_single_row(df, renamed).select(
-        *[filled[x].alias(x) if x in filled else c(x) for x in df.columns])
+    joined = with_single_row(df, median_array(table, columns))
+    filled = replace_columns(joined, {
+        x: f"coalesce({quoted(x)}, get(__medians, {i}), 0D)" for i, x in enumerate(columns)})
+    return filled.drop("__medians")
+
+
+def median_array(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One-row table of medians as one array column ``__medians`` in the given order."""
+    values = ", ".join(f"CAST({quoted(x)} AS DOUBLE)" for x in columns)
+    return table.selectExpr(f"array({values}) AS __medians")
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -64,54 +67,51 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and population deviation per feature (``idx, feature, mean, scale``), 0 read as 1."""
-    one = df.agg(*[F.avg(c(x)).alias(f"m{i}") for i, x in enumerate(columns)],
-                 *[F.stddev_pop(c(x)).alias(f"s{i}") for i, x in enumerate(columns)])
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(x).alias("feature"), F.col(f"m{i}").alias("mean"),
-                 F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias("scale"))
-        for i, x in enumerate(columns)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    rows = ", ".join(
+        f"struct({i} AS idx, {sql_text(x)} AS feature, avg({quoted(x)}) AS mean, "
+        f"if(stddev_pop({quoted(x)}) = 0, 1D, stddev_pop({quoted(x)})) AS scale)"
+        for i, x in enumerate(columns))
+    return df.agg(F.expr(f"array({rows})").alias("rows")) \
+        .select(F.explode("rows").alias("r")).select("r.*")
 
 
 def params_row(params: DataFrame) -> DataFrame:
-    """Parameter table (one row per feature) as one row with arrays ``mean`` and ``scale``."""
+    """Parameter table (one row per feature) as one row with arrays ``__mean``, ``__scale``."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "mean", "scale")))
     return params.agg(ordered.alias("p")).select(
         F.col("p.mean").alias("__mean"), F.col("p.scale").alias("__scale"))
 
 
+def sql_scaled(value: str, i: int, with_mean: bool = True, with_std: bool = True) -> str:
+    """SQL text: ``value`` scaled with entry ``i`` of ``__mean`` and ``__scale``."""
+    out = f"({value} - get(__mean, {i}))" if with_mean else value
+    return f"({out} / if(get(__scale, {i}) = 0, 1D, get(__scale, {i})))" if with_std else out
+
+
 def apply_scaler(df: DataFrame, columns: Sequence[str], params: DataFrame,
                  with_mean: bool = True, with_std: bool = True) -> DataFrame:
     """Standard-scale the columns with fitted parameters (one broadcast row)."""
     joined = with_single_row(df, params_row(params))
-    scaled = {x: standard_scale(c(x), F.get("__mean", F.lit(i)), F.get("__scale", F.lit(i)),
-                                with_mean, with_std) for i, x in enumerate(columns)}
-    return joined.select(*[scaled[x].alias(x) if x in scaled else c(x) for x in df.columns])
+    return replace_columns(joined, {x: sql_scaled(quoted(x), i, with_mean, with_std)
+                                    for i, x in enumerate(columns)}).drop("__mean", "__scale")
 
 
 def invalid_value_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: missing or NaN, +Inf and -Inf counts, and whether any occurs."""
-    aggs = []
-    for i, x in enumerate(columns):
-        v = c(x).cast("double")
-        aggs += [F.count_if(v.isNull() | F.isnan(v)).alias(f"nan{i}"),
-                 F.count_if(v == F.lit(float("inf"))).alias(f"pos{i}"),
-                 F.count_if(v == F.lit(float("-inf"))).alias(f"neg{i}")]
-    rows = F.array(*[
-        F.struct(F.lit(x).alias("name"), F.col(f"nan{i}").alias("n_nan"),
-                 F.col(f"pos{i}").alias("n_pos_inf"), F.col(f"neg{i}").alias("n_neg_inf"),
-                 (F.col(f"nan{i}") + F.col(f"pos{i}") + F.col(f"neg{i}") > 0).alias("bad"))
-        for i, x in enumerate(columns)])
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    def entry(x: str) -> str:
+        v = f"CAST({quoted(x)} AS DOUBLE)"
+        return (f"struct({sql_text(x)} AS name, count_if({v} IS NULL OR isnan({v})) AS n_nan, "
+                f"count_if({v} = double('Infinity')) AS n_pos_inf, "
+                f"count_if({v} = double('-Infinity')) AS n_neg_inf)")
+    rows = df.agg(F.expr(f"array({', '.join(entry(x) for x in columns)})").alias("rows"))
+    return rows.select(F.explode("rows").alias("r")).select("r.*").withColumn(
+        "bad", F.col("n_nan") + F.col("n_pos_inf") + F.col("n_neg_inf") > 0)
 
 
 def all_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: whether every value of the columns is present and finite."""
-    good = F.lit(True)
-    for x in columns:
-        v = c(x).cast("double")
-        good = good & F.coalesce(~is_nonfinite(v), F.lit(False))
-    return df.agg(F.coalesce(F.bool_and(good), F.lit(True)).alias("all_finite"),
+    good = " AND ".join(f"({sql_finite(x)}) IS NOT NULL" for x in columns)
+    return df.agg(F.expr(f"coalesce(bool_and({good}), true)").alias("all_finite"),
                   F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.functions.scalar import quoted, sql_text
 from flowspark.operators.lookups import BROADCAST_LIMIT, estimated_bytes
 
 ACCURACY = 10_000
@@ -40,34 +41,30 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     column without values gets a NULL value.
     """
     keys, columns, probs = list(keys), list(columns), [float(p) for p in probs]
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], *[
-        F.when(~F.isnan(F.col(f"`{x}`").cast("double")), F.col(f"`{x}`").cast("double"))
-        .alias(f"v{i}") for i, x in enumerate(columns)])
+    key_sql = [quoted(k) for k in keys]
+    rows = df.selectExpr(*key_sql, *[
+        f"nanvl(CAST({quoted(x)} AS DOUBLE), NULL) AS v{i}" for i, x in enumerate(columns)])
     slack = 2.0 / accuracy
     order = sorted(range(len(probs)), key=lambda j: probs[j])
-    bounds = [min(1.0, max(0.0, probs[j] + d)) for j in order for d in (-slack, slack)]
-    aggs = []
-    for i in range(len(columns)):
-        aggs.append(F.count(f"v{i}").alias(f"n{i}"))
-        aggs.append(F.percentile_approx(f"v{i}", bounds, F.lit(accuracy)).alias(f"b{i}"))
-    joined = _attach(rows, rows.groupBy(*keys).agg(*aggs), keys)
+    bounds = ", ".join(f"{min(1.0, max(0.0, probs[j] + d))!r}D"
+                       for j in order for d in (-slack, slack))
+    groups = rows.groupBy(*keys).agg(*[F.expr(e) for i in range(len(columns)) for e in (
+        f"count(v{i}) AS n{i}", f"percentile_approx(v{i}, array({bounds}), {accuracy}) AS b{i}")])
+    joined = _attach(rows, groups, keys)
 
     # A value inside a bracket keeps itself as its place; one between brackets takes the
     # start of the next bracket, sorted just before it. Values above all brackets are dropped.
-    def entry(i: int) -> Column:
-        v = F.col(f"v{i}")
-        inside, place = F.lit(False), F.lit(None).cast("double")
-        for k in reversed(range(len(probs))):
-            lo, hi = F.get(f"b{i}", F.lit(2 * k)), F.get(f"b{i}", F.lit(2 * k + 1))
-            place = F.when(v < lo, lo).otherwise(place)
-            inside = inside | ((v >= lo) & (v <= hi))
-        return F.struct(
-            F.lit(i).alias("ci"), F.col(f"n{i}").alias("n"), inside.alias("exact"),
-            F.when(inside, v).otherwise(place).alias("v"))
-
-    entries = [entry(i) for i in range(len(columns))]
-    each = entries[0] if len(entries) == 1 else F.explode(F.array(*entries))
-    counts = joined.select(*keys, each.alias("e")).select(*keys, "e.*") \
+    def entry(i: int) -> str:
+        spans = range(len(probs))
+        inside = " OR ".join(f"v{i} BETWEEN get(b{i}, {2 * k}) AND get(b{i}, {2 * k + 1})"
+                             for k in spans)
+        place = " ".join(f"WHEN v{i} < get(b{i}, {2 * k}) THEN get(b{i}, {2 * k})" for k in spans)
+        return (f"struct({i} AS ci, n{i} AS n, coalesce({inside}, false) AS exact, "
+                f"CASE WHEN {inside} THEN v{i} {place} END AS v)")
+
+    entries = ", ".join(entry(i) for i in range(len(columns)))
+    each = entries if len(columns) == 1 else f"explode(array({entries}))"
+    counts = joined.selectExpr(*key_sql, f"{each} AS e").select(*keys, "e.*") \
         .filter(F.col("v").isNotNull() | (F.col("n") == 0)) \
         .groupBy(*keys, "ci", "v", "exact").agg(
             F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
@@ -106,9 +103,9 @@ def quantile_row(df: DataFrame, outputs: dict[str, tuple[str, float]], keys: Seq
     columns = list(dict.fromkeys(x for x, _ in outputs.values()))
     probs = list(dict.fromkeys(p for _, p in outputs.values()))
     long = exact_quantiles(df, columns, probs, keys, accuracy)
-    return long.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("name") == x) & (F.col("prob") == F.lit(p)), F.col("value")))
-        .alias(out) for out, (x, p) in outputs.items()])
+    return long.groupBy(*keys).agg(*[F.expr(
+        f"max(CASE WHEN name = {sql_text(x)} AND prob = {float(p)!r}D THEN value END) "
+        f"AS {quoted(out)}") for out, (x, p) in outputs.items()])
 
 
 def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),

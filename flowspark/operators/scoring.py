@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.contract import DEFAULT_THRESHOLD, FEATURES
-from flowspark.functions.scalar import argmax, c, clean_value, dense, relu, sigmoid, standard_scale
-from flowspark.operators.clean import clean_columns, impute_median, params_row
+from flowspark.functions.scalar import argmax, c, dense, quoted, relu, sigmoid, sql_clean
+from flowspark.operators.clean import impute_median, median_array, params_row, sql_scaled
 from flowspark.operators.lookups import class_names, lookup, with_single_row
 from flowspark.operators.schema import assert_contract
 
@@ -35,21 +35,19 @@ def prepare_features(df: DataFrame, params: DataFrame, features: Sequence[str] =
                      fixed: DataFrame | None = None, out: str = "x") -> DataFrame:
     """Check the contract, clean, impute and scale; adds the matrix row as array ``out``."""
     assert_contract(df, features)
+    kept = [quoted(x) for x in df.columns]
     if mode == "fixed":
         # streams and large tables: everything in one projection, one broadcast row each
-        one = fixed.select(*[c(x).alias(f"__median_{i}") for i, x in enumerate(features)])
-        filled = with_single_row(df, one)
-        values = {x: F.coalesce(clean_value(c(x)), F.col(f"__median_{i}"), F.lit(0.0))
-                  for i, x in enumerate(features)}
+        filled = with_single_row(df, median_array(fixed, features))
+        values = [f"coalesce({sql_clean(x)}, get(__medians, {i}), 0D)"
+                  for i, x in enumerate(features)]
     else:
-        work = df.withColumns({f"__x{i}": c(x) for i, x in enumerate(features)})
         names = [f"__x{i}" for i in range(len(features))]
-        filled = impute_median(clean_columns(work, names), names, mode, batch)
-        values = {x: F.col(f"__x{i}") for i, x in enumerate(features)}
-    scaled = [standard_scale(values[x], F.get("__mean", F.lit(i)), F.get("__scale", F.lit(i)))
-              for i, x in enumerate(features)]
+        work = df.selectExpr(*kept, *[f"{sql_clean(x)} AS {n}" for x, n in zip(features, names)])
+        filled, values = impute_median(work, names, mode, batch), names
+    scaled = ", ".join(sql_scaled(v, i) for i, v in enumerate(values))
     return with_single_row(filled, params_row(params)) \
-        .select(*[c(x) for x in df.columns], F.array(*scaled).alias(out))
+        .selectExpr(*kept, f"array({scaled}) AS {quoted(out)}")
 
 
 def forward_native(x: Column, layers: Sequence[Layer]) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from flowspark.contract import TRAIN_FRACTION, VALIDATION_FRACTION
 from flowspark.functions.scalar import (
-    argmax, c, canonical_label, is_attack_label, standard_scale,
+    argmax, c, canonical_label, is_attack_label, quoted,
 )
-from flowspark.operators.clean import clean_columns, fit_scaler, impute_median, params_row
+from flowspark.operators.clean import clean_columns, fit_scaler, impute_median, params_row, sql_scaled
 from flowspark.operators.evaluate import classification_report, cross_entropy
 from flowspark.operators.lookups import with_single_row
 from flowspark.operators.quantiles import medians
@@ -111,11 +111,10 @@ def prepare_training(rows: DataFrame, ts_us, row_index: str, label: str = "label
     filled = impute_median(time_split(cleaned, ts_us, row_index, cuts=cuts), names, "fixed",
                            fixed=center)
     params = materialize(fit_scaler(filled.filter("part = 'train'"), names), "scaler")
-    scaled = [standard_scale(c(x), F.get("__mean", F.lit(i)), F.get("__scale", F.lit(i)))
-              for i, x in enumerate(names)]
+    scaled = ", ".join(sql_scaled(quoted(x), i) for i, x in enumerate(names))
     text = F.trim(c(label))
     ready = with_single_row(filled, params_row(params)).select(
-        *[c(x) for x in filled.columns if x not in set(names)], F.array(*scaled).alias("x"),
+        *[c(x) for x in filled.columns if x not in set(names)], F.expr(f"array({scaled})").alias("x"),
         is_attack_label(text).alias("y_binary"), canonical_label(text).alias("class"))
     classes = materialize(label_index(rows.select(canonical_label(text).alias("class")), "class"),
                           "classes")

@@ -63,8 +63,8 @@ _FEATS = [f"f{i}" for i in range(64)]
 
 
 def _wide(spark, sf):
-    return view(spark, sf, "vectors").select(
-        "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(_FEATS)])
+    return view(spark, sf, "vectors").selectExpr("vec_id", *[
+        f"CAST(get(embedding, {i}) AS DOUBLE) AS {x}" for i, x in enumerate(_FEATS)])
 
 
 @query("stream_score", with_views("vectors", _BINARY_SQL))
@@ -170,8 +170,8 @@ def _examples(spark, sf):
     v = table(spark, sf, "embeddings")
     label = F.when(F.col("label") < 4, "BENIGN").when(F.col("label") < 7, "DDoS") \
         .otherwise("Web Attack - XSS")
-    return v.select("vec_id", label.alias("label"), *[
-        F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])
+    return v.withColumn("class", label).selectExpr("vec_id", "class AS label", *[
+        f"CAST(get(embedding, {i}) AS DOUBLE) AS {x}" for i, x in enumerate(_FEATS)])
 
 
 def _fitted(spark, sf, target, hidden, n_classes):

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # call-site capture costs several driver round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
