@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from flowspark.plans import (  # noqa: F401
-    decision_queries, feature_queries, packet_queries, report_queries, sample_queries,
+    decision_queries, feature_queries, flagship, packet_queries, report_queries, sample_queries,
     stream_queries,
 )
 from flowspark.plans.registry import ORACLES, QUERIES

@@ -154,21 +154,34 @@ def to_float32(spark, sf):
     return sm.to_float32(one, ["x"]).select("row_id", F.round(F.col("x").cast("double"), 3).alias("x"))
 
 
-@query("contract_diff", with_views("flows_raw", """
-SELECT 2 AS n_missing, 3 AS n_extra, 'idle max, protocol' AS missing,
-       'row_id, batch_id, fwd header length' AS extra, false AS same_order"""))
+_WANT = ["flow duration", "flow bytes/s", "total fwd packets", "idle max", "protocol"]
+
+
+@query("contract_diff", with_views("flows_raw", f"""
+SELECT n_rows, n_duration, 2 AS n_missing, 3 AS n_extra, 'idle max, protocol' AS missing,
+       'row_id, batch_id, fwd header length' AS extra, false AS same_order
+FROM (SELECT count(*) AS n_rows, count("flow duration") AS n_duration FROM flows_raw)"""))
 def contract_diff(spark, sf):
-    want = ["flow duration", "flow bytes/s", "total fwd packets", "idle max", "protocol"]
-    return sm.contract_diff_table(raw(spark, sf), want)
+    """Difference to the contract next to the number of rows and values it concerns."""
+    rows = raw(spark, sf)
+    sizes = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count(c("flow duration")).alias("n_duration"))
+    return with_single_row(sizes, sm.contract_diff_table(rows, _WANT))
 
 
-@query("column_except", with_views("flows_raw", """
-SELECT 'idle max' AS missing UNION ALL SELECT 'protocol'"""))
+@query("column_except", """
+WITH want AS (SELECT unnest(['click', 'view', 'purchase', 'error', 'signup', 'refund']) AS t),
+users AS (SELECT DISTINCT user_id FROM events),
+gone AS (SELECT user_id, t FROM users, want EXCEPT SELECT user_id, event_type FROM events)
+SELECT user_id, count(*) AS n_missing, string_agg(t, ',' ORDER BY t) AS missing FROM gone GROUP BY user_id""")
 def column_except(spark, sf):
-    from flowspark.contract import FEATURES
-    want = [x for x in FEATURES if x in (*DIRTY, "idle max", "protocol")]
-    names = sm.contract_diff(raw(spark, sf).columns, want)["missing"]
-    return spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("missing"))
+    """Wanted names a user's events do not have; the set per user holds type names only."""
+    want = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "error", "signup", "refund")])
+    from flowspark.plans.fixtures import table
+    missing = F.array_sort(F.array_except(want, F.col("have")))
+    return table(spark, sf, "events").groupBy("user_id") \
+        .agg(F.collect_set("event_type").alias("have")) \
+        .select("user_id", b(F.size(missing)).alias("n_missing"),
+                F.array_join(missing, ",").alias("missing"))
 
 
 @query("convert_java_meter", with_views("java_meter", """
@@ -474,16 +487,3 @@ def offline_inference(spark, sf):
     ready = scoring.prepare_features(rows, params, DIRTY)
     scored = scoring.score_binary(ready, "x", [layer(4, 8), layer(8, 1)])
     return rounded(scored, 5, "pred_attack_proba").select("row_id", "pred_attack_proba", "pred_label")
-
-
-@query("flagship", None)
-def flagship(spark, sf):
-    """Packets -> flows -> scores -> sources of predicted attacks."""
-    from flowspark.operators.flows import flow_table, top_sources
-    names = ["flow duration", "total fwd packets", "flow bytes/s", "flow iat std"]
-    flows = flow_table(view(spark, sf, "packets"))
-    scaled = flows.withColumn("x", F.array(
-        c("flow duration") / 1e8, c("total fwd packets") / 100, c("flow bytes/s") / 1e4,
-        c("flow iat std") / 1e7).cast("array<double>"))
-    scored = scoring.score_binary(scaled, "x", [layer(len(names), 8), layer(8, 1)], 0.5)
-    return top_sources(scored.filter("pred = 1"), 10)

@@ -46,29 +46,29 @@ def file_layouts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                          .otherwise(F.lit("cp1252")).alias("encoding"), "header")
 
 
-def restore_duplicate_headers(names: Sequence[str]) -> list[str]:
-    """Spark marks repeated headers by position; give them the ``name``, ``name.1`` form instead."""
-    stems = [name[: -len(str(i))] if name.endswith(str(i)) else name
-             for i, name in enumerate(names)]
+def unique_headers(names: Sequence[str | None]) -> list[str]:
+    """Header names with repeats numbered ``name``, ``name.1``, ``name.2``."""
     out, seen = [], {}
     for i, name in enumerate(names):
-        marked = stems[i] != name and stems.count(stems[i]) > 1
-        base = stems[i] if marked else name
-        n = seen.get(base, 0)
-        seen[base] = n + 1
-        out.append(base if n == 0 else f"{base}.{n}")
+        base = name if name is not None and name.strip() else f"unnamed: {i}"
+        n = seen.get(base.strip(), 0)
+        seen[base.strip()] = n + 1
+        out.append(base if n == 0 else f"{base.strip()}.{n}")
     return out
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], encoding: str,
           features: Sequence[str]) -> DataFrame:
     """One scan over files of equal header and encoding, with ``__source_file`` last."""
+    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+    # the header as data: Spark renames repeated names by position when it reads a header
+    first = spark.read.option("encoding", charset).csv(paths[0]).first()
+    names = unique_headers(list(first))
     reader = spark.read.option("header", True).option("mode", "DROPMALFORMED") \
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True) \
-        .option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
-    raw = reader.csv(list(paths))
-    names = restore_duplicate_headers(raw.columns)
-    df = raw.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) \
+        .option("encoding", charset)
+    df = reader.csv(list(paths)) \
+        .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) \
         .toDF(*names, "__source_file")
     if encoding == "cp1252":
         table = str.maketrans(_chars(CP1252_BYTES), CP1252_CHARS)
