@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.contract import DEFAULT_THRESHOLD, FEATURES
-from flowspark.functions.scalar import argmax, c, dense, quoted, relu, sigmoid, sql_clean
+from flowspark.functions.scalar import argmax, c, quoted, sigmoid, sql_clean
 from flowspark.operators.clean import impute_median, median_array, params_row, sql_scaled
 from flowspark.operators.lookups import class_names, lookup, with_single_row
 from flowspark.operators.schema import assert_contract
 
-# Layers up to this many multiplications run as SQL expressions, wider ones in Arrow batches.
-NATIVE_LIMIT = 2_000
+# Networks up to this many multiplications run as SQL expressions, wider ones in Arrow
+# batches: much longer generated methods are no longer compiled by the JVM.
+NATIVE_LIMIT = 200
 
 
 @dataclass(frozen=True)
@@ -50,11 +51,25 @@ def prepare_features(df: DataFrame, params: DataFrame, features: Sequence[str] =
         .selectExpr(*kept, f"array({scaled}) AS {quoted(out)}")
 
 
-def forward_native(x: Column, layers: Sequence[Layer]) -> Column:
-    """Forward pass as array expressions; the last layer has no activation."""
-    for layer in layers[:-1]:
-        x = dense(x, layer.weights, layer.bias, relu)
-    return dense(x, layers[-1].weights, layers[-1].bias)
+def forward_native(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> DataFrame:
+    """Forward pass as unrolled arithmetic, compiled with the rest of the stage.
+
+    Each layer is its own projection, so a layer is computed once however many units read it.
+    """
+    source = x
+    for k, layer in enumerate(layers):
+        last = k == len(layers) - 1
+        units = []
+        for weights, bias in zip(layer.weights, layer.bias):
+            terms = [f"{float(bias)!r}D"] + [
+                f"{float(w)!r}D * CAST(get({quoted(source)}, {i}) AS DOUBLE)"
+                for i, w in enumerate(weights) if w]
+            z = " + ".join(terms)
+            units.append(z if last else f"greatest(0D, {z})")
+        target = out if last else f"__layer_{k}"
+        df = df.withColumn(target, F.expr(f"array({', '.join(units)})"))
+        source = target
+    return df.drop(*[f"__layer_{k}" for k in range(len(layers) - 1)])
 
 
 def forward_arrow(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> DataFrame:
@@ -84,7 +99,7 @@ def forward_arrow(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> D
 def forward(df: DataFrame, x: str, layers: Sequence[Layer], out: str = "raw") -> DataFrame:
     """Output activations as array ``out``; small networks stay in the JVM."""
     if sum(l.size for l in layers) <= NATIVE_LIMIT:
-        return df.withColumn(out, forward_native(F.col(x), layers))
+        return forward_native(df, x, layers, out)
     return forward_arrow(df, x, layers, out)
 
 

@@ -12,6 +12,7 @@ from flowspark.operators import schema as sm
 from flowspark.operators.evaluate import label_counts
 from flowspark.operators.scoring import with_label_index
 from flowspark.plans.fixtures import table, view, with_views
+from flowspark.plans.packet_queries import flow_sql, shown
 from flowspark.plans.registry import query
 from flowspark.session import scratch_path
 from flowspark.sources import flow_csv
@@ -181,13 +182,12 @@ def read_flow_csv(spark, sf):
     return df.select(c("row_id").cast("bigint").alias("row_id"), *[_as_text(x) for x in names], "note")
 
 
-@query("write_flows", None)
+@query("write_flows", flow_sql(FEATURES, extra=', f_ip AS "source ip"'))
 def write_flow_table(spark, sf):
     from flowspark.operators.flows import flow_table
     path = scratch_path(spark, "flows")
     write_flows(flow_table(view(spark, sf, "packets")), path)
-    return flow_csv.read_flow_csv(spark, path, encoding="utf-8") \
-        .select(c("flow id"), c("source ip"), *[c(x) for x in FEATURES])
+    return shown(flow_csv.read_flow_csv(spark, path, encoding="utf-8"), FEATURES, "source ip")
 
 
 @query("discover_and_union", with_views("labelled", f"""

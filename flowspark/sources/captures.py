@@ -27,6 +27,7 @@ MAGIC = {
 }
 # --- fixed values: link types -> bytes before the EtherType, None for raw IP ---
 LINK_ETHERTYPE_AT = {1: 12, 113: 14, 12: None, 101: None, 228: None, 229: None}
+ROWS_PER_BATCH = 100_000
 ETHERTYPE_IPV4, ETHERTYPE_IPV6 = 0x0800, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8)
 IPV6_EXTENSIONS = (0, 43, 60)
@@ -139,7 +140,8 @@ def decode_captures(files: DataFrame, file_no: str = "file_no",
             for number, data in zip(batch[file_no], batch[content]):
                 packets = decode_capture(bytes(data))
                 packets["seq"] = packets["seq"].astype("int64") + (int(number) << 32)
-                yield packets
+                for at in range(0, len(packets), ROWS_PER_BATCH):
+                    yield packets.iloc[at:at + ROWS_PER_BATCH]
     return files.select(file_no, content).mapInPandas(decode, PACKET_SCHEMA)
 
 
@@ -156,6 +158,7 @@ def read_captures(spark: SparkSession, path: str, file_no: Column | None = None)
     file for a defined order.
     """
     number = file_no if file_no is not None else trailing_number(F.col("path"))
-    # one file per Arrow batch: a batch then never outgrows one capture file
+    # a task packs small files up to spark.sql.files.maxPartitionBytes or holds one larger file,
+    # which bounds what reaches Python at once
     files = spark.read.format("binaryFile").load(path).select(number.alias("file_no"), "content")
     return decode_captures(files)
