@@ -3,7 +3,8 @@
 ``percentile`` and ``median`` keep every distinct value of a group in one task. Here a
 mergeable sketch first brackets the wanted rank; only values inside the bracket are then
 counted exactly, and everything below it collapses to a single counter during map-side
-combining. A bracket holds about ``4 / accuracy`` of the group, equal values count as one row.
+combining. A bracket holds about ``4 / accuracy`` of the group (all of a group below
+``4 * accuracy`` rows), equal values count as one row.
 
 Bracket and counts come from the same joined rows, so the result is exact for whatever
 bracket the sketch gives; a bracket that misses its rank raises instead of guessing.
@@ -48,8 +49,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     order = sorted(range(len(probs)), key=lambda j: probs[j])
     bounds = ", ".join(f"{min(1.0, max(0.0, probs[j] + d))!r}D"
                        for j in order for d in (-slack, slack))
-    groups = rows.groupBy(*keys).agg(*[F.expr(e) for i in range(len(columns)) for e in (
-        f"count(v{i}) AS n{i}", f"percentile_approx(v{i}, array({bounds}), {accuracy}) AS b{i}")])
+    sketched = rows.groupBy(*keys).agg(*[F.expr(e) for i in range(len(columns)) for e in (
+        f"count(v{i}) AS n{i}", f"array(min(v{i}), max(v{i})) AS ends{i}",
+        f"percentile_approx(v{i}, array({bounds}), {accuracy}) AS b{i}")])
+    # in a small group the slack is less than one rank: there the bracket is the whole group
+    groups = sketched.selectExpr(*key_sql, *[e for i in range(len(columns)) for e in (
+        f"n{i}", f"if(n{i} <= {4 * accuracy}, flatten(array_repeat(ends{i}, {len(probs)})), b{i}) "
+                 f"AS b{i}")])
     joined = _attach(rows, groups, keys)
 
     # A value inside a bracket keeps itself as its place; one between brackets takes the
