@@ -82,12 +82,11 @@ def balanced_sample(df: DataFrame, file: str, row_id: str, label: str = "label",
                               "__order": seeded_key(seed, row_id)})
     order = [F.col("__order"), c(row_id)]
     picked = first_per_group(flagged, [f"`{file}`", "__attack"], order, per_file, rank="__rn")
-    attacks = picked.filter("__attack = 1")
-    limits = attacks.groupBy(c(file)).agg(F.count(F.lit(1)).alias("__limit"))
-    benign = picked.filter("__attack = 0").join(limits, file) \
-        .filter(F.col("__rn") <= F.col("__limit"))
-    return attacks.select(*[c(x) for x in df.columns]) \
-        .union(benign.select(*[c(x) for x in df.columns]))
+    # at most 2 * per_file rows of a file are left for this window
+    n_attacks = F.sum("__attack").over(Window.partitionBy(c(file)))
+    keep = (F.col("__attack") == 1) | (F.col("__rn") <= F.col("__n_attacks"))
+    return picked.withColumn("__n_attacks", n_attacks) \
+        .filter((F.col("__n_attacks") > 0) & keep).select(*[c(x) for x in df.columns])
 
 
 def shuffle_rows(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:

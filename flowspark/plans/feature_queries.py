@@ -78,7 +78,7 @@ def map_flowmeter_java(spark, sf):
 
 
 _PY_SQL = ", ".join(
-    f'{"0.0" if a in ("idle_min", "fwd_urg_flags") else a} AS "{t}"'
+    f'{"0.0::DOUBLE" if a in ("idle_min", "fwd_urg_flags") else a} AS "{t}"'
     for a, t in PY_METER_COLUMNS.items())
 
 
@@ -194,7 +194,7 @@ def convert_java_meter(spark, sf):
 
 @query("convert_python_meter", with_views("py_meter", """
 SELECT CAST(src_ip AS VARCHAR) AS "source ip", flow_duration * 1000000 AS "flow duration",
-       flow_byts_s AS "flow bytes/s", 0.0 AS "idle min", fwd_header_len AS "fwd header length.1",
+       flow_byts_s AS "flow bytes/s", 0.0::DOUBLE AS "idle min", fwd_header_len AS "fwd header length.1",
        'BENIGN' AS label FROM py_meter"""))
 def convert_python_meter(spark, sf):
     return sm.convert_python_meter(view(spark, sf, "py_meter")).select(
@@ -344,7 +344,7 @@ def prepare_features(spark, sf):
 
 _CALIB_N = 500
 _SAMPLE_SQL = f"""
-rows AS (SELECT event_id, value, event_id * 0.5 AS half FROM events
+rows AS (SELECT event_id, value, event_id * 0.5::DOUBLE AS half FROM events
          ORDER BY md5(concat_ws(':', '42', event_id)), event_id LIMIT {_CALIB_N})"""
 
 
