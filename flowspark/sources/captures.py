@@ -25,6 +25,11 @@ MAGIC = {
     b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
     b"\x4d\x3c\xb2\xa1": ("<", 1_000_000_000),
 }
+# --- fixed values: block types of the block-structured capture format ---
+SECTION_BLOCK, INTERFACE_BLOCK, PACKET_BLOCK = 0x0A0D0D0A, 1, 6
+SECTION_START = b"\x0a\x0d\x0d\x0a"
+LITTLE_ENDIAN_MARK = b"\x4d\x3c\x2b\x1a"
+TIME_RESOLUTION_OPTION = 9
 # --- fixed values: link types -> bytes before the EtherType, None for raw IP ---
 LINK_ETHERTYPE_AT = {1: 12, 113: 14, 12: None, 101: None, 228: None, 229: None}
 ROWS_PER_BATCH = 100_000
@@ -35,6 +40,8 @@ IPV6_EXTENSIONS = (0, 43, 60)
 
 def _records(content: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Link type, then start, length and time (microseconds) of every complete record."""
+    if content[:4] == SECTION_START:
+        return _block_records(content)
     order, ticks = MAGIC.get(content[:4], (None, 0))
     if order is None:
         raise ValueError("not a capture file")
@@ -55,6 +62,46 @@ def _records(content: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
             np.array(times, dtype=np.int64))
 
 
+def _ticks(content: bytes, order: str, at: int, end: int) -> int:
+    """Ticks per second of an interface, from its options; microseconds unless stated."""
+    while at + 4 <= end:
+        code, size = struct.unpack_from(order + "HH", content, at)
+        if code == TIME_RESOLUTION_OPTION:
+            value = content[at + 4]
+            return 2 ** (value & 127) if value & 128 else 10 ** value
+        if code == 0:
+            break
+        at += 4 + (size + 3) // 4 * 4
+    return 1_000_000
+
+
+def _block_records(content: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The records of a block-structured capture; all its interfaces must share a link type."""
+    starts, sizes, times, links, ticks, seen = [], [], [], [], [], set()
+    at, end, order = 0, len(content), "<"
+    while at + 12 <= end:
+        if content[at:at + 4] == SECTION_START:
+            order = "<" if content[at + 8:at + 12] == LITTLE_ENDIAN_MARK else ">"
+            links, ticks = [], []
+        kind, size = struct.unpack_from(order + "II", content, at)
+        if size < 12 or at + size > end:
+            break
+        if kind == INTERFACE_BLOCK:
+            links.append(struct.unpack_from(order + "H", content, at + 8)[0])
+            ticks.append(_ticks(content, order, at + 16, at + size - 4))
+        elif kind == PACKET_BLOCK:
+            port, high, low, length, _ = struct.unpack_from(order + "IIIII", content, at + 8)
+            seen.add(links[port])
+            starts.append(at + 28)
+            sizes.append(length)
+            times.append(((high << 32) | low) * 1_000_000 // ticks[port])
+        at += size
+    if len(seen) > 1:
+        raise ValueError(f"capture mixes link types {sorted(seen)}")
+    return (seen.pop() if seen else 1, np.array(starts, dtype=np.int64),
+            np.array(sizes, dtype=np.int64), np.array(times, dtype=np.int64))
+
+
 def _u16(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (buf[at].astype(np.int64) << 8) | buf[at + 1]
 

@@ -192,6 +192,27 @@ def test_capture_headers(order, nano):
     assert third.src_port == 0 and third.l4_hdr_len == 0
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_block_structured_capture(order):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        size = struct.pack(order + "I", len(body) + 12)
+        return struct.pack(order + "I", kind) + size + body + size
+
+    ip4 = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 41, 0, 0, 64, 6, 0, b"\x0a\0\0\1", b"\x0a\0\0\2")
+    frame = _frame(0x0800, ip4 + struct.pack(">HHIIBBHHH", 7, 8, 0, 0, 0x50, 2, 9, 0, 0) + b"x")
+    nano = struct.pack(order + "HHBxxxHH", 9, 1, 9, 0, 0)
+    data = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    data += block(1, struct.pack(order + "HHI", 1, 0, 0))
+    data += block(1, struct.pack(order + "HHI", 1, 0, 0) + nano)
+    for port, ticks in ((0, 7_000_001), (1, 7_000_002_000)):
+        data += block(6, struct.pack(order + "IIIII", port, ticks >> 32, ticks & 0xFFFFFFFF,
+                                     len(frame), len(frame)) + frame)
+    rows = decode_capture(data + b"cut off")
+    assert list(rows["ts_us"]) == [7_000_001, 7_000_002]
+    assert list(rows["src_port"]) == [7, 7] and list(rows["total_len"]) == [41, 41]
+
+
 def test_scan_reads_only_the_columns_of_the_features(spark):
     from flowspark.plans.fixtures import view
     from flowspark.plans.packet_queries import GROUPS, shown
