@@ -15,7 +15,7 @@ from flowspark.operators.sampling import head_rows, sample_rows
 from flowspark.plans.fixtures import DIRTY, view, with_views
 from flowspark.plans.registry import b, query, rounded
 from flowspark.sources.tables import read_params, write_params
-from flowspark.session import scratch_path
+from flowspark.session import materialize, scratch_path
 
 _Q = [f'"{x}"' for x in DIRTY]
 _LIST = ", ".join(_Q)
@@ -482,8 +482,11 @@ p AS (SELECT row_id, 1 / (1 + exp(-({_unit_sql('h', layer(8, 1), 0)}))) AS p FRO
 SELECT row_id, round(p, 5) AS pred_attack_proba,
        CASE WHEN p >= 0.5 THEN 'ATTACK' ELSE 'BENIGN' END AS pred_label FROM p"""))
 def offline_inference(spark, sf):
+    """Fitted medians and parameters are stored once, then one pass scores the rows."""
     rows = raw(spark, sf)
-    params = cl.fit_scaler(filled(spark, sf), DIRTY)
-    ready = scoring.prepare_features(rows, params, DIRTY)
+    center = materialize(cl.column_medians(rows, DIRTY), "medians")
+    full = cl.impute_median(cl.clean_columns(rows, DIRTY), DIRTY, "fixed", fixed=center)
+    params = materialize(cl.fit_scaler(full, DIRTY), "scaler")
+    ready = scoring.prepare_features(rows, params, DIRTY, mode="fixed", fixed=center)
     scored = scoring.score_binary(ready, "x", [layer(4, 8), layer(8, 1)])
     return rounded(scored, 5, "pred_attack_proba").select("row_id", "pred_attack_proba", "pred_label")
