@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark.llm import (
-    decontaminate, pairwise_quality, risk_rules, sentencepiece_codec, simhash, toxicity,
+    decontaminate, pairwise_quality, risk_rules, secret_scan, sentencepiece_codec, simhash, token_shards,
+    toxicity,
 )
 from flowspark.llm.common import held_out, table
 
@@ -85,3 +86,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         decontaminate.contaminated().alias("contaminated"))
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_shards.token_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# text between matches and matches take turns, so their lengths give the positions
+_ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+           "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
+
+
+def _secret_sql() -> str:
+    ctes, unions = [], []
+    for place, r in enumerate(secret_scan.RULES):
+        pattern = _ASSIGN if r.kind == "assign" else r.pattern
+        ctes.append(f"""k{place} AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{'s': CAST(
+             list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)
+             AS BIGINT), 'h': hits[i], 'c': checked[i]}})) AS x
+  FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+               regexp_extract_all(t, '{pattern}', {r.group}) AS checked FROM d))""")
+        unions.append(f"SELECT doc_id, {place} AS place, '{r.kind}' AS kind, x.s AS s, x.s + length(x.h) AS e "
+                      f"FROM k{place} WHERE length(x.c) >= {r.least}")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{", ".join(ctes)},
+spans AS ({" UNION ALL ".join(unions)}),
+own AS (SELECT doc_id, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS k, count(*) FILTER (place = 2) AS h,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN own USING (doc_id)"""
+
+
+@query("op6_secret_scan", _secret_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["place"] < len(secret_scan.BASE))
+    count = [F.expr(f"size(filter(spans, s -> s.kind = '{r.kind}'))").cast("long").alias(f"n_{r.kind}")
+             for r in secret_scan.BASE]
+    return found.select("doc_id", *count, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))

@@ -150,7 +150,7 @@ def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
           exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn a lexicon from (text, label): words and word beginnings that mark label 1.
 
-    A term is taken if its log-likelihood ratio is ``evidence`` or more and most texts with it have label 1;
+    A term is taken if its log-likelihood ratio is ``evidence`` or more and at most one text with it in eleven has label 0;
     of a word's beginnings only the longest that covers nearly the same texts stays. Its weight is
     its log odds. At most ``terms`` terms reach the driver, those with the most evidence. A sample
     with one class, or none, gives an empty lexicon that finds every text clean.
@@ -161,7 +161,7 @@ def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
         return Lexicon((), exceptions)
     counted = add_columns(sample, "text", "terms array<string>", lambda: _starts).select(
         "label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("label").alias("t"), F.count("*").alias("n")).filter("t >= 3 and 2 * t > n")
+        F.sum("label").alias("t"), F.count("*").alias("n")).filter("t >= 3 and 10 * (n - t) <= t")
     rate = ones / (ones + zeros)
     ratio = (F.col("t") * F.log(F.col("t") / F.col("n") / rate)
              + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t"))
@@ -173,7 +173,7 @@ def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
     nested: set[str] = set()
     for term in sorted(texts, key=len, reverse=True):
         for n in range(2, len(term)):
-            if term[:n] in texts and texts[term][0] >= 0.9 * texts[term[:n]][0]:
+            if term[:n] in texts and texts[term][0] >= 0.8 * texts[term[:n]][0]:
                 nested.add(term[:n])
     weighted = tuple((term, round(math.log(((t + 0.5) / (ones + 1)) / ((n - t + 0.5) / (zeros + 1))), 6))
                      for term, (t, n) in texts.items() if term not in nested)
