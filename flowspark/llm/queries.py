@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark.llm import (
     decontaminate, pairwise_quality, risk_rules, secret_scan, sentencepiece_codec, simhash, token_shards,
-    toxicity,
+    toxicity, url_trees, warc_zst,
 )
 from flowspark.llm.common import held_out, table
 
@@ -129,3 +129,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
              for r in secret_scan.BASE]
     return found.select("doc_id", *count, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
                         secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query("op5_warc_zst")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zst.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op7_url_trees")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(table(spark, sf_dir, "pages"))
