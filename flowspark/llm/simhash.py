@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowspark.llm.common import add_columns, word_slabs
 from flowspark.llm.components import connected
@@ -121,6 +121,19 @@ def _choices(left: int, start: str = "0", mask: str = "0L") -> str:
     return f"flatten(transform({rest}, (s{left}, i{left}) -> {_choices(left - 1, f'{start} + i{left} + 1', bit)}))"
 
 
+def _grouped(df: DataFrame, key: str, text: str, words: int, distance: int, blocks: int) -> DataFrame:
+    """(key, version, fp, root, component_id) per row: text hash, fingerprint, group, smallest key of the group."""
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
+    rows = materialize(simhash(texts, "text", words).select("key", "version", "fp"), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("first")), "nodes")
+    roots = connected(materialize(links(nodes.select("fp"), distance, blocks), "links"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    classes = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(classes, "fp")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3,
                     blocks: int = 6) -> DataFrame:
     """One row per row of ``df``: ``key``, ``fp`` (signed long) and ``component_id``.
@@ -130,27 +143,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     like any other. Repeated rows each give a row; rows with a null key take part, their component is the
     smallest known key in it, or null. An empty table gives no rows; other columns are not read.
     """
-    rows = materialize(simhash(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words)
-                       .select("key", "fp"), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("key").alias("first")), "nodes")
-    roots = connected(materialize(links(nodes.select("fp"), distance, blocks), "links"))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return _grouped(df, key, text, words, distance, blocks).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``df``, all columns, that stay: of each group the one with the smallest key.
+def _identity(key: Column, version: Column) -> dict[str, Column]:
+    """Columns without nulls that tell rows apart, up to repeated rows."""
+    return {"__known": key.isNotNull(), "__key": F.coalesce(key, F.lit(0)), "__version": version}
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3,
+                    blocks: int = 6) -> DataFrame:
+    """Rows of ``df``, all columns, that stay: of each group one row with the smallest key.
 
-    Rows without a key stay only where their group has no key at all. Of repeated rows with the same
-    key one stays (the one whose text hash is smallest, then any of rows with equal text).
+    A row without key stays only if its whole group has none. Of rows of one group with the same key the
+    one with the smallest text hash stays, and of repeated rows one.
     """
-    found = near_duplicates(df, key, text, **options)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(
-        F.col(key).alias("__kept"), F.coalesce("component_id", "fp").alias("__group")).distinct()
-    kept = kept.groupBy("__kept").agg(F.count("*").alias("__groups"))
-    rows = df.join(kept, df[key].eqNullSafe(kept["__kept"]), "inner").drop("__groups")
-    order = Window.partitionBy("__kept").orderBy(F.xxhash64(text))
-    return rows.withColumn("__no", F.row_number().over(order)).filter("__no = 1").drop("__no", "__kept")
+    grouped = _grouped(df, key, text, words, distance, blocks)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "version")).alias("b"))
+    same = ["__known", "__key", "__version"]
+    kept = best.select(*[c.alias(n) for n, c in _identity(F.col("b.key"), F.col("b.version")).items()])
+    rows = df.withColumns(_identity(F.col(key), F.xxhash64(text))).join(kept, same)
+    # the join has brought equal rows together already
+    order = Window.partitionBy(*same).orderBy("__key")
+    return rows.withColumn("__no", F.row_number().over(order)).filter("__no = 1").select(*df.columns)
