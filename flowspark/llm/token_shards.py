@@ -14,6 +14,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -35,6 +36,8 @@ CACHED = 1 << 19
 LONGEST_CACHED = 64
 SLICE = 256
 NULL_KEY = -1 << 63
+# every white space character with a blank behind it
+BLANK_RUNS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 # ---- minimal perfect hash ----
@@ -169,16 +172,24 @@ class Shard:
 class Encoder:
     """A byte-level tokenizer that remembers the ids of word parts.
 
-    Texts are cut before each blank that follows another character. No pre-token of such a
-    tokenizer reaches over that place, and none looks back, so the ids of the parts, put together, are those of the text.
+    Texts are cut before each blank that follows another character. No pre-token of such a tokenizer reaches over that
+    place, and none looks back, so the ids of the parts, put together, are those of the text. New parts of letters,
+    punctuation and single line breaks are cut into pre-tokens here and merged by the library's model; all
+    others go through the whole tokenizer.
     """
-    _TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+    _PLAIN = re.compile("( ?L+)([.,;:!?]*)((?:\nL+[.,;:!?]*)*)".replace("L", "[A-Za-zÀ-ÖØ-öø-ÿ]"))
+    _WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+|\n")
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind, self.known = f"<u{width}", {}
+        self.kind, self.code, self.known = f"<u{width}", {2: "H", 4: "I"}[width], {}
+        self.merge = self.tokenizer.model.tokenize
+        # printable bytes stand for themselves, the others for characters from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.shown = [chr(b if b in printable else next(others)) for b in range(256)]
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex")
@@ -190,26 +201,39 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def part(self, part: str) -> bytes:
-        made = self.known.get(part)
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        made = self.known.get(word)
         if made is None:
-            blank = part[:1] == " "
-            tail = self._TAIL.fullmatch(part, 1 if blank else 0)
-            # letters and punctuation are different pre-tokens
-            made = self.part(part[:tail.start(2)]) + self.part(tail[2]) if tail else self.plain(part)
-            if len(part) <= LONGEST_CACHED:
-                if len(self.known) >= CACHED:  # forget the older half
-                    self.known = dict(islice(self.known.items(), CACHED // 2, None))
-                self.known[part] = made
+            found = self.merge("".join([self.shown[b] for b in word.encode()]))
+            made = self.remember(word, array(self.code, [t.id for t in found]).tobytes())
+        return made
+
+    def part(self, part: str) -> bytes:
+        plain = self._PLAIN.fullmatch(part)
+        if not plain:
+            return self.remember(part, self.plain(part))
+        head, marks, lines = plain.groups()
+        made = self.word(head)
+        if marks or lines:
+            rest = [self.word(w) for w in ([marks] if marks else []) + self._WORDS.findall(lines)]
+            made = self.remember(part, made + b"".join(rest))
+        return made
+
+    def remember(self, part: str, made: bytes) -> bytes:
+        if len(part) <= LONGEST_CACHED:
+            if len(self.known) >= CACHED:  # forget the older half
+                self.known = dict(islice(self.known.items(), CACHED // 2, None))
+            self.known[part] = made
         return made
 
     def encode(self, text: str) -> bytes:
         if not self.split:
             return self.plain(text)
-        parts = text.split(" ")
-        if "" in parts or any(p[-1].isspace() for p in parts):
+        if text[:1] == " " or text[-1:] == " " or any(b in text for b in BLANK_RUNS):
             parts = re.split(r"(?<=\S)(?= )", text)
         else:
+            parts = text.split(" ")
             parts[1:] = [" " + p for p in parts[1:]]
         found = list(map(self.known.get, parts))
         if None in found:
