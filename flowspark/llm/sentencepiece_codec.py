@@ -9,6 +9,7 @@ result: merges inside two neighbours happen in the same order whatever surrounds
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache, partial
 from itertools import islice
 
@@ -21,7 +22,7 @@ from flowspark.llm.common import add_columns
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-CACHED = 1 << 19  # remembered word parts and merges per task process
+CACHED = 1 << 20  # remembered word parts and merges per task process
 LONGEST_CACHED = 64
 
 
@@ -199,7 +200,7 @@ class PieceModel:
         return self._piece_part(part)
 
     def _piece_part(self, part: str) -> bytes:
-        return self._remember(part, np.array(self.numbers(self.search(part)), np.int32).tobytes())
+        return self._remember(part, array("i", self.numbers(self.search(part))).tobytes())
 
     def _remember(self, part: str, made: bytes) -> bytes:
         if len(part) <= LONGEST_CACHED:
