@@ -93,12 +93,14 @@ def standard_scale(x: Column, mean: float | Column, scale: float | Column,
 
 
 def sigmoid(z: Column) -> Column:
+    """Logistic function of a bounded argument; NULL and NaN give NULL, never a probability."""
     bounded = F.greatest(F.lit(-SIGMOID_CLIP), F.least(F.lit(SIGMOID_CLIP), z))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
+    return F.when(z.isNotNull() & ~F.isnan(z), F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded)))
 
 
 def relu(z: Column) -> Column:
-    return F.greatest(F.lit(0.0), z)
+    """Positive part; NULL stays NULL (greatest skips NULLs)."""
+    return F.when(z.isNotNull(), F.greatest(F.lit(0.0), z))
 
 
 def array_literal(values: Sequence[float]) -> Column:

@@ -54,9 +54,11 @@ def first_occurrence(rows: DataFrame, keys: Sequence[str], row_index: str,
     Finds the smallest row number map-side combined, then keeps rows by (run, row number):
     that pair is unique, so an address with many rows is never gathered in one task.
     """
+    on = [*run, row_index]
     firsts = rows.groupBy(*run, *keys).agg(F.min(row_index).alias(row_index)) \
-        .select(*run, row_index)
-    return rows.join(firsts, [*run, row_index], "left_semi")
+        .select(*[F.col(x).alias(f"__on_{x}") for x in on])
+    same = [rows[f"`{x}`"].eqNullSafe(firsts[f"`__on_{x}`"]) for x in on]
+    return rows.join(firsts, same, "left_semi")
 
 
 def alert_records(scored: DataFrame, ts: Column, prob: str = "prob", row_index: str = "row_index",
@@ -83,14 +85,14 @@ def decide_actions(scored: DataFrame, allowed: DataFrame, blocked: DataFrame,
     status = allowed.select(F.col("ip").alias("__ip"), F.lit(1).alias("w"), F.lit(0).alias("b")) \
         .union(blocked.select(F.col("ip").alias("__ip"), F.lit(0).alias("w"), F.lit(1).alias("b"))) \
         .groupBy("__ip").agg((F.max("w") == 1).alias("__allowed"), (F.max("b") == 1).alias("__blocked"))
-    rows = lookup(attacks, status, ["__ip"], spread=F.xxhash64(row_index)).select(
+    rows = lookup(attacks, status, ["__ip"]).select(
         *run, row_index, prob, "__ip", valid_ip_text(F.col("__ip")).alias("__valid"),
         F.coalesce("__allowed", F.lit(False)).alias("__allowed"),
         F.coalesce("__blocked", F.lit(False)).alias("__blocked"))
     firsts = rows.filter(F.col("__valid") & ~F.col("__allowed")) \
         .groupBy(*run, "__ip").agg(F.min(row_index).alias(row_index)) \
         .select(*run, row_index, F.lit(True).alias("__first"))
-    decided = lookup(rows, firsts, [*run, row_index], salts=1)
+    decided = lookup(rows, firsts, [*run, row_index])
     first = F.coalesce("__first", F.lit(False))
     reason = (F.when(~F.col("__valid"), F.lit("invalid_src_ip"))
               .when(F.col("__allowed"), F.lit("whitelisted"))
@@ -113,5 +115,5 @@ def action_records(decisions: DataFrame, ts: Column, prob: str = "prob",
 def relative_time(df: DataFrame, keys: Sequence[str], ts: str, out: str = "t_rel") -> DataFrame:
     """Time since the start of the run: one combined minimum per run, looked up by the rows."""
     starts = df.groupBy(*keys).agg(F.min(ts).alias("__start"))
-    return lookup(df, starts, keys, "inner").withColumn(out, F.col(ts) - F.col("__start")) \
+    return lookup(df, starts, keys, "inner", small=True).withColumn(out, F.col(ts) - F.col("__start")) \
         .drop("__start")

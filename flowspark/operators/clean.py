@@ -75,11 +75,29 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .select(F.explode("rows").alias("r")).select("r.*")
 
 
-def params_row(params: DataFrame) -> DataFrame:
-    """Parameter table (one row per feature) as one row with arrays ``__mean``, ``__scale``."""
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "mean", "scale")))
-    return params.agg(ordered.alias("p")).select(
-        F.col("p.mean").alias("__mean"), F.col("p.scale").alias("__scale"))
+def params_row(params: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Parameter table (one row per feature) as one row with arrays ``__mean``, ``__scale`` in feature order.
+
+    Rows are found by ``feature``. Stored flags ``with_mean`` and ``with_std`` that are false turn
+    their step off; ``n_features_in``, where stored, must be the number of features.
+    """
+    known = set(params.columns)
+    flag = lambda x: F.coalesce(F.col(x), F.lit(True)) if x in known else F.lit(True)
+    width = F.max("n_features_in") if "n_features_in" in known else F.lit(None).cast("int")
+    one = params.agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct(
+            F.when(flag("with_mean"), F.col("mean")).otherwise(0.0).alias("mean"),
+            F.when(flag("with_std"), F.col("scale")).otherwise(1.0).alias("scale"))))).alias("p"),
+        F.count(F.lit(1)).alias("n"), width.alias("width"))
+    names = F.array(*[F.lit(x) for x in features])
+    missing = F.array_except(names, F.map_keys("p"))
+    wrong = (F.col("n") != len(features)) | (F.coalesce("width", F.lit(len(features))) != len(features))
+    problem = F.when(F.size(missing) > 0, F.concat(F.lit("no scaling parameters for: "), F.array_join(missing, ", "))) \
+        .when(wrong, F.concat(F.lit("scaling parameters for "), F.coalesce("width", "n").cast("string"),
+                              F.lit(f" features, the table has {len(features)}")))
+    checked = one.select(F.when(problem.isNull(), F.transform(names, lambda f: F.col("p")[f])).otherwise(
+        F.raise_error(problem)).alias("p"))
+    return checked.select(F.col("p.mean").alias("__mean"), F.col("p.scale").alias("__scale"))
 
 
 def sql_scaled(value: str, i: int, with_mean: bool = True, with_std: bool = True) -> str:
@@ -91,7 +109,7 @@ def sql_scaled(value: str, i: int, with_mean: bool = True, with_std: bool = True
 def apply_scaler(df: DataFrame, columns: Sequence[str], params: DataFrame,
                  with_mean: bool = True, with_std: bool = True) -> DataFrame:
     """Standard-scale the columns with fitted parameters (one broadcast row)."""
-    joined = with_single_row(df, params_row(params))
+    joined = with_single_row(df, params_row(params, columns))
     return replace_columns(joined, {x: sql_scaled(quoted(x), i, with_mean, with_std)
                                     for i, x in enumerate(columns)}).drop("__mean", "__scale")
 

@@ -4,48 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A table is broadcast only if the optimizer's size estimate is below this many bytes.
-BROADCAST_LIMIT = 10 * 1024 * 1024
-SALTS = 32
+# Most rows of a table that is declared to be small; more of them fail the query.
+FEW_ROWS = 100_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer estimate of the table size (no job; a join or aggregate is over-estimated)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def few(table: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """The table, marked for broadcast, with its row count checked while the query runs.
+
+    For tables whose size does not follow the data (runs, classes, cuts). At most one row above
+    the limit is ever gathered before the query fails.
+    """
+    counted = table.limit(limit + 1).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy()))
+    checked = counted.filter(F.when(F.col("__rows") <= limit, F.lit(True)).otherwise(F.raise_error(
+        F.lit(f"a table declared small has more than {limit} rows")).cast("boolean")))
+    return F.broadcast(checked.drop("__rows"))
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
-           spread: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """Join ``rows`` to a table with one row per key, whatever the key distribution of rows.
-
-    Small tables (by the optimizer's estimate) are broadcast. Larger ones are joined with the
-    key plus a salt: ``spread`` (any per-row expression) picks one of ``salts`` copies, so a
-    key that holds a third of all rows is spread over that many tasks. The table has
-    one row per key, so copying it costs ``salts`` times its own size only. With
-    ``salts=1`` nothing is copied and splitting hot partitions is left to AQE's skew join:
-    right where the table is about as large as the rows.
+           small: bool = False) -> DataFrame:
+    """Join ``rows`` to a table with one row per key. NULL is a key like any other.
+
+    ``small`` declares a table that does not grow with the rows: it is broadcast, and its size
+    checked at run time. Otherwise both sides are plain inputs of the join, so Spark picks the
+    strategy and splits partitions of crowded keys.
     """
     on = list(on)
-    if estimated_bytes(table) <= BROADCAST_LIMIT:
-        return rows.join(F.broadcast(table), on, how)
-    if salts <= 1:
-        return rows.join(table, on, how)
-    if spread is None:
-        spread = F.xxhash64(*[F.col(f"`{x}`") for x in rows.columns])
-    salted_rows = rows.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    salted_table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_table, [*on, "__salt"], how).drop("__salt")
-
-
-def flag_members(rows: DataFrame, members: DataFrame, key: str, out: str,
-                 spread: Column | None = None) -> DataFrame:
+    renamed = table.withColumnsRenamed({x: f"__on_{x}" for x in on})
+    if small:
+        renamed = few(renamed)
+    same = [rows[f"`{x}`"].eqNullSafe(renamed[f"`__on_{x}`"]) for x in on]
+    return rows.join(renamed, same, how).drop(*[f"__on_{x}" for x in on])
+
+
+def flag_members(rows: DataFrame, members: DataFrame, key: str, out: str) -> DataFrame:
     """Add ``out`` = whether ``rows.key`` occurs in the one-column table ``members``."""
-    table = members.select(F.col(members.columns[0]).alias(key)).distinct() \
+    table = members.select(F.col(members.columns[0]).alias(key)).dropna().distinct() \
                    .withColumn(out, F.lit(True))
-    return lookup(rows, table, [key], "left", spread) \
+    return lookup(rows, table, [key]) \
         .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
@@ -55,11 +53,6 @@ def exclude_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
         .drop("__member")
 
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ``members``."""
-    return flag_members(rows, members, key, "__member").filter("__member").drop("__member")
-
-
 def class_names(rows: DataFrame, names: Sequence[str] | None, idx: str, out: str,
                 width: int | None = None) -> DataFrame:
     """Class index to name; ``class_<i>`` where no name is known. Names beyond ``width`` are cut."""

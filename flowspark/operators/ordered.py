@@ -39,7 +39,7 @@ def lag_in_order(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
         "__lag": F.lag(value).over(inside),
         "__first": F.row_number().over(inside) == 1,
     })
-    joined = lagged.join(previous, [*keys, "__chunk"], "left")
+    joined = lookup(lagged, previous, [*keys, "__chunk"])
     return joined.withColumn(
         out, F.when(F.col("__first"), F.col("__prev")).otherwise(F.col("__lag"))
     ).select(*df.columns, out)
@@ -70,7 +70,7 @@ def running(df: DataFrame, keys: Sequence[str], order_col: str,
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = valued.withColumns({f"__local_{name}": folds[kind](part[name]).over(inside)
                                 for name, (kind, _) in exprs.items()})
-    joined = local.join(carried, [*keys, "__chunk"])
+    joined = lookup(local, carried, [*keys, "__chunk"])
     out = []
     for name, (kind, _) in exprs.items():
         here, carry = F.col(f"__local_{name}"), F.col(f"__carry_{name}")
@@ -95,7 +95,7 @@ def split_on_gaps(df: DataFrame, keys: Sequence[str], ts_col: str, timeout_us: i
         sliced.groupBy(*keys, "__slice").agg(F.min(ts_col).alias("__from"),
                                              F.max(ts_col).alias("__to")),
         keys, timeout_us, out)
-    return lookup(sliced, segments.select(*keys, "__slice", out), [*keys, "__slice"], salts=1) \
+    return lookup(sliced, segments.select(*keys, "__slice", out), [*keys, "__slice"]) \
         .select(*df.columns, out)
 
 

@@ -18,18 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.scalar import quoted, sql_text
-from flowspark.operators.lookups import BROADCAST_LIMIT, estimated_bytes
+from flowspark.operators.lookups import few
 
 ACCURACY = 10_000
 
 
 def _attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Group columns next to the rows; NULL is a group key like any other."""
+    """Group columns next to the rows; NULL is a group key like any other. Groups must be few (runs)."""
     if not keys:
         return rows.crossJoin(F.broadcast(groups))
     renamed = groups.withColumnsRenamed({k: f"__group_{k}" for k in keys})
-    if estimated_bytes(renamed) <= BROADCAST_LIMIT:
-        renamed = F.broadcast(renamed)
+    renamed = few(renamed)
     same = [rows[f"`{k}`"].eqNullSafe(renamed[f"`__group_{k}`"]) for k in keys]
     return rows.join(renamed, same).drop(*[f"__group_{k}" for k in keys])
 
@@ -168,5 +167,10 @@ def order_cuts(df: DataFrame, order: Column, tie: Column, fractions: Sequence[fl
     within = _at_rank(tied, "t", primary.select("part", F.col("inside").alias("rank")), grid)
     cuts = primary.select("part", F.col("v").alias("cut")) \
         .join(within.select("part", F.col("v").alias("tie")), "part")
-    return cuts.agg(*[F.max(F.when(F.col("part") == i, F.col(x))).alias(f"{x}_{i}")
-                      for i in range(len(fractions)) for x in ("cut", "tie")])
+    # a rank below the row count must have been found: NULL means behind the last row, nothing else
+    sized = parts.crossJoin(F.broadcast(n)).join(cuts, "part", "left")
+    missed = (F.col("rank") < F.col("n")) & (F.col("cut").isNull() | F.col("tie").isNull())
+    checked = sized.withColumn("cut", F.when(missed, F.raise_error(F.lit("rank bracket missed its rank"))
+                                             .cast("bigint")).otherwise(F.col("cut")))
+    return checked.agg(*[F.max(F.when(F.col("part") == i, F.col(x))).alias(f"{x}_{i}")
+                         for i in range(len(fractions)) for x in ("cut", "tie")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,7 @@ def drop_warmup(df: DataFrame, run: Sequence[str], order: Sequence[str], n: int,
     head = first_per_group(df.select(*run, *[F.col(x) for x in order]), run,
                            [F.col(x) for x in order], n + 1)
     cuts = head.groupBy(*run).agg(F.max(F.when(F.col("rn") == n + 1, key)).alias("__cut"))
-    kept = lookup(df, cuts, run, "inner", spread=F.xxhash64(*order))
+    kept = lookup(df, cuts, run, "inner", small=True)
     reached = F.col("__cut").isNotNull() & (key >= F.col("__cut"))
     rule = reached if skip_short_runs else reached | F.col("__cut").isNull()
     return kept.filter(rule).drop("__cut")
@@ -89,7 +90,9 @@ def resource_stats(resources: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def core_columns(df: DataFrame) -> list[str]:
-    return sorted(x for x in df.columns if x.startswith("core") and x.endswith("_pct"))
+    """Columns ``core<i>_pct`` by core number."""
+    found = {int(m[1]): x for x in df.columns if (m := re.fullmatch(r"core(\d+)_pct", x))}
+    return [found[i] for i in sorted(found)]
 
 
 def per_core(resources: DataFrame, keys: Sequence[str], first: int | None = None) -> DataFrame:
@@ -165,7 +168,7 @@ def wall_throughput(wall: DataFrame, rows: Column) -> DataFrame:
 def histogram(df: DataFrame, value: str, keys: Sequence[str], bins: int = 50) -> DataFrame:
     """Counts in ``bins`` equal bins between each group's extremes; the top edge is inclusive."""
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    joined = lookup(df, ends, keys, "inner")
+    joined = lookup(df, ends, keys, "inner", small=True)
     width = F.col("hi") - F.col("lo")
     # a group with a single value falls into the middle bin
     share = F.when(width == 0, F.lit(0.5)).otherwise(F.try_divide(F.col(value) - F.col("lo"), width))
@@ -201,5 +204,5 @@ def best_per_group(df: DataFrame, keys: Sequence[str], score: str, tie: str,
     """Mark the row with the highest score of each group; the lowest ``tie`` wins ties."""
     best = df.groupBy(*keys).agg(
         F.max_by(tie, F.struct(F.col(score), -F.col(tie))).alias("__best"))
-    return lookup(df, best, keys, "inner").withColumn(out, F.col(tie) == F.col("__best")) \
+    return lookup(df, best, keys, "inner", small=True).withColumn(out, F.col(tie) == F.col("__best")) \
         .drop("__best")

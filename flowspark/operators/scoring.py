@@ -12,7 +12,7 @@ from flowspark.contract import DEFAULT_THRESHOLD, FEATURES
 from flowspark.functions.scalar import argmax, c, quoted, sigmoid, sql_clean
 from flowspark.operators.clean import impute_median, median_array, params_row, sql_scaled
 from flowspark.operators.lookups import class_names, lookup, with_single_row
-from flowspark.operators.schema import assert_contract
+from flowspark.operators.schema import assert_contract, numeric_columns
 
 # Networks up to this many multiplications run as SQL expressions, wider ones in Arrow
 # batches: much longer generated methods are no longer compiled by the JVM.
@@ -34,7 +34,13 @@ class Layer:
 def prepare_features(df: DataFrame, params: DataFrame, features: Sequence[str] = FEATURES,
                      mode: str = "global", batch: Sequence[str] = (),
                      fixed: DataFrame | None = None, out: str = "x") -> DataFrame:
-    """Check the contract, clean, impute and scale; adds the matrix row as array ``out``."""
+    """Check the contract, clean, impute and scale; adds the matrix row as array ``out``.
+
+    Parameters belong to features by name; a feature without parameters, or parameters without a
+    feature, fail. No feature list means all numeric columns.
+    """
+    if not features:
+        features = numeric_columns(df)
     assert_contract(df, features)
     kept = [quoted(x) for x in df.columns]
     if mode == "fixed":
@@ -47,10 +53,18 @@ def prepare_features(df: DataFrame, params: DataFrame, features: Sequence[str] =
         work = df.selectExpr(*kept, *[f"{sql_clean(x)} AS {n}" for x, n in zip(features, names)])
         filled, values = impute_median(work, names, mode, batch), names
     scaled = ", ".join(sql_scaled(v, i) for i, v in enumerate(values))
-    return with_single_row(filled, params_row(params)) \
+    return with_single_row(filled, params_row(params, features)) \
         .selectExpr(*kept, f"array({scaled}) AS {quoted(out)}")
 
 
+def _usable(x: str, width: int) -> str:
+    """SQL text: a complete vector. NULL vectors and vectors with a NULL or NaN are not scored; a wrong length fails."""
+    v = quoted(x)
+    return (f"CASE WHEN size({v}) <> {width} THEN CAST(raise_error(concat('a vector of ', size({v}), "
+            f"' values, the network takes {width}')) AS BOOLEAN) "
+            f"ELSE {v} IS NOT NULL AND NOT exists({v}, e -> e IS NULL OR isnan(CAST(e AS DOUBLE))) END")
+
+
 def forward_native(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> DataFrame:
     """Forward pass as unrolled arithmetic, compiled with the rest of the stage.
 
@@ -67,7 +81,12 @@ def forward_native(df: DataFrame, x: str, layers: Sequence[Layer], out: str) ->
             z = " + ".join(terms)
             units.append(z if last else f"greatest(0D, {z})")
         target = out if last else f"__layer_{k}"
-        df = df.withColumn(target, F.expr(f"array({', '.join(units)})"))
+        made = f"array({', '.join(units)})"
+        if k == 0:
+            made = f"CASE WHEN {_usable(source, len(layer.weights[0]))} THEN {made} END"
+        else:
+            made = f"CASE WHEN {quoted(source)} IS NOT NULL THEN {made} END"
+        df = df.withColumn(target, F.expr(made))
         source = target
     return df.drop(*[f"__layer_{k}" for k in range(len(layers) - 1)])
 
@@ -93,7 +112,11 @@ def forward_arrow(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> D
     # typed here because postponed annotations hide the types from the UDF factory
     forward.__annotations__ = {"column": pa.Array, "return": pa.Array}
     udf = F.arrow_udf(forward, "array<double>")
-    return df.withColumn(out, udf(F.col(x).cast("array<double>")))
+    width = len(layers[0].weights[0])
+    # unusable vectors travel as zeros, and their result is dropped again
+    good = F.expr(_usable(x, width))
+    sent = F.when(good, F.col(x).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width))
+    return df.withColumn(out, F.when(good, udf(sent)))
 
 
 def forward(df: DataFrame, x: str, layers: Sequence[Layer], out: str = "raw") -> DataFrame:
@@ -105,11 +128,11 @@ def forward(df: DataFrame, x: str, layers: Sequence[Layer], out: str = "raw") ->
 
 def threshold_predict(df: DataFrame, prob: str = "pred_attack_proba",
                       threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """0/1 decision and its name; the threshold itself counts as an attack."""
-    hit = F.coalesce(F.col(prob) >= threshold, F.lit(False))
+    """0/1 decision and its name; the threshold itself counts as an attack, no probability gives no decision."""
+    hit = F.nanvl(F.col(prob).cast("double"), F.lit(None).cast("double")) >= threshold
     return df.withColumns({
         "pred": hit.cast("int"),
-        "pred_label": F.when(hit, F.lit("ATTACK")).otherwise(F.lit("BENIGN"))})
+        "pred_label": F.when(hit, F.lit("ATTACK")).when(~hit, F.lit("BENIGN"))})
 
 
 def score_binary(df: DataFrame, x: str, layers: Sequence[Layer],
@@ -140,4 +163,4 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_label_index(df: DataFrame, label: str = "label") -> DataFrame:
-    return lookup(df, label_index(df, label), [label])
+    return lookup(df, label_index(df, label), [label], small=True)

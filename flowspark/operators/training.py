@@ -18,7 +18,7 @@ from flowspark.functions.scalar import (
 )
 from flowspark.operators.clean import clean_columns, fit_scaler, impute_median, params_row, sql_scaled
 from flowspark.operators.evaluate import classification_report, cross_entropy
-from flowspark.operators.lookups import with_single_row
+from flowspark.operators.lookups import lookup, with_single_row
 from flowspark.operators.quantiles import medians
 from flowspark.operators.sampling import time_cuts, time_split
 from flowspark.operators.schema import numeric_columns
@@ -112,13 +112,14 @@ def prepare_training(rows: DataFrame, ts_us, row_index: str, label: str = "label
                            fixed=center)
     params = materialize(fit_scaler(filled.filter("part = 'train'"), names), "scaler")
     scaled = ", ".join(sql_scaled(quoted(x), i) for i, x in enumerate(names))
-    text = F.trim(c(label))
-    ready = with_single_row(filled, params_row(params)).select(
+    text = F.trim(F.coalesce(c(label).cast("string"), F.lit("nan")))
+    ready = with_single_row(filled, params_row(params, names)).select(
         *[c(x) for x in filled.columns if x not in set(names)], F.expr(f"array({scaled})").alias("x"),
         is_attack_label(text).alias("y_binary"), canonical_label(text).alias("class"))
     classes = materialize(label_index(rows.select(canonical_label(text).alias("class")), "class"),
                           "classes")
-    return ready.join(F.broadcast(classes.withColumnRenamed("class_idx", "y_class")), "class"), names
+    indexed = lookup(ready, classes.withColumnRenamed("class_idx", "y_class"), ["class"], "inner", small=True)
+    return indexed, names
 
 
 def training_pipeline(rows: DataFrame, ts_us, row_index: str, label: str = "label",

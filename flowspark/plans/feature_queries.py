@@ -146,11 +146,11 @@ def default_label(spark, sf):
 
 
 @query("to_float32", with_views("flows_raw", """
-SELECT row_id, round(CAST("total fwd packets" AS FLOAT)::DOUBLE, 3) AS x FROM flows_raw
-WHERE NOT isnan("total fwd packets") AND NOT isinf("total fwd packets")"""))
+SELECT row_id, round(CAST(CASE WHEN NOT isnan("total fwd packets") AND NOT isinf("total fwd packets")
+       THEN "total fwd packets" END AS FLOAT)::DOUBLE, 3) AS x FROM flows_raw"""))
 def to_float32(spark, sf):
     one = cl.nonfinite_to_null(raw(spark, sf), ["total fwd packets"]) \
-        .select("row_id", c("total fwd packets").alias("x")).filter("x IS NOT NULL")
+        .select("row_id", c("total fwd packets").alias("x"))
     return sm.to_float32(one, ["x"]).select("row_id", F.round(F.col("x").cast("double"), 3).alias("x"))
 
 
@@ -315,15 +315,17 @@ def params_round_trip(spark, sf):
     return _rounded_params(read_params(spark, path))
 
 
-@query("apply_params", with_views("flows_raw", f"""
-WITH {_CLEAN}, {_MED} SELECT row_id, {", ".join(f"m{i}" for i in range(len(DIRTY)))}
-FROM clean, med"""))
-def apply_params(spark, sf):
-    one = cl.column_medians(raw(spark, sf), DIRTY).toDF(*[f"m{i}" for i in range(len(DIRTY))])
-    return with_single_row(raw(spark, sf).select("row_id"), one)
+_SCALED = ", ".join(f"round(({x} - a{i}) / s{i}, 6) AS {x}" for i, x in enumerate(_Q))
 
 
-_SCALED = ", ".join(f"round(({x} - a{i}) / s{i}, 6) AS {x}" for i, x in enumerate(_Q))
+@query("apply_params", with_views("flows_raw", f"""
+WITH {_CLEAN}, {_MED}, {_FILLED}, {_PARAMS} SELECT row_id, {_SCALED} FROM filled, params"""))
+def apply_params(spark, sf):
+    """Stored parameters, in an order other than the features', applied by name."""
+    rows = filled(spark, sf).select("row_id", *[c(x) for x in DIRTY])
+    path = scratch_path(spark, "params")
+    write_params(cl.fit_scaler(rows, DIRTY).orderBy(F.desc("idx")), path)
+    return rounded(cl.apply_scaler(rows, DIRTY, read_params(spark, path)), 6, *DIRTY)
 
 
 @query("standard_scale", with_views("flows_raw", f"""

@@ -249,19 +249,20 @@ def stacked_stages(spark, sf):
 
 
 def _write_runs(spark, sf, path):
-    """Timing rows as a benchmark folder in both layouts."""
-    rows = timing(spark, sf).select("batch_idx", "n_rows", "t_total_ms", "variant", "batch_size")
+    """Timing rows as a benchmark folder in both layouts, one of them with its columns in another order."""
+    rows = timing(spark, sf)
     for variant in ("cpu", "npu"):
-        for size, target in ((32, f"batch_32/timing_{variant}.csv"),
-                             (512, f"timing_{variant}_b512.csv")):
+        for size, target, columns in (
+                (32, f"batch_32/timing_{variant}.csv", ("batch_idx", "n_rows", "t_total_ms")),
+                (128, f"batch_128/timing_{variant}.csv", ("batch_idx", "n_rows", "t_total_ms")),
+                (512, f"timing_{variant}_b512.csv", ("t_total_ms", "batch_idx", "n_rows"))):
             rows.filter((F.col("variant") == variant) & (F.col("batch_size") == size)) \
-                .drop("variant", "batch_size").coalesce(1).write.option("header", True) \
-                .csv(f"{path}/{target}")
+                .select(*columns).write.option("header", True).csv(f"{path}/{target}")
 
 
 @query("read_bench_runs", with_views("timing", """
 SELECT variant, batch_size, count(*) AS n_batches, CAST(sum(n_rows) AS BIGINT) AS n_rows,
-       round(sum(t_total_ms), 2) AS total_ms FROM timing WHERE batch_size <> 128 GROUP BY 1, 2"""))
+       round(sum(t_total_ms), 2) AS total_ms FROM timing GROUP BY 1, 2"""))
 def bench_runs(spark, sf):
     path = scratch_path(spark, "runs")
     _write_runs(spark, sf, path)

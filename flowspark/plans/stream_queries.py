@@ -13,7 +13,7 @@ from flowspark.plans.feature_queries import BINARY_NET, _BINARY_SQL
 from flowspark.plans.fixtures import DIRTY, table, view, with_views
 from flowspark.plans.packet_queries import _K, _KEYED
 from flowspark.plans.registry import b, query, rounded
-from flowspark.session import scratch_path
+from flowspark.session import materialize, scratch_path
 from flowspark.sources.captures import decode_captures
 from flowspark.streaming import flows as sflows
 from flowspark.streaming import score as sscore
@@ -33,9 +33,9 @@ def _staged(spark, df, name, parts=4):
     return sscore.stream_parquet(spark, path, df.schema, max_files=2)
 
 
-@query("stream_flow_csv", with_views("scored", "SELECT row_index, run_id, prob, src_ip FROM scored WHERE src_ip <> ''"))
+@query("stream_flow_csv", with_views("scored", "SELECT row_index, run_id, prob, nullif(trim(src_ip), '') AS src_ip FROM scored"))
 def stream_flow_csv(spark, sf):
-    rows = view(spark, sf, "scored").select("row_index", "run_id", "prob", "src_ip").filter("src_ip <> ''")
+    rows = view(spark, sf, "scored").select("row_index", "run_id", "prob", "src_ip")
     folder = scratch_path(spark, "live")
     rows.repartition(3).write.option("header", True).csv(folder)
     path, _ = _drain(spark, sscore.stream_flow_csv(spark, folder, rows.schema, 1), "tail")
@@ -67,12 +67,19 @@ def _wide(spark, sf):
         f"CAST(get(embedding, {i}) AS DOUBLE) AS {x}" for i, x in enumerate(_FEATS)])
 
 
-@query("stream_score", with_views("vectors", _BINARY_SQL))
+_SCALED_SQL = """
+WITH st AS (SELECT i, avg(v) AS m, if(stddev_pop(v) = 0, 1, stddev_pop(v)) AS s FROM
+  (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM vectors) GROUP BY i),
+pars AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM st),
+scaled AS (SELECT vec_id, label, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - m[i]) / s[i])
+  AS embedding FROM vectors, pars), """ + _BINARY_SQL.strip().removeprefix("WITH ").replace("FROM vectors", "FROM scaled")
+
+
+@query("stream_score", with_views("vectors", _SCALED_SQL))
 def stream_score(spark, sf):
-    """Scores a stream with stored medians and neutral scaling; equal to batch scoring."""
+    """Scores a stream with stored medians and fitted scaling; equal to batch scoring."""
     wide = _wide(spark, sf)
-    params = cl.fit_scaler(wide, _FEATS).select(
-        "idx", "feature", F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale"))
+    params = materialize(cl.fit_scaler(wide, _FEATS), "scaler")
     medians = wide.agg(*[F.percentile_approx(x, 0.5).alias(x) for x in _FEATS])
     stream = _staged(spark, wide, "rows")
     scored = sscore.stream_score(stream, params, medians, BINARY_NET, _FEATS) \

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a busy session window is merged map-side before its state task
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # call-site capture costs several driver round trips per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -34,10 +37,13 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster sets it.
 
-    Only where it is unset (local tests) a temporary folder is chosen, once per session.
+    Where it is unset, a local session gets a temporary folder, once; on a cluster that is an
+    error, since executors would write to disks that others cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="flowspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -57,6 +57,29 @@ def unique_headers(names: Sequence[str | None]) -> list[str]:
     return out
 
 
+def text_rows(reader, width: int):
+    """A CSV reader (batch or stream) of ``width`` text columns that keeps every row."""
+    schema = ", ".join(f"c{i} string" for i in range(width)) + ", __bad string"
+    return reader.schema(schema).option("header", True).option("mode", "PERMISSIVE") \
+        .option("columnNameOfCorruptRecord", "__bad").option("columnPruning", False) \
+        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+
+
+def checked_rows(df: DataFrame, width: int) -> DataFrame:
+    """Short rows are padded with NULL; a row with more fields than the header fails the read.
+
+    The check is a filter, so it holds whatever columns are used later.
+    """
+    names = ", ".join(f"c{i} string" for i in range(width + 1))
+    # an empty field is '' here, only an absent one is NULL
+    parsed = F.from_csv("__bad", names, {"nullValue": "\u0001", "emptyValue": "", "mode": "PERMISSIVE"})
+    long = F.col("__bad").isNotNull() & parsed[f"c{width}"].isNotNull()
+    # the message names the first field too: Spark refuses plans that read the kept line alone
+    problem = F.raise_error(F.concat(F.lit(f"more than {width} fields after "), F.coalesce("c0", F.lit("")),
+                                     F.lit(": "), F.substring("__bad", 1, 200)))
+    return df.filter(F.when(long, problem.cast("boolean")).otherwise(True)).drop("__bad")
+
+
 def _scan(spark: SparkSession, paths: Sequence[str], encoding: str,
           features: Sequence[str]) -> DataFrame:
     """One scan over files of equal header and encoding, with ``__source_file`` last."""
@@ -64,11 +87,9 @@ def _scan(spark: SparkSession, paths: Sequence[str], encoding: str,
     # the header as data: Spark renames repeated names by position when it reads a header
     first = spark.read.option("encoding", charset).csv(paths[0]).first()
     names = unique_headers(list(first))
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED") \
-        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True) \
-        .option("encoding", charset)
-    df = reader.csv(list(paths)) \
-        .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) \
+    reader = text_rows(spark.read, len(names)).option("encoding", charset)
+    df = checked_rows(reader.csv(list(paths)).select(
+        "*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("__source_file")), len(names)) \
         .toDF(*names, "__source_file")
     if encoding == "cp1252":
         table = str.maketrans(_chars(CP1252_BYTES), CP1252_CHARS)
@@ -88,7 +109,7 @@ def _scans(spark: SparkSession, paths: str | Sequence[str],
     return [_scan(spark, files, enc, features) for (enc, _), files in groups.items()]
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
+def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -105,7 +126,7 @@ def read_flow_csv(spark: SparkSession, paths: str | Sequence[str],
     if encoding:
         files = [paths] if isinstance(paths, str) else list(paths)
         return _scan(spark, files, encoding, features).drop("__source_file")
-    return _union(_scans(spark, paths, features)).drop("__source_file")
+    return union_parts(_scans(spark, paths, features)).drop("__source_file")
 
 
 # --- fixed values: labelled file name patterns, in order of preference ---
@@ -137,7 +158,7 @@ def union_labelled(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def discover_and_union(spark: SparkSession, folder: str,
+def discover_andunion_parts(spark: SparkSession, folder: str,
                        files: Sequence[str] | None = None) -> DataFrame:
     """All labelled CSV files of a folder as one table, columns missing in a file NULL.
 
@@ -146,8 +167,8 @@ def discover_and_union(spark: SparkSession, folder: str,
     """
     paths = [f"{folder}/{f}" for f in files] if files else discover_files(spark, folder)
     if not paths:
-        raise FileNotFoundError(f"No CSV found in {folder}")
+        raise FileNotFoundError(f"{folder} has no .csv file")
     parts = []
     for part in _scans(spark, paths, FEATURES):
         parts.append(unify_label(part, "train"))
-    return _union(parts)
+    return union_parts(parts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowspark.contract import ALWAYS_ALLOWED, FEATURES, FLOW_METADATA
 from flowspark.functions.scalar import c
 from flowspark.operators.actions import ip_list
+from flowspark.sources.flow_csv import file_layouts, union_parts
 
 PARAMS_SCHEMA = "idx int, feature string, mean double, scale double"
 
@@ -42,7 +43,7 @@ def with_row_index(spark: SparkSession, path: str, out: str = "row_index") -> Da
     sizes = located.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     from flowspark.operators.lookups import lookup
-    return lookup(located, offsets, ["__file"], "inner", spread=F.col("__at")) \
+    return lookup(located, offsets, ["__file"], "inner") \
         .select(*[c(x) for x in df.columns], (F.col("__off") + F.col("__at")).alias(out))
 
 
@@ -55,12 +56,18 @@ def read_bench_runs(spark: SparkSession, root: str, kind: str = "timing") -> Dat
     size = F.coalesce(F.regexp_extract(path, r"/batch_(\d+)/", 1).try_cast("int"),
                       F.regexp_extract(path, r"_b(\d+)\.csv", 1).try_cast("int"))
     variant = F.regexp_extract(path, kind + r"_([A-Za-z0-9]+?)(_b\d+)?\.csv", 1)
-    df = spark.read.option("header", True).csv(
-        f"{root}/{{batch_*/{kind}_*.csv,{kind}_*_b*.csv}}")
-    text = {"variant", "ts_iso"}
-    return df.select(*[c(x) if x in text else c(x).try_cast("double").alias(x)
-                       for x in df.columns if x != "variant"],
-                     size.alias("batch_size"), variant.alias("variant"))
+    found = f"{root}/{{batch_*/{kind}_*.csv,{kind}_*_b*.csv}}"
+    # files with equal header lines are one scan; headers are few, whatever the number of runs
+    groups: dict[str, list[str]] = {}
+    for row in file_layouts(spark, found).toLocalIterator():
+        groups.setdefault(row["header"], []).append(row["path"])
+    text, parts = {"variant", "ts_iso"}, []
+    for files in groups.values():
+        df = spark.read.option("header", True).csv(files)
+        parts.append(df.select(*[c(x) if x in text else c(x).try_cast("double").alias(x)
+                                 for x in df.columns if x != "variant"],
+                               size.alias("batch_size"), variant.alias("variant")))
+    return union_parts(parts)
 
 
 def write_flows(flows: DataFrame, path: str, fmt: str = "csv",

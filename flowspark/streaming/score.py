@@ -13,18 +13,25 @@ from flowspark.contract import DEFAULT_THRESHOLD, FEATURES
 from flowspark.functions.scalar import json_record, valid_ip_text
 from flowspark.operators.actions import attack_rows
 from flowspark.operators.lookups import exclude_members
+from flowspark.operators.schema import normalize_columns
 from flowspark.operators.scoring import Layer, prepare_features, score_binary
+from flowspark.sources.flow_csv import checked_rows, text_rows
 
 
 def stream_flow_csv(spark: SparkSession, folder: str, schema: T.StructType,
                     max_files: int | None = None) -> DataFrame:
-    """New CSV files of a folder as a stream. Offsets live in the query's checkpoint."""
-    reader = spark.readStream.schema(schema).option("header", True) \
-        .option("positiveInf", "inf").option("negativeInf", "-inf") \
-        .option("mode", "DROPMALFORMED")
+    """New CSV files of a folder as a stream. Offsets live in the query's checkpoint.
+
+    As in the batch reader, every value is read as text and cast: an unreadable number is NULL, a
+    short row is padded, a long one fails, and names are normalised. Columns follow the schema's order.
+    """
+    reader = text_rows(spark.readStream, len(schema.fields))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(folder)
+    rows = checked_rows(reader.csv(folder), len(schema.fields))
+    return normalize_columns(rows.select(*[
+        F.col(f"c{i}").alias(f.name) if isinstance(f.dataType, T.StringType)
+        else F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]))
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType,

@@ -1,7 +1,6 @@
 """Edge cases of cleaning, decisions, samples, sources and plans."""
 
 import random
-import statistics
 import struct
 
 import pytest
@@ -14,8 +13,12 @@ from flowspark.operators import evaluate as ev
 from flowspark.operators import lookups as lk
 from flowspark.operators import sampling as sp
 from flowspark.operators import schema as sm
+from flowspark.operators import ordered as od
+from flowspark.operators import reports as rp
+from flowspark.operators import scoring as sg
 from flowspark.operators.ordered import lag_in_order, running
 from flowspark.operators.quantiles import exact_quantiles, order_cuts
+from flowspark.sources import flow_csv as fc
 from flowspark.sources.captures import decode_capture
 from flowspark.sources.flow_csv import discover_and_union, read_flow_csv, unique_headers
 
@@ -113,16 +116,73 @@ def test_every_action_reason(spark):
     assert got[2]["cmd"] == "sudo iptables -A INPUT -s 1.1.1.1 -j DROP"
 
 
-def test_lookup_is_the_same_broadcast_or_salted(spark, monkeypatch):
-    rows = spark.range(500).select("id", (F.col("id") % 3).alias("k"))
-    table = spark.createDataFrame([(0, "a"), (2, "c")], "k long, v string")
-    want = sorted(map(tuple, lk.lookup(rows, table, ["k"]).select("id", "v").collect()))
-    monkeypatch.setattr(lk, "BROADCAST_LIMIT", -1)
-    for salts in (1, 8):
-        joined = lk.lookup(rows, table, ["k"], salts=salts).select("id", "v")
+def test_lookup_is_the_same_small_or_large(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 4 < 3, F.col("id") % 4).alias("k"))
+    table = spark.createDataFrame([(0, "a"), (2, "c"), (None, "n")], "k long, v string")
+    want = [(i, {0: "a", 2: "c", 3: "n"}.get(i % 4)) for i in range(500)]
+    for small in (True, False):
+        joined = lk.lookup(rows, table, ["k"], small=small).select("id", "v")
         assert sorted(map(tuple, joined.collect())) == want
 
 
+def test_a_small_table_that_grows_fails(spark):
+    with pytest.raises(Exception, match="declared small"):
+        lk.few(spark.range(30), 20).collect()
+    assert lk.few(spark.range(20), 20).count() == 20
+
+
+def test_null_keys_stay(spark):
+    rows = spark.createDataFrame([(None, 1, 5.0), (None, 2, 3.0), ("a", 1, 4.0)], "k string, o long, v double")
+    assert od.running(rows, ["k"], "o", {"s": ("sum", F.lit(1))}).count() == 3
+    assert ac.run_epoch(rows, ["k"], "o", "v").filter("k is null").agg(F.max("run_id")).first()[0] == 1
+    assert ac.first_occurrence(rows, ["v"], "o", ["k"]).count() == 3
+    assert rp.drop_warmup(rows, ["k"], ["o"], 1).filter("k is null").count() == 1
+    assert rp.histogram(rows, "v", ["k"], 2).agg(F.sum("n")).first()[0] == 3
+    assert ac.relative_time(rows, ["k"], "v").count() == 3
+
+
+def test_unusable_vectors_are_not_scored(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0])],
+                                 "id int, x array<double>")
+    layers = [sg.Layer([[1.0, 1.0]], [0.0])]
+    for forward in (sg.forward_native, sg.forward_arrow):
+        raw = {r["id"]: r["z"] for r in forward(rows, "x", layers, "z").collect()}
+        assert raw == {1: [3.0], 2: None, 3: None, 4: None}
+        with pytest.raises(Exception, match="the network takes 2"):
+            forward(spark.createDataFrame([([1.0],)], "x array<double>"), "x", layers, "z").collect()
+    scored = {r["id"]: (r["pred"], r["pred_label"]) for r in sg.score_binary(rows, "x", layers).collect()}
+    assert scored == {1: (1, "ATTACK"), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
+def test_parameters_belong_to_features_by_name(spark):
+    df = spark.createDataFrame([(1.0, 20.0)], "a double, b double")
+    params = spark.createDataFrame([(0, "b", 10.0, 5.0), (1, "a", 0.0, 1.0)], "idx int, feature string, mean double, scale double")
+    assert sg.prepare_features(df, params, ["a", "b"]).first()["x"] == [1.0, 2.0]
+    assert sg.prepare_features(df, params, []).first()["x"] == [1.0, 2.0]
+    off = params.withColumn("with_mean", F.lit(False))
+    assert sg.prepare_features(df, off, ["a", "b"]).first()["x"] == [1.0, 4.0]
+    for bad in (params.limit(1), params.withColumn("n_features_in", F.lit(3)),
+                params.unionByName(params.withColumn("feature", F.concat("feature", F.lit("x"))))):
+        with pytest.raises(Exception, match="scaling parameters"):
+            sg.prepare_features(df, bad, ["a", "b"]).collect()
+
+
+def test_csv_rows_do_not_depend_on_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(" Flow Duration,Label,x\n1,BENIGN,2\n3\nbad,DDoS,\n")
+    rows = fc.read_flow_csv(spark, str(tmp_path / "a.csv"))
+    assert rows.count() == 3 and rows.select("label").count() == 3
+    assert [tuple(r) for r in rows.collect()] == [(1.0, "BENIGN", "2"), (3.0, None, None), (None, "DDoS", None)]
+    (tmp_path / "b.csv").write_text("Flow Duration,Label\n1,BENIGN\n1,BENIGN,9\n")
+    for action in ("count", "collect"):
+        with pytest.raises(Exception, match="more than 2 fields"):
+            getattr(fc.read_flow_csv(spark, str(tmp_path / "b.csv")).select("label"), action)()
+
+
+def test_cores_by_number(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "core10_pct double, core2_pct double, core0_pct double")
+    assert rp.core_columns(df) == ["core0_pct", "core2_pct", "core10_pct"]
+
+
 def test_sweep_bounds(spark):
     df = spark.createDataFrame([(0.5, 1), (0.001, 0), (float("nan"), 1), (None, 0)], "prob double, y_true int")
     rows = {r["threshold"]: r for r in ev.threshold_sweep(df).collect()}
@@ -233,5 +293,3 @@ def test_metrics_ignore_row_order(spark):
 
 def test_feature_contract_is_complete():
     assert len(FEATURES) == 80 == len(set(FEATURES))
-    mean = statistics.mean(len(x) for x in FEATURES)
-    assert mean > 5
