@@ -162,8 +162,10 @@ def build_index(df: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", tex
     rows = df.select(F.col(key).alias("key"), F.xxhash64(_text(text)).alias("version"), low.alias("low"))
     # a comparison per trigram of the rules, so its cost is the text's length times their number
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    postings = rows.select("key", "version", held.alias("grams")).select("key", "version", F.explode("grams").alias("gram"))
-    return materialize(postings.select("gram", "key", "version").sortWithinPartitions("gram"), "postings")
+    # an inner explode would be filtered by its array's size first, and so compare everything twice
+    postings = rows.select("key", "version", held.alias("grams")).select(
+        F.explode_outer("grams").alias("gram"), "key", "version").filter("gram is not null")
+    return materialize(postings.sortWithinPartitions("gram"), "postings")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
