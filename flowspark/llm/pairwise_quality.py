@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from flowspark.llm.common import add_columns, held_out
+from flowspark.llm.common import add_columns, bounded_sample, held_out
 from flowspark.session import materialize
 
 FEATURES = ("log_words", "mean_word", "symbols", "capitals", "distinct", "repeated_lines", "repeated_triples",
@@ -98,7 +98,7 @@ def quality(df: DataFrame, labels: DataFrame, rows: int = 20_000, rivals: int =
     train = labels.select("doc_id", F.col("quality").alias("y")).dropna().filter(~held_out(F.col("doc_id")))
     train = train.groupBy("doc_id").agg(F.max("y").alias("y"))
     share = train.agg(F.avg("y").alias("p")).first().p
-    chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = bounded_sample(train, ["doc_id"], rows)
     sample = seen.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     if len(sample):
         x, y = np.array(sample["x"].tolist(), float), sample["y"].to_numpy(float)

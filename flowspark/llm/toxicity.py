@@ -11,7 +11,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from flowspark.llm.common import add_columns, held_out, keep_where
+from flowspark.llm.common import add_columns, bounded_sample, held_out, keep_where
 from flowspark.session import materialize
 
 # look-alike letters and digits used in place of letters, and what they stand for (fixed values)
@@ -140,7 +140,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """
     chosen = labels.select("doc_id", F.col(label).alias("label")).dropna().filter(~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = bounded_sample(chosen, ["doc_id"], rows)
     # at most `rows` narrow rows are broadcast
     texts = df.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id")
     return materialize(texts.dropDuplicates(["text"]).select("text", "label"), "sample")

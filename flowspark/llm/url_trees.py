@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowspark.llm.common import bounded_sample
 from flowspark.session import materialize
 
 # (verdict, host, path)
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key:
     else:
         known = labelled.dropna(subset=["label"]).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
     # at most `rows` rows: everything learned from them is bounded too
-    sample = materialize(known.orderBy(F.xxhash64("url", "label"), "url").limit(rows), "labelled")
+    sample = materialize(bounded_sample(known, ["url", "label"], rows), "labelled")
     size = sample.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     if not size.n or size.p in (0.0, 1.0):
         only = "block" if size.n and size.p == 1.0 else "allow"

@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowspark.llm.common import bounded_sample
 from flowspark.session import materialize, scratch_path
 
 MIN_DUPLICATE = 100
@@ -168,8 +169,9 @@ def _frame_end(data: bytes, at: int) -> int:
 
 def _train(pages: DataFrame, rows: int, chars: int, size: int) -> bytes:
     """A compression dictionary from the first characters of at most ``rows`` pages, by hash of their ids; b"" if they are too few."""
-    sample = pages.select("page_id", F.substring("html", 1, chars).alias("html")).dropna().orderBy(
-        F.xxhash64("page_id"), "page_id").limit(rows).collect()
+    ids = bounded_sample(pages.select("page_id").dropna().distinct(), ["page_id"], rows)
+    sample = pages.select("page_id", F.substring("html", 1, chars).alias("html")).dropna().join(
+        F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()
     samples = [r.html.encode() for r in sample if r.html]
     if len(samples) < 16:
         return b""
