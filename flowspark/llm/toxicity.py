@@ -44,12 +44,14 @@ def fold(text: str) -> str:
 class Lexicon:
     """Terms of folded text (" word " or, for words that begin so, " word") with weights.
 
-    ``slope`` and ``shift`` turn the weight per length into a score.
+    ``slope``, ``length`` and ``shift`` turn log(1 + weight of all matches) and log(1 + words / 100) into a
+    score; ``length`` is never positive, so a longer text needs more.
     """
     terms: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    slope: float = 1.0
-    shift: float = -4.0
+    slope: float = 2.0
+    length: float = -0.5
+    shift: float = -2.0
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -91,25 +93,30 @@ def matched(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, in
             if not any(a <= s and s < b - 1 for a, b in safe)]
 
 
-def burden(text: str | None, automaton: ahocorasick.Automaton) -> float:
-    """Weight of matched terms by length: the sum over 1 + log(1 + words / 100); 0 for null or empty text."""
+def burden(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, float]:
+    """log(1 + weight of all matched terms) and log(1 + words / 100); both 0 for null or empty text."""
     folded = fold(text or "")
     total = sum(w for _, piece in _pieces(folded) for _, _, w in matched(piece, automaton))
-    return total / (1 + math.log1p(folded.count(" ") / 100))
+    return math.log1p(total), math.log1p(max(folded.count(" ") - 1, 0) / 100)
 
 
-def probability(x: float, lexicon: Lexicon) -> float:
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, lexicon.slope * x + lexicon.shift))))
+def probability(found: tuple[float, float], lexicon: Lexicon) -> float:
+    z = lexicon.slope * found[0] + lexicon.length * found[1] + lexicon.shift
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def scores(texts, lexicon: Lexicon, automaton: ahocorasick.Automaton) -> list[float]:
+    return [probability(burden(t, automaton), lexicon) for t in texts]
 
 
 def _scores(lexicon: Lexicon):
     automaton = lexicon.automaton()
-    return lambda texts: [[probability(burden(t, automaton), lexicon) for t in texts]]
+    return lambda texts: [scores(texts, lexicon, automaton)]
 
 
 def _clean(lexicon: Lexicon, limit: float):
     automaton = lexicon.automaton()
-    return lambda texts: [probability(burden(t, automaton), lexicon) < limit for t in texts]
+    return lambda texts: [s < limit for s in scores(texts, lexicon, automaton)]
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -178,30 +185,34 @@ def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
     weighted = tuple((term, round(math.log(((t + 0.5) / (ones + 1)) / ((n - t + 0.5) / (zeros + 1))), 6))
                      for term, (t, n) in texts.items() if term not in nested)
     plain = Lexicon(weighted, exceptions)
-    seen = add_columns(sample, "text", "x double", partial(_burdens, plain)).select("x", "label").toPandas()
-    slope, shift = _logistic(seen["x"].to_numpy(float), seen["label"].to_numpy(float))
-    return Lexicon(weighted, exceptions, slope, shift)
+    # at most as many rows as the sample has, three numbers each
+    seen = add_columns(sample, "text", "total double, length double", partial(_burdens, plain)).select(
+        "total", "length", "label").toPandas()
+    total, length, y = (seen[c].to_numpy(float) for c in ("total", "length", "label"))
+    slope, per_length, shift = _logistic(np.stack([total, length]), y)
+    if per_length > 0:
+        per_length, (slope, shift) = 0.0, _logistic(total[None], y)
+    # a text without matches is never toxic
+    return Lexicon(weighted, exceptions, max(slope, 0.0), per_length, min(shift, -0.05))
 
 
 def _burdens(lexicon: Lexicon):
     automaton = lexicon.automaton()
-    return lambda texts: [[burden(t, automaton) for t in texts]]
+    return lambda texts: [list(x) for x in zip(*(burden(t, automaton) for t in texts))] or [[], []]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
-    """Newton steps of a one-feature logistic fit, both classes with equal total weight."""
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * 100
-    a, b = 0.0, 0.0
-    design = np.stack([x, np.ones_like(x)])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Newton steps of a logistic fit: slopes of the rows of ``x``, then the shift."""
+    weight = 100 / max(len(y), 1)
+    design = np.vstack([x, np.ones(x.shape[1])])
+    w, damp = np.zeros(len(design)), np.diag([ridge] * len(x) + [1e-6])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
-        grad = design @ (weight * (p - y)) + ridge * np.array([a, 0.0])
-        hess = (design * (weight * p * (1 - p))) @ design.T + np.diag([ridge, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(w @ design, -60, 60)))
+        step = np.linalg.solve((design * (weight * p * (1 - p))) @ design.T + damp, design @ (weight * (p - y)) + damp @ w)
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(a, 0.0)), float(b)
+    return tuple(float(v) for v in w)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, rows: int = 20_000) -> Lexicon:

@@ -471,11 +471,12 @@ def test_folding():
 def test_matches_exceptions_and_length():
     lexicon = toxicity.Lexicon(((" clown ", 2.0), (" lowei", 3.0), (" trash ", 2.0)))
     found = lexicon.automaton()
-    assert toxicity.burden("a clown", found) > toxicity.burden("a clown" + " word" * 5000, found) > 0
-    assert toxicity.burden("clownish", found) == 0 < toxicity.burden("loweiung", found)
-    assert toxicity.burden("the trash can. A clown fish", found) == 0 < toxicity.burden("trash, can", toxicity.Lexicon(((" can ", 1.0),)).automaton())
+    score = lambda text: toxicity.scores([text], lexicon, found)[0]
+    assert score("a clown") > score("a clown" + " word" * 5000) > score("word" * 5000) > 0
+    assert toxicity.burden("clownish", found)[0] == 0 < toxicity.burden("loweiung", found)[0]
+    assert toxicity.burden("the trash can. A clown fish", found)[0] == 0 < toxicity.burden("trashy clown", found)[0]
     long = "x " * 2_000_000 + "clown " + "y " * 10
-    assert toxicity.burden(long, found) > 0
+    assert toxicity.burden(long, found)[0] == toxicity.burden("clown", found)[0]
 
 
 def test_toxicity_of_held_out_labels(spark, odd):
