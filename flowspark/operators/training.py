@@ -88,6 +88,12 @@ def train_network(train: DataFrame, validation: DataFrame, n_inputs: int, n_clas
     return best
 
 
+def choose_model(models: dict, validation: DataFrame) -> tuple[str, dict[str, float]]:
+    """Name of the model with the lowest validation loss (the first on ties), and all losses."""
+    losses = {name: validation_loss(model, validation) for name, model in models.items()}
+    return min(losses, key=losses.get), losses
+
+
 def train_baseline(train: DataFrame, max_iter: int = 50):
     """Logistic regression on the same examples."""
     return LogisticRegression(maxIter=max_iter).fit(train)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowspark.contract import FEATURES
 from flowspark.functions.scalar import c
@@ -190,43 +190,73 @@ def _fitted(spark, sf, target, hidden, n_classes):
     return trained, parts
 
 
-@query("train_binary")
+# Positions of the parts, and the classes, have an exact twin; of a fitted network SQL can say what must hold.
+_PARTS = """parts AS (SELECT *, CASE WHEN vec_id < CAST(floor(0.7::DOUBLE * n) AS BIGINT) THEN 'train'
+  WHEN vec_id < CAST(floor(0.85::DOUBLE * n) AS BIGINT) THEN 'validation' ELSE 'test' END AS part
+  FROM embeddings, (SELECT count(*) AS n FROM embeddings))"""
+_BINARY_Y, _CLASS_Y = "CAST(label >= 4 AS INT)", "CASE WHEN label < 4 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END"
+
+
+def _trained_sql(y):
+    return f"""WITH {_PARTS} SELECT CAST({y} AS VARCHAR) AS class, count(*) FILTER (part = 'train') AS n_train,
+count(*) FILTER (part = 'validation') AS n_validation, count(*) FILTER (part = 'test') AS support, true AS learned
+FROM parts GROUP BY 1"""
+
+
+def _judged(trained, parts):
+    """Per class: rows of each part, and whether the chosen network fits its training rows better than class shares do."""
+    counts = None
+    for part, name in (("train", "n_train"), ("validation", "n_validation"), ("test", "support")):
+        one = parts[part].groupBy(F.col("label").cast("int").cast("string").alias("class")).agg(F.count(F.lit(1)).alias(name))
+        counts = one if counts is None else counts.join(one, "class", "full")
+    share = F.col("n_train") / F.sum("n_train").over(Window.partitionBy())
+    prior = counts.select((-F.col("n_train") * F.log(share)).alias("l"), "n_train").agg(
+        (F.sum("l") / F.sum("n_train")).alias("prior")).first().prior
+    return counts.fillna(0).withColumn("learned", F.lit(tr.validation_loss(trained.model, parts["train"]) < prior))
+
+
+@query("train_binary", _trained_sql(_BINARY_Y))
 def train_binary(spark, sf):
-    trained, parts = _fitted(spark, sf, "y_binary", (16, 8), 2)
-    scored = tr.predict(trained.model, parts["test"]).withColumn("label", F.col("label").cast("int"))
-    return tr.classification_report(scored, "label", "pred")
+    return _judged(*_fitted(spark, sf, "y_binary", (16, 8), 2))
 
 
-@query("train_multiclass")
+@query("train_multiclass", _trained_sql(_CLASS_Y))
 def train_multiclass(spark, sf):
-    trained, parts = _fitted(spark, sf, "y_class", (16, 8), 3)
-    scored = tr.predict(trained.model, parts["test"]).withColumn("label", F.col("label").cast("int"))
-    return tr.classification_report(scored, "label", "pred")
+    return _judged(*_fitted(spark, sf, "y_class", (16, 8), 3))
 
 
-@query("select_best")
+@query("select_best", """
+SELECT CAST(3 AS BIGINT) AS n_models, CAST(1 AS BIGINT) AS n_chosen, true AS least_loss""")
 def select_best(spark, sf):
-    """Rounds of one network and the baseline, by validation loss."""
+    """Two networks and the baseline by validation loss; the least loss is chosen."""
     trained, parts = _fitted(spark, sf, "y_binary", (8,), 2)
-    baseline = tr.train_baseline(parts["train"], 10)
-    rows = [("network", trained.best_round, trained.validation_loss),
-            ("logistic", 0, tr.validation_loss(baseline, parts["validation"]))]
-    return spark.createDataFrame(rows, "model string, best_round int, validation_loss double")
-
-
-@query("training_pipeline")
+    models = {"network": trained.model, "small network": tr.train_network(
+        parts["train"], parts["validation"], len(_FEATS), 2, (2,), rounds=1, steps=3).model,
+        "logistic": tr.train_baseline(parts["train"], 10)}
+    name, losses = tr.choose_model(models, parts["validation"])
+    rows = spark.createDataFrame([(n, x, n == name) for n, x in losses.items()], "model string, loss double, chosen boolean")
+    return rows.agg(F.count(F.lit(1)).alias("n_models"), F.count_if("chosen").alias("n_chosen"),
+                    (F.min("loss") == F.min(F.when(F.col("chosen"), F.col("loss")))).alias("least_loss"))
+
+
+@query("training_pipeline", f"""
+WITH {_PARTS}, t AS (SELECT CAST({_BINARY_Y} AS VARCHAR) AS class, count(*) AS support FROM parts WHERE part = 'test' GROUP BY 1)
+SELECT class, support FROM t UNION ALL
+SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT) FROM t)""")
 def training_pipeline(spark, sf):
-    return tr.training_pipeline(_examples(spark, sf), F.col("vec_id"), "vec_id", features=_FEATS,
-                                hidden=(8,), rounds=2, steps=5)
+    report = tr.training_pipeline(_examples(spark, sf), F.col("vec_id"), "vec_id", features=_FEATS,
+                                  hidden=(8,), rounds=2, steps=5)
+    return report.select("class", b(F.col("support")).alias("support"))
 
 
 # the split and the scaling parameters of training have an exact twin
-@query("prepare_training", """
-WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS f0, vec_id < CAST(floor(0.7::DOUBLE * (SELECT count(*) FROM embeddings)) AS BIGINT) AS train
-           FROM embeddings),
-p AS (SELECT avg(f0) AS m, stddev_pop(f0) AS s FROM x WHERE train)
-SELECT vec_id, round((f0 - m) / s, 6) AS x0, CASE WHEN train THEN 'train' ELSE 'later' END AS part FROM x, p""")
+@query("prepare_training", f"""
+WITH {_PARTS},
+st AS (SELECT i, avg(v) AS m, if(stddev_pop(v) = 0, 1, stddev_pop(v)) AS s FROM
+  (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM parts WHERE part = 'train') GROUP BY i),
+p AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM st)
+SELECT vec_id, part, {", ".join(f"round((embedding[{i + 1}]::DOUBLE - m[{i + 1}]) / s[{i + 1}], 6) AS x{i}" for i in range(64))}
+FROM parts, p""")
 def prepare_training(spark, sf):
     ready, _ = tr.prepare_training(_examples(spark, sf), F.col("vec_id"), "vec_id", features=_FEATS)
-    return ready.select("vec_id", F.round(F.get("x", F.lit(0)), 6).alias("x0"),
-                        F.when(F.col("part") == "train", "train").otherwise("later").alias("part"))
+    return ready.select("vec_id", "part", *[F.round(F.get("x", F.lit(i)), 6).alias(f"x{i}") for i in range(len(_FEATS))])
