@@ -9,8 +9,8 @@ safe for a flow that holds any share of all packets:
 ``flow_timeline``  gaps, active and idle periods in time order.
 
 The last two need neighbours. They sort inside bounded pieces of a flow (arrival chunks,
-time slices) and then combine the pieces, one row each. Each aggregate is pruned away by
-Catalyst when none of its columns is selected.
+time slices) and then combine the pieces, one row each. Catalyst does not prune a joined aggregate
+whose columns are unused; ``flow_table(features=...)`` builds only those that are asked for.
 
 Both directions are aggregated under the canonical endpoint order (``lo``/``hi``) and named
 forward/backward at the end, when the first arrival is known, so finding the direction
@@ -309,14 +309,19 @@ def directional_gaps(packets: DataFrame, extra_keys: Sequence[str] = (),
 
 def flow_table(packets: DataFrame, extra_keys: Sequence[str] = (),
                activity_timeout_us: int = ACTIVITY_TIMEOUT_US, chunk_rows: int = CHUNK_ROWS,
-               slice_us: int = SLICE_US) -> DataFrame:
-    """One row per flow: 5 identification columns, then the 80 features in contract order."""
+               slice_us: int = SLICE_US, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row per flow: 5 identification columns, then the features, by default all 80 in contract order.
+
+    Gaps in arrival order and the time line are read and joined only if one of their features is wanted.
+    """
     keys = _key(extra_keys)
-    joined = flow_totals(packets, extra_keys) \
-        .join(arrival_gaps(packets, extra_keys, chunk_rows), keys) \
-        .join(flow_timeline(packets, extra_keys, activity_timeout_us, slice_us), keys)
-    named = joined.select("*", *_name_directions(joined))
-    return named.select(*[f"`{x}`" for x in [*FLOW_METADATA, *extra_keys, *FEATURES]])
+    table = flow_totals(packets, extra_keys)
+    if any(x.startswith(("fwd iat", "bwd iat")) for x in features):
+        table = table.join(arrival_gaps(packets, extra_keys, chunk_rows), keys)
+        table = table.select("*", *_name_directions(table))
+    if any(x.startswith(("flow iat", "active ", "idle ")) for x in features):
+        table = table.join(flow_timeline(packets, extra_keys, activity_timeout_us, slice_us), keys)
+    return table.select(*[f"`{x}`" for x in [*FLOW_METADATA, *extra_keys, *features]])
 
 
 def split_on_timeout(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US,

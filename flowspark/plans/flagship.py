@@ -1,26 +1,32 @@
-"""End to end: packets -> flows -> scores -> sources of predicted attacks."""
+"""End to end: packets -> flows -> scores -> sources of predicted attacks, over all 80 features."""
 
 from __future__ import annotations
 
+from flowspark.contract import FEATURES
 from flowspark.operators import scoring
 from flowspark.operators.flows import flow_table, top_sources
 from flowspark.plans.feature_queries import _unit_sql, layer
 from flowspark.plans.fixtures import view, with_views
-from flowspark.plans.packet_queries import _KEYED, _flow_ctes
+from flowspark.plans.packet_queries import _KEYED, _SQL, _flow_ctes
 from flowspark.plans.registry import query
 
-# features of the demonstration network and the units they are measured in
-UNITS = {"flow duration": 1e8, "total fwd packets": 1e2, "flow bytes/s": 1e4, "flow iat std": 1e7}
-NET = [layer(len(UNITS), 8), layer(8, 1)]
-THRESHOLD = 0.395
 
-_INPUT = ("[dur / 1e8, fn / 1e2, CASE WHEN dur = 0 THEN 0 ELSE (fb + bb) / (dur / 1000000.0) END / 1e4, "
-          "coalesce(t_std, 0) / 1e7]::DOUBLE[]")
+def unit(feature: str) -> float:
+    """What a feature is measured in for the demonstration network: times, rates, ports, all others."""
+    if any(t in feature for t in ("iat", "duration", "active ", "idle ")):
+        return 1e8
+    return 1e5 if "/s" in feature or "port" in feature or "variance" in feature else 1e3
+
+
+NET = [layer(len(FEATURES), 8), layer(8, 1)]
+THRESHOLD = 0.695
+
+_INPUT = "[" + ", ".join(f"coalesce({_SQL[x]}, 0) / {unit(x)!r}::DOUBLE" for x in FEATURES) + "]::DOUBLE[]"
 
 
 def scored_flows(packets):
     scaled = flow_table(packets).selectExpr(
-        "*", "array(" + ", ".join(f"`{x}` / {u!r}D" for x, u in UNITS.items()) + ") AS x")
+        "*", "array(" + ", ".join(f"`{x}` / {unit(x)!r}D" for x in FEATURES) + ") AS x")
     return scoring.score_binary(scaled, "x", NET, THRESHOLD).drop("x")
 
 
