@@ -37,11 +37,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _added(batches: Iterator[pa.RecordBatch], column: str, kept: list[str], fields: list[pa.Field],
-           make: Callable) -> Iterator[pa.RecordBatch]:
+           make: Callable, rows: int) -> Iterator[pa.RecordBatch]:
     work = make()
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(start, SLICE_ROWS)
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
             made = work(part.column(column).to_pylist())
             arrays = [part.column(k) for k in kept] + [
                 a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, fields)]
@@ -49,18 +49,19 @@ def _added(batches: Iterator[pa.RecordBatch], column: str, kept: list[str], fiel
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def add_columns(df: DataFrame, column: str, added: str, make: Callable[[], Callable]) -> DataFrame:
+def add_columns(df: DataFrame, column: str, added: str, make: Callable[[], Callable],
+                rows: int = SLICE_ROWS) -> DataFrame:
     """Append columns computed from one text column, in Arrow batches, without a shuffle.
 
     ``make`` runs once per task and returns a function from a list of texts to one list per added
-    column (DDL in ``added``). A column of ``df`` with an added column's name is replaced.
+    column (DDL in ``added``), called with ``rows`` texts at most. A column of ``df`` with an added column's name is replaced.
     """
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new.fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     from pyspark.sql.pandas.types import to_arrow_type
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in new.fields]
-    work = partial(_added, column=column, kept=[f.name for f in kept], fields=fields, make=make)
+    work = partial(_added, column=column, kept=[f.name for f in kept], fields=fields, make=make, rows=rows)
     return df.mapInArrow(work, T.StructType(kept + new.fields))
 
 

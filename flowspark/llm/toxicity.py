@@ -166,7 +166,7 @@ def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
     ones, zeros = int(size.ones), int(size.n - size.ones)
     if not ones or not zeros:
         return Lexicon((), exceptions)
-    counted = add_columns(sample, "text", "terms array<string>", lambda: _starts).select(
+    counted = add_columns(sample, "text", "terms array<string>", lambda: _starts, rows=16).select(
         "label", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("label").alias("t"), F.count("*").alias("n")).filter("t >= 3 and 10 * (n - t) <= t")
     rate = ones / (ones + zeros)
