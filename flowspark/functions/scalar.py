@@ -78,20 +78,6 @@ def finite_or_zero(x: Column) -> Column:
     return F.coalesce(finite_or_null(x), F.lit(0.0))
 
 
-def standard_scale(x: Column, mean: float | Column, scale: float | Column,
-                   with_mean: bool = True, with_std: bool = True) -> Column:
-    """``(x - mean) / scale`` with a zero scale read as 1."""
-    out = x
-    if with_mean:
-        out = out - (mean if isinstance(mean, Column) else F.lit(float(mean)))
-    if with_std:
-        if isinstance(scale, Column):
-            out = out / F.when(scale == 0, F.lit(1.0)).otherwise(scale)
-        else:
-            out = out / F.lit(float(scale) if scale else 1.0)
-    return out
-
-
 def sigmoid(z: Column) -> Column:
     """Logistic function of a bounded argument; NULL and NaN give NULL, never a probability."""
     bounded = F.greatest(F.lit(-SIGMOID_CLIP), F.least(F.lit(SIGMOID_CLIP), z))

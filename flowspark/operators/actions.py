@@ -105,10 +105,10 @@ def decide_actions(scored: DataFrame, allowed: DataFrame, blocked: DataFrame,
 
 
 def action_records(decisions: DataFrame, ts: Column, prob: str = "prob",
-                   row_index: str = "row_index") -> DataFrame:
-    """One JSON line per decision; absent fields are left out."""
+                   row_index: str = "row_index", run: Sequence[str] = ()) -> DataFrame:
+    """One JSON line per decision, with the columns ``run``; absent fields are left out."""
     return decisions.select(json_record(
-        ts=ts, row_index=F.col(row_index), prob=F.col(prob), src_ip=F.col("src_ip"),
+        ts=ts, **{x: F.col(x) for x in run}, row_index=F.col(row_index), prob=F.col(prob), src_ip=F.col("src_ip"),
         action=F.col("action"), reason=F.col("reason"), cmd=F.col("cmd")).alias("value"))
 
 

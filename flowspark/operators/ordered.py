@@ -81,15 +81,15 @@ def running(df: DataFrame, keys: Sequence[str], order_col: str,
 
 
 def split_on_gaps(df: DataFrame, keys: Sequence[str], ts_col: str, timeout_us: int, out: str,
-                  slice_us: int | None = None) -> DataFrame:
+                  slice_us: int = 1_000_000) -> DataFrame:
     """Add ``out`` = 0-based segment number: a silence above ``timeout_us`` starts a new one.
 
-    Time is cut into slices no longer than the timeout, so a segment never ends inside a
+    Time is cut into slices (a second by default) no longer than the timeout, so a segment never ends inside a
     slice: the segment number depends on (key, slice) alone. Slices are combined map-side
     to their first and last time, numbered, and looked up by the rows.
     """
     keys = list(keys)
-    width = min(slice_us or timeout_us, timeout_us)
+    width = min(slice_us, timeout_us)
     sliced = df.withColumn("__slice", F.floor(F.col(ts_col) / F.lit(width)).cast("bigint"))
     segments = number_segments(
         sliced.groupBy(*keys, "__slice").agg(F.min(ts_col).alias("__from"),

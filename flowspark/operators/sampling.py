@@ -58,12 +58,15 @@ def time_split(df: DataFrame, ts_us: Column, row_index: str, train: float = TRAI
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                    salts: int = SALTS, rank: str = "rn") -> DataFrame:
+                    salts: int | None = None, rank: str = "rn") -> DataFrame:
     """The first ``k`` rows of every group in the given (total) order, with their rank.
 
     Works in two rounds: first inside ``salts`` parts of each group, then over the at
-    most ``salts * k`` survivors, so a group of any size is spread over the tasks.
+    most ``salts * k`` survivors, so a group of any size is spread over the tasks. There are as many
+    parts as the session has shuffle partitions, but ``SALTS`` at least.
     """
+    if salts is None:
+        salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     parts = Window.partitionBy(*keys, "__salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -360,11 +360,7 @@ def decide_actions(spark, sf):
 @query("append_actions", with_views("scored allowed blocked", f"WITH {_DECIDE} SELECT * FROM decisions"))
 def append_actions(spark, sf):
     path = scratch_path(spark, "actions")
-    log = decisions(spark, sf)
-    src.append_lines(log.select("run_id", F.struct("*").alias("r")).select(sc.json_record(
-        ts=F.lit(TS), run_id=F.col("run_id"), row_index=F.col("r.row_index"), prob=F.col("r.prob"),
-        src_ip=F.col("r.src_ip"), action=F.col("r.action"), reason=F.col("r.reason"),
-        cmd=F.col("r.cmd")).alias("value")), path)
+    src.append_lines(ac.action_records(decisions(spark, sf), F.lit(TS), run=["run_id"]), path)
     shape = "run_id long, row_index long, prob double, src_ip string, action string, reason string, cmd string"
     return spark.read.schema(shape).json(path)
 

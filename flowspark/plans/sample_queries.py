@@ -191,10 +191,10 @@ def write_flow_table(spark, sf):
 
 
 @query("discover_and_union", with_views("labelled", f"""
-SELECT doc_id, concat('day', CAST(doc_id % 3 AS VARCHAR), '.csv') AS source_file, {_TEXT} AS label,
+SELECT doc_id, {_TEXT} AS label,
        CASE WHEN doc_id % 3 = 2 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS "flow duration" FROM labelled"""))
 def discover_and_union(spark, sf):
-    """Three labelled files with different headers, found and united."""
+    """Labelled files of three header layouts in one folder, found and united."""
     folder = scratch_path(spark, "days")
     rows = labelled(spark, sf).select("doc_id", "n_chars", "label")
     layouts = [("flow duration", " Label"), ("Flow Duration ", "attack_cat"), (None, "class")]
@@ -202,9 +202,7 @@ def discover_and_union(spark, sf):
         picked = [F.col("doc_id").alias("Doc_Id"), F.col("label").alias(label)]
         if chars:
             picked.append(F.col("n_chars").alias(chars))
-        rows.filter(F.col("doc_id") % 3 == i).select(*picked).write \
-            .option("header", True).csv(f"{folder}/day{i}.csv")
-    parts = {f"day{i}.csv": flow_csv.read_flow_csv(spark, f"{folder}/day{i}.csv") for i in range(3)}
-    df = flow_csv.union_labelled(parts)
-    return df.select(c("doc_id").cast("bigint").alias("doc_id"),
-                     F.col("__source_file").alias("source_file"), "label", c("flow duration"))
+        rows.filter(F.col("doc_id") % 3 == i).select(*picked).write.mode("append") \
+            .option("header", True).csv(folder)
+    df = flow_csv.discover_and_union(spark, folder)
+    return df.select(c("doc_id").cast("bigint").alias("doc_id"), "label", c("flow duration"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.contract import PROTO_TCP, PROTO_UDP
@@ -33,6 +33,7 @@ TIME_RESOLUTION_OPTION = 9
 # --- fixed values: link types -> bytes before the EtherType, None for raw IP ---
 LINK_ETHERTYPE_AT = {1: 12, 113: 14, 12: None, 101: None, 228: None, 229: None}
 ROWS_PER_BATCH = 100_000
+MAX_CAPTURE_BYTES = 1 << 28  # one task holds a file several times over
 ETHERTYPE_IPV4, ETHERTYPE_IPV6 = 0x0800, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8)
 IPV6_EXTENSIONS = (0, 43, 60)
@@ -128,8 +129,10 @@ def decode_capture(content: bytes) -> pd.DataFrame:
         kind = np.where(buf[ip_at] >> 4 == 6, ETHERTYPE_IPV6, ETHERTYPE_IPV4)
     else:
         type_at = start + at
-        for _ in range(2):
-            type_at = np.where(np.isin(_u16(buf, type_at), VLAN_TAGS), type_at + 4, type_at)
+        last = start + size
+        # as many tags as there are; every step moves on, so the packet's end bounds the steps
+        while (tagged := np.isin(_u16(buf, np.minimum(type_at, last)), VLAN_TAGS) & (type_at + 6 <= last)).any():
+            type_at = np.where(tagged, type_at + 4, type_at)
         kind, ip_at = _u16(buf, type_at), type_at + 2
     room = start + size - ip_at
     v4 = (kind == ETHERTYPE_IPV4) & (room >= 20)
@@ -152,8 +155,7 @@ def decode_capture(content: bytes) -> pd.DataFrame:
             src = buf[(p + 8)[:, None] + np.arange(16)]
             dst = buf[(p + 24)[:, None] + np.arange(16)]
             upper, l4 = proto.copy(), p + 40
-            for _ in range(4):
-                more = np.isin(upper, IPV6_EXTENSIONS) & (l4 + 2 <= p + left)
+            while (more := np.isin(upper, IPV6_EXTENSIONS) & (l4 + 2 <= p + left)).any():
                 safe = np.where(more, l4, p)
                 step = (buf[safe + 1].astype(np.int64) + 1) * 8
                 upper = np.where(more, buf[safe], upper)
@@ -192,20 +194,18 @@ def decode_captures(files: DataFrame, file_no: str = "file_no",
     return files.select(file_no, content).mapInPandas(decode, PACKET_SCHEMA)
 
 
-def trailing_number(path: Column) -> Column:
-    """The last number in a file name: how rotated captures are numbered; 0 without one."""
-    digits = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d+)\D*$", 1)
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def read_captures(spark: SparkSession, path: str, file_no: Column | None = None) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, file_no: Column | None = None,
+                  max_bytes: int = MAX_CAPTURE_BYTES) -> DataFrame:
     """Packets of all capture files below ``path``; files are ordered by ``file_no``.
 
-    ``file_no`` defaults to the number at the end of the file name and must be distinct per
-    file for a defined order.
+    ``file_no`` defaults to the rank of the path, and must be distinct per file for a defined order. A
+    file is decoded by one task, so one of more than ``max_bytes`` fails: rotate captures at recording.
     """
-    number = file_no if file_no is not None else trailing_number(F.col("path"))
-    # a task packs small files up to spark.sql.files.maxPartitionBytes or holds one larger file,
-    # which bounds what reaches Python at once
-    files = spark.read.format("binaryFile").load(path).select(number.alias("file_no"), "content")
-    return decode_captures(files)
+    files = spark.read.format("binaryFile").load(path)
+    content = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a capture of more than {max_bytes} bytes: "), F.col("path"))))
+    if file_no is not None:
+        return decode_captures(files.select(file_no.alias("file_no"), content.alias("content")))
+    # one row per file is ranked, and joined back to the contents
+    ranked = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file_no"))
+    return decode_captures(files.join(ranked, "path").select("file_no", content.alias("content")))
