@@ -109,56 +109,72 @@ def _fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def certified(good: list[int], bad: list[int], n: int, limit: float, level: float) -> int | None:
-    """Index of the chosen cutoff, or None.
+def certified(rejected: list[int], n: int, limit: float, level: float) -> int:
+    """How many leading rungs of a ladder of ever stricter rule sets are certified.
 
-    ``good[i]`` (``bad[i]``) counts documents of label 1 (0) that cutoff i rejects, lenient first; ``n`` counts
-    label 1. Cutoffs are tested in that order and testing ends with the first whose exact upper bound on
-    false rejection, at confidence 1 - ``level``, is above ``limit``; so the whole series errs with at most
-    ``level``. Of the certified ones the first that rejects most bad documents, each good one counted tenfold, wins.
+    ``rejected[i]`` of ``n`` good documents fail the rules up to rung i. Rungs are tested in order and testing ends
+    with the first whose exact upper bound on false rejection, at confidence 1 - ``level``, is above ``limit``; so
+    the whole series errs with at most ``level``.
     """
-    best, value = None, 0
-    for i, (k, hits) in enumerate(zip(good, bad)):
+    for i, k in enumerate(rejected):
         if n == 0 or binomial_cdf(k, n, limit) > level:
-            break
-        if hits - 10 * k > value:
-            best, value = i, hits - 10 * k
-    return best
+            return i
+    return len(rejected)
+
+
+def _fails(rule: str, cut: str) -> str:
+    value, above, _ = RULES[rule]
+    return f"{value} {'>' if above else '<'} {cut}"
+
+
+def ladder(rows: DataFrame) -> list[tuple[str, float]]:
+    """(rule, cutoff) from most to least useful on (good, measures): bad documents rejected, each good one counts tenfold.
+
+    Of a rule's cutoffs the first with the highest value is taken; rules without a positive value are left out.
+    """
+    steps = F.array(*[F.struct(F.lit(rule).alias("rule"), sum(
+        (F.expr(_fails(rule, f"{cut}D")).cast("int") for cut in cuts), F.lit(0)).alias("step"))
+        for rule, (_, _, cuts) in RULES.items()])
+    counts = rows.select("good", F.explode(steps).alias("s")).groupBy("good", "s.rule", "s.step").count().collect()
+    found = []
+    for rule, (_, _, cuts) in RULES.items():
+        values = [sum((-10 if r.good else 1) * r["count"] for r in counts if r.rule == rule and r.step > i)
+                  for i in range(len(cuts))]
+        if max(values) > 0:
+            best = values.index(max(values))
+            found.append((values[best], rule, cuts[best]))
+    return [(rule, cut) for _, rule, cut in sorted(found, key=lambda x: -x[0])]
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = 0.05, level: float = 0.05,
             max_strata: int = 10_000) -> list[tuple[str, str, float]]:
-    """(stratum, rule, cutoff): per stratum all rules together reject at most ``limit`` of good documents.
+    """(stratum, rule, cutoff): per stratum the rules together reject at most ``limit`` of good documents.
 
-    Holds with probability 1 - ``level`` for all strata and rules at once: both budgets are shared out equally
-    (Bonferroni). A stratum with too few labels gets no cutoff, and rejects nothing. At most
-    ``max_strata`` strata are accepted.
+    Half of the labelled rows (odd crc32 of the id) propose a ladder of rules; the other half, held out, certifies
+    per stratum how far it may be climbed. The guarantee holds with probability 1 - ``level`` for all strata at
+    once: each gets an equal share (Bonferroni), its rungs are tested in order. A stratum with too few held-out labels
+    gets no cutoff, and rejects nothing. At most ``max_strata`` strata are accepted.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).dropna().groupBy("doc_id").agg(
         F.max("label").alias("label"))
-    rows = measured.filter("not base_failed").join(known, "doc_id")
-    steps = F.array(*[F.struct(F.lit(rule).alias("rule"), sum(
-        (F.expr(f"{value} {'>' if above else '<'} {cut}D").cast("int") for cut in cuts), F.lit(0)).alias("step"))
-        for rule, (value, above, cuts) in RULES.items()])
-    counts = rows.select("stratum", (F.col("label") > 0).alias("good"), F.explode(steps).alias("s")).groupBy(
-        "stratum", "good", "s.rule", "s.step").count()
-    most = max_strata * sum(2 * (len(c) + 1) for _, _, c in RULES.values())
-    found = counts.limit(most + 1).collect()
-    strata = sorted({r.stratum for r in found})
-    if len(found) > most or len(strata) > max_strata:
+    rows = materialize(measured.filter("not base_failed").join(known, "doc_id").withColumns({
+        "good": F.col("label") > 0, "held": F.crc32(F.col("doc_id").cast("string")) % 2 == 0}), "labelled")
+    rungs = ladder(rows.filter("not held"))
+    if not rungs:
+        return []
+    rung = F.coalesce(*[F.when(F.expr(_fails(rule, f"{cut}D")), F.lit(i)) for i, (rule, cut) in enumerate(rungs)],
+                      F.lit(len(rungs)))
+    most = max_strata * (len(rungs) + 1)
+    counts = rows.filter("held and good").groupBy("stratum", rung.alias("rung")).count().limit(most + 1).collect()
+    strata = sorted({r.stratum for r in counts})
+    if len(counts) > most or len(strata) > max_strata:
         raise ValueError(f"more than {max_strata} strata")
-    table = {}
-    for r in found:
-        table.setdefault((r.stratum, r.rule, r.good), {})[r.step] = r["count"]
-    tests = max(1, len(strata) * len(RULES))
     chosen = []
     for stratum in strata:
-        for rule, (_, _, cuts) in RULES.items():
-            good, bad = table.get((stratum, rule, True), {}), table.get((stratum, rule, False), {})
-            reject = [[sum(n for step, n in side.items() if step > i) for i in range(len(cuts))] for side in (good, bad)]
-            at = certified(*reject, sum(good.values()), limit / len(RULES), level / tests)
-            if at is not None:
-                chosen.append((stratum, rule, cuts[at]))
+        own = {r.rung: r["count"] for r in counts if r.stratum == stratum}
+        rejected = [sum(n for at, n in own.items() if at <= i) for i in range(len(rungs))]
+        passed = certified(rejected, sum(own.values()), limit, level / len(strata))
+        chosen += [(stratum, rule, cut) for rule, cut in rungs[:passed]]
     return chosen
 
 
@@ -179,8 +195,7 @@ def quality_rules(df: DataFrame, labels: DataFrame, stratum: str = "lang", **opt
     cuts = df.sparkSession.createDataFrame(
         [(s, {r: c for t, r, c in chosen if t == s}) for s in sorted({x[0] for x in chosen})],
         "stratum string, cuts map<string, double>")
-    fails = F.array(*[F.when(F.expr(f"{value} {'>' if above else '<'} cuts['{rule}']"), F.lit(rule))
-                      for rule, (value, above, _) in RULES.items()])
+    fails = F.array(*[F.when(F.expr(_fails(rule, f"cuts['{rule}']")), F.lit(rule)) for rule in RULES])
     judged = measured.join(F.broadcast(cuts), "stratum", "left").withColumn(
         "failed_rules", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.array_join(F.array_compact(fails), ",")))
     return judged.withColumn("kept", F.col("failed_rules") == "").drop("cuts")

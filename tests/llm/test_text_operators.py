@@ -246,11 +246,11 @@ def test_binomial(k, n, p):
     assert risk_rules.binomial_cdf(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1)))
 
 
-def test_cutoffs_stop_at_the_first_uncertain_one():
-    assert risk_rules.certified([0, 0, 0], [5, 9, 9], 5000, 0.01, 0.001) == 1
-    assert risk_rules.certified([0, 400, 0], [5, 9, 99], 5000, 0.01, 0.001) == 0
-    assert risk_rules.certified([0, 0], [5, 9], 20, 0.01, 0.001) is None
-    assert risk_rules.certified([], [], 0, 0.01, 0.001) is None
+def test_ladder_stops_at_the_first_uncertain_rung():
+    assert risk_rules.certified([0, 0, 5], 5000, 0.01, 0.001) == 3
+    assert risk_rules.certified([0, 400, 400], 5000, 0.01, 0.001) == 1
+    assert risk_rules.certified([0, 0], 20, 0.01, 0.001) == 0
+    assert risk_rules.certified([], 0, 0.01, 0.001) == 0
 
 
 def test_rules_keep_good_documents(spark, odd):
