@@ -131,7 +131,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
-@query("op5_warc_zst")
+@query("op5_warc_zst", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+r AS (SELECT *, CASE WHEN strlen(body) >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zst.archived(table(spark, sf_dir, "pages")).drop("url")
 

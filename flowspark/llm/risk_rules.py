@@ -138,7 +138,8 @@ def ladder(rows: DataFrame) -> list[tuple[str, float]]:
     counts = rows.select("good", F.explode(steps).alias("s")).groupBy("good", "s.rule", "s.step").count().collect()
     found = []
     for rule, (_, _, cuts) in RULES.items():
-        values = [sum((-10 if r.good else 1) * r["count"] for r in counts if r.rule == rule and r.step > i)
+        # a document fails the strictest cutoffs, the last `step` of them
+        values = [sum((-10 if r.good else 1) * r["count"] for r in counts if r.rule == rule and r.step + i >= len(cuts))
                   for i in range(len(cuts))]
         if max(values) > 0:
             best = values.index(max(values))

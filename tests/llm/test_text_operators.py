@@ -253,13 +253,21 @@ def test_ladder_stops_at_the_first_uncertain_rung():
     assert risk_rules.certified([], 0, 0.01, 0.001) == 0
 
 
+def test_ladder_takes_the_most_useful_cutoffs(spark):
+    base = {"n_words": 100, "word_chars": 600, "n_symbols": 0, "n_lines": 1, "n_dup_lines": 0, "n_repeat_words": 0, "n_capitals": 0}
+    rows = [{**base, "good": True, "n_symbols": s} for s in (0, 0, 0, 12)] + [
+        {**base, "good": False, "n_symbols": s} for s in (16, 60, 250)] + [{**base, "good": False, "n_capitals": 500}]
+    assert risk_rules.ladder(spark.createDataFrame(rows)) == [("symbols", 0.15), ("capitals", 0.8)]
+    assert risk_rules.ladder(spark.createDataFrame(rows[:4])) == []
+
+
 def test_rules_keep_good_documents(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = risk_rules.quality_rules(docs, labels).filter("not base_failed").join(labels, "doc_id").toPandas()
     good, bad = got[got.quality == 1], got[got.quality == 0]
-    assert 1 - good.kept.mean() < 0.05
-    assert bad.kept.mean() < 0.5
+    assert 1 - good.kept.mean() < 0.02
+    assert bad.kept.mean() < 0.3
     rows = risk_rules.quality_rules(odd, no_labels(spark)).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows)
     assert risk_rules.quality_rules(odd.limit(0), labels).count() == 0
