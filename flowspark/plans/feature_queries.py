@@ -12,7 +12,7 @@ from flowspark.operators import schema as sm
 from flowspark.operators import scoring
 from flowspark.operators.lookups import with_single_row
 from flowspark.operators.sampling import head_rows, sample_rows
-from flowspark.plans.fixtures import DIRTY, view, with_views
+from flowspark.plans.fixtures import DIRTY, table, view, with_views
 from flowspark.plans.registry import b, query, rounded
 from flowspark.sources.tables import read_params, write_params
 from flowspark.session import materialize, scratch_path
@@ -447,6 +447,23 @@ def score_binary_arrow(spark, sf):
         .select("vec_id", "pred_attack_proba", "pred", "pred_label")
 
 
+# a table of many rows: throughput of scoring without fixed costs
+_ROW_NET = [layer(4, 8), layer(8, 1)]
+_ROW_INPUT = ["CAST(l_quantity AS DOUBLE) / 50", "CAST(l_extendedprice AS DOUBLE) / 100000",
+              "CAST(l_discount AS DOUBLE) * 10", "CAST(l_tax AS DOUBLE) * 10"]
+
+
+@query("score_rows", f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, [{", ".join(_ROW_INPUT)}] AS e FROM lineitem),
+h AS (SELECT l_orderkey, l_linenumber, [{", ".join(f"greatest(0.0::DOUBLE, {_unit_sql('e', _ROW_NET[0], j)})" for j in range(8))}] AS h FROM x),
+p AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-({_unit_sql('h', _ROW_NET[1], 0)}))) AS p FROM h)
+SELECT l_orderkey, l_linenumber, round(p, 6) AS pred_attack_proba, CAST(round(p, 6) >= 0.5 AS INT) AS pred FROM p""")
+def score_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"array({', '.join(_ROW_INPUT)}) AS x")
+    scored = rounded(scoring.score_binary(rows, "x", _ROW_NET), 6, "pred_attack_proba")
+    return scoring.threshold_predict(scored).select("l_orderkey", "l_linenumber", "pred_attack_proba", "pred")
+
+
 _NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in CLASS_NAMES) + "]"
 _CLASS_SQL = f"""
 WITH {_net_sql(CLASS_NET)},
