@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowspark.contract import FEATURES
 from flowspark.functions.scalar import c
 from flowspark.operators.schema import (
-    cast_numeric, normalize_columns, unify_label,
+    cast_if_numeric, cast_numeric, normalize_columns, unify_label,
 )
 
 # --- fixed values: Windows-1252 characters of the bytes 80-9F that have one ---
@@ -117,16 +117,22 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str],
-                  features: Sequence[str] = FEATURES, encoding: str | None = None) -> DataFrame:
+                  features: Sequence[str] = FEATURES, encoding: str | None = None,
+                  strict: bool = False) -> DataFrame:
     """Flow CSV files; contract columns become numbers, the rest stays text.
 
+    With ``strict`` a contract column that holds any other text stays text too, so that scoring refuses it.
+
     Values are read as text and cast, so ``inf``, ``Infinity`` and ``NaN`` read alike and an
     unreadable number is NULL. With ``encoding`` given, all files must share one header.
     """
+    read_as = [] if strict else features
     if encoding:
         files = [paths] if isinstance(paths, str) else list(paths)
-        return _scan(spark, files, encoding, features).drop("__source_file")
-    return union_parts(_scans(spark, paths, features)).drop("__source_file")
+        rows = _scan(spark, files, encoding, read_as).drop("__source_file")
+    else:
+        rows = union_parts(_scans(spark, paths, read_as)).drop("__source_file")
+    return cast_if_numeric(rows, [x for x in rows.columns if x in set(features)]) if strict else rows
 
 
 # --- fixed values: labelled file name patterns, in order of preference ---

@@ -178,6 +178,14 @@ def test_csv_rows_do_not_depend_on_columns(spark, tmp_path):
             getattr(fc.read_flow_csv(spark, str(tmp_path / "b.csv")).select("label"), action)()
 
 
+def test_text_is_no_feature(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Flow Duration,Protocol,Label\n1,tcp,BENIGN\ninf,6,DDoS\n,,\n")
+    rows = fc.read_flow_csv(spark, str(tmp_path / "a.csv"), strict=True)
+    assert dict(rows.dtypes) == {"flow duration": "double", "protocol": "string", "label": "string"}
+    with pytest.raises(sm.ContractError, match="protocol"):
+        sm.assert_contract(rows, ["flow duration", "protocol"])
+
+
 def test_cores_by_number(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "core10_pct double, core2_pct double, core0_pct double")
     assert rp.core_columns(df) == ["core0_pct", "core2_pct", "core10_pct"]
