@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.llm.common import SLAB_BYTES, add_columns, word_slabs
 from flowspark.session import materialize
@@ -127,56 +127,127 @@ def _fails(rule: str, cut: str) -> str:
     return f"{value} {'>' if above else '<'} {cut}"
 
 
-def ladder(rows: DataFrame) -> list[tuple[str, float]]:
-    """(rule, cutoff) from most to least useful on (good, measures): bad documents rejected, each good one counts tenfold.
+def _over(rule: str, cut: Column) -> Column:
+    value, above, _ = RULES[rule]
+    return F.expr(value) > cut if above else F.expr(value) < cut
 
-    Of a rule's cutoffs the first with the highest value is taken; rules without a positive value are left out.
-    """
+
+def tally(rows: DataFrame, most: int = 10_000) -> dict[str, dict[str, list[list[int]]]]:
+    """stratum -> rule -> per cutoff [bad, good] documents that fail it, of (stratum, good, measures)."""
     steps = F.array(*[F.struct(F.lit(rule).alias("rule"), sum(
         (F.expr(_fails(rule, f"{cut}D")).cast("int") for cut in cuts), F.lit(0)).alias("step"))
         for rule, (_, _, cuts) in RULES.items()])
-    counts = rows.select("good", F.explode(steps).alias("s")).groupBy("good", "s.rule", "s.step").count().collect()
+    # a document fails the strictest cutoffs, the last `step` of them
+    most *= 2 * sum(len(cuts) for _, _, cuts in RULES.values())
+    counts = rows.select("stratum", "good", F.explode(steps).alias("s")).filter("s.step > 0").groupBy(
+        "stratum", "good", "s.rule", "s.step").count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError("too many strata")
+    found: dict = {}
+    for r in counts:
+        own = found.setdefault(r.stratum, {}).setdefault(r.rule, [[0, 0] for _ in RULES[r.rule][2]])
+        for failed in own[len(own) - r.step:]:
+            failed[r.good] += r["count"]
+    return found
+
+
+def _values(tallied: dict, rule: str) -> list[int]:
+    """Bad documents rejected, each good one counts tenfold; per cutoff of the rule."""
+    return [bad - 10 * good for bad, good in tallied.get(rule, [[0, 0]] * len(RULES[rule][2]))]
+
+
+def _pooled(tallies: dict) -> dict[str, list[list[int]]]:
+    return {rule: [[sum(x) for x in zip(*same)] for same in zip(*(t[rule] for t in tallies.values() if rule in t))]
+            for rule in {rule for t in tallies.values() for rule in t}}
+
+
+def proposed(own: dict, pooled: dict) -> list[tuple[str, list[float]]]:
+    """(rule, cutoffs from lenient to strict) of a stratum, most useful rule first.
+
+    A rule's last cutoff is the one with the highest value in the stratum; where several are equal there, the
+    strictest that is no stricter than the best of all strata pooled. Cutoffs are left out that reject no more bad
+    documents of any stratum than a milder one; so are rules without a positive value in the stratum or pooled.
+    """
     found = []
     for rule, (_, _, cuts) in RULES.items():
-        # a document fails the strictest cutoffs, the last `step` of them
-        values = [sum((-10 if r.good else 1) * r["count"] for r in counts if r.rule == rule and r.step + i >= len(cuts))
-                  for i in range(len(cuts))]
-        if max(values) > 0:
-            best = values.index(max(values))
-            found.append((values[best], rule, cuts[best]))
-    return [(rule, cut) for _, rule, cut in sorted(found, key=lambda x: -x[0])]
+        mine, every = _values(own, rule), _values(pooled, rule)
+        if max(mine) < 0 or max(*mine, *every) <= 0:
+            continue
+        first, best = mine.index(max(mine)), every.index(max(every)) if max(every) > 0 else 0
+        last = max(i for i in range(len(cuts)) if mine[i] == max(mine) and i <= max(first, best))
+        bad = [0] + [x[0] for x in pooled.get(rule, [])]
+        rungs = [cuts[i] for i in range(last + 1) if bad[i + 1] > bad[i]]
+        if rungs:
+            found.append((max(mine), max(every), rule, rungs))
+    return [(rule, rungs) for *_, rule, rungs in sorted(found, key=lambda x: (-x[0], -x[1]))]
+
+
+def ladder(rows: DataFrame) -> list[tuple[str, float]]:
+    """(rule, strictest proposed cutoff) from most to least useful on (good, measures) as one stratum."""
+    own = tally(rows.withColumn("stratum", F.lit(""))).get("", {})
+    return [(rule, rungs[-1]) for rule, rungs in proposed(own, own)]
+
+
+def share(level: float, rungs: list[int], at: int, whole: bool) -> float:
+    """The level for testing the rule at place ``at``; ``rungs`` has how many cutoffs each rule has.
+
+    Half goes to the one series in which no test has failed. The other half is shared out over the later rules and,
+    for each, over all sets of cutoffs that earlier rules can have left after a failure.
+    """
+    if whole:
+        return level / 2
+    return level / 2 / (len(rungs) - 1) / (math.prod(n + 1 for n in rungs[:at]) - 1)
+
+
+def _failed() -> Column:
+    """Rules whose cutoff in the map ``cuts`` a row passes."""
+    return F.array_compact(F.array(*[F.when(F.expr(_fails(rule, f"cuts['{rule}']")), F.lit(rule)) for rule in RULES]))
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = 0.05, level: float = 0.05,
             max_strata: int = 10_000) -> list[tuple[str, str, float]]:
     """(stratum, rule, cutoff): per stratum the rules together reject at most ``limit`` of good documents.
 
-    Half of the labelled rows (odd crc32 of the id) propose a ladder of rules; the other half, held out, certifies
-    per stratum how far it may be climbed. The guarantee holds with probability 1 - ``level`` for all strata at
-    once: each gets an equal share (Bonferroni), its rungs are tested in order. A stratum with too few held-out labels
-    gets no cutoff, and rejects nothing. At most ``max_strata`` strata are accepted.
+    Half of the labelled rows (odd crc32 of the id) propose rules and cutoffs per stratum. On the other half, held out,
+    the rules of each stratum are tested in turn, each from its most lenient cutoff to the first that is not
+    certified together with those taken before; the next rule goes on from the last that was. The guarantee holds
+    with probability 1 - ``level`` for all strata at once: each gets an equal share (Bonferroni), see ``share``. A stratum
+    with too few held-out labels gets no cutoff, and rejects nothing. At most ``max_strata`` strata are accepted.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).dropna().groupBy("doc_id").agg(
         F.max("label").alias("label"))
     rows = materialize(measured.filter("not base_failed").join(known, "doc_id").withColumns({
         "good": F.col("label") > 0, "held": F.crc32(F.col("doc_id").cast("string")) % 2 == 0}), "labelled")
-    rungs = ladder(rows.filter("not held"))
-    if not rungs:
-        return []
-    rung = F.coalesce(*[F.when(F.expr(_fails(rule, f"{cut}D")), F.lit(i)) for i, (rule, cut) in enumerate(rungs)],
-                      F.lit(len(rungs)))
-    most = max_strata * (len(rungs) + 1)
-    counts = rows.filter("held and good").groupBy("stratum", rung.alias("rung")).count().limit(most + 1).collect()
-    strata = sorted({r.stratum for r in counts})
-    if len(counts) > most or len(strata) > max_strata:
+    tallies = tally(rows.filter("not held"), max_strata)
+    good = rows.filter("held and good")
+    sizes = {r.stratum: r["count"] for r in good.groupBy("stratum").count().limit(max_strata + 1).collect()}
+    if len(sizes) > max_strata:
         raise ValueError(f"more than {max_strata} strata")
-    chosen = []
-    for stratum in strata:
-        own = {r.rung: r["count"] for r in counts if r.stratum == stratum}
-        rejected = [sum(n for at, n in own.items() if at <= i) for i in range(len(rungs))]
-        passed = certified(rejected, sum(own.values()), limit, level / len(strata))
-        chosen += [(stratum, rule, cut) for rule, cut in rungs[:passed]]
-    return chosen
+    pooled = _pooled(tallies)
+    ladders = {s: proposed(tallies.get(s, {}), pooled) for s in sorted(sizes)}
+    taken: dict[str, dict[str, float]] = {s: {} for s in ladders}
+    whole = dict.fromkeys(ladders, True)
+    for at in range(max(map(len, ladders.values()), default=0)):
+        # one row per stratum: at most max_strata rows are broadcast
+        tested = rows.sparkSession.createDataFrame(
+            [(s, taken[s], *steps[at]) for s, steps in ladders.items() if at < len(steps)],
+            "stratum string, cuts map<string, double>, rule string, rungs array<double>")
+        below = F.coalesce(*[F.when(F.col("rule") == rule, F.size(F.filter("rungs", partial(_over, rule)))) for rule in RULES])
+        step = F.when(F.size(_failed()) > 0, F.size("rungs") + 1).otherwise(below)
+        counts = good.join(F.broadcast(tested), "stratum").groupBy("stratum", step.alias("step")).count().collect()
+        own: dict[str, dict[int, int]] = {}
+        for r in counts:
+            own.setdefault(r.stratum, {})[r.step] = r["count"]
+        for s, steps in own.items():
+            rule, rungs = ladders[s][at]
+            # the last `step` cutoffs reject a document, one step more: rules taken before do
+            rejected = [sum(n for k, n in steps.items() if k >= len(rungs) - i) for i in range(len(rungs))]
+            passed = certified(rejected, sizes[s], limit, share(
+                level / len(sizes), [len(x) for _, x in ladders[s]], at, whole[s]))
+            whole[s] = whole[s] and passed == len(rungs)
+            if passed:
+                taken[s][rule] = rungs[passed - 1]
+    return [(s, rule, cut) for s, cuts in taken.items() for rule, cut in cuts.items()]
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
@@ -196,7 +267,6 @@ def quality_rules(df: DataFrame, labels: DataFrame, stratum: str = "lang", **opt
     cuts = df.sparkSession.createDataFrame(
         [(s, {r: c for t, r, c in chosen if t == s}) for s in sorted({x[0] for x in chosen})],
         "stratum string, cuts map<string, double>")
-    fails = F.array(*[F.when(F.expr(_fails(rule, f"cuts['{rule}']")), F.lit(rule)) for rule in RULES])
     judged = measured.join(F.broadcast(cuts), "stratum", "left").withColumn(
-        "failed_rules", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.array_join(F.array_compact(fails), ",")))
+        "failed_rules", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.array_join(_failed(), ",")))
     return judged.withColumn("kept", F.col("failed_rules") == "").drop("cuts")

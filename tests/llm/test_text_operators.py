@@ -261,6 +261,42 @@ def test_ladder_takes_the_most_useful_cutoffs(spark):
     assert risk_rules.ladder(spark.createDataFrame(rows[:4])) == []
 
 
+def test_small_strata_have_their_own_cutoffs(spark):
+    # long words are common in good texts of the small stratum only: the pooled cutoff fails there, a milder one holds
+    rows, labels = [], []
+    for stratum, n, good, bad in (("en", 2000, 550, 880), ("de", 600, 950, 1600)):
+        for i in range(n):
+            kind = i % 4
+            rows.append((f"{stratum}{i}", stratum, False, 100, bad if kind == 1 else good, 90 if kind == 2 else 0, 1, 0, 0, 0))
+            labels.append((f"{stratum}{i}", int(kind in (0, 3))))
+    measured = spark.createDataFrame(rows, "doc_id string, stratum string, base_failed boolean, n_words long, word_chars long, "
+                                     "n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_capitals long")
+    found = risk_rules.cutoffs(measured, spark.createDataFrame(labels, "doc_id string, quality int"))
+    cuts = {(s, rule): cut for s, rule, cut in found}
+    assert 5.5 <= cuts["en", "long_words"] < 8.8 and 9.5 <= cuts["de", "long_words"] < 16
+    assert cuts["en", "symbols"] < 0.9 and cuts["de", "symbols"] < 0.9
+
+
+def test_a_failed_rule_does_not_end_the_others(spark):
+    base = {"base_failed": False, "stratum": "en", "n_words": 100, "word_chars": 550, "n_lines": 1, "n_dup_lines": 0,
+            "n_repeat_words": 0, "n_capitals": 0}
+    held = lambda i: zlib.crc32(str(i).encode()) % 2 == 0
+    # good texts with symbols are all in the held-out half, so the most useful rule is proposed and then fails
+    docs = [{**base, "doc_id": i, "quality": int(i % 3 == 0),
+             "n_symbols": 90 if i % 3 == 1 or i % 3 == 0 and held(i) else 0,
+             "n_capitals": 500 if i % 3 == 2 and i % 2 else 0} for i in range(3000)]
+    table = spark.createDataFrame(docs)
+    found = risk_rules.cutoffs(table.drop("quality"), table.select("doc_id", "quality"))
+    assert [rule for _, rule, _ in found] == ["capitals"]
+
+
+def test_shares_of_the_level():
+    rungs = [3, 2, 4]
+    # 3 sets can be left by the first rule after a failure, 11 by the first two
+    after = sum(sets * risk_rules.share(0.05, rungs, at, False) for at, sets in ((1, 3), (2, 11)))
+    assert risk_rules.share(0.05, rungs, 2, True) + after == pytest.approx(0.05)
+
+
 def test_rules_keep_good_documents(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
