@@ -11,6 +11,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from flowspark.llm import simhash
 from flowspark.llm.common import add_columns, bounded_sample, held_out, keep_where
 from flowspark.session import materialize
 
@@ -153,37 +154,60 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, rows: int) ->
     return materialize(texts.dropDuplicates(["text"]).select("text", "label"), "sample")
 
 
-def learn(sample: DataFrame, terms: int = 2000, evidence: float = 20.0,
-          exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _grouped(sample: DataFrame) -> DataFrame:
+    """Stored (text, label, group): near copies of one label share a group; it is null where there is one text."""
+    keyed = sample.withColumn("doc_id", F.xxhash64("text"))
+    found = materialize(simhash.near_duplicates(keyed).select("doc_id", F.col("component_id").alias("group")).distinct(), "copies")
+    grouped = keyed.join(found, "doc_id")
+    # at most half as many narrow rows as the sample has are broadcast
+    several = keyed.select("doc_id", "label").join(found, "doc_id").groupBy("group", "label").agg(
+        F.count("*").alias("copies")).filter("copies > 1")
+    marked = grouped.join(F.broadcast(several), ["group", "label"], "left")
+    return materialize(marked.select("text", "label", F.expr("if(copies > 1, group, null)").alias("group")), "grouped")
+
+
+def _counted(grouped: DataFrame) -> DataFrame:
+    """(term, t, n): groups of near copies with the term that have label 1, and all."""
+    def terms(df: DataFrame) -> DataFrame:
+        return add_columns(df, "text", "terms array<string>", lambda: _starts, rows=16).select(
+            "label", "group", F.explode("terms").alias("term"))
+    once = terms(grouped.filter("group is not null")).dropDuplicates(["group", "label", "term"])
+    return terms(grouped.filter("group is null")).unionByName(once).groupBy("term").agg(
+        F.sum("label").alias("t"), F.count("*").alias("n"))
+
+
+def _without_nested(found: DataFrame) -> DataFrame:
+    """Of nested beginnings with nearly the same support the longest."""
+    longest = F.least(F.length("term") - 1, F.lit(PREFIXES[-1] + 1))
+    starts = F.when(longest > PREFIXES[0], F.sequence(F.lit(PREFIXES[0] + 1), longest))
+    longer = found.select("t", "term", F.explode(starts).alias("size")).groupBy(
+        F.expr("substring(term, 1, size)").alias("term")).agg(F.max("t").alias("longer"))
+    return found.join(longer, "term", "left").filter("longer is null or longer < 0.8D * t").drop("longer")
+
+
+def learn(sample: DataFrame, evidence: float = 20.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn a lexicon from (text, label): words and word beginnings that mark label 1.
 
-    A term is taken if its log-likelihood ratio is ``evidence`` or more and at most one text with it in eleven has label 0;
-    of a word's beginnings only the longest that covers nearly the same texts stays. Its weight is
-    its log odds. At most ``terms`` terms reach the driver, those with the most evidence. A sample
-    with one class, or none, gives an empty lexicon that finds every text clean.
+    Support is counted in groups of near copies, each group of a label once. A term is taken if its log-likelihood
+    ratio is ``evidence`` or more and at most one group with it in eleven has label 0; of a word's beginnings only the
+    longest that covers nearly the same groups stays. Its weight is its log odds. All such terms reach the
+    driver; the sample bounds them. A sample with one class, or none, gives an empty lexicon that finds every text
+    clean.
     """
-    size = sample.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    ones, zeros = int(size.ones), int(size.n - size.ones)
+    grouped = _grouped(sample)
+    sizes = {r.label: r.n for r in grouped.groupBy("label").agg(
+        (F.count_distinct("group") + F.count_if(F.col("group").isNull())).alias("n")).collect()}
+    ones, zeros = int(sizes.get(1, 0)), int(sizes.get(0, 0))
     if not ones or not zeros:
         return Lexicon((), exceptions)
-    counted = add_columns(sample, "text", "terms array<string>", lambda: _starts, rows=16).select(
-        "label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("label").alias("t"), F.count("*").alias("n")).filter("t >= 3 and 10 * (n - t) <= t")
     rate = ones / (ones + zeros)
     ratio = (F.col("t") * F.log(F.col("t") / F.col("n") / rate)
              + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t"))
                       * F.log((F.col("n") - F.col("t")) / F.col("n") / (1 - rate))).otherwise(0.0)) * 2
-    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= evidence) \
-        .orderBy(F.desc("ratio"), F.desc(F.length("term")), "term").limit(terms).collect()
-    texts = {r.term: (int(r.t), int(r.n)) for r in best}
-    # the longest of nested beginnings with nearly the same texts
-    nested: set[str] = set()
-    for term in sorted(texts, key=len, reverse=True):
-        for n in range(2, len(term)):
-            if term[:n] in texts and texts[term][0] >= 0.8 * texts[term[:n]][0]:
-                nested.add(term[:n])
+    found = materialize(_counted(grouped).filter("t >= 3 and 10 * (n - t) <= t").filter(ratio >= evidence), "terms")
+    texts = {r.term: (int(r.t), int(r.n)) for r in sorted(_without_nested(found).collect())}
     weighted = tuple((term, round(math.log(((t + 0.5) / (ones + 1)) / ((n - t + 0.5) / (zeros + 1))), 6))
-                     for term, (t, n) in texts.items() if term not in nested)
+                     for term, (t, n) in texts.items())
     plain = Lexicon(weighted, exceptions)
     # at most as many rows as the sample has, three numbers each
     seen = add_columns(sample, "text", "total double, length double", partial(_burdens, plain)).select(

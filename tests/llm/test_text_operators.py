@@ -523,6 +523,19 @@ def test_matches_exceptions_and_length():
     assert toxicity.burden(long, found)[0] == toxicity.burden("clown", found)[0]
 
 
+def test_near_copies_do_not_crowd_out_rare_words(spark):
+    rng = random.Random(5)
+    word = lambda n=9: "".join(rng.choices("bcdfgklmnprtuv", k=n))
+    hot = [word() for _ in range(600)]
+    rows = [(" ".join(hot + [word()]), 1) for _ in range(200)]
+    rows += [(" ".join([word() for _ in range(30)] + ["zzgrumble"]), 1) for _ in range(30)]
+    rows += [(" ".join(word() for _ in range(30)), 0) for _ in range(300)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    terms = {t for t, _ in lexicon.terms}
+    assert " zzgrumble " in terms and " zzgrumbl" not in terms
+    assert not any(f" {w} " in terms for w in hot)
+
+
 def test_toxicity_of_held_out_labels(spark, odd):
     got = queries.op9(spark, "/root/testdata/sf0.1").toPandas()
     labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
