@@ -14,6 +14,8 @@ from flowspark.session import materialize
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "host_digits", "entropy",
             "params", "fragment", "longest_segment", "top_rate", "top_count", "site_rate", "site_count")
+# suffixes up to which their table is broadcast
+BROADCAST_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -58,10 +60,20 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _suffix_rates(labelled: DataFrame, column: str, prior: float, weight: float = 10.0) -> DataFrame:
-    """Smoothed share of blocked labelled urls, and how many there are, per suffix."""
+    """Smoothed share of blocked labelled urls, and how many there are, per suffix; ``n`` is how often a row occurs."""
     return labelled.groupBy(column).agg(
-        ((F.sum("label") + prior * weight) / (F.count("*") + weight)).alias(f"{column}_rate"),
-        F.log1p(F.count("*").cast("double")).alias(f"{column}_count"))
+        ((F.sum(F.col("label") * F.col("n")) + prior * weight) / (F.sum("n") + weight)).alias(f"{column}_rate"),
+        F.log1p(F.sum("n").cast("double")).alias(f"{column}_count"))
+
+
+def _sample(known: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` of the distinct labelled urls by hash; if they miss a class that ``known`` has, a tenth is of that one."""
+    sample = materialize(bounded_sample(known, ["url", "label"], rows), "labelled")
+    classes = [r.label for r in sample.select("label").distinct().collect()]
+    if len(classes) != 1:
+        return sample
+    other = bounded_sample(known.filter(F.col("label") != classes[0]), ["url", "label"], max(rows // 10, 1))
+    return materialize(sample.limit(rows - max(rows // 10, 1)).unionByName(other), "labelled")
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key: str = "page_id", url: str = "url",
@@ -69,8 +81,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key:
     """One row per row of ``pages``: key, host, path, rule, verdict, score (chance of block by the trees).
 
     Rules decide first. The trees decide the rest; they learn from ``labelled`` (url, label: 1 is block), by
-    default from the pages that a rule decides, at most ``rows`` of them, by hash of their url. If
-    the labels have one class only, that is the trees' verdict; without any, it is allow. Null urls and urls without ://
+    default from the pages that a rule decides. Rates of suffixes are counted over all of them; the trees are fitted
+    on at most ``rows`` distinct ones, by hash of their url. If the labels have one class only, that is the trees' verdict; without any, it is allow. Null urls and urls without ://
     have empty host and path and are judged by the trees. Repeated rows each give a row.
     """
     urls = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select(
@@ -81,21 +93,22 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key:
         known = ruled.filter("by_rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").cast("double").alias("label"))
     else:
         known = labelled.dropna(subset=["label"]).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
-    # at most `rows` rows: everything learned from them is bounded too
-    sample = materialize(bounded_sample(known, ["url", "label"], rows), "labelled")
-    size = sample.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
+    known = materialize(known.groupBy("url", "host", "path", "label").agg(F.count("*").alias("n")), "known")
+    size = known.agg(F.sum("n").alias("n"), (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("p")).first()
     if not size.n or size.p in (0.0, 1.0):
         only = "block" if size.n and size.p == 1.0 else "allow"
         return ruled.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("by_rule", F.lit(only)).alias("verdict"),
                             F.lit(1.0 if only == "block" else 0.0).alias("score"))
-    rates = {c: materialize(_suffix_rates(lexical(sample), c, size.p), "suffixes") for c in ("top", "site")}
+    rates = {c: materialize(_suffix_rates(lexical(known), c, size.p), "suffixes") for c in ("top", "site")}
+    # counted, not estimated: a table of few suffixes is broadcast
+    rates = {c: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table for c, table in rates.items()}
 
     def featured(df: DataFrame) -> DataFrame:
         out = lexical(df)
         for c, table in rates.items():
-            out = out.join(F.broadcast(table), c, "left").fillna({f"{c}_rate": float(size.p), f"{c}_count": 0.0})
+            out = out.join(table, c, "left").fillna({f"{c}_rate": float(size.p), f"{c}_count": 0.0})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(out)
-    training = materialize(featured(sample).select("features", "label").coalesce(4), "features")
+    training = materialize(featured(_sample(known, rows)).select("features", "label").coalesce(4), "features")
     model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, maxBins=64).fit(training)
     scored = model.transform(featured(ruled)).withColumn("score", vector_to_array("probability")[1])
     return scored.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce(

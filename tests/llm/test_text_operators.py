@@ -452,6 +452,26 @@ def test_trees_learn_lexical_differences(spark):
     assert all((r.verdict == "block") == bool(rows[300 + r.page_id][1]) for r in got)
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_site_rates_count_all_labels(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_trees, "BROADCAST_ROWS", broadcast)
+    bad = random.Random(4).sample(range(200, 300), 50)
+    labelled = spark.createDataFrame([(f"http://s{s}.com/{i}", int(s in bad)) for s in range(200, 300) for i in range(10)],
+                                     "url string, label int")
+    test = spark.createDataFrame([(s, f"http://s{s}.com/x") for s in range(200, 300)], "page_id long, url string")
+    got = url_trees.judge(test, labelled, rules=(), rows=80, trees=3, depth=2).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(bad)
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    urls = spark.range(2000).select(F.concat(F.lit("http://s.com/h"), "id").alias("url"), F.lit(0.0).alias("label"))
+    hot = urls.orderBy(F.pmod(F.xxhash64("url", "label"), F.lit(1 << 40))).first().url
+    rows = [(hot, 0)] * 3000 + [(f"http://x.net/{i}?a=1&b=2&c=3", 1) for i in range(60)]
+    test = spark.createDataFrame([(0, "http://s.com/z"), (1, "http://x.net/z?a=1&b=2&c=3")], "page_id long, url string")
+    got = url_trees.judge(test, spark.createDataFrame(rows, "url string, label int"), rules=(), rows=40, trees=3, depth=2)
+    assert {r.page_id: r.verdict for r in got.collect()} == {0: "allow", 1: "block"}
+
+
 # ---- token shards ----
 
 def test_perfect_hash():
