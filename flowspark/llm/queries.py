@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark.llm import (
-    decontaminate, pairwise_quality, risk_rules, secret_scan, sentencepiece_codec, simhash, token_shards,
+    collocations, decontaminate, pairwise_quality, risk_rules, secret_scan, sentencepiece_codec, simhash, token_shards,
     toxicity, url_trees, warc_zst,
 )
 from flowspark.llm.common import held_out, table
@@ -144,3 +144,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_url_trees")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op12_collocations", """
+WITH p AS (
+  SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM p, (VALUES (1), (2), (3), (4)) AS sizes(k), LATERAL unnest(generate_series(1, len(w) - k + 1)) AS s(i)
+        WHERE len(w) >= k) GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r,
+                CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+         FROM c, LATERAL unnest(generate_series(1, k - 1)) AS s(cut)
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS cover
+           FROM c, (VALUES (2), (3)) AS sizes(m), LATERAL unnest(generate_series(1, k - m + 1)) AS s(i)
+           WHERE m < k GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase)
+         WHERE cover IS NULL OR CAST(100 AS HUGEINT) * cover < CAST(80 AS HUGEINT) * a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n,
+       score FROM kept JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
