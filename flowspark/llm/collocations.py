@@ -17,8 +17,9 @@ from flowspark.session import materialize
 LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
-# words a task gathers before it counts them
-BUFFER_WORDS = 1 << 20
+# words a task gathers before it counts them, and rows it hands on at once
+BUFFER_WORDS = 1 << 19
+OUT_ROWS = 1 << 15
 # bits of the set that lets n-grams through whose parts are frequent; a full set lets more through, never less
 FILTER_BITS = 1 << 26
 # every separator of pieces becomes this one; no word holds it
@@ -96,15 +97,17 @@ class _Buffer:
 class _Grams:
     """One buffer's n-grams: word numbers, which places hold n-grams of a size, fingerprints."""
 
-    def __init__(self, buffer: _Buffer, polynomials: Polynomials):
+    def __init__(self, lang: str, buffer: _Buffer, polynomials: Polynomials):
         self.names = list(dict.fromkeys(buffer.words))
         number = {w: i for i, w in enumerate(self.names)}
         self.ids = np.fromiter(map(number.__getitem__, buffer.words), np.int64, len(buffer.words))
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.names), np.uint64, len(self.names))
+        # a language has hashes of its own, so a fingerprint says which language it is of
+        digest = partial(xxhash.xxh64_intdigest, seed=xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        self.hashes = np.fromiter(map(digest, self.names), np.uint64, len(self.names))
         self.polynomials = polynomials
         self.prefixes = polynomials.prefixes(self.hashes[self.ids])
         self.is_word = self.ids != number.get(SEPARATOR, -1)
-        self.lead, self.starts = buffer.lead, np.array(buffer.starts, np.int64)
+        self.lang, self.lead, self.starts = lang, buffer.lead, np.array(buffer.starts, np.int64)
         self.docs = buffer.docs
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -118,79 +121,85 @@ class _Grams:
             self.found[size] = self.polynomials.grams(self.prefixes, size), whole
         return self.found[size]
 
-    def places(self, size: int, filters: dict[int, np.ndarray], parts: int) -> np.ndarray:
-        """Places of n-grams whose contiguous parts of ``parts`` words all pass the filter of that size."""
-        fps, whole = self.of(size)
-        ok = whole.copy()
-        if parts in filters:
-            passed = _known(filters[parts], self.of(parts)[0])
+    def places(self, size: int, known: np.ndarray | None, parts: int) -> np.ndarray:
+        """Places of n-grams whose contiguous parts of ``parts`` words are all in the set ``known`` (none: all)."""
+        ok = self.of(size)[1].copy()
+        if known is not None:
+            fps, whole = self.of(parts)
+            passed = np.zeros(len(fps), bool)
+            passed[whole] = _known(known, fps[whole])
             for j in range(size - parts + 1):
                 ok &= passed[j:j + len(ok)]
         # an n-gram that ends in the repeated words was counted with the buffer before
         ok[:max(0, self.lead - size + 1)] = False
         return np.flatnonzero(ok)
 
+    def grouped(self, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places with equal fingerprints together, where each group begins, its size)."""
+        fps = self.of(size)[0][places]
+        order = np.argsort(fps)
+        fps = fps[order]
+        first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1])) if len(fps) else np.zeros(0, np.int64)
+        return places[order], first, np.diff(np.append(first, len(fps)))
+
     def doc_of(self, places: np.ndarray) -> list[int | None]:
-        return [self.docs[i] for i in np.searchsorted(self.starts, places, "right") - 1]
+        return [self.docs[i] for i in (np.searchsorted(self.starts, places, "right") - 1).tolist()]
 
 
-def _counted(grams: _Grams, sizes: tuple[int, ...], filters: dict[int, np.ndarray]):
-    """(size, fingerprint, count, document of one occurrence) of n-grams whose parts are frequent."""
+def _counted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None):
+    """(fingerprint, count, document of one occurrence) of n-grams whose parts are frequent."""
     for size in sizes:
-        places = grams.places(size, filters, 1 if size <= 2 else 2)
-        fps, first, n = np.unique(grams.of(size)[0][places], return_index=True, return_counts=True)
-        yield (np.full(len(fps), size, np.int32), fps.view(np.int64), n, grams.doc_of(places[first]))
+        places, first, n = grams.grouped(size, grams.places(size, known, min(2, size - 1) or 1))
+        shown = places[first]
+        yield grams.of(size)[0][shown].view(np.int64), n, grams.doc_of(shown)
+
 
+def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None):
+    """(language, size, phrase, count, document) of n-grams with a frequent fingerprint, told apart by their words.
 
-def _recounted(grams: _Grams, sizes: tuple[int, ...], filters: dict[int, np.ndarray]):
-    """(size, phrase, count, document) of n-grams with a frequent fingerprint, told apart by their words."""
+    Size 0 counts all words.
+    """
+    yield [grams.lang], [0], [""], [int(grams.is_word[grams.lead:].sum())], [None]
     for size in sizes:
-        places = grams.places(size, filters, size)
-        _, first, group, n = np.unique(grams.of(size)[0][places], return_index=True, return_inverse=True,
-                                       return_counts=True)
-        # an occurrence whose words differ from those of its fingerprint's first occurrence is a collision
-        at, shown = places, places[first][group] if len(places) else places
+        places, first, n = grams.grouped(size, grams.places(size, known, size))
+        # an occurrence whose words differ from those of its fingerprint's first one here is a collision
+        shown = np.repeat(places[first], n)
         other = np.zeros(len(places), bool)
         for j in range(size):
-            other |= grams.ids[at + j] != grams.ids[shown + j]
-        n = n - np.bincount(group[other], minlength=len(n))
-        rows = [(p, c) for p, c in zip(places[first].tolist(), n.tolist())] + [(p, 1) for p in places[other].tolist()]
-        ids = grams.ids.tolist()
-        texts = [b" ".join([grams.names[w] for w in ids[p:p + size]]).decode("utf-8", "surrogatepass") for p, _ in rows]
-        yield (np.full(len(rows), size, np.int32), texts, [c for _, c in rows],
-               grams.doc_of(np.array([p for p, _ in rows], np.int64)))
+            other |= grams.ids[places + j] != grams.ids[shown + j]
+        if len(first):
+            n = n - np.add.reduceat(other.astype(np.int64), first)
+        at, counts = np.append(places[first], places[other]), np.append(n, np.ones(other.sum(), np.int64))
+        texts = [b" ".join([grams.names[w] for w in grams.ids[p:p + size].tolist()]).decode("utf-8", "surrogatepass")
+                 for p in at.tolist()]
+        yield [grams.lang] * len(at), np.full(len(at), size), texts, counts, grams.doc_of(at)
 
 
-_COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("fp", pa.int64()), ("n", pa.int64()),
-                      ("doc", pa.int64())])
+_COUNTED = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("doc", pa.int64())])
 _RECOUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()),
                         ("doc", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int, ...],
-          filters: dict[int, Broadcast], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int, ...], known: Broadcast | None,
+          schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Count the n-grams of (doc, lang, text) rows, a bounded number of words at a time."""
-    bitmaps = {k: np.frombuffer(b.value, np.uint8) for k, b in filters.items()}
-    polynomials = Polynomials(BUFFER_WORDS + (1 << 18))
+    bitmap = None if known is None else np.frombuffer(known.value, np.uint8)
+    polynomials = Polynomials(BUFFER_WORDS + (1 << 17))
     buffers: dict[str, _Buffer] = {}
     held = 0
 
     def flush():
         for lang, buffer in buffers.items():
             if len(buffer.words) > buffer.lead:
-                grams = _Grams(buffer, polynomials)
-                for size, what, n, doc in count(grams, sizes, bitmaps):
-                    if len(n):
-                        columns = [pa.array([lang] * len(n), pa.string()), size, what, n, doc]
+                for columns in count(_Grams(lang, buffer, polynomials), sizes, bitmap):
+                    for i in range(0, len(columns[0]), OUT_ROWS):
                         yield pa.RecordBatch.from_arrays(
-                            [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)],
-                            schema=schema)
+                            [pa.array(c[i:i + OUT_ROWS], f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for batch in batches:
         docs, langs, texts = (batch.column(i) for i in range(3))
         for i in range(batch.num_rows):
-            lang = langs[i].as_py()
-            doc = docs[i].as_py()
+            lang, doc = langs[i].as_py(), docs[i].as_py()
             buffer = buffers.setdefault(lang, _Buffer())
             buffer.starts.append(len(buffer.words))
             buffer.docs.append(doc)
@@ -207,29 +216,28 @@ def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int,
     yield from flush()
 
 
-def _rounds(texts: DataFrame, count: Callable, sizes: tuple[int, ...], filters: dict[int, Broadcast],
-            schema: pa.Schema, ddl: str) -> DataFrame:
-    return texts.mapInArrow(partial(_scan, count=count, sizes=sizes, filters=filters, schema=schema), ddl)
+def _scanned(texts: DataFrame, count: Callable, sizes: tuple[int, ...], known: Broadcast | None, schema: pa.Schema,
+             ddl: str) -> DataFrame:
+    return texts.mapInArrow(partial(_scan, count=count, sizes=sizes, known=known, schema=schema), ddl)
 
 
-def _frequent(texts: DataFrame, sizes: tuple[int, ...], filters: dict[int, Broadcast], least: int) -> DataFrame:
-    """(lang, size, fp, n, doc) of fingerprints that occur ``least`` times or more in a language."""
-    rows = _rounds(texts, _counted, sizes, filters, _COUNTED, "lang string, size int, fp long, n long, doc long")
-    return materialize(rows.groupBy("lang", "size", "fp").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
-                       .filter(F.col("n") >= least), "grams")
+def _frequent(texts: DataFrame, sizes: tuple[int, ...], known: Broadcast | None, least: int) -> DataFrame:
+    """(fp, n, doc): fingerprints that occur ``least`` times or more, with a document that holds one."""
+    rows = _scanned(texts, _counted, sizes, known, _COUNTED, "fp long, n long, doc long")
+    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("doc").alias("doc")).filter(F.col("n") >= least)
 
 
-def _bitmap(frequent: DataFrame, size: int, bits: int) -> Broadcast:
-    """A bit set of fixed size that holds the fingerprints of one size, built where they are."""
+def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
+    """A bit set of fixed size that holds fingerprints, built where they are."""
     mask = F.lit(bits - 1)
     cells = F.explode(F.array(F.col("fp").bitwiseAND(mask), F.shiftrightunsigned("fp", 32).bitwiseAND(mask)))
-    words = frequent.filter(F.col("size") == size).select(cells.alias("cell")).groupBy(
-        F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("set"))
+    words = frequent.select(cells.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("set"))
     # at most bits / 64 rows, whatever the number of fingerprints
     made = words.toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[made["word"].to_numpy()] = made["set"].to_numpy()
-    return frequent.sparkSession.sparkContext.broadcast(out.astype("<i8").tobytes())
+    return out
 
 
 def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", least: int = MIN_COUNT,
@@ -243,20 +251,21 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
     (an n-gram cannot be more frequent than its parts). Frequent ones are counted again by their text, so two
     phrases with one fingerprint cannot be mistaken for each other.
     """
+    spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                       F.col(text).alias("text"))
-    rows = _rounds(texts, _counted, (1,), {}, _COUNTED, "lang string, size int, fp long, n long, doc long")
-    words = materialize(rows.groupBy("lang", "size", "fp").agg(F.sum("n").alias("n"), F.min("doc").alias("doc")), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    filters = {1: _bitmap(words.filter(F.col("n") >= least), 1, filter_bits)}
-    pairs = _frequent(texts, (2,), filters, least)
-    filters[2] = _bitmap(pairs, 2, filter_bits)
-    longer = _frequent(texts, (3, 4), {2: filters[2]}, least)
-    filters |= {size: _bitmap(longer, size, filter_bits) for size in (3, 4)}
-    again = _rounds(texts, _recounted, (1, 2, 3, 4), filters, _RECOUNTED,
-                    "lang string, size int, phrase string, n long, doc long")
+
+    def shared(bits: np.ndarray) -> Broadcast:
+        return spark.sparkContext.broadcast(bits.astype("<i8").tobytes())
+
+    words = _bitmap(_frequent(texts, (1,), None, least), filter_bits)
+    pairs = _bitmap(_frequent(texts, (2,), shared(words), least), filter_bits)
+    longer = _bitmap(_frequent(texts, (3, 4), shared(pairs), least), filter_bits)
+    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(words | pairs | longer), _RECOUNTED,
+                     "lang string, size int, phrase string, n long, doc long")
     counted = again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"), F.min("doc").alias("doc"))
-    return materialize(counted.filter(F.col("f") >= least), "phrases"), totals
+    kept = materialize(counted.filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+    return kept.filter("size > 0"), kept.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def _scored(phrases: DataFrame) -> DataFrame:
