@@ -18,16 +18,14 @@ from flowspark.session import materialize
 
 TOP = 10
 # (item, term) pairs searched for at once; more items are dealt into blocks, each a pass over the documents
-BLOCK_PAIRS = 200_000
+BLOCK_PAIRS = 50_000
 # documents a block of a posting list aims at
 BLOCK_DOCS = 16
-# a segment of the index is full at so many documents, or so many pairs of terms of one document
-SEGMENT_DOCS = 4096
-SEGMENT_PAIRS = 4_000_000
-# a document with more searched terms is one block by itself, stored once instead of in every list
-WIDE_TERMS = 1024
-# segments that give the first score bounds
-SEED_SEGMENTS = 32
+# a segment of the index is full at so many documents times searched terms, or so many postings
+SEGMENT_CELLS = 1 << 24
+SEGMENT_POSTINGS = 1 << 19
+# about so many documents are scored first, for scores that an item's best documents must reach
+SEED_DOCS = 20_000
 # random projections that tell how alike two documents are
 SKETCH = 32
 # blocks scored before the rest are judged by the scores found
@@ -77,22 +75,114 @@ def _forward(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterat
                  pa.array(counts, pa.list_(pa.int64()))], names=["doc", "n", "terms", "tfs"])
 
 
+def _impact(tfs, n, documents: int, length: int):
+    """Impact of a term that occurs ``tfs`` times in a document of ``n`` terms."""
+    m = 100 - 90 + 90 * n * documents // length
+    return (1_000_000_000 * tfs) // (1000 * tfs + 8 * m)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc, n, terms, tfs) of documents with searched terms."""
+    for batch in batches:
+        cuts = batch.column(2).offsets.to_numpy()
+        terms, tfs = (batch.column(i).values.to_numpy() for i in (2, 3))
+        for i, (doc, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if cuts[i + 1] > cuts[i]:
+                s = slice(cuts[i], cuts[i + 1])
+                yield doc, n, terms[s].astype(np.int64), tfs[s]
+
+
+def _term_stats(batches: Iterator[pa.RecordBatch], n_terms: int) -> Iterator[pa.RecordBatch]:
+    """Per task and term: documents, most occurrences in one, fewest terms of one."""
+    df, most = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+    fewest = np.full(n_terms, np.iinfo(np.int64).max)
+    for _, n, terms, tfs in _rows(batches):
+        df[terms] += 1
+        most[terms] = np.maximum(most[terms], tfs)
+        fewest[terms] = np.minimum(fewest[terms], n)
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held]), pa.array(most[held]), pa.array(fewest[held])],
+                                     names=["term", "df", "most", "fewest"])
+
+
+# ---- what the search of a block of items knows ----
+
+class _Items:
+    """Terms and weights of a block of items, and scores that their best documents are known to reach."""
+
+    def __init__(self, terms: list[np.ndarray], weights: np.ndarray, documents: int, length: int, top: int):
+        self.terms, self.weights, self.documents, self.length, self.top = terms, weights, documents, length, top
+        self._read(terms, [0] * len(terms))
+
+    def reach(self, least: dict[int, int], ceiling: np.ndarray) -> None:
+        """Note scores to reach, and leave out lists that cannot reach them even together.
+
+        ``ceiling`` is an upper bound of the impacts of each term.
+        """
+        scores, lists = [least.get(i, 0) for i in range(len(self.terms))], []
+        for terms, score in zip(self.terms, scores):
+            most = self.weights[terms] * ceiling[terms]
+            order = np.argsort(most, kind="stable")
+            lists.append(np.sort(terms[order[np.cumsum(most[order]) >= max(score, 1)]]))
+        self._read(lists, scores)
+
+    def _read(self, lists: list[np.ndarray], least: list[int]) -> None:
+        """Lists and scores of the items, and for each list the terms that items read it for."""
+        self.lists, self.least = lists, least
+        n = len(self.weights)
+        self.read = np.zeros(n, bool)
+        self.read[np.concatenate([np.zeros(0, np.int64), *lists])] = True
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[
+            (some[:, None] * n + terms).ravel() for some, terms in zip(lists, self.terms)]]))
+        self.beside, self.beside_cuts = pairs % n, np.searchsorted(pairs // n, np.arange(n + 1))
+
+
+def _seed_scores(batches: Iterator[pa.RecordBatch], items: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The best scores of a task's documents for each item, by scoring all of them."""
+    known: _Items = items.value
+    weight_of = np.zeros(len(known.weights), np.int64)
+    best = [np.zeros(0, np.int64)] * len(known.terms)
+
+    def scored(rows):
+        sizes = np.array([len(t) for _, _, t, _ in rows])
+        starts = np.cumsum(sizes) - sizes
+        terms = np.concatenate([t for _, _, t, _ in rows])
+        impacts = np.concatenate([_impact(x, n, known.documents, known.length) for _, n, _, x in rows])
+        for i, wanted in enumerate(known.terms):
+            weight_of[wanted] = known.weights[wanted]
+            found = np.append(best[i], np.add.reduceat(weight_of[terms] * impacts, starts))
+            weight_of[wanted] = 0
+            best[i] = np.sort(found[found > 0])[-known.top:]
+
+    rows = []
+    for row in _rows(batches):
+        rows.append(row)
+        if len(rows) == 1024:
+            scored(rows)
+            rows = []
+    if rows:
+        scored(rows)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.arange(len(best)), [len(x) for x in best]), pa.int32()),
+         pa.array(np.concatenate([np.zeros(0, np.int64), *best]))], names=["item", "score"])
+
+
 # ---- index ----
 
 class _Segment:
     """Documents gathered until the segment is full."""
 
     def __init__(self):
-        self.keys, self.terms, self.impacts, self.pairs = [], [], [], 0
+        self.keys, self.terms, self.impacts, self.postings = [], [], [], 0
 
-    def add(self, key, terms: np.ndarray, impacts: np.ndarray) -> None:
+    def add(self, key, terms: np.ndarray, impacts: np.ndarray, lists: int) -> None:
         self.keys.append(key)
         self.terms.append(terms)
         self.impacts.append(impacts)
-        self.pairs += len(terms) ** 2 if len(terms) <= WIDE_TERMS else len(terms)
+        self.postings += lists
 
-    def full(self) -> bool:
-        return len(self.keys) >= SEGMENT_DOCS or self.pairs >= SEGMENT_PAIRS
+    def full(self, n_terms: int) -> bool:
+        return (len(self.keys) + 1) * n_terms > SEGMENT_CELLS or self.postings >= SEGMENT_POSTINGS
 
 
 def _alike(list_docs: np.ndarray, sketches: np.ndarray, block_docs: int) -> np.ndarray:
@@ -101,83 +191,76 @@ def _alike(list_docs: np.ndarray, sketches: np.ndarray, block_docs: int) -> np.n
     if n == 1:
         return np.zeros(len(list_docs), np.int64)
     centres = list_docs[np.arange(n) * len(list_docs) // n]
-    return np.argmax(sketches[list_docs] @ sketches[centres].T, axis=1)
+    return np.unique(np.argmax(sketches[list_docs] @ sketches[centres].T, axis=1), return_inverse=True)[1]
 
 
-def _blocked(segment: _Segment, weights: np.ndarray, signs: np.ndarray, block_docs: int):
-    """(term, members, summary terms, summary maxima) of the blocks of all posting lists of a segment."""
+def _blocked(segment: _Segment, items: _Items, signs: np.ndarray, block_docs: int):
+    """Blocks of the posting lists of a segment: list, sizes and members, sizes, summary terms and summary maxima."""
     sizes = np.array([len(t) for t in segment.terms])
-    narrow = np.flatnonzero(sizes <= WIDE_TERMS)
-    sizes = sizes[narrow]
-    if not sizes.sum():
-        return
-    terms = np.concatenate([segment.terms[d] for d in narrow]).astype(np.int64)
-    impacts = np.concatenate([segment.impacts[d] for d in narrow])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    owner = np.repeat(np.arange(len(narrow)), sizes)
-    sketches = np.add.reduceat((weights[terms] * impacts).astype(np.float32)[:, None] * signs[terms], starts)
+    terms, impacts = np.concatenate(segment.terms), np.concatenate(segment.impacts)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    dense = np.zeros((len(sizes), len(items.weights)), np.int32)
+    dense[owner, terms] = impacts
+    sketches = np.add.reduceat((items.weights[terms] * impacts).astype(np.float32)[:, None] * signs[terms], starts)
     sketches /= np.maximum(np.linalg.norm(sketches, axis=1, keepdims=True), 1e-20)
-    order = np.argsort(terms, kind="stable")
-    lists = np.split(order, np.flatnonzero(np.diff(terms[order])) + 1)
-    members, labels, n, list_term = [], [], 0, []
-    for entries in lists:
-        docs = owner[entries]
-        used, label = np.unique(_alike(docs, sketches, block_docs), return_inverse=True)
-        members.append(docs)
-        labels.append(label + n)
-        list_term += [int(terms[entries[0]])] * len(used)
-        n += len(used)
-    members, labels = np.concatenate(members), np.concatenate(labels)
-    order = np.argsort(labels, kind="stable")
-    members, labels = members[order], labels[order]
-    # every posting brings its document's whole vector: (block, term, impact) in one number, largest impact last
-    held = sizes[members]
-    at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(starts[members], held)
-    width = int(terms.max()) + 1
-    packed = np.sort(((np.repeat(labels, held) * width + terms[at]) << _IMPACT_BITS) | impacts[at])
-    last = np.append(np.diff(packed >> _IMPACT_BITS) != 0, True)
-    packed = packed[last]
-    cell = packed >> _IMPACT_BITS
-    block_of, term_of, largest = cell // width, cell % width, packed & ((1 << _IMPACT_BITS) - 1)
-    member_cuts = np.searchsorted(labels, np.arange(n + 1))
-    summary_cuts = np.searchsorted(block_of, np.arange(n + 1))
-    for b in range(n):
-        s = slice(summary_cuts[b], summary_cuts[b + 1])
-        yield list_term[b], narrow[members[member_cuts[b]:member_cuts[b + 1]]], term_of[s], largest[s]
+    postings = np.flatnonzero(items.read[terms])
+    postings = postings[np.argsort(terms[postings], kind="stable")]
+    list_terms, begins = np.unique(terms[postings], return_index=True)
+    made = [[], [], [], [], [], []]
+    for term, docs in zip(list_terms.tolist(), np.split(owner[postings], begins[1:])):
+        label = _alike(docs, sketches, block_docs)
+        order = np.argsort(label, kind="stable")
+        docs, cuts = docs[order], np.flatnonzero(np.append(True, np.diff(label[order]) != 0))
+        # of a list only those terms count that some item has together with the list's own
+        beside = items.beside[items.beside_cuts[term]:items.beside_cuts[term + 1]]
+        largest = np.maximum.reduceat(dense[np.ix_(docs, beside)], cuts)
+        block, place = np.nonzero(largest)
+        for column, part in zip(made, (np.full(len(cuts), term), np.diff(np.append(cuts, len(docs))), docs,
+                                       np.bincount(block, minlength=len(cuts)), beside[place], largest[block, place])):
+            column.append(part)
+    return [np.concatenate([np.zeros(0, np.int64), *c]) for c in made]
 
 
 _INDEX = pa.schema([("segment", pa.int64()), ("no", pa.int32()), ("key", pa.int64()), ("term", pa.int32()),
                     ("members", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int32()))])
-_INDEX_DDL = ("segment long, no int, key long, term int, members array<int>, terms array<int>, impacts array<int>")
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], weights: np.ndarray, documents: int, length: int,
-             block_docs: int) -> Iterator[pa.RecordBatch]:
-    """Segments as rows: one per document (``no`` within the segment), one per block of a posting list."""
-    signs = np.random.default_rng(7).integers(0, 2, (len(weights), SKETCH)).astype(np.float32) * 2 - 1
+_INDEX_DDL = "segment long, no int, key long, term int, members array<int>, terms array<int>, impacts array<int>"
+
+
+def _lists_of(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def segment_rows(segment: _Segment, no: int, items: _Items, signs: np.ndarray, block_docs: int) -> pa.Table:
+    """A segment as rows: one per document (numbered within the segment), one per block of a posting list."""
+    docs = len(segment.keys)
+    term, member_sizes, members, sizes, terms, largest = _blocked(segment, items, signs, block_docs)
+    own_sizes = [len(t) for t in segment.terms]
+    first = pa.table([pa.array(np.full(docs, no)), pa.array(np.arange(docs), pa.int32()), pa.array(segment.keys, pa.int64()),
+                      pa.nulls(docs, pa.int32()), pa.nulls(docs, pa.list_(pa.int32())),
+                      _lists_of(own_sizes, np.concatenate(segment.terms)),
+                      _lists_of(own_sizes, np.concatenate(segment.impacts))], schema=_INDEX)
+    n = len(term)
+    second = pa.table([pa.array(np.full(n, no)), pa.array(np.arange(docs, docs + n), pa.int32()), pa.nulls(n, pa.int64()),
+                       pa.array(term, pa.int32()), _lists_of(member_sizes, members), _lists_of(sizes, terms),
+                       _lists_of(sizes, largest)], schema=_INDEX)
+    return pa.concat_tables([first, second])
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], items: Broadcast, block_docs: int) -> Iterator[pa.RecordBatch]:
+    """The segments of a task; documents in none of the lists that are read stay out."""
+    known: _Items = items.value
+    n_terms = len(known.weights)
+    signs = np.random.default_rng(7).integers(0, 2, (n_terms, SKETCH)).astype(np.float32) * 2 - 1
     segment, made, first = _Segment(), 0, TaskContext.get().partitionId() << 24
-
-    def written():
-        n = len(segment.keys)
-        rows = [(first + made, i, k, None, None, t, x)
-                for i, (k, t, x) in enumerate(zip(segment.keys, segment.terms, segment.impacts))]
-        rows += [(first + made, n + i, None, *b) for i, b in enumerate(_blocked(segment, weights, signs, block_docs))]
-        for i in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 4096]), _INDEX)], schema=_INDEX)
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["terms"]:
-                terms, tfs = np.array(row["terms"], np.int64), np.array(row["tfs"], np.int64)
-                m = 100 - 90 + 90 * row["n"] * documents // length
-                segment.add(row["doc"], terms, (1_000_000_000 * tfs) // (1000 * tfs + 8 * m))
-                if segment.full():
-                    yield from written()
-                    segment, made = _Segment(), made + 1
+    for doc, n, terms, tfs in _rows(batches):
+        if lists := int(known.read[terms].sum()):
+            segment.add(doc, terms, _impact(tfs, n, known.documents, known.length), lists)
+            if segment.full(n_terms):
+                yield from segment_rows(segment, first + made, known, signs, block_docs).to_batches(4096)
+                segment, made = _Segment(), made + 1
     if segment.keys:
-        yield from written()
+        yield from segment_rows(segment, first + made, known, signs, block_docs).to_batches(4096)
 
 
 # ---- search ----
@@ -198,7 +281,6 @@ class Searcher:
         self.known = docs["key"].is_valid().to_numpy()
         self.keys = docs["key"].fill_null(0).to_numpy()
         self.cuts, self.terms, self.impacts = self._lists(docs, "terms", "impacts")
-        self.wide = np.flatnonzero(np.diff(self.cuts) > WIDE_TERMS)
         self.block_term = blocks["term"].to_numpy().astype(np.int64)
         self.member_cuts, self.members = self._lists(blocks, "members")
         cuts, terms, largest = self._lists(blocks, "terms", "impacts")
@@ -217,15 +299,15 @@ class Searcher:
         return np.append(0, np.cumsum(sizes)).astype(np.int64), *[
             c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
 
-    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Upper bound of the score of any member, per block; 0 for blocks of other terms' lists."""
+    def bounds(self, terms: np.ndarray, lists: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Upper bound of the score of any member, per block; 0 for blocks of other lists."""
         at = np.searchsorted(self.held_terms, terms)
         here = self.held_terms[np.minimum(at, len(self.held_terms) - 1)] == terms if len(self.held_terms) else \
             np.zeros(len(terms), bool)
         places, sizes = _ranges(self.held_cuts, at[here])
         out = np.zeros(len(self.block_term), np.int64)
         np.add.at(out, self.held_blocks[places], np.repeat(weights[here], sizes) * self.held_largest[places])
-        out[~np.isin(self.block_term, terms)] = 0
+        out[~np.isin(self.block_term, lists)] = 0
         return out
 
     def scores(self, docs: np.ndarray, weight_of: np.ndarray) -> np.ndarray:
@@ -235,12 +317,12 @@ class Searcher:
         parts = weight_of[self.terms[places]] * self.impacts[places]
         return np.add.reduceat(parts, np.cumsum(sizes) - sizes) if len(docs) else np.zeros(0, np.int64)
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, weight_of: np.ndarray, top: int, least: int):
-        """(score, document) of the segment's best documents that reach ``least``; ties at the end by key."""
-        bounds = self.bounds(terms, weights)
+    def best(self, terms: np.ndarray, lists: np.ndarray, weights: np.ndarray, weight_of: np.ndarray, top: int, least: int):
+        """(score, document) of the segment's best documents in ``lists`` that reach ``least``; ties at the end by key."""
+        bounds = self.bounds(terms, lists, weights)
         blocks = np.flatnonzero(bounds >= max(least, 1))
         blocks = blocks[np.argsort(-bounds[blocks], kind="stable")]
-        docs, score = self.wide, self.scores(self.wide, weight_of)
+        docs, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in (blocks[:FIRST_BLOCKS], blocks[FIRST_BLOCKS:]):
             if len(score) >= top:
                 least = max(least, int(np.partition(score, len(score) - top)[len(score) - top]))
@@ -256,14 +338,14 @@ class Searcher:
 _FOUND = pa.schema([("item", pa.int32()), ("doc", pa.int64()), ("score", pa.int64())])
 
 
-def _search(segment: pa.Table, items: Broadcast, weights: np.ndarray, top: int) -> pa.Table:
+def _search(segment: pa.Table, items: _Items) -> pa.Table:
     """The best documents of one segment for every item of the block."""
-    searcher = Searcher(segment)
+    searcher, weights = Searcher(segment), items.weights
     weight_of = np.zeros(len(weights), np.int64)
     columns = [[], [], []]
-    for no, (terms, least) in enumerate(items.value):
+    for no, (terms, lists, least) in enumerate(zip(items.terms, items.lists, items.least)):
         weight_of[terms] = weights[terms]
-        score, docs = searcher.best(terms, weights[terms], weight_of, top, least)
+        score, docs = searcher.best(terms, lists, weights[terms], weight_of, items.top, least)
         weight_of[terms] = 0
         columns[0] += [no] * len(docs)
         columns[1] += [k if known else None for k, known in zip(
@@ -289,53 +371,50 @@ def _blocks(pairs: DataFrame, block_pairs: int) -> Iterator[list[tuple]]:
             yield list(items.items())
 
 
-def _of_block(docs: DataFrame, items: list[tuple], top: int, block_docs: int, seed_segments: int) -> DataFrame | None:
+def _of_block(docs: DataFrame, items: list[tuple], top: int, block_docs: int, seed_docs: int) -> DataFrame | None:
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast
     vocabulary = sorted({t for _, terms in items for t in terms})
     number = {t: i for i, t in enumerate(vocabulary)}
-    forward = materialize(docs.mapInArrow(partial(_forward, vocabulary=spark.sparkContext.broadcast(vocabulary)),
+    forward = materialize(docs.mapInArrow(partial(_forward, vocabulary=shared(vocabulary)),
                                           "doc long, n long, terms array<int>, tfs array<long>"), "forward")
     total = forward.agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("length")).first()
     if not total.length:
         return None
     # one row per searched term
-    counts = forward.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()
-    frequency = np.zeros(len(vocabulary), np.int64)
-    for r in counts:
-        frequency[r.t] = r.df
+    stats = forward.mapInArrow(partial(_term_stats, n_terms=len(vocabulary)), "term long, df long, most long, fewest long") \
+        .groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("fewest").alias("fewest")).collect()
+    frequency, ceiling = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    for r in stats:
+        frequency[r.term], ceiling[r.term] = r.df, _impact(r.most, r.fewest, total.documents, total.length)
     weights = np.array([math.floor(1000 * math.log((2 * total.documents + 2) / (2 * int(f) + 1))) for f in frequency],
                        np.int64)
-    index = materialize(forward.select("doc", "n", "terms", "tfs").mapInArrow(partial(
-        _indexed, weights=weights, documents=total.documents, length=total.length, block_docs=block_docs),
-        _INDEX_DDL), "postings")
-    queries = [np.array(sorted(number[t] for t in terms), np.int64) for _, terms in items]
-
-    def search(segments: DataFrame, least: dict[int, int]) -> DataFrame:
-        held = spark.sparkContext.broadcast([(q, least.get(i, 0)) for i, q in enumerate(queries)])
-        return segments.groupBy("segment").applyInArrow(
-            lambda segment: _search(segment, held, weights, top), "item int, doc long, score long")
-
-    segments = index.select("segment").distinct()
-    n = segments.count()
-    least: dict[int, int] = {}
-    if n > 2 * seed_segments:
-        seeds = index.filter(F.pmod(F.xxhash64("segment"), F.lit(n)) < seed_segments)
-        reached = _ranked(search(seeds, {}), top).filter(F.col("rank") == top).select("item", "score").collect()
-        least = {r.item: r.score for r in reached}
-    ranked = _ranked(search(index, least), top)
+    known = _Items([np.array(sorted(number[t] for t in terms), np.int64) for _, terms in items], weights,
+                   total.documents, total.length, top)
+    if seed_docs:
+        share = F.pmod(F.xxhash64("doc", "n", "tfs"), F.lit(1 << 20)) * total.documents < seed_docs << 20
+        reached = forward.filter(share).mapInArrow(partial(_seed_scores, items=shared(known)), "item int, score long")
+        order = Window.partitionBy("item").orderBy(F.desc("score"))
+        reached = reached.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == top)
+        known.reach({r.item: r.score for r in reached.collect()}, ceiling)
+    held = shared(known)
+    index = materialize(forward.mapInArrow(partial(_indexed, items=held, block_docs=block_docs), _INDEX_DDL), "postings")
+    found = index.groupBy("segment").applyInArrow(lambda segment: _search(segment, held.value),
+                                                  "item int, doc long, score long")
     names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(items)], "item int, name string")
-    return ranked.join(F.broadcast(names), "item").select(F.col("name").alias("item"), "rank", "doc", "score")
+    return _ranked(found, top).join(F.broadcast(names), "item").select(F.col("name").alias("item"), "rank", "doc", "score")
 
 
 def search(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
            item_text: str = "text", top: int = TOP, block_pairs: int = BLOCK_PAIRS, block_docs: int = BLOCK_DOCS,
-           seed_segments: int = SEED_SEGMENTS) -> DataFrame:
+           seed_docs: int = SEED_DOCS) -> DataFrame:
     """The ``top`` documents of each item: item_key (as in ``items``), rank, key (long), score.
 
-    Exact: documents go into segments of bounded size; a segment's posting list of each searched term is cut
-    into blocks of similar documents, and a block is passed over only if the sum of weight times the largest
-    impact of its members is below a score that ``top`` documents are known to reach. Such scores come from
-    ``seed_segments`` segments first, then from the segment itself.
+    Exact: about ``seed_docs`` documents are scored first, which gives each item a score that ``top`` documents
+    reach; lists whose terms cannot reach it even together are not read, so documents only in those cannot
+    be among the best. The other documents go into segments of bounded size. A segment's posting list of each
+    term is cut into blocks of similar documents, and a block is passed over only if the sum of weight times
+    the largest impact of its members is below the score to reach, or below one that the segment has reached.
 
     Rows with one item id are one item with the terms of all of them, also the rows without id. Null and empty
     texts have no terms; documents without terms do not count, items without terms give no rows. Repeated rows
@@ -350,7 +429,7 @@ def search(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     kind = items.schema[item_key].dataType
     out = None
     for block in _blocks(pairs.withColumn("item", F.col("item").cast("string")), block_pairs):
-        found = _of_block(docs, block, top, block_docs, seed_segments)
+        found = _of_block(docs, block, top, block_docs, seed_docs)
         if found is not None:
             out = found if out is None else out.unionByName(found)
     if out is None:

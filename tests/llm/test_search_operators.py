@@ -67,7 +67,7 @@ ITEMS = [(1, "alpha gamma"), (1, "alpha gamma"), (1, "delta"), (None, "beta é")
          (5, " ".join(f"w{i}" for i in range(0, 3000, 7))), (6, "w1500 zeta alpha")]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_pairs": 100, "block_docs": 1}, {"top": 2, "seed_segments": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_pairs": 100, "block_docs": 1}, {"top": 2, "seed_docs": 0}])
 def test_search_of_odd_rows(spark, options):
     docs = spark.createDataFrame([(*r, 1, "s", "t") for r in DOCS], "doc_id long, text string, n int, segment string, terms string")
     items = spark.createDataFrame([(*r, "x") for r in ITEMS], "item_id long, text string, doc string")
@@ -86,15 +86,14 @@ def test_search_with_string_items_and_empty_tables(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_small_segments_and_seeds_change_nothing(spark, monkeypatch, seed):
-    monkeypatch.setattr(lexical_search, "SEGMENT_DOCS", 7)
-    monkeypatch.setattr(lexical_search, "WIDE_TERMS", 5)
+    monkeypatch.setattr(lexical_search, "SEGMENT_POSTINGS", 70)
     rng = random.Random(seed)
     words = [f"v{i}" for i in range(30)]
     docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(30)], k=rng.randint(0, 25)))) for i in range(400)]
     docs += [(1000 + i, docs[5][1]) for i in range(50)]
     items = [(i, " ".join(rng.sample(words, rng.randint(1, 8)))) for i in range(12)]
     found = lexical_search.search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
-                                  spark.createDataFrame(items, "item_id long, text string"), seed_segments=4)
+                                  spark.createDataFrame(items, "item_id long, text string"), seed_docs=100)
     assert _got(found) == _ranking(docs, items)
 
 
@@ -109,38 +108,44 @@ def test_blocks_are_passed_over_and_bounds_hold(monkeypatch):
     strength = [rng.integers(1000, 900_000, len(t)) for t in kinds]
     for i in range(2000):
         terms = kinds[i % 200]
-        segment.add(i, terms, strength[i % 200] + rng.integers(0, 1000, len(terms)))
+        segment.add(i, terms, strength[i % 200] + rng.integers(0, 1000, len(terms)), len(terms))
+    items = lexical_search._Items([np.arange(15 * t, 15 * t + 6) for t in range(20)], weights, 1, 1, 10)
     signs = rng.integers(0, 2, (300, lexical_search.SKETCH)).astype(np.float32) * 2 - 1
-    blocks = list(lexical_search._blocked(segment, weights, signs, 16))
+    rows = lexical_search.segment_rows(segment, 0, items, signs, 16)
     vectors = [dict(zip(t.tolist(), x.tolist())) for t, x in zip(segment.terms, segment.impacts)]
-    for term, members, terms, largest in blocks:
+    wanted = {t for terms in items.terms for t in terms.tolist()}
+    postings: Counter = Counter()
+    for row in rows.to_pylist()[2000:]:
         expected: dict = {}
-        for d in members:
-            assert term in vectors[d]
+        for d in row["members"]:
+            assert row["term"] in vectors[d]
+            postings[row["term"], d] += 1
             for t, x in vectors[d].items():
-                expected[t] = max(expected.get(t, 0), x)
-        assert dict(zip(terms.tolist(), largest.tolist())) == expected
-    postings = Counter((t, d) for t, members, _, _ in blocks for d in members.tolist())
-    assert postings == Counter((t, d) for d, v in enumerate(vectors) for t in v)
-    rows = [(0, i, i, None, None, t, x) for i, (t, x) in enumerate(zip(segment.terms, segment.impacts))]
-    rows += [(0, 2000 + i, None, *b) for i, b in enumerate(blocks)]
-    searcher = lexical_search.Searcher(pa.table(
-        [pa.array(c, f.type) for c, f in zip(zip(*rows), lexical_search._INDEX)], schema=lexical_search._INDEX))
-    weight_of = np.zeros(300, np.int64)
-    scored = 0
-    for topic in range(20):
-        terms = np.arange(15 * topic, 15 * topic + 6)
+                if t // 15 == row["term"] // 15 and t in wanted:
+                    expected[t] = max(expected.get(t, 0), x)
+        assert dict(zip(row["terms"], row["impacts"])) == expected
+    assert postings == Counter((t, d) for d, v in enumerate(vectors) for t in v if t in wanted)
+    searcher, scored, weight_of = lexical_search.Searcher(rows), 0, np.zeros(300, np.int64)
+    for terms in items.terms:
         weight_of[:] = 0
         weight_of[terms] = weights[terms]
         searcher.scored = 0
-        score, docs = searcher.best(terms, weights[terms], weight_of, 10, 0)
-        every = sorted(((-sum(int(weights[t]) * v.get(t, 0) for t in terms), d) for d, v in enumerate(vectors)))[:10]
+        score, docs = searcher.best(terms, terms, weights[terms], weight_of, 10, 0)
+        every = sorted(((-sum(int(weights[t]) * v.get(t, 0) for t in terms.tolist()), d) for d, v in enumerate(vectors)))[:10]
         assert list(zip((-score).tolist(), docs.tolist())) == every
         scored += searcher.scored
-    holders = sum(any(t in v for t in range(15 * topic, 15 * topic + 6)) for topic in range(20) for v in vectors)
+    holders = sum(any(t in v for t in terms.tolist()) for terms in items.terms for v in vectors)
     assert scored < 0.6 * holders
 
 
+def test_lists_that_cannot_reach_the_score_are_left_out():
+    items = lexical_search._Items([np.array([0, 1, 2, 3])], np.array([1, 5, 20, 100, 7]), 1, 1, 10)
+    items.reach({0: 120}, np.array([10, 10, 5, 1, 1]))
+    assert items.lists[0].tolist() == [2, 3]
+    items.reach({}, np.array([10, 10, 5, 1, 1]))
+    assert items.lists[0].tolist() == [0, 1, 2, 3]
+
+
 # ---- collocations ----
 
 def _collocations(docs, least, top=2000):
