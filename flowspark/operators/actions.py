@@ -71,12 +71,13 @@ def alert_records(scored: DataFrame, ts: Column, prob: str = "prob", row_index:
 def decide_actions(scored: DataFrame, allowed: DataFrame, blocked: DataFrame,
                    ip: str = "src_ip", prob: str = "prob", row_index: str = "row_index",
                    run: Sequence[str] = ("run_id",),
-                   threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                   threshold: float = DEFAULT_THRESHOLD, seen: DataFrame | None = None) -> DataFrame:
     """Decision per attack row: ``run, row_index, prob, src_ip, action, reason, cmd``.
 
     Order of reasons: invalid address, allowed, already seen in this run, already blocked; the
     first eligible row of an address that is not blocked yet becomes a dry-run block.
-    ``row_index`` must be unique within a run.
+    ``row_index`` must be unique within a run. ``seen`` (run, ``src_ip``) holds addresses that earlier rows of
+    a run have used up; without it all rows of a run are here.
     """
     run = list(run)
     text = F.trim(F.coalesce(F.col(ip), F.lit("nan")))
@@ -90,8 +91,13 @@ def decide_actions(scored: DataFrame, allowed: DataFrame, blocked: DataFrame,
         F.coalesce("__allowed", F.lit(False)).alias("__allowed"),
         F.coalesce("__blocked", F.lit(False)).alias("__blocked"))
     firsts = rows.filter(F.col("__valid") & ~F.col("__allowed")) \
-        .groupBy(*run, "__ip").agg(F.min(row_index).alias(row_index)) \
-        .select(*run, row_index, F.lit(True).alias("__first"))
+        .groupBy(*run, "__ip").agg(F.min(row_index).alias(row_index))
+    if seen is not None:
+        # at most one row per (run, address) on either side
+        known = seen.select(*[F.col(x).alias(f"__on_{x}") for x in run], F.col("src_ip").alias("__on_ip")).distinct()
+        same = [firsts[f"`{x}`"].eqNullSafe(known[f"`__on_{x}`"]) for x in run]
+        firsts = firsts.join(known, [*same, firsts["__ip"] == known["__on_ip"]], "left_anti")
+    firsts = firsts.select(*run, row_index, F.lit(True).alias("__first"))
     decided = lookup(rows, firsts, [*run, row_index])
     first = F.coalesce("__first", F.lit(False))
     reason = (F.when(~F.col("__valid"), F.lit("invalid_src_ip"))

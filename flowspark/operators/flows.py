@@ -109,8 +109,11 @@ def flow_totals(packets: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
             F.count_if(own & is_tcp & (payload > 0)).alias(f"{side}_data"),
             F.min(F.when(own & is_tcp, F.col("l4_hdr_len"))).alias(f"{side}_seg_min"),
         ]
-    g = p.groupBy(*keys).agg(*aggs)
+    return named_totals(p.groupBy(*keys).agg(*aggs), keys)
 
+
+def named_totals(g: DataFrame, keys: Sequence[str], *extra: str) -> DataFrame:
+    """Features of flows from the totals of their two sides, ``lo`` and ``hi``; keeps the columns ``extra``."""
     lo_first = F.col("hi_first_seq").isNull() | (F.col("lo_first_seq") < F.col("hi_first_seq"))
     lo_first = F.coalesce(lo_first, F.lit(False))
 
@@ -165,7 +168,7 @@ def flow_totals(packets: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame
     features.update({name: F.lit(0) for name in BULK_FEATURES})
     source_ip, dest_ip = fwd("ip"), bwd("ip")
     return g.select(
-        *keys, F.col("lo_first"), F.col("n").alias("n_packets"), F.col("first_ts"),
+        *keys, *extra, F.col("lo_first"), F.col("n").alias("n_packets"), F.col("first_ts"),
         flow_id(source_ip, dest_ip, fwd("port"), bwd("port"), F.col("proto")).alias("flow id"),
         source_ip.alias("source ip"), dest_ip.alias("destination ip"),
         start_time_text(F.col("first_ts")).alias("timestamp"), F.lit("").alias("label"),
@@ -289,7 +292,7 @@ def flow_timeline(packets: DataFrame, extra_keys: Sequence[str] = (),
           for name in ("active", "idle") for stat in ("mean", "std", "max", "min")])
 
 
-def _name_directions(flows: DataFrame) -> list[Column]:
+def name_directions(flows: DataFrame) -> list[Column]:
     out = []
     for stat in ("total", "mean", "std", "max", "min"):
         lo, hi = F.col(f"lo_iat_{stat}"), F.col(f"hi_iat_{stat}")
@@ -304,7 +307,7 @@ def directional_gaps(packets: DataFrame, extra_keys: Sequence[str] = (),
     keys = _key(extra_keys)
     totals = flow_totals(packets, extra_keys).select(*keys, "lo_first", "`flow id`")
     joined = totals.join(arrival_gaps(packets, extra_keys, chunk_rows), keys)
-    return joined.select(*keys, "`flow id`", *_name_directions(joined))
+    return joined.select(*keys, "`flow id`", *name_directions(joined))
 
 
 def flow_table(packets: DataFrame, extra_keys: Sequence[str] = (),
@@ -318,7 +321,7 @@ def flow_table(packets: DataFrame, extra_keys: Sequence[str] = (),
     table = flow_totals(packets, extra_keys)
     if any(x.startswith(("fwd iat", "bwd iat")) for x in features):
         table = table.join(arrival_gaps(packets, extra_keys, chunk_rows), keys)
-        table = table.select("*", *_name_directions(table))
+        table = table.select("*", *name_directions(table))
     if any(x.startswith(("flow iat", "active ", "idle ")) for x in features):
         table = table.join(flow_timeline(packets, extra_keys, activity_timeout_us, slice_us), keys)
     return table.select(*[f"`{x}`" for x in [*FLOW_METADATA, *extra_keys, *features]])

@@ -57,7 +57,7 @@ def prepare_features(df: DataFrame, params: DataFrame, features: Sequence[str] =
         .selectExpr(*kept, f"array({scaled}) AS {quoted(out)}")
 
 
-def _usable(x: str, width: int) -> str:
+def usable_vector(x: str, width: int) -> str:
     """SQL text: a complete vector. NULL vectors and vectors with a NULL or NaN are not scored; a wrong length fails."""
     v = quoted(x)
     return (f"CASE WHEN size({v}) <> {width} THEN CAST(raise_error(concat('a vector of ', size({v}), "
@@ -83,7 +83,7 @@ def forward_native(df: DataFrame, x: str, layers: Sequence[Layer], out: str) ->
         target = out if last else f"__layer_{k}"
         made = f"array({', '.join(units)})"
         if k == 0:
-            made = f"CASE WHEN {_usable(source, len(layer.weights[0]))} THEN {made} END"
+            made = f"CASE WHEN {usable_vector(source, len(layer.weights[0]))} THEN {made} END"
         else:
             made = f"CASE WHEN {quoted(source)} IS NOT NULL THEN {made} END"
         df = df.withColumn(target, F.expr(made))
@@ -114,7 +114,7 @@ def forward_arrow(df: DataFrame, x: str, layers: Sequence[Layer], out: str) -> D
     udf = F.arrow_udf(forward, "array<double>")
     width = len(layers[0].weights[0])
     # unusable vectors travel as zeros, and their result is dropped again
-    good = F.expr(_usable(x, width))
+    good = F.expr(usable_vector(x, width))
     sent = F.when(good, F.col(x).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), width))
     return df.withColumn(out, F.when(good, udf(sent)))
 

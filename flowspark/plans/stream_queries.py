@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from flowspark.contract import FEATURES
-from flowspark.functions.scalar import c
 from flowspark.operators import clean as cl
 from flowspark.operators import training as tr
-from flowspark.operators.flows import with_flow_key
-from flowspark.plans.feature_queries import BINARY_NET, _BINARY_SQL
+from flowspark.plans.feature_queries import BINARY_NET, _BINARY_SQL, _net_sql
 from flowspark.plans.fixtures import DIRTY, table, view, with_views
-from flowspark.plans.packet_queries import _K, _KEYED
+from flowspark.plans.decision_queries import _DECIDE
+from flowspark.plans.packet_queries import _FID, _K, _KEYED, _SQL, DIGITS, _flow_ctes, _segments_sql, shown
 from flowspark.plans.registry import b, query, rounded
 from flowspark.session import materialize, scratch_path
 from flowspark.sources.captures import decode_captures
+from flowspark.streaming import decisions as sdecisions
 from flowspark.streaming import flows as sflows
 from flowspark.streaming import score as sscore
+from flowspark.streaming import timing as stiming
 
 
-def _drain(spark, df, name, fmt="parquet"):
+def _drain(spark, df, folder, fmt="parquet", name=None):
     """Run a stream over everything that is there, then return where it wrote."""
-    path = scratch_path(spark, name)
-    q = sscore.write_stream(df, path, scratch_path(spark, f"{name}-checkpoint"), fmt)
+    path = scratch_path(spark, folder)
+    q = sscore.write_stream(df, path, scratch_path(spark, f"{folder}-checkpoint"), fmt, name=name)
     q.awaitTermination()
     return path, q
 
@@ -88,46 +89,69 @@ def stream_score(spark, sf):
     return rounded(spark.read.parquet(path), 6, "pred_attack_proba")
 
 
-@query("stage_timing", with_views("scored", "SELECT count(*) AS n_rows, true AS timed FROM scored"))
+@query("stage_timing", with_views("vectors", f"""
+WITH {_net_sql(BINARY_NET)}
+SELECT count(*) AS n_rows, count(*) AS n_scored, count(*) FILTER (z[1] >= 0) AS n_attacks, true AS timed FROM net"""))
 def stage_timing(spark, sf):
-    stream = _staged(spark, view(spark, sf, "scored"), "scored")
-    _, q = _drain(spark, sscore.stream_alerts(stream, F.lit(7)), "timed", "text")
-    rows = sscore.stage_timing(q)
-    timing = spark.createDataFrame(rows)
-    return timing.agg(F.sum("n_rows").alias("n_rows"), (F.sum("t_total_ms") > 0).alias("timed"))
+    """Totals of the timing rows that a listener wrote while a stream was scored."""
+    stream = _staged(spark, view(spark, sf, "vectors"), "vectors")
+    path, name = scratch_path(spark, "timing"), scratch_path(spark, "query").rsplit("/", 1)[-1]
+    times = stiming.StageTimes(spark, path, name)
+    spark.streams.addListener(times)
+    try:
+        _drain(spark, stiming.score_timed(stream, "embedding", BINARY_NET).select("vec_id", "pred"), "timed", name=name)
+        times.wait()
+    finally:
+        spark.streams.removeListener(times)
+    rows = spark.read.schema(stiming.TIMING_DDL).parquet(path)
+    spent = F.least(F.min("t_total_ms"), F.sum("t_execution_ms"), F.sum("t_inference_ms"), F.sum("t_upstream_ms"))
+    return rows.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_scored").alias("n_scored"),
+                    F.sum("n_attacks").alias("n_attacks"), (spent > 0).alias("timed"))
 
 
 _STREAM_GAP = 10_000_000
 
 
+def _in_order(spark, df, order, name, parts=4, last=None):
+    """A stream of files that arrive in the order of a column, one per batch; ``last`` comes after them."""
+    path = scratch_path(spark, name)
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    width = (ends.b - ends.a) // parts + 1
+    for i in range(parts):
+        part = df.filter((F.col(order) >= ends.a + i * width) & (F.col(order) < ends.a + (i + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return sscore.stream_parquet(spark, path, df.schema, max_files=1)
+
+
 @query("stream_flows", with_views("packets", f"""
-WITH {_KEYED},
-timed AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {_K} ORDER BY ts_us, seq) AS g FROM keyed),
-split AS (SELECT *, sum(CASE WHEN g > {_STREAM_GAP} THEN 1 ELSE 0 END) OVER
-            (PARTITION BY {_K} ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS seg FROM timed),
-one AS (SELECT {_K}, seg, arg_min(src_ip, seq) AS s, arg_min(src_port, seq) AS sp, arg_min(dst_ip, seq) AS d,
-  arg_min(ts_us, seq) AS t0, arg_max(ts_us, seq) - arg_min(ts_us, seq) AS dur, count(*) AS n,
-  sum(total_len) AS len, max(total_len) AS top FROM split GROUP BY {_K}, seg)
-SELECT s AS "source ip", sp AS "source port", d AS "destination ip", t0 AS first_ts, dur AS "flow duration",
-  n AS "packets", CAST(len AS BIGINT) AS bytes, top AS "max packet length" FROM one"""))
+WITH {_KEYED}, {_segments_sql(_STREAM_GAP)}, {_flow_ctes(_K + ", segment", "split")}
+SELECT {_FID} AS "flow id", f_ip AS "source ip", d_ip AS "destination ip",
+       strftime(make_timestamp(t0), '%Y-%m-%d %H:%M:%S') AS "timestamp", '' AS label, t0 AS first_ts, n AS n_packets,
+       {", ".join(f'round(CAST(coalesce({_SQL[x]}, 0) AS DOUBLE), {DIGITS}) AS "{x}"' for x in FEATURES)}
+FROM flows"""))
 def stream_flows(spark, sf):
     """All flows of a drained packet stream; a last far packet moves the watermark past them."""
     packets = view(spark, sf, "packets")
     last = packets.orderBy(F.desc("seq")).limit(1).withColumns({
         "ts_us": F.col("ts_us") + F.lit(10**12), "src_ip": F.lit("flush"), "dst_ip": F.lit("flush")})
-    path = scratch_path(spark, "packets")
-    packets.repartition(3).write.parquet(f"{path}/a")
-    first = sscore.stream_parquet(spark, f"{path}/*", packets.schema)
-    out, check = scratch_path(spark, "flows"), scratch_path(spark, "flows-checkpoint")
-    stream = sflows.stream_flows(first, _STREAM_GAP)
-    sscore.write_stream(stream, out, check).awaitTermination()
-    last.write.parquet(f"{path}/b")
-    sscore.write_stream(stream, out, check).awaitTermination()
-    n = c("total fwd packets") + c("total backward packets")
-    size = c("total length of fwd packets") + c("total length of bwd packets")
-    return spark.read.parquet(out).filter("`source ip` <> 'flush'").select(
-        c("source ip"), c("source port"), c("destination ip"), "first_ts", c("flow duration"),
-        n.alias("packets"), size.alias("bytes"), c("max packet length"))
+    stream = sflows.stream_flows(_in_order(spark, packets, "seq", "packets", 4, last), _STREAM_GAP)
+    path, _ = _drain(spark, stream, "flows")
+    closed = spark.read.parquet(path).filter("kind = 'flow'")
+    return shown(closed, FEATURES, "source ip", "destination ip", "timestamp", "label", "first_ts", "n_packets")
+
+
+@query("stream_decisions", with_views("scored allowed blocked", f"WITH {_DECIDE} SELECT * FROM decisions"))
+def stream_decisions(spark, sf):
+    """Decisions made batch by batch are those of one batch over all rows."""
+    rows = view(spark, sf, "scored").select("row_index", "run_id", "prob", "src_ip")
+    path = scratch_path(spark, "decided")
+    sdecisions.stream_decisions(
+        _in_order(spark, rows, "row_index", "scored", 5), view(spark, sf, "allowed"), view(spark, sf, "blocked"), path,
+        scratch_path(spark, "decided-checkpoint")).awaitTermination()
+    shape = "run_id long, row_index long, prob double, src_ip string, action string, reason string, cmd string"
+    return sdecisions.decisions(spark, path, shape).drop("batch")
 
 
 # ---- captures --------------------------------------------------------------------------------

@@ -17,8 +17,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # how many micro-batches of timing a running stream keeps for the next poll
-    "spark.sql.streaming.numRecentProgressUpdates": "10000",
     # a busy session window is merged map-side before its state task
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # call-site capture costs several driver round trips per column expression

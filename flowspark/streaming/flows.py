@@ -1,53 +1,361 @@
-"""Continuous flow building with event-time sessions."""
+"""Continuous flow building: keyed state of time slices and arrival chunks, closed by event-time timers.
+
+Packets are combined to one piece per (flow, time slice) inside each Arrow batch, before they are
+shuffled. The state of an open flow holds one entry per time slice (counts, sums, extrema and the
+distinct times in it) and one per chunk of arrival numbers, so an update touches only the slices and chunks
+that new packets fall into, and closing a flow handles one of them at a time: pieces are sorted inside and
+then chained, as the batch operators do.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from flowspark.contract import ACTIVITY_TIMEOUT_US, FEATURES, FLOW_METADATA, FLOW_TIMEOUT_US, TCP_FLAGS
+from flowspark.operators.flows import FLOW_KEY, SLICE_US, name_directions, named_totals, with_flow_key
+
+# arrival numbers per entry of a flow's arrival state
+ARRIVAL_CHUNK = 1 << 16
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_NONE = 1 << 62
+
+# totals of a side, in the order of the state, with how two pieces combine
+_SIDE = [("n", "sum"), ("bytes", "sum"), ("squares", "sum"), ("psh", "sum"), ("urg", "sum"), ("hdr", "sum"),
+         ("data", "sum"), ("len_min", "min"), ("seg_min", "min"), ("win_seq", "min"), ("len_max", "max"), ("win", "first")]
+_TOTALS = [(f"{side}_{name}", how) for side in ("lo", "hi") for name, how in _SIDE] + \
+    [(f"{name}_n", "sum") for name in TCP_FLAGS]
+_AT = {name: i for i, (name, _) in enumerate(_TOTALS)}
+_EMPTY = {"sum": 0, "min": _NONE, "max": -_NONE, "first": -1}
+_SUM, _MIN, _MAX = (np.array([how == k for _, how in _TOTALS]) for k in ("sum", "min", "max"))
+
+
+# ---- pieces ----
+
+def _columns(t: pa.Table) -> dict[str, pa.ChunkedArray]:
+    """What the totals of a piece are made of, one column per total."""
+    def long(x):
+        return pc.cast(x, pa.int64())
+
+    flags, size, hdr = t["tcp_flags"], long(t["total_len"]), long(t["l4_hdr_len"])
+    is_tcp = pc.is_valid(flags)
+    payload = pc.subtract(pc.subtract(size, long(t["ip_hdr_len"])), hdr)
+
+    def has(bit):
+        return pc.fill_null(pc.not_equal(pc.bit_wise_and(flags, pa.scalar(bit, flags.type)), 0), False)
+
+    out = {}
+    for side, own in (("lo", t["from_lo"]), ("hi", pc.invert(t["from_lo"]))):
+        tcp = pc.and_(own, is_tcp)
+        none = pa.scalar(None, pa.int64())
+        out |= {
+            f"{side}_n": long(own), f"{side}_bytes": pc.if_else(own, size, 0),
+            f"{side}_squares": pc.if_else(own, pc.multiply(size, size), 0),
+            f"{side}_psh": long(pc.and_(own, has(TCP_FLAGS["psh"]))), f"{side}_urg": long(pc.and_(own, has(TCP_FLAGS["urg"]))),
+            f"{side}_hdr": pc.if_else(own, hdr, 0), f"{side}_data": long(pc.and_(tcp, pc.greater(payload, 0))),
+            f"{side}_len_min": pc.if_else(own, size, none), f"{side}_seg_min": pc.if_else(tcp, hdr, none),
+            f"{side}_win_seq": pc.if_else(tcp, t["seq"], none), f"{side}_len_max": pc.if_else(own, size, none),
+            f"{side}_win": pc.if_else(tcp, pc.fill_null(long(t["tcp_window"]), -1), none)}
+    return out | {f"{name}_n": long(has(bit)) for name, bit in TCP_FLAGS.items()}
+
+
+def _packed(lists: pa.ListArray) -> pa.Array:
+    """Lists of longs as their bytes."""
+    values = lists.flatten()
+    cuts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())) * 8
+    data = np.ascontiguousarray(values.to_numpy(zero_copy_only=False).astype("<i8"))
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.RecordBatch]:
+    """One row per flow and time slice of an Arrow batch: totals, and (arrival number, side) with time of each packet."""
+    folds = {"sum": "sum", "min": "min", "max": "max", "first": "first"}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the first window of a side is that of its first packet
+        t = pa.Table.from_batches([batch]).sort_by("seq")
+        times = t["ts_us"].to_numpy()
+        marks = t["seq"].to_numpy() * 2 + t["from_lo"].to_numpy(zero_copy_only=False)
+        work = pa.table({**{k: t[k] for k in FLOW_KEY}, "slice": pa.array(times // slice_us), "marks": pa.array(marks),
+                         "times": t["ts_us"], **_columns(t)})
+        made = work.group_by([*FLOW_KEY, "slice"], use_threads=False).aggregate(
+            [(name, folds[how]) for name, how in _TOTALS] + [("marks", "list"), ("times", "list")])
+        totals = np.stack([pc.fill_null(made[f"{name}_{folds[how]}"], _EMPTY[how]).to_numpy() for name, how in _TOTALS],
+                          axis=1).astype(np.int64)
+        cuts = np.arange(len(totals) + 1, dtype=np.int32) * len(_TOTALS)
+        yield pa.RecordBatch.from_arrays(
+            [*[made[k].combine_chunks() for k in [*FLOW_KEY, "slice"]],
+             pa.ListArray.from_arrays(pa.array(cuts), pa.array(totals.ravel())),
+             *[_packed(made[f"{x}_list"].combine_chunks()) for x in ("marks", "times")]],
+            names=[*FLOW_KEY, "slice", "totals", "marks", "times"])
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Totals of two pieces together."""
+    out = np.where(_SUM, a + b, np.where(_MIN, np.minimum(a, b), np.maximum(a, b)))
+    for side in ("lo", "hi"):
+        first = a if a[_AT[f"{side}_win_seq"]] <= b[_AT[f"{side}_win_seq"]] else b
+        out[_AT[f"{side}_win"]] = first[_AT[f"{side}_win"]]
+    return out
+
+
+# ---- statistics that chain ----
+
+class Moments:
+    """Count, mean, squared deviations, extrema of values that come in pieces."""
+
+    def __init__(self):
+        self.n, self.mean, self.squares, self.min, self.max = 0, 0.0, 0.0, math.inf, -math.inf
+
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            mean = float(values.mean())
+            away = values - mean
+            self.merge(len(values), mean, float((away * away).sum()), float(values.min()), float(values.max()))
+
+    def merge(self, n: int, mean: float, squares: float, least: float, most: float) -> None:
+        if n:
+            total, step = self.n + n, mean - self.mean
+            self.squares += squares + step * step * self.n * n / total
+            self.mean += step * n / total
+            self.n, self.min, self.max = total, min(self.min, least), max(self.max, most)
+
+    def shown(self, prefix: str, sep: str = "_") -> dict[str, float]:
+        """mean, sample std, max, min; zeros where there are no values."""
+        std = math.sqrt(max(self.squares, 0.0) / (self.n - 1)) if self.n > 1 else 0.0
+        stats = (self.mean, std, self.max, self.min) if self.n else (0.0, 0.0, 0.0, 0.0)
+        return {f"{prefix}{sep}{k}": float(v) for k, v in zip(("mean", "std", "max", "min"), stats)}
+
+
+class _Flow:
+    """A flow that is being closed: slices in time order, then arrivals in arrival order."""
+
+    def __init__(self, begin: int):
+        self.begin, self.end = begin, begin
+        self.totals = np.array([_EMPTY[how] for _, how in _TOTALS], np.int64)
+        self.gaps, self.active, self.idle = Moments(), [], []
+        self.slices: list[int] = []
+        self.first = self.last = None
+        self.sides = {0: [None, None, None, Moments()], 1: [None, None, None, Moments()]}
+
+    def add_slice(self, number: int, totals: np.ndarray, times: np.ndarray, activity_us: int) -> None:
+        first, last = int(times[0]), int(times[-1])
+        if self.slices:
+            border = first - self.end
+            self.gaps.merge(1, border, 0.0, border, border)
+            if border > activity_us:
+                self.active.append(self.end - self.begin_active)
+                self.idle.append(border)
+                self.begin_active = first
+        else:
+            self.begin_active = first
+        self.gaps.add(np.diff(times).astype(np.float64))
+        copies = int(totals[_AT["lo_n"]] + totals[_AT["hi_n"]]) - len(times)
+        self.gaps.merge(copies, 0.0, 0.0, 0.0, 0.0)
+        self.totals = _joined(self.totals, totals)
+        self.slices.append(number)
+        self.end = last
+
+    def add_arrivals(self, marks: np.ndarray, times: np.ndarray) -> None:
+        """Packets of the next arrival chunk, sorted by arrival."""
+        if not len(marks):
+            return
+        if self.first is None:
+            self.first = int(times[0])
+        self.last = int(times[-1])
+        for side in (0, 1):
+            own = times[(marks & 1) == side]
+            if len(own):
+                state = self.sides[side]
+                if state[0] is None:
+                    state[0], state[1] = int(marks[(marks & 1) == side][0] >> 1), int(own[0])
+                    gaps = np.diff(own)
+                else:
+                    gaps = np.diff(np.append(state[2], own))
+                state[3].add(gaps.astype(np.float64))
+                state[2] = int(own[-1])
+
+    def row(self) -> dict:
+        """Totals and order features under the names the batch operators use."""
+        t = {name: int(x) for (name, _), x in zip(_TOTALS, self.totals)}
+        out = {"n": t["lo_n"] + t["hi_n"], "first_ts": self.first, "last_ts": self.last,
+               **{f"{name}_n": t[f"{name}_n"] for name in TCP_FLAGS}}
+        sizes = [x for side in ("lo", "hi") if t[f"{side}_n"] for x in (t[f"{side}_len_min"], t[f"{side}_len_max"])]
+        both = {x: t[f"lo_{x}"] + t[f"hi_{x}"] for x in ("n", "bytes", "squares")}
+        out |= {"len_min": min(sizes), "len_max": max(sizes), **_average("len", both)}
+        for side, code in (("lo", 1), ("hi", 0)):
+            first_seq, head, tail, gaps = self.sides[code]
+            some = t[f"{side}_n"] > 0
+            out |= {f"{side}_{x}": t[f"{side}_{x}"] for x in ("n", "psh", "urg", "data")}
+            out |= {f"{side}_first_seq": first_seq,
+                    **{f"{side}_{x}": t[f"{side}_{x}"] if some else None for x in ("bytes", "hdr", "len_min", "len_max")},
+                    **_average(f"{side}_len", {x: t[f"{side}_{x}"] for x in ("n", "bytes", "squares")}),
+                    f"{side}_win": t[f"{side}_win"] if t[f"{side}_win_seq"] < _NONE else None,
+                    f"{side}_seg_min": t[f"{side}_seg_min"] if t[f"{side}_seg_min"] < _NONE else None,
+                    f"{side}_iat_total": float(tail - head) if some else 0.0, **gaps.shown(f"{side}_iat")}
+        out |= self.gaps.shown("flow iat", " ")
+        for name, values in (("active", [*self.active, self.end - self.begin_active]), ("idle", self.idle)):
+            moments = Moments()
+            if out["n"] > 1:
+                moments.add(np.array(values, np.float64))
+            out |= moments.shown(name, " ")
+        return out
+
+
+def _average(name: str, side: dict[str, int]) -> dict[str, float | None]:
+    """Mean and sample deviation from count, sum and sum of squares, in exact integers until the root."""
+    n, total = side["n"], side["bytes"]
+    squares = n * side["squares"] - total * total
+    return {f"{name}_avg": total / n if n else None,
+            f"{name}_std": math.sqrt(squares / (n * (n - 1))) if n > 1 else None}
+
+
+_LONGS = ["n", "first_ts", "last_ts", *[f"{x}_n" for x in TCP_FLAGS], "len_min", "len_max",
+          *[f"{s}_{x}" for s in ("lo", "hi") for x in (
+              "n", "psh", "urg", "data", "first_seq", "bytes", "hdr", "len_min", "len_max", "win", "seg_min")]]
+_DOUBLES = ["len_avg", "len_std", *[f"{s}_{x}" for s in ("lo", "hi") for x in (
+    "len_avg", "len_std", "iat_total", "iat_mean", "iat_std", "iat_max", "iat_min")],
+    *[f"{x} {s}" for x in ("flow iat", "active", "idle") for s in ("mean", "std", "max", "min")]]
+_KEY_DDL = "lo_ip string, lo_port int, hi_ip string, hi_port int, proto int"
+_CLOSED_DDL = f"kind string, {_KEY_DDL}, " + ", ".join(
+    [f"`{x}` long" for x in _LONGS] + [f"`{x}` double" for x in _DOUBLES])
+_CLOSED_COLUMNS = ["kind", *FLOW_KEY, *_LONGS, *_DOUBLES]
+
+
+# ---- state ----
+
+class FlowState(StatefulProcessor):
+    """State of the open flows of one key."""
+
+    def __init__(self, timeout_us: int, activity_us: int, slice_us: int):
+        self.timeout_us, self.activity_us, self.slice_us = timeout_us, activity_us, slice_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice long", "totals array<long>, times binary")
+        self.arrivals = handle.getMapState("arrivals", "chunk long", "marks binary, times binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # 0 stands for no watermark yet
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000 or -_NONE
+        late, slices, marks, times = 0, {}, [], []
+        for part in rows:
+            for number, totals, m, t in zip(part["slice"], part["totals"], part["marks"], part["times"]):
+                t = np.frombuffer(t, "<i8")
+                if (number + 1) * self.slice_us <= watermark:
+                    late += len(t)
+                    continue
+                slices.setdefault(int(number), []).append((np.array(totals, np.int64), t))
+                marks.append(np.frombuffer(m, "<i8"))
+                times.append(t)
+        if slices:
+            self._store(slices, np.concatenate(marks), np.concatenate(times))
+        if late:
+            row = dict(zip(_CLOSED_COLUMNS, ["late", *key])) | {"n": late}
+            yield _frame([row])
+
+    def _store(self, slices: dict, marks: np.ndarray, times: np.ndarray) -> None:
+        for number, parts in slices.items():
+            if self.slices.containsKey((number,)):
+                totals, t = self.slices.getValue((number,))
+                parts.append((np.array(totals, np.int64), np.frombuffer(t, "<i8")))
+            merged = parts[0][0]
+            for totals, _ in parts[1:]:
+                merged = _joined(merged, totals)
+            self.slices.updateValue((number,), (
+                merged.tolist(), np.unique(np.concatenate([t for _, t in parts])).astype("<i8").tobytes()))
+        chunk = (marks >> 1) // ARRIVAL_CHUNK
+        for number in np.unique(chunk).tolist():
+            m, t = marks[chunk == number], times[chunk == number]
+            if self.arrivals.containsKey((number,)):
+                old = [np.frombuffer(x, "<i8") for x in self.arrivals.getValue((number,))]
+                m, t = np.append(old[0], m), np.append(old[1], t)
+            self.arrivals.updateValue((number,), (m.astype("<i8").tobytes(), t.astype("<i8").tobytes()))
+        # timers stand at multiples of the timeout, so a busy flow has few of them
+        quiet = int(times.max()) + self.timeout_us + self.slice_us
+        self.handle.registerTimer((quiet // self.timeout_us + 1) * self.timeout_us // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        numbers = sorted(k[0] for k in self.slices.keys())
+        flows: list[_Flow] = []
+        for number in numbers:
+            totals, t = self.slices.getValue((number,))
+            t = np.frombuffer(t, "<i8")
+            if not flows or int(t[0]) - flows[-1].end > self.timeout_us:
+                flows.append(_Flow(int(t[0])))
+            flows[-1].add_slice(number, np.array(totals, np.int64), t, self.activity_us)
+        # a packet that is not late any more would come a timeout after the end
+        ended = [f for f in flows if f.end + self.timeout_us + self.slice_us <= watermark]
+        if not ended:
+            return
+        begins = np.array([f.begin for f in flows])
+        for number in sorted(k[0] for k in self.arrivals.keys()):
+            m, t = (np.frombuffer(x, "<i8") for x in self.arrivals.getValue((number,)))
+            order = np.argsort(m, kind="stable")
+            m, t = m[order], t[order]
+            flow = np.searchsorted(begins, t, "right") - 1
+            for i, f in enumerate(ended):
+                f.add_arrivals(m[flow == i], t[flow == i])
+            rest = flow >= len(ended)
+            if rest.any():
+                self.arrivals.updateValue((number,), (m[rest].tobytes(), t[rest].tobytes()))
+            else:
+                self.arrivals.removeKey((number,))
+        for f in ended:
+            for number in f.slices:
+                self.slices.removeKey((number,))
+        yield _frame([dict(zip(_CLOSED_COLUMNS, ["flow", *key])) | f.row() for f in ended])
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_CLOSED_COLUMNS)
+    return out.astype({**{x: "Int64" for x in [*_LONGS, "lo_port", "hi_port", "proto"]}, **{x: "float64" for x in _DOUBLES}})
+
+
+# ---- stream ----
 
-from flowspark.contract import FLOW_TIMEOUT_US, TCP_FLAGS
-from flowspark.functions.scalar import flag_set, safe_div, safe_stat
-from flowspark.operators.flows import FLOW_KEY, with_flow_key
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keep the state of streams that start from now on in RocksDB, which timers and keyed maps need."""
+    spark.conf.set(_STORE, ROCKSDB)
 
 
-def stream_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US,
-                 late_us: int = 60_000_000) -> DataFrame:
-    """Closed flows of a packet stream with their mergeable features.
+def stream_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, late_us: int = 60_000_000,
+                 activity_timeout_us: int = ACTIVITY_TIMEOUT_US, slice_us: int = SLICE_US) -> DataFrame:
+    """Closed flows of a packet stream, with the columns of the batch flow table, and counts of late packets.
 
-    A flow ends after ``timeout_us`` of silence. State per open flow is one aggregate row,
-    merged as packets arrive; packets later than ``late_us`` are dropped by the watermark.
-    Gap and period features need all packets of a flow in order; they are computed by the
-    batch operators over the stored packets.
+    A row of ``kind`` ``flow`` is a flow that ended with more than ``timeout_us`` of silence: ``first_ts``,
+    ``n_packets``, the identification columns and all features, equal to those of ``flow_table`` over
+    ``split_on_timeout`` of the same packets, in whatever order they arrive. A row of ``kind`` ``late`` counts,
+    in ``n_packets``, packets of a flow and batch whose time slice the watermark (``late_us`` behind the
+    newest packet) had passed; those are in no flow. State of a flow is gone when it is closed. The
+    query needs RocksDB state, which is set for the session.
     """
-    timed = with_flow_key(packets).withColumn("ts", F.timestamp_micros("ts_us")) \
-        .withWatermark("ts", f"{late_us // 1000} milliseconds")
-    # a session includes silences equal to its gap only if the gap is one tick longer
-    session = F.session_window("ts", f"{timeout_us + 1} microseconds")
-    own, flags, size = F.col("from_lo"), F.col("tcp_flags"), F.col("total_len")
-    first = F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port"), "seq")
-    flows = timed.groupBy(*FLOW_KEY, session).agg(
-        first.alias("first"), F.min_by("ts_us", "seq").alias("first_ts"),
-        F.max_by("ts_us", "seq").alias("last_ts"), F.count(F.lit(1)).alias("n"),
-        F.count_if(own).alias("lo_n"), F.sum(size.cast("bigint")).alias("bytes"),
-        F.sum(F.when(own, size.cast("bigint")).otherwise(0)).alias("lo_bytes"),
-        F.min(size).alias("len_min"), F.max(size).alias("len_max"), F.avg(size).alias("len_avg"),
-        F.stddev_samp(size).alias("len_std"),
-        *[F.count_if(flag_set(flags, bit)).alias(f"{name} flag count")
-          for name, bit in TCP_FLAGS.items()])
-    lo_first = (F.col("first.src_ip") == F.col("lo_ip")) & (F.col("first.src_port") == F.col("lo_port"))
-    fwd_n = F.when(lo_first, F.col("lo_n")).otherwise(F.col("n") - F.col("lo_n"))
-    fwd_b = F.when(lo_first, F.col("lo_bytes")).otherwise(F.col("bytes") - F.col("lo_bytes"))
-    duration = F.col("last_ts") - F.col("first_ts")
-    return flows.select(
-        F.col("first.src_ip").alias("source ip"), F.col("first.src_port").alias("source port"),
-        F.col("first.dst_ip").alias("destination ip"),
-        F.col("first.dst_port").alias("destination port"), F.col("proto").alias("protocol"),
-        F.col("first_ts"), duration.alias("flow duration"),
-        fwd_n.alias("total fwd packets"), (F.col("n") - fwd_n).alias("total backward packets"),
-        fwd_b.alias("total length of fwd packets"),
-        (F.col("bytes") - fwd_b).alias("total length of bwd packets"),
-        F.col("len_min").alias("min packet length"), F.col("len_max").alias("max packet length"),
-        F.col("len_avg").alias("packet length mean"),
-        safe_stat(F.col("len_std")).alias("packet length std"),
-        safe_div(F.col("n"), duration / F.lit(1_000_000)).alias("flow packets/s"),
-        *[F.col(f"{name} flag count") for name in TCP_FLAGS])
+    width = min(slice_us, activity_timeout_us, timeout_us)
+    use_keyed_state(packets.sparkSession)
+    timed = packets.withColumn("__ts", F.timestamp_micros("ts_us")).withWatermark("__ts", f"{late_us // 1000} milliseconds")
+    keyed = with_flow_key(timed).select(*FLOW_KEY, "from_lo", "seq", "ts_us", "total_len", "ip_hdr_len", "l4_hdr_len",
+                                        "tcp_flags", "tcp_window")
+    pieces = keyed.mapInArrow(partial(_pieces, slice_us=width),
+                              f"{_KEY_DDL}, slice long, totals array<long>, marks binary, times binary")
+    closed = pieces.groupBy(*FLOW_KEY).transformWithStateInPandas(
+        FlowState(timeout_us, activity_timeout_us, width), _CLOSED_DDL, "append", "eventTime")
+    order = [f"`{x} {s}`" for x in ("flow iat", "active", "idle") for s in ("mean", "std", "max", "min")]
+    gaps = [f"{s}_iat_{x}" for s in ("lo", "hi") for x in ("total", "mean", "std", "max", "min")]
+    table = named_totals(closed, FLOW_KEY, "kind", *order, *gaps)
+    return table.select("*", *name_directions(table)).select(
+        "kind", "first_ts", "n_packets", *[f"`{x}`" for x in [*FLOW_METADATA, *FEATURES]])

@@ -73,43 +73,14 @@ def stream_first_seen(scored: DataFrame, allowed: DataFrame, run: Sequence[str]
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
-                 poll_seconds: int | None = None) -> StreamingQuery:
+                 poll_seconds: int | None = None, name: str | None = None) -> StreamingQuery:
     """Append to files exactly once; ``poll_seconds=None`` drains what is there and stops."""
     writer = df.writeStream.outputMode("append").format(fmt) \
         .option("path", path).option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
     if poll_seconds is None:
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=f"{poll_seconds} seconds")
     return writer.start()
-
-
-def stage_timing(query: StreamingQuery, variant: str = "spark", after: int = -1) -> list[dict]:
-    """One timing row per micro-batch later than batch ``after``, from the query's progress events.
-
-    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` events. A long running query is
-    polled with the last batch seen and the rows are appended to a table; a poll that comes too
-    late fails instead of leaving a gap. ``preprocess`` is Spark's planning of the batch, ``inference`` its
-    execution: cleaning, scoring and writing run fused in one stage.
-    """
-    rows, kept = [], list(query.recentProgress)
-    number = lambda p: int(p["batchId"] if isinstance(p, dict) else p.batchId)
-    limit = int(query._jsq.sparkSession().conf().get("spark.sql.streaming.numRecentProgressUpdates", "100")) \
-        if hasattr(query, "_jsq") else len(kept) + 1
-    if len(kept) >= limit and number(kept[0]) > after + 1:
-        raise ValueError(f"progress of batches {after + 1} to {number(kept[0]) - 1} is no longer kept: poll more often")
-    for p in (p for p in kept if number(p) > after):
-        ms = dict(p.durationMs if not isinstance(p, dict) else p["durationMs"])
-        get = (lambda k: p[k]) if isinstance(p, dict) else (lambda k: getattr(p, k))
-        total = float(ms.get("triggerExecution", 0))
-        parts = {
-            "read": float(ms.get("latestOffset", 0) + ms.get("getBatch", 0)),
-            "preprocess": float(ms.get("queryPlanning", 0)),
-            "inference": float(ms.get("addBatch", 0)),
-            "log": float(ms.get("walCommit", 0) + ms.get("commitOffsets", 0)),
-        }
-        parts["postprocess"] = max(0.0, total - sum(parts.values()))
-        rows.append({"timestamp": get("timestamp"), "variant": variant,
-                     "batch_idx": int(get("batchId")), "n_rows": int(get("numInputRows")),
-                     **{f"t_{k}_ms": v for k, v in parts.items()}, "t_total_ms": total})
-    return rows
