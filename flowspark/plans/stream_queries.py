@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from flowspark.contract import FEATURES
 from flowspark.operators import clean as cl
@@ -13,9 +13,11 @@ from flowspark.plans.decision_queries import _DECIDE
 from flowspark.plans.packet_queries import _FID, _K, _KEYED, _SQL, DIGITS, _flow_ctes, _segments_sql, shown
 from flowspark.plans.registry import b, query, rounded
 from flowspark.session import materialize, scratch_path
+from flowspark.sources import growing
 from flowspark.sources.captures import decode_captures
 from flowspark.streaming import decisions as sdecisions
 from flowspark.streaming import flows as sflows
+from flowspark.streaming import runs as sruns
 from flowspark.streaming import score as sscore
 from flowspark.streaming import timing as stiming
 
@@ -34,6 +36,19 @@ def _staged(spark, df, name, parts=4):
     return sscore.stream_parquet(spark, path, df.schema, max_files=2)
 
 
+def _in_order(spark, df, order, name, parts=4, last=None):
+    """A stream of files that arrive in the order of a column, one per batch; ``last`` comes after them."""
+    path = scratch_path(spark, name)
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    width = (ends.b - ends.a) // parts + 1
+    for i in range(parts):
+        part = df.filter((F.col(order) >= ends.a + i * width) & (F.col(order) < ends.a + (i + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return sscore.stream_parquet(spark, path, df.schema, max_files=1)
+
+
 @query("stream_flow_csv", with_views("scored", "SELECT row_index, run_id, prob, nullif(trim(src_ip), '') AS src_ip FROM scored"))
 def stream_flow_csv(spark, sf):
     rows = view(spark, sf, "scored").select("row_index", "run_id", "prob", "src_ip")
@@ -43,6 +58,21 @@ def stream_flow_csv(spark, sf):
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@query("stream_growing_csv", with_views("scored", """
+SELECT CAST(0 AS BIGINT) AS run_id, row_index, prob, nullif(trim(src_ip), '') AS src_ip FROM scored"""))
+def stream_growing_csv(spark, sf):
+    """One file as a stream of lines, columns found by its header."""
+    rows = view(spark, sf, "scored").select("prob", "src_ip", F.col("row_index").alias("row"))
+    folder = scratch_path(spark, "growing")
+    rows.coalesce(1).write.option("header", True).csv(folder)
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").first().path
+    wanted = T.StructType.fromDDL("row long, prob double, src_ip string")
+    stream = growing.stream_growing_csv(spark, file, wanted, scratch_path(spark, "growing-state"))
+    path, _ = _drain(spark, stream, "grown")
+    return spark.read.parquet(path).select("run_id", F.col("row").alias("row_index"), "prob",
+                                           F.nullif("src_ip", F.lit("")).alias("src_ip"))
+
+
 @query("stream_alerts", with_views("scored", "SELECT 7 AS ts, prob, row_index FROM scored WHERE prob >= 0.5"))
 def stream_alerts(spark, sf):
     stream = _staged(spark, view(spark, sf, "scored"), "scored")
@@ -55,8 +85,11 @@ SELECT DISTINCT run_id, trim(coalesce(src_ip, 'nan')) AS ip FROM scored
 WHERE prob >= 0.5 AND trim(coalesce(src_ip, 'nan')) NOT IN ('', 'nan')
   AND src_ip NOT IN (SELECT ip FROM allowed)"""))
 def stream_first_seen(spark, sf):
-    stream = _staged(spark, view(spark, sf, "scored"), "scored")
-    path, _ = _drain(spark, sscore.stream_first_seen(stream, view(spark, sf, "allowed")), "seen")
+    """Rows a second apart; a run that is silent for half an hour of event time has ended."""
+    rows = view(spark, sf, "scored").select("row_index", "run_id", "prob", "src_ip")
+    seen = sruns.stream_run_addresses(_in_order(spark, rows, "row_index", "scored", 4), view(spark, sf, "allowed"),
+                                      F.timestamp_seconds("row_index"), idle_ms=1_800_000)
+    path, _ = _drain(spark, seen, "seen")
     return spark.read.schema("run_id long, ip string").parquet(path).select("run_id", "ip")
 
 
@@ -112,19 +145,6 @@ def stage_timing(spark, sf):
 _STREAM_GAP = 10_000_000
 
 
-def _in_order(spark, df, order, name, parts=4, last=None):
-    """A stream of files that arrive in the order of a column, one per batch; ``last`` comes after them."""
-    path = scratch_path(spark, name)
-    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = (ends.b - ends.a) // parts + 1
-    for i in range(parts):
-        part = df.filter((F.col(order) >= ends.a + i * width) & (F.col(order) < ends.a + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
-    if last is not None:
-        last.coalesce(1).write.mode("append").parquet(path)
-    return sscore.stream_parquet(spark, path, df.schema, max_files=1)
-
-
 @query("stream_flows", with_views("packets", f"""
 WITH {_KEYED}, {_segments_sql(_STREAM_GAP)}, {_flow_ctes(_K + ", segment", "split")}
 SELECT {_FID} AS "flow id", f_ip AS "source ip", d_ip AS "destination ip",

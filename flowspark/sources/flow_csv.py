@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.contract import FEATURES
-from flowspark.functions.scalar import c
+from flowspark.functions.scalar import c, quoted
 from flowspark.operators.schema import (
     cast_if_numeric, cast_numeric, normalize_columns, unify_label,
 )
@@ -57,10 +57,15 @@ def unique_headers(names: Sequence[str | None]) -> list[str]:
     return out
 
 
-def text_rows(reader, width: int):
-    """A CSV reader (batch or stream) of ``width`` text columns that keeps every row."""
-    schema = ", ".join(f"c{i} string" for i in range(width)) + ", __bad string"
+def text_rows(reader, width: int, names: Sequence[str] = ()):
+    """A CSV reader (batch or stream) of ``width`` text columns that keeps every row.
+
+    With ``names``, a file whose header has other names, or the same in another order, fails the read;
+    case and blanks around a name do not matter.
+    """
+    schema = ", ".join(f"{quoted(x)} string" for x in names or [f"c{i}" for i in range(width)]) + ", __bad string"
     return reader.schema(schema).option("header", True).option("mode", "PERMISSIVE") \
+        .option("enforceSchema", not names) \
         .option("columnNameOfCorruptRecord", "__bad").option("columnPruning", False) \
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
 

@@ -1,4 +1,4 @@
-"""Continuous scoring, alerts and first-seen state."""
+"""Continuous scoring and alerts."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flowspark.contract import DEFAULT_THRESHOLD, FEATURES
-from flowspark.functions.scalar import json_record, valid_ip_text
+from flowspark.functions.scalar import json_record
 from flowspark.operators.actions import attack_rows
-from flowspark.operators.lookups import exclude_members
 from flowspark.operators.schema import normalize_columns
 from flowspark.operators.scoring import Layer, prepare_features, score_binary
 from flowspark.sources.flow_csv import checked_rows, text_rows
@@ -23,12 +22,14 @@ def stream_flow_csv(spark: SparkSession, folder: str, schema: T.StructType,
     """New CSV files of a folder as a stream. Offsets live in the query's checkpoint.
 
     As in the batch reader, every value is read as text and cast: an unreadable number is NULL, a
-    short row is padded, a long one fails, and names are normalised. Columns follow the schema's order.
+    short row is padded, a long one fails, and names are normalised. A file whose header has other names than
+    the schema, or another order, fails the stream instead of being misread; case and blanks do not matter.
     """
-    reader = text_rows(spark.readStream, len(schema.fields))
+    width = len(schema.fields)
+    reader = text_rows(spark.readStream, width, [x.strip() for x in schema.names])
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = checked_rows(reader.csv(folder), len(schema.fields))
+    rows = checked_rows(reader.csv(folder).toDF(*[f"c{i}" for i in range(width)], "__bad"), width)
     return normalize_columns(rows.select(*[
         F.col(f"c{i}").alias(f.name) if isinstance(f.dataType, T.StringType)
         else F.col(f"c{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]))
@@ -58,20 +59,6 @@ def stream_alerts(scored: DataFrame, ts: Column, prob: str = "prob",
         json_record(ts=ts, prob=F.col(prob), row_index=F.col(row_index)).alias("value"))
 
 
-def stream_first_seen(scored: DataFrame, allowed: DataFrame, run: Sequence[str] = ("run_id",),
-                      ip: str = "src_ip", prob: str = "prob",
-                      threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Each attacking, valid, not allowed address once per run.
-
-    State holds one entry per (run, address). The run number is part of the key, so a new run
-    starts with an empty set.
-    """
-    text = F.trim(F.coalesce(F.col(ip), F.lit("nan")))
-    attacks = attack_rows(scored, prob, threshold).select(*run, text.alias("ip")) \
-        .filter(valid_ip_text(F.col("ip")))
-    return exclude_members(attacks, allowed, "ip").dropDuplicates([*run, "ip"])
-
-
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
                  poll_seconds: int | None = None, name: str | None = None) -> StreamingQuery:
     """Append to files exactly once; ``poll_seconds=None`` drains what is there and stops."""

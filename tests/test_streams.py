@@ -252,3 +252,15 @@ def test_ranges_of_a_file_give_every_line_once(tmp_path, monkeypatch, size):
     got = [(r["row_index"], r["value"]) for p in reader.partitions(reader.initialOffset(), end)
            for batch in reader.read(p) for r in batch.to_pylist()]
     assert [v for _, v in sorted(got)] == lines and len(got) == len({o for o, _ in got})
+
+
+def test_a_csv_stream_refuses_columns_in_another_order(spark, tmp_path):
+    schema = spark.createDataFrame([], "` A` long, b long").schema
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.csv").write_text(" A , b\n1,2\n3\n")
+    rows, _ = drained(spark, sscore.stream_flow_csv(spark, str(folder), schema), str(tmp_path))
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 2), (3, None)]
+    (folder / "2.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        drained(spark, sscore.stream_flow_csv(spark, str(folder), schema), str(tmp_path))
