@@ -1,176 +1,152 @@
-"""Exact quantiles and rank cuts without collecting a group.
+"""Exact quantiles by distributed selection.
 
-``percentile`` and ``median`` keep every distinct value of a group in one task. Here a
-mergeable sketch first brackets the wanted rank; only values inside the bracket are then
-counted exactly, and everything below it collapses to a single counter during map-side
-combining. A bracket holds about ``4 / accuracy`` of the group (all of a group below
-``4 * accuracy`` rows), equal values count as one row.
+``percentile`` and ``median`` keep every distinct value of a group in one task. Here a value becomes a 64-bit key
+that sorts like it, and the wanted ranks are found from the top: one scan counts the keys' leading 16 bits,
+which says which of those hold a rank and how many values are left there; the next scan counts the next
+16 bits of those values alone, and so on. Counts merge map-side, and a histogram has at most 2 ** 16 rows per group,
+column and narrowed range. Once no range holds more than ``LEFT`` values, one scan counts these by
+themselves. So any number of columns and probabilities takes two scans as a rule and four at most.
 
-Bracket and counts come from the same joined rows, so the result is exact for whatever
-bracket the sketch gives; a bracket that misses its rank raises instead of guessing.
+The rounds run when the function is called, since each decides what the next one reads; their few result rows
+are written to the session's shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.scalar import quoted, sql_text
-from flowspark.operators.lookups import few
+from flowspark.operators.lookups import FEW_ROWS
+from flowspark.session import materialize
 
-ACCURACY = 10_000
+# values of one range that are sorted in one task at the end
+LEFT = 1 << 18
+BITS = 16
+_MANTISSA = 1 << 52
+_LEAST_NORMAL = "2.2250738585072014E-308D"
 
 
-def _attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Group columns next to the rows; NULL is a group key like any other. Groups must be few (runs)."""
-    if not keys:
-        return rows.crossJoin(F.broadcast(groups))
-    renamed = groups.withColumnsRenamed({k: f"__group_{k}" for k in keys})
-    renamed = few(renamed)
-    same = [rows[f"`{k}`"].eqNullSafe(renamed[f"`__group_{k}`"]) for k in keys]
-    return rows.join(renamed, same).drop(*[f"__group_{k}" for k in keys])
+def sql_order_key(x: str) -> str:
+    """SQL text: a BIGINT that sorts like the DOUBLE ``x``; NULL for NULL. NaN must be gone.
+
+    Size and fraction are taken apart exactly: powers of two and divisions by them do not round.
+    """
+    a = f"abs({x})"
+    # the logarithm may be off by one next to a power of two
+    e = f"floor(log2({a}))"
+    e = f"({e} + CASE WHEN {a} < pow(2D, {e}) THEN -1 WHEN {a} >= 2D * pow(2D, {e}) THEN 1 ELSE 0 END)"
+    size = (f"CASE WHEN {a} = double('Infinity') THEN {2047 * _MANTISSA}L "
+            f"WHEN {a} >= {_LEAST_NORMAL} THEN CAST({e} + 1023 AS BIGINT) * {_MANTISSA}L + "
+            f"CAST(({a} / pow(2D, {e}) - 1D) * {_MANTISSA}D AS BIGINT) "
+            f"ELSE CAST({a} / {_LEAST_NORMAL} * {_MANTISSA}D AS BIGINT) END")
+    return f"CASE WHEN {x} = 0D THEN 0L WHEN {x} > 0D THEN {size} WHEN {x} < 0D THEN -({size}) END"
+
+
+def sql_from_key(k: str) -> str:
+    """SQL text: the DOUBLE of an order key."""
+    a = f"abs({k})"
+    size = (f"CASE WHEN {a} = {2047 * _MANTISSA}L THEN double('Infinity') WHEN {a} >= {_MANTISSA}L "
+            f"THEN pow(2D, CAST(shiftright({a}, 52) - 1023 AS DOUBLE)) * (1D + CAST({a} % {_MANTISSA}L AS DOUBLE) / {_MANTISSA}D) "
+            f"ELSE CAST({a} AS DOUBLE) / {_MANTISSA}D * {_LEAST_NORMAL} END")
+    return f"CASE WHEN {k} < 0 THEN -({size}) ELSE {size} END"
+
+
+def _entries(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(groups, ci, k): one row per row and column; the keys under names of their own."""
+    groups = [f"g{i}" for i in range(len(keys))]
+    rows = df.selectExpr(*[f"{quoted(x)} AS {g}" for x, g in zip(keys, groups)], *[
+        f"nanvl(CAST({quoted(x)} AS DOUBLE), NULL) AS v{i}" for i, x in enumerate(columns)])
+    each = ", ".join(f"struct({i} AS ci, {sql_order_key(f'v{i}')} AS k)" for i in range(len(columns)))
+    return rows.selectExpr(*groups, f"explode(array({each})) AS e").select(*groups, "e.*"), groups
+
+
+def _holding(counts: DataFrame, range_columns: list[str]) -> DataFrame:
+    """Of counted places ``b`` those that hold a wanted rank, with the ranks inside them."""
+    upto = F.sum("m").over(Window.partitionBy(*range_columns).orderBy("b")
+                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.expr("transform(filter(wanted, t -> t.rank >= upto - m AND t.rank < upto), "
+                    "t -> struct(t.id AS id, t.rank - (upto - m) AS rank))")
+    return counts.withColumn("upto", upto).withColumn("wanted", inside)
+
+
+def _started(entries: DataFrame, keys: list[str], probs: list[float], shift: int) -> DataFrame:
+    """(keys, ci, n, prefix, wanted, m) after the first scan; columns without values have a row without prefix."""
+    counts = entries.groupBy(*keys, "ci", F.shiftright("k", shift).alias("b")).agg(F.count("k").alias("m"))
+    whole = Window.partitionBy(*keys, "ci")
+    ranks = ", ".join(f"struct({2 * j} AS id, CAST(floor({p!r}D * (n - 1)) AS BIGINT) AS rank), "
+                      f"struct({2 * j + 1} AS id, CAST(ceil({p!r}D * (n - 1)) AS BIGINT) AS rank)"
+                      for j, p in enumerate(probs))
+    counted = counts.withColumn("n", F.sum("m").over(whole)).withColumn("wanted", F.expr(f"array({ranks})"))
+    # a column without values has the place NULL alone, which holds no rank
+    held = _holding(counted, [*keys, "ci"]).filter("size(wanted) > 0 OR n = 0")
+    return held.select(*keys, "ci", "n", F.col("b").alias("prefix"), "wanted", "m")
+
+
+def _narrowed(entries: DataFrame, found: DataFrame, keys: list[str], before: int, shift: int) -> DataFrame:
+    """(keys, ci, prefix, wanted, m) after one more scan of the values in the ranges ``found``."""
+    ranges = found.filter(F.col("prefix").isNotNull()).select(
+        *[F.col(k).alias(f"__on_{k}") for k in keys], F.col("ci").alias("__ci"), "prefix", "wanted")
+    # a few rows per group, column and probability; with many groups a plain join
+    if ranges.count() <= FEW_ROWS:
+        ranges = F.broadcast(ranges)
+    same = [entries[f"`{k}`"].eqNullSafe(ranges[f"`__on_{k}`"]) for k in keys]
+    hits = entries.join(ranges, [*same, entries["ci"] == ranges["__ci"],
+                                 F.shiftright(entries["k"], before) == ranges["prefix"]])
+    counts = hits.groupBy(*keys, "ci", "prefix", "wanted", F.shiftright("k", shift).alias("b")).agg(F.count("*").alias("m"))
+    return _holding(counts, [*keys, "ci", "prefix"]).filter("size(wanted) > 0").select(
+        *keys, "ci", F.col("b").alias("prefix"), "wanted", "m")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    keys: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+                    keys: Sequence[str] = (), left: int = LEFT) -> DataFrame:
     """Exact quantiles (linear interpolation), one row per (key, column, probability).
 
-    Result columns: ``keys``, ``name``, ``prob``, ``value``. NULL and NaN are left out; a
-    column without values gets a NULL value.
+    Result columns: ``keys``, ``name``, ``prob``, ``value``. NULL and NaN are left out; a column without values
+    gets a NULL value; NULL is a group key like any other. Reads ``df`` two to four times.
     """
-    keys, columns, probs = list(keys), list(columns), [float(p) for p in probs]
-    key_sql = [quoted(k) for k in keys]
-    rows = df.selectExpr(*key_sql, *[
-        f"nanvl(CAST({quoted(x)} AS DOUBLE), NULL) AS v{i}" for i, x in enumerate(columns)])
-    slack = 2.0 / accuracy
-    order = sorted(range(len(probs)), key=lambda j: probs[j])
-    bounds = ", ".join(f"{min(1.0, max(0.0, probs[j] + d))!r}D"
-                       for j in order for d in (-slack, slack))
-    sketched = rows.groupBy(*keys).agg(*[F.expr(e) for i in range(len(columns)) for e in (
-        f"count(v{i}) AS n{i}", f"array(min(v{i}), max(v{i})) AS ends{i}",
-        f"percentile_approx(v{i}, array({bounds}), {accuracy}) AS b{i}")])
-    # in a small group the slack is less than one rank: there the bracket is the whole group
-    groups = sketched.selectExpr(*key_sql, *[e for i in range(len(columns)) for e in (
-        f"n{i}", f"if(n{i} <= {4 * accuracy}, flatten(array_repeat(ends{i}, {len(probs)})), b{i}) "
-                 f"AS b{i}")])
-    joined = _attach(rows, groups, keys)
-
-    # A value inside a bracket keeps itself as its place; one between brackets takes the
-    # start of the next bracket, sorted just before it. Values above all brackets are dropped.
-    def entry(i: int) -> str:
-        spans = range(len(probs))
-        inside = " OR ".join(f"v{i} BETWEEN get(b{i}, {2 * k}) AND get(b{i}, {2 * k + 1})"
-                             for k in spans)
-        place = " ".join(f"WHEN v{i} < get(b{i}, {2 * k}) THEN get(b{i}, {2 * k})" for k in spans)
-        return (f"struct({i} AS ci, n{i} AS n, coalesce({inside}, false) AS exact, "
-                f"CASE WHEN {inside} THEN v{i} {place} END AS v)")
-
-    entries = ", ".join(entry(i) for i in range(len(columns)))
-    each = entries if len(columns) == 1 else f"explode(array({entries}))"
-    counts = joined.selectExpr(*key_sql, f"{each} AS e").select(*keys, "e.*") \
-        .filter(F.col("v").isNotNull() | (F.col("n") == 0)) \
-        .groupBy(*keys, "ci", "v", "exact").agg(
-            F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    running = Window.partitionBy(*keys, "ci").orderBy("v", "exact") \
-                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("m").over(running))
-
-    def at(rank: Column) -> Column:
-        here = (rank >= F.col("upto") - F.col("m")) & (rank < F.col("upto")) & F.col("exact")
-        return F.max(F.when(here, F.col("v")))
-
-    picks = []
-    for j, p in enumerate(probs):
-        position = F.lit(p) * (F.col("n") - 1)
-        picks += [at(F.floor(position)).alias(f"lower{j}"), at(F.ceil(position)).alias(f"upper{j}")]
-    picked = ranked.groupBy(*keys, "ci").agg(F.max("n").alias("n"), *picks)
-
-    def result(j: int, p: float) -> Column:
-        lower, upper = F.col(f"lower{j}"), F.col(f"upper{j}")
+    names, columns, probs = list(keys), list(columns), [float(p) for p in probs]
+    entries, keys = _entries(df, columns, names)
+    shift = 64 - BITS
+    first = found = materialize(_started(entries, keys, probs, shift), "ranges")
+    while shift:
+        most = found.agg(F.max("m")).first()[0] or 0
+        before, shift = shift, 0 if most <= left or shift == BITS else shift - BITS
+        if most:
+            found = materialize(_narrowed(entries, found, keys, before, shift), "ranges")
+    picks = found.filter(F.col("prefix").isNotNull()).select(*keys, "ci", F.expr(sql_from_key("prefix")).alias("v"),
+                                                             F.explode("wanted.id").alias("id"))
+    sides = picks.groupBy(*keys, "ci").agg(F.map_from_entries(F.collect_list(F.struct("id", "v"))).alias("at"))
+    # one row per group and column, with or without values
+    groups = first.select(*keys, "ci", "n").distinct()
+    renamed = sides.withColumnsRenamed({x: f"__on_{x}" for x in [*keys, "ci"]})
+    joined = groups.join(renamed, [groups[f"`{x}`"].eqNullSafe(renamed[f"`__on_{x}`"]) for x in [*keys, "ci"]], "left")
+
+    def value(j: int, p: float):
+        lower, upper = F.col("at")[2 * j], F.col("at")[2 * j + 1]
         position = F.lit(p) * (F.col("n") - 1)
-        missed = (F.col("n") > 0) & (lower.isNull() | upper.isNull())
-        value = lower + (upper - lower) * (position - F.floor(position))
-        return F.struct(F.lit(p).alias("prob"), F.when(missed, F.raise_error(
-            F.lit("quantile bracket missed its rank")).cast("double")).otherwise(value)
-            .alias("value"))
+        return lower + F.when(upper == lower, F.lit(0.0)).otherwise((upper - lower) * (position - F.floor(position)))
 
+    results = [F.struct(F.lit(p).alias("prob"), value(j, p).alias("value")) for j, p in enumerate(probs)]
     name = F.element_at(F.array(*[F.lit(x) for x in columns]), F.col("ci") + 1)
-    return picked.select(*keys, name.alias("name"), F.explode(F.array(
-        *[result(j, p) for j, p in enumerate(probs)])).alias("q")) \
-        .select(*keys, "name", "q.prob", "q.value")
+    return joined.select(*keys, name.alias("name"), F.explode(F.array(*results)).alias("q")).select(
+        *[F.col(g).alias(x) for g, x in zip(keys, names)], "name", "q.prob", "q.value")
 
 
 def quantile_row(df: DataFrame, outputs: dict[str, tuple[str, float]], keys: Sequence[str] = (),
-                 accuracy: int = ACCURACY) -> DataFrame:
+                 left: int = LEFT) -> DataFrame:
     """Exact quantiles side by side: ``outputs`` maps a name to (column, probability)."""
     columns = list(dict.fromkeys(x for x, _ in outputs.values()))
     probs = list(dict.fromkeys(p for _, p in outputs.values()))
-    long = exact_quantiles(df, columns, probs, keys, accuracy)
+    long = exact_quantiles(df, columns, probs, keys, left)
     return long.groupBy(*keys).agg(*[F.expr(
         f"max(CASE WHEN name = {sql_text(x)} AND prob = {float(p)!r}D THEN value END) "
         f"AS {quoted(out)}") for out, (x, p) in outputs.items()])
 
 
 def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
-            accuracy: int = ACCURACY) -> DataFrame:
+            left: int = LEFT) -> DataFrame:
     """Exact median of every column, named like the column."""
-    return quantile_row(df, {x: (x, 0.5) for x in columns}, keys, accuracy)
-
-
-def _at_rank(rows: DataFrame, value: str, ranks: DataFrame, grid: int) -> DataFrame:
-    """Value at a 0-based rank per ``part``, with how many rows lie strictly below it.
-
-    ``rows(part, value)`` and ``ranks(part, rank)``; parts are few (one per cut).
-    """
-    points = [i / grid for i in range(grid + 1)]
-    sketch = rows.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, points, F.lit(grid * 10)).alias("points"))
-    share = F.col("rank") * grid / F.greatest(F.col("n"), F.lit(1))
-    low_i = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")
-    high_i = F.least(F.ceil(share) + 1, F.lit(grid)).cast("int")
-    bracket = sketch.join(ranks, "part").select(
-        "part", "rank", F.get("points", low_i).alias("lo"), F.get("points", high_i).alias("hi"))
-    counts = rows.join(F.broadcast(bracket), "part").filter(F.col(value) <= F.col("hi")) \
-        .groupBy("part", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")) \
-        .agg(F.count(F.lit(1)).alias("m"), F.max("rank").alias("rank"))
-    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("v"))
-    upto = F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    first = F.col("upto") - F.col("m")
-    return counts.withColumn("upto", upto) \
-        .filter((F.col("rank") >= first) & (F.col("rank") < F.col("upto"))) \
-        .select("part", F.coalesce(F.col("v"), F.raise_error(
-            F.lit("rank bracket missed its rank")).cast("bigint")).alias("v"),
-            (F.col("rank") - first).alias("inside"))
-
-
-def order_cuts(df: DataFrame, order: Column, tie: Column, fractions: Sequence[float],
-               grid: int = 1000) -> DataFrame:
-    """One row with the cut keys of a split by position, without ranking the rows.
-
-    For the ordering (``order``, ``tie``), both BIGINT and the pair unique, fraction i of n
-    rows ends before the key (``cut_i``, ``tie_i``): the row at position ``int(f * n)``. The
-    key is NULL when the cut lies behind the last row.
-    """
-    keyed = df.select(order.alias("o"), tie.alias("t"))
-    n = keyed.agg(F.count(F.lit(1)).alias("n"))
-    parts = n.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("part"),
-                 F.floor(F.lit(float(f)) * F.col("n")).cast("bigint").alias("rank"))
-        for i, f in enumerate(fractions)])).alias("p")).select("p.*")
-    copies = F.explode(F.array(*[F.lit(i) for i in range(len(fractions))]))
-    primary = _at_rank(keyed.select(copies.alias("part"), "o"), "o", parts, grid)
-    tied = keyed.join(F.broadcast(primary), keyed.o == primary.v) \
-        .select("part", "t")
-    within = _at_rank(tied, "t", primary.select("part", F.col("inside").alias("rank")), grid)
-    cuts = primary.select("part", F.col("v").alias("cut")) \
-        .join(within.select("part", F.col("v").alias("tie")), "part")
-    # a rank below the row count must have been found: NULL means behind the last row, nothing else
-    sized = parts.crossJoin(F.broadcast(n)).join(cuts, "part", "left")
-    missed = (F.col("rank") < F.col("n")) & (F.col("cut").isNull() | F.col("tie").isNull())
-    checked = sized.withColumn("cut", F.when(missed, F.raise_error(F.lit("rank bracket missed its rank"))
-                                             .cast("bigint")).otherwise(F.col("cut")))
-    return checked.agg(*[F.max(F.when(F.col("part") == i, F.col(x))).alias(f"{x}_{i}")
-                         for i in range(len(fractions)) for x in ("cut", "tie")])
+    return quantile_row(df, {x: (x, 0.5) for x in columns}, keys, left)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowspark.contract import TRAIN_FRACTION, VALIDATION_FRACTION
 from flowspark.functions.scalar import c, is_attack_label
-from flowspark.operators.quantiles import order_cuts
+from flowspark.operators.positions import order_cuts
 
 LAST = 2**63 - 1
 SALTS = 64
@@ -40,8 +40,8 @@ def time_split(df: DataFrame, ts_us: Column, row_index: str, train: float = TRAI
                cuts: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = train / validation / test by position in time order.
 
-    Only the two cut keys are computed (or passed in); rows are compared with them, never
-    ranked or sorted. ``row_index`` must be a unique BIGINT.
+    Only the two cut keys are computed (or passed in), from a narrow copy of the order's columns; rows
+    are compared with them, never ranked or sorted. ``row_index`` must be a unique BIGINT.
     """
     if cuts is None:
         cuts = time_cuts(df, ts_us, row_index, train, validation)

@@ -10,13 +10,14 @@ from flowspark.operators import clean as cl
 from flowspark.operators import sampling as sp
 from flowspark.operators import schema as sm
 from flowspark.operators.evaluate import label_counts
+from flowspark.operators.positions import with_position
 from flowspark.operators.scoring import with_label_index
 from flowspark.plans.fixtures import table, view, with_views
 from flowspark.plans.packet_queries import flow_sql, shown
 from flowspark.plans.registry import query
 from flowspark.session import scratch_path
 from flowspark.sources import flow_csv
-from flowspark.sources.tables import write_flows
+from flowspark.sources.tables import with_row_index, write_flows
 
 
 def labelled(spark, sf):
@@ -80,11 +81,24 @@ def label_index(spark, sf):
     return with_label_index(named).select("doc_id", "class_idx")
 
 
-# position in the sorted order is checked through the value one place earlier
+def _written(spark, df, name):
+    """What a sorted table looks like once it is written: files in name order, rows in file order."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return with_row_index(spark, path, "position")
+
+
 @query("sort_by_time", with_views("labelled", """
-SELECT doc_id, ts_s FROM labelled ORDER BY ts_s NULLS LAST, doc_id"""))
+SELECT doc_id, ts_s, row_number() OVER (ORDER BY ts_s NULLS LAST, doc_id) - 1 AS position FROM labelled"""))
 def sort_by_time(spark, sf):
-    return sp.sort_by_time(labelled(spark, sf).select("doc_id", "ts_s"), "ts_s", "doc_id")
+    return _written(spark, sp.sort_by_time(labelled(spark, sf).select("doc_id", "ts_s"), "ts_s", "doc_id"), "sorted")
+
+
+@query("global_position", with_views("labelled", """
+SELECT doc_id, ts_s, row_number() OVER (ORDER BY ts_s NULLS LAST, doc_id) - 1 AS position FROM labelled"""))
+def global_position(spark, sf):
+    rows = labelled(spark, sf).select("doc_id", "ts_s")
+    return with_position(rows, [F.col("ts_s").asc_nulls_last(), F.col("doc_id")])
 
 
 @query("time_split", with_views("labelled", """
@@ -97,7 +111,7 @@ def time_split(spark, sf):
     return sp.time_split(labelled(spark, sf), F.col("ts_s"), "doc_id").select("doc_id", "part")
 
 
-_PER_FILE = 12
+_PER_FILE = 300
 _PICKED = f"""
 valid AS (SELECT * FROM labelled WHERE label IS NOT NULL),
 ranked AS (SELECT *, label <> 'BENIGN' AS attack,
@@ -118,16 +132,18 @@ def balanced_sample(spark, sf):
 
 
 @query("union_samples", with_views("labelled", f"""
-WITH {_PICKED} SELECT label <> 'BENIGN' AS attack, count(*) AS n FROM picked GROUP BY 1"""))
+WITH {_PICKED} SELECT label <> 'BENIGN' AS attack, file, doc_id, label FROM picked"""))
 def union_samples(spark, sf):
-    return _picked(spark, sf).groupBy((is_attack_label(F.col("label")) == 1).alias("attack")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    """The attack and the benign part of the sample, put together again."""
+    picked = _picked(spark, sf).select((is_attack_label(F.col("label")) == 1).alias("attack"), "file", "doc_id", "label")
+    return picked.filter("attack").unionByName(picked.filter("NOT attack"))
 
 
 @query("shuffle_rows", with_views("labelled", f"""
-WITH {_PICKED} SELECT doc_id, label FROM picked ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id"""))
+WITH {_PICKED} SELECT doc_id, label, row_number() OVER (ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id) - 1 AS position
+FROM picked"""))
 def shuffle_rows(spark, sf):
-    return sp.shuffle_rows(_picked(spark, sf), "doc_id", 42).select("doc_id", "label")
+    return _written(spark, sp.shuffle_rows(_picked(spark, sf), "doc_id", 42).select("doc_id", "label"), "shuffled")
 
 
 @query("union_by_name", """

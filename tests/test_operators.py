@@ -17,7 +17,10 @@ from flowspark.operators import ordered as od
 from flowspark.operators import reports as rp
 from flowspark.operators import scoring as sg
 from flowspark.operators.ordered import lag_in_order, running
-from flowspark.operators.quantiles import exact_quantiles, order_cuts
+from flowspark.operators import positions
+from flowspark.operators import quantiles as qu
+from flowspark.operators.positions import order_cuts
+from flowspark.operators.quantiles import exact_quantiles
 from flowspark.sources import flow_csv as fc
 from flowspark.sources.captures import decode_capture
 from flowspark.sources.flow_csv import discover_and_union, read_flow_csv, unique_headers
@@ -65,25 +68,92 @@ def test_missing_label_is_an_attack(spark):
     assert [r["y_true"] for r in sm.binary_label(df).collect()] == [1, 0, 1]
 
 
-@pytest.mark.parametrize("accuracy, size", [(20, 75), (20, 83), (20, 999), (100, 855), (10_000, 855)])
-def test_quantiles_match_numpy(spark, accuracy, size):
+@pytest.mark.parametrize("left, size", [(1, 75), (1, 83), (20, 999), (100, 855), (10_000, 855)])
+def test_quantiles_match_numpy(spark, left, size):
     import numpy as np
     rng = random.Random(size)
-    values = [rng.choice([0.0, rng.random(), rng.gauss(0, 1e6)]) for _ in range(size)]
-    df = spark.createDataFrame([("a", v) for v in values] + [(None, 2.0), (None, 4.0)], "k string, x double")
-    rows = exact_quantiles(df, ["x"], [0.0, 0.5, 0.95, 1.0], ["k"], accuracy).collect()
-    got = {(r["k"], r["prob"]): r["value"] for r in rows}
+    values = [rng.choice([0.0, rng.random(), rng.gauss(0, 1e6), 5e-324, -1e-310]) for _ in range(size)]
+    df = spark.createDataFrame([("a", v, None) for v in values] + [(None, 2.0, 1.0), (None, 4.0, float("nan"))],
+                               "k string, x double, y double")
+    rows = exact_quantiles(df, ["x", "y"], [0.0, 0.5, 0.95, 1.0], ["k"], left).collect()
+    got = {(r["k"], r["name"], r["prob"]): r["value"] for r in rows}
     for p in (0.0, 0.5, 0.95, 1.0):
-        assert got["a", p] == pytest.approx(np.quantile(values, p), rel=1e-12)
-    assert got[None, 0.5] == 3.0
+        assert got["a", "x", p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+        assert got["a", "y", p] is None and got[None, "y", p] == 1.0
+    assert got[None, "x", 0.5] == 3.0
+    assert exact_quantiles(df.limit(0), ["x"], [0.5], ["k"], left).count() == 0
+
+
+def test_order_keys_sort_like_doubles_and_come_back(spark):
+    import struct
+    rng = random.Random(4)
+    values = [0.0, 1.0, 2.0, 4.0, 1.7976931348623157e308, 2.2250738585072014e-308, 2.225073858507201e-308, 5e-324,
+              float("inf")]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(500)]
+    values += [2.0 ** rng.randint(-1074, 1023) for _ in range(200)]
+    values += [v * (1 + s * 2.0 ** -52) for v in (2.0 ** k for k in range(-50, 60, 7)) for s in (1, -1)]
+    values = sorted({s * v for v in values if v == v for s in (1, -1)})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r for r in df.selectExpr("v", f"{qu.sql_order_key('v')} AS k").selectExpr(
+        "v", "k", f"{qu.sql_from_key('k')} AS back").collect()}
+    keys = [got[v].k for v in values]
+    assert all(a < b for a, b in zip(keys, keys[1:])) and all(got[v].back == v for v in values)
+    # the bits of a double, but for the sign
+    assert all(got[v].k == struct.unpack("<q", struct.pack("<d", v))[0] for v in values if v > 0)
+
+
+def test_quantiles_read_few_times_and_sort_no_share_of_the_rows(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, name)
+
+    original = qu.materialize
+    monkeypatch.setattr(qu, "materialize", kept)
+    path = str(tmp_path / "x")
+    spark.range(20_000).select(*[(F.col("id") * (i + 1) % 7919 / 7).alias(f"x{i}") for i in range(5)]).write.parquet(path)
+    columns = [f"x{i}" for i in range(5)]
+    for left, scans in ((10, 4), (qu.LEFT, 2)):
+        plans.clear()
+        out = exact_quantiles(spark.read.parquet(path), columns, [0.1, 0.5], left=left)
+        assert out.count() == 10 and len(plans) <= scans
+        for i, plan in enumerate(plans):
+            assert plan.count(f"{path}") == 1
+            # windows see counted places, never rows
+            assert plan.index("Window") < plan.index("HashAggregate") < plan.index("Generate")
 
 
 def test_order_cuts_with_one_crowded_instant(spark):
     rows = [(10 if i % 3 else i, i) for i in range(200)]
     df = spark.createDataFrame(rows, "ts long, id long")
-    cut = order_cuts(df, F.col("ts"), F.col("id"), [0.5, 1.0], grid=10).first()
+    cut = order_cuts(df, F.col("ts"), F.col("id"), [0.5, 1.0]).first()
     assert (cut["cut_0"], cut["tie_0"]) == sorted(rows)[100]
     assert cut["cut_1"] is None
+    none = order_cuts(df.limit(0), F.col("ts"), F.col("id"), [0.5]).first()
+    assert none["cut_0"] is None
+
+
+def test_positions_in_a_global_order(spark):
+    rows = [(7 if i % 3 else None, (i * 37) % 211) for i in range(211)]
+    df = spark.createDataFrame(rows, "ts long, id long").repartition(5)
+    got = positions.with_position(df, [F.col("ts").asc_nulls_last(), F.col("id")]).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [(r.ts, r.id) for r in sorted(got, key=lambda r: r.position)] == order
+    assert sorted(r.position for r in got) == list(range(211))
+
+
+def test_time_split_reads_its_input_twice(spark, tmp_path, monkeypatch):
+    from flowspark.operators import sampling
+    path, stored = str(tmp_path / "x"), []
+    original = positions.materialize
+    monkeypatch.setattr(positions, "materialize", lambda df, name: stored.append(
+        df._jdf.queryExecution().executedPlan().toString()) or original(df, name))
+    spark.range(1000).selectExpr("id", "id * 37 % 101 AS ts").write.parquet(path)
+    split = sampling.time_split(spark.read.parquet(path), F.col("ts"), "id")
+    assert sorted(r["count"] for r in split.groupBy("part").count().collect()) == [150, 150, 700]
+    plans = [*stored, split._jdf.queryExecution().executedPlan().toString()]
+    assert sum(p.count(path) for p in plans) == 2
 
 
 def test_running_and_lag_across_chunks(spark):
