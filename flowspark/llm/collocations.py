@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,31 +14,30 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowspark.llm.common import word_slabs
 from flowspark.session import materialize
 
 LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
-# words a task gathers before it counts them, and rows it hands on at once
-BUFFER_WORDS = 1 << 19
+# bytes of text that a task hashes at once, and rows it hands on at once
+SLICE_BYTES = 4 << 20
 OUT_ROWS = 1 << 15
+# a longer word is hashed and compared by its SHA-256
+WORD_BYTES = 1 << 20
+# words that are compared with others of their fingerprint at once
+CHECKED_WORDS = 1 << 16
 # bits of the set that lets n-grams through whose parts are frequent; a full set lets more through, never less
 FILTER_BITS = 1 << 26
 # every separator of pieces becomes this one; no word holds it
 SEPARATOR = b"."
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", SEPARATOR * 10)
+_BLANK = np.isin(np.arange(256), list(b" \t"))
+_CUT = ord(SEPARATOR)
 # an odd base has an inverse modulo 2 ** 64, so a window's polynomial can be shifted to power zero
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def tokens(text: str | None) -> Iterator[list[bytes]]:
-    """Words and separators of a text, a bounded number of bytes at a time."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
-    return word_slabs(data.replace(SEPARATOR, b" " + SEPARATOR + b" "))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread all bits of a 64-bit polynomial value."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -79,45 +81,93 @@ def _known(bitmap: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Buffer:
-    """Words of texts of one language, with the place where each text starts."""
+class _Slice(NamedTuple):
+    """Texts of one language: their bytes, where each begins, and words repeated from the slice before."""
 
-    def __init__(self):
-        self.words: list[bytes] = []
-        self.starts: list[int] = []
-        self.docs: list[int | None] = []
-        # words repeated from the buffer before, so that n-grams across the cut are seen
-        self.lead = 0
+    lang: str
+    data: bytes
+    starts: list[int]
+    docs: list[int | None]
+    lead: int
 
-    def keep_tail(self, doc: int | None) -> None:
-        tail = self.words[-(LONGEST - 1):]
-        self.words, self.starts, self.docs, self.lead = tail, [0], [doc], len(tail)
 
+def _shortened(data: bytes, names: dict[bytes, bytes]) -> bytes:
+    """The text with each word that is too long for a slice replaced by a name; ``names`` keeps the word."""
+    def name(match):
+        short = b"\x00" + hashlib.sha256(match[0]).hexdigest().encode()
+        names[short] = match[0]
+        return short
+    return re.sub(rb"[^ \t.]{%d,}" % WORD_BYTES, name, data) if len(data) > WORD_BYTES else data
 
-class _Grams:
-    """One buffer's n-grams: word numbers, which places hold n-grams of a size, fingerprints."""
 
-    def __init__(self, lang: str, buffer: _Buffer, polynomials: Polynomials):
-        self.names = list(dict.fromkeys(buffer.words))
-        number = {w: i for i, w in enumerate(self.names)}
-        self.ids = np.fromiter(map(number.__getitem__, buffer.words), np.int64, len(buffer.words))
-        # a language has hashes of its own, so a fingerprint says which language it is of
-        digest = partial(xxhash.xxh64_intdigest, seed=xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
-        self.hashes = np.fromiter(map(digest, self.names), np.uint64, len(self.names))
+def _slices(batches: Iterator[pa.RecordBatch], names: dict[bytes, bytes]) -> Iterator[_Slice]:
+    """The texts of (doc, lang, text) rows, a bounded number of bytes of a language at a time."""
+    held: dict[str, tuple[list, list, list]] = {}
+    size = 0
+
+    def full():
+        for lang, (parts, docs, starts) in held.items():
+            yield _Slice(lang, SEPARATOR.join(parts), starts, docs, 0)
+        held.clear()
+
+    for batch in batches:
+        columns = (batch.column(i).to_pylist() for i in range(3))
+        for doc, lang, text in zip(*columns):
+            data = (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
+            data = _shortened(data, names)
+            if len(data) > SLICE_BYTES:
+                yield from _cut(lang, doc, data)
+                continue
+            parts, docs, starts = held.setdefault(lang, ([], [], []))
+            starts.append(starts[-1] + len(parts[-1]) + 1 if starts else 0)
+            parts.append(data)
+            docs.append(doc)
+            size += len(data) + 1
+            if size >= SLICE_BYTES:
+                yield from full()
+                size = 0
+    yield from full()
+
+
+def _cut(lang: str, doc: int | None, data: bytes) -> Iterator[_Slice]:
+    """Slices of a long text, cut between words; each repeats the last words of the piece that is cut."""
+    at, lead = 0, []
+    while at < len(data):
+        end = len(data)
+        if end - at > SLICE_BYTES:
+            end = 1 + max(data.rfind(x, at, at + SLICE_BYTES) for x in (b" ", b"\t", SEPARATOR))
+        part = b" ".join([*lead, data[at:end]])
+        yield _Slice(lang, part, [0], [doc], len(lead))
+        lead = part.rpartition(SEPARATOR)[2].split()[1 - LONGEST:]
+        at = end
+
+
+class _Grams:
+    """One slice's n-grams: words by polynomials over their bytes, n-grams by polynomials over their words."""
+
+    def __init__(self, s: _Slice, polynomials: Polynomials):
+        self.slice = s
+        self.bytes = np.frombuffer(s.data, np.uint8)
+        inside = ~(_BLANK[self.bytes] | (self.bytes == _CUT))
+        edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        self.begin, self.end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.polynomials = polynomials
-        self.prefixes = polynomials.prefixes(self.hashes[self.ids])
-        self.is_word = self.ids != number.get(SEPARATOR, -1)
-        self.lang, self.lead, self.starts = lang, buffer.lead, np.array(buffer.starts, np.int64)
-        self.docs = buffer.docs
+        sums = polynomials.prefixes(self.bytes.astype(np.uint64) + np.uint64(1))
+        # a language has hashes of its own, so a fingerprint says which language it is of
+        seed = np.uint64(xxhash.xxh64_intdigest(s.lang.encode("utf-8", "surrogatepass")))
+        self.words = _mixed(((sums[self.end] - sums[self.begin]) * polynomials.down[self.begin]) ^ seed)
+        self.prefixes = polynomials.prefixes(self.words)
+        self.piece = np.cumsum(self.bytes == _CUT)[self.begin]
+        self.starts = np.array(s.starts, np.int64)
+        self.docs = np.array([0 if d is None else d for d in s.docs], np.int64)
+        self.nameless = np.array([d is None for d in s.docs])
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint at each place, whether a whole n-gram of this size within a piece stands there)."""
+        """(fingerprint at each place, whether an n-gram of this size within a piece stands there)."""
         if size not in self.found:
-            n = max(0, len(self.ids) - size + 1)
-            whole = np.ones(n, bool)
-            for j in range(size):
-                whole &= self.is_word[j:j + n]
+            n = max(0, len(self.piece) - size + 1)
+            whole = self.piece[:n] == self.piece[size - 1:]
             self.found[size] = self.polynomials.grams(self.prefixes, size), whole
         return self.found[size]
 
@@ -130,8 +180,8 @@ class _Grams:
             passed[whole] = _known(known, fps[whole])
             for j in range(size - parts + 1):
                 ok &= passed[j:j + len(ok)]
-        # an n-gram that ends in the repeated words was counted with the buffer before
-        ok[:max(0, self.lead - size + 1)] = False
+        # an n-gram that ends in the repeated words was counted with the slice before
+        ok[:max(0, self.slice.lead - size + 1)] = False
         return np.flatnonzero(ok)
 
     def grouped(self, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,37 +192,70 @@ class _Grams:
         first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1])) if len(fps) else np.zeros(0, np.int64)
         return places[order], first, np.diff(np.append(first, len(fps)))
 
-    def doc_of(self, places: np.ndarray) -> list[int | None]:
-        return [self.docs[i] for i in (np.searchsorted(self.starts, places, "right") - 1).tolist()]
-
-
-def _counted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None):
+    def doc_of(self, places: np.ndarray) -> pa.Array:
+        at = np.searchsorted(self.starts, self.begin[places], "right") - 1
+        return pa.array(self.docs[at], pa.int64(), mask=self.nameless[at])
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for equal words only: fingerprints, checked byte by byte."""
+        order = np.argsort(self.words, kind="stable")
+        hashes = self.words[order]
+        new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        out = np.empty(len(hashes), np.int64)
+        out[order] = group
+        shown = order[np.flatnonzero(new)][group] if len(hashes) else order
+        length = (self.end - self.begin)[order]
+        other = length != (self.end - self.begin)[shown]
+        for i in range(0, len(order), CHECKED_WORDS):
+            part = slice(i, i + CHECKED_WORDS)
+            sizes = np.where(other[part], 0, length[part])
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            differs = self.bytes[np.repeat(self.begin[order[part]], sizes) + within] != \
+                self.bytes[np.repeat(self.begin[shown[part]], sizes) + within]
+            other[part] |= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[differs], minlength=len(sizes)) > 0
+        # words whose fingerprint is that of another word
+        extra: dict[bytes, int] = {}
+        for w in order[other].tolist():
+            text = self.slice.data[self.begin[w]:self.end[w]]
+            out[w] = extra.setdefault(text, len(hashes) + len(extra))
+        return out
+
+    def text(self, place: int, size: int, names: dict[bytes, bytes]) -> str:
+        words = [self.slice.data[b:e] for b, e in zip(self.begin[place:place + size].tolist(),
+                                                      self.end[place:place + size].tolist())]
+        if names:
+            words = [names.get(w, w) for w in words]
+        return b" ".join(words).decode("utf-8", "surrogatepass")
+
+
+def _counted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
     """(fingerprint, count, document of one occurrence) of n-grams whose parts are frequent."""
     for size in sizes:
-        places, first, n = grams.grouped(size, grams.places(size, known, min(2, size - 1) or 1))
+        places, first, n = grams.grouped(size, grams.places(size, known, min(2, size)))
         shown = places[first]
         yield grams.of(size)[0][shown].view(np.int64), n, grams.doc_of(shown)
 
 
-def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None):
+def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
     """(language, size, phrase, count, document) of n-grams with a frequent fingerprint, told apart by their words.
 
     Size 0 counts all words.
     """
-    yield [grams.lang], [0], [""], [int(grams.is_word[grams.lead:].sum())], [None]
+    lang, ids = grams.slice.lang, grams.numbers()
+    yield [lang], [0], [""], [len(grams.words) - grams.slice.lead], [None]
     for size in sizes:
         places, first, n = grams.grouped(size, grams.places(size, known, size))
         # an occurrence whose words differ from those of its fingerprint's first one here is a collision
         shown = np.repeat(places[first], n)
         other = np.zeros(len(places), bool)
         for j in range(size):
-            other |= grams.ids[places + j] != grams.ids[shown + j]
+            other |= ids[places + j] != ids[shown + j]
         if len(first):
             n = n - np.add.reduceat(other.astype(np.int64), first)
         at, counts = np.append(places[first], places[other]), np.append(n, np.ones(other.sum(), np.int64))
-        texts = [b" ".join([grams.names[w] for w in grams.ids[p:p + size].tolist()]).decode("utf-8", "surrogatepass")
-                 for p in at.tolist()]
-        yield [grams.lang] * len(at), np.full(len(at), size), texts, counts, grams.doc_of(at)
+        texts = [grams.text(p, size, names) for p in at.tolist()]
+        yield [lang] * len(at), np.full(len(at), size), texts, counts, grams.doc_of(at)
 
 
 _COUNTED = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("doc", pa.int64())])
@@ -182,38 +265,16 @@ _RECOUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase",
 
 def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int, ...], known: Broadcast | None,
           schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Count the n-grams of (doc, lang, text) rows, a bounded number of words at a time."""
+    """Count the n-grams of (doc, lang, text) rows, a slice of texts at a time."""
     bitmap = None if known is None else np.frombuffer(known.value, np.uint8)
-    polynomials = Polynomials(BUFFER_WORDS + (1 << 17))
-    buffers: dict[str, _Buffer] = {}
-    held = 0
-
-    def flush():
-        for lang, buffer in buffers.items():
-            if len(buffer.words) > buffer.lead:
-                for columns in count(_Grams(lang, buffer, polynomials), sizes, bitmap):
-                    for i in range(0, len(columns[0]), OUT_ROWS):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c[i:i + OUT_ROWS], f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    for batch in batches:
-        docs, langs, texts = (batch.column(i) for i in range(3))
-        for i in range(batch.num_rows):
-            lang, doc = langs[i].as_py(), docs[i].as_py()
-            buffer = buffers.setdefault(lang, _Buffer())
-            buffer.starts.append(len(buffer.words))
-            buffer.docs.append(doc)
-            for part in tokens(texts[i].as_py()):
-                buffer.words += part
-                held += len(part)
-                if held >= BUFFER_WORDS:
-                    yield from flush()
-                    buffers = {lang: buffer}
-                    buffer.keep_tail(doc)
-                    held = 0
-            buffer.words.append(SEPARATOR)
-            held += 1
-    yield from flush()
+    polynomials = Polynomials(SLICE_BYTES + (1 << 16))
+    names: dict[bytes, bytes] = {}
+    for s in _slices(batches, names):
+        for columns in count(_Grams(s, polynomials), sizes, bitmap, names):
+            for i in range(0, len(columns[0]), OUT_ROWS):
+                parts = [c[i:i + OUT_ROWS] for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(parts, schema)], schema=schema)
 
 
 def _scanned(texts: DataFrame, count: Callable, sizes: tuple[int, ...], known: Broadcast | None, schema: pa.Schema,
@@ -247,9 +308,9 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
     A phrase of ``size`` words lies within a piece; ``f`` counts all its occurrences, ``doc`` is the smallest key
     of a document that a counting task saw it in, and ``n`` all word occurrences of the language. A null
     language is ``und``; a null or empty text has no words; repeated rows each count; null keys never become
-    ``doc``. Fingerprints are counted per size; an n-gram takes part only if its words, then its pairs, are frequent
-    (an n-gram cannot be more frequent than its parts). Frequent ones are counted again by their text, so two
-    phrases with one fingerprint cannot be mistaken for each other.
+    ``doc``. Fingerprints are counted first, longer n-grams only if all their pairs are frequent (an n-gram cannot
+    be more frequent than its parts). Frequent ones are counted again by their text, so two phrases with one
+    fingerprint cannot be mistaken for each other.
     """
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
@@ -258,10 +319,9 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
     def shared(bits: np.ndarray) -> Broadcast:
         return spark.sparkContext.broadcast(bits.astype("<i8").tobytes())
 
-    words = _bitmap(_frequent(texts, (1,), None, least), filter_bits)
-    pairs = _bitmap(_frequent(texts, (2,), shared(words), least), filter_bits)
-    longer = _bitmap(_frequent(texts, (3, 4), shared(pairs), least), filter_bits)
-    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(words | pairs | longer), _RECOUNTED,
+    short = _bitmap(_frequent(texts, (1, 2), None, least), filter_bits)
+    longer = _bitmap(_frequent(texts, (3, 4), shared(short), least), filter_bits)
+    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(short | longer), _RECOUNTED,
                      "lang string, size int, phrase string, n long, doc long")
     counted = again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"), F.min("doc").alias("doc"))
     kept = materialize(counted.filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")

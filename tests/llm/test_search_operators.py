@@ -184,23 +184,54 @@ TEXTS = [(1, "New York, new york. NEW\tYORK\nnew  york city", "en"), (1, "New Yo
          (5, "one " * 30_000, "de"), (6, "...", "de"), (7, "x" * 100_000 + " tail tail", "de")]
 
 
-@pytest.mark.parametrize("words", [2, 50, 1 << 20])
-def test_collocations_of_odd_rows(spark, monkeypatch, words):
-    monkeypatch.setattr(collocations, "BUFFER_WORDS", words)
-    rows = [(*r, "x", 1) for r in TEXTS if words > 2 or len(r[1] or "") < 1000]
+@pytest.mark.parametrize("size", [256, 4096, 4 << 20])
+def test_collocations_of_odd_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(collocations, "SLICE_BYTES", size)
+    monkeypatch.setattr(collocations, "WORD_BYTES", min(size // 4, 50_000))
+    rows = [(*r, "x", 1) for r in TEXTS if size > 256 or len(r[1] or "") < 1000]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, phrase string, n int").coalesce(1)
+    # tasks read the module anew, so the slices are made here as well
+    names: dict = {}
+    made = list(collocations._slices(iter(df.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+                                          .toArrow().to_batches()), names))
+    assert all(len(s.data) < size + 2 * max(len(r[1] or "") for r in rows if len(r[1] or "") <= size) + 200 for s in made)
+    assert _sliced(made, names, (1, 2, 3, 4)) == _all_grams(rows)
     assert _mined(df, least=2) == _collocations([(r[2], r[1]) for r in rows], 2)
     assert _mined(df.limit(0), least=2) == []
     assert _mined(df, least=2, top=1) == _collocations([(r[2], r[1]) for r in rows], 2, 1)
 
 
-def test_collocations_of_long_texts_in_slabs(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "word_slabs", lambda data: __import__(
-        "flowspark.llm.common", fromlist=["word_slabs"]).word_slabs(data, 64))
+def _all_grams(rows):
+    out: Counter = Counter()
+    for _, text, lang, *_ in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lowered):
+            w = re.findall("[^\x20\x09]+", piece)
+            out.update((lang or "und", " ".join(w[i:i + k])) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    return out
+
+
+def _sliced(slices, names, sizes):
+    out: Counter = Counter()
+    polynomials = collocations.Polynomials(16)
+    for s in slices:
+        for langs, of, texts, counts, _ in collocations._recounted(collocations._Grams(s, polynomials), sizes, None, names):
+            for lang, size, text, n in zip(langs, of, texts, counts):
+                if size:
+                    out[lang, text] += int(n)
+    return out
+
+
+def test_long_texts_and_words_in_slices(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 128)
+    monkeypatch.setattr(collocations, "WORD_BYTES", 16)
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.choices("ab cd ef gh. ij kl mn".split(), k=300)), "en") for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert _mined(df, least=5) == _collocations([(r[2], r[1]) for r in rows], 5)
+    rows = [(i, " ".join(rng.choices("ab cd ef gh. ij kl\tmn é aslightlylongerword.".split(" "), k=300)), "en") for i in range(5)]
+    names: dict = {}
+    batch = pa.RecordBatch.from_pydict({"doc": [r[0] for r in rows], "lang": ["en"] * 5, "text": [r[1] for r in rows]})
+    slices = list(collocations._slices(iter([batch]), names))
+    assert len(slices) > 20 and list(names.values()) == [b"aslightlylongerword"]
+    assert _sliced(slices, names, (1, 2, 3, 4)) == _all_grams(rows)
 
 
 def test_a_full_filter_lets_more_through_but_changes_nothing(spark, documents):
@@ -210,15 +241,15 @@ def test_a_full_filter_lets_more_through_but_changes_nothing(spark, documents):
 
 def test_equal_fingerprints_of_different_phrases_are_told_apart(monkeypatch):
     monkeypatch.setattr(collocations, "_mixed", lambda x: x % np.uint64(3))
-    buffer = collocations._Buffer()
-    buffer.words, buffer.starts, buffer.docs = [b"a", b"b", b"a", b"b", b"c", b"a", b"."], [0], [9]
-    grams = collocations._Grams("en", buffer, collocations.Polynomials(16))
+    monkeypatch.setattr(collocations, "CHECKED_WORDS", 2)
+    s = collocations._Slice("en", b"a b a b c a.bb", [0], [9], 0)
     made: Counter = Counter()
-    for _, sizes, texts, counts, docs in collocations._recounted(grams, (1, 2), None):
-        for size, p, c, d in zip(sizes, texts, counts, docs):
+    for _, sizes, texts, counts, docs in collocations._recounted(
+            collocations._Grams(s, collocations.Polynomials(16)), (1, 2), None, {}):
+        for size, p, c, d in zip(sizes, texts, counts, docs if isinstance(docs, list) else docs.to_pylist()):
             assert d == (9 if size else None)
             made[p] += int(c)
-    assert made == {"": 6, "a": 3, "b": 2, "c": 1, "a b": 2, "b a": 1, "b c": 1, "c a": 1}
+    assert made == {"": 7, "a": 3, "b": 2, "c": 1, "bb": 1, "a b": 2, "b a": 1, "b c": 1, "c a": 1}
 
 
 def test_polynomials_do_not_depend_on_the_place():
