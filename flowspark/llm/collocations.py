@@ -329,22 +329,24 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
 
 
 def _scored(phrases: DataFrame) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of the lowest-scoring cut of each candidate."""
-    candidates = phrases.filter("size > 1")
+    """(lang, phrase, a, doc, l, r, score) of the lowest-scoring cut of each candidate."""
     words = F.split("phrase", " ", -1)
-    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), words.alias("w"), F.explode(
+    cuts = phrases.filter("size > 1").select("lang", "phrase", F.col("f").alias("a"), "doc", words.alias("w"), F.explode(
         F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    parts = cuts.select("lang", "phrase", "a", "k", F.posexplode(F.array(
+    parts = cuts.select("lang", "phrase", "a", "doc", "k", F.posexplode(F.array(
         F.array_join(F.expr("slice(w, 1, k)"), " "),
         F.array_join(F.expr("slice(w, k + 1, size(w) - k)"), " "))).alias("side", "part"))
     known = phrases.select("lang", F.col("phrase").alias("part"), F.col("f"))
-    sides = parts.join(known, ["lang", "part"]).groupBy("lang", "phrase", "a", "k").agg(
-        F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
+    # one grouping for all cuts of a phrase
+    sides = parts.join(known, ["lang", "part"]).groupBy("lang", "phrase").agg(
+        F.max("a").alias("a"), F.max("doc").alias("doc"), *[
+            F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f"))).alias(f"{name}{k}")
+            for k in range(1, LONGEST) for side, name in enumerate("lr")])
     wide = "decimal(38,0)"
-    score = F.expr(f"(cast(2000000 as {wide}) * cast(a as decimal(20,0))) div (cast(l as {wide}) + cast(r as {wide}))")
-    return sides.withColumn("score", score).groupBy("lang", "phrase", "a").agg(
-        F.min(F.struct("score", "k", "l", "r")).alias("c")).select(
-        "lang", "phrase", "a", "c.l", "c.r", "c.score")
+    cut = ", ".join(f"struct((cast(2000000 as {wide}) * cast(a as decimal(20,0))) div (cast(l{k} as {wide}) + cast(r{k} as {wide})) "
+                    f"AS score, {k} AS k, l{k} AS l, r{k} AS r)" for k in range(1, LONGEST))
+    return sides.withColumn("c", F.expr(f"array_min(filter(array({cut}), c -> c.score IS NOT NULL))")).select(
+        "lang", "phrase", "a", "doc", "c.l", "c.r", "c.score")
 
 
 def _covered(phrases: DataFrame) -> DataFrame:
@@ -367,8 +369,7 @@ def collocations(df: DataFrame, key: str = "doc_id", lang: str = "lang", text: s
     An empty table gives no rows; other columns are not read.
     """
     phrases, totals = phrase_counts(df, key, lang, text, least, **options)
-    scored = _scored(phrases).join(phrases.select("lang", "phrase", "doc"), ["lang", "phrase"]).join(
-        _covered(phrases), ["lang", "phrase"], "left")
+    scored = _scored(phrases).join(_covered(phrases), ["lang", "phrase"], "left")
     wide = "decimal(20,0)"
     kept = scored.filter(F.expr(f"cover is null or 100 * cast(cover as {wide}) < 80 * cast(a as {wide})"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
