@@ -32,8 +32,11 @@ MARK = b"IDSHARD1"
 GAMMA = 2.0
 LEVELS = 40
 MAX_SHARD = 1 << 30
-CACHED = 1 << 19
+CACHED = 3 << 17
 LONGEST_CACHED = 64
+# marks that stand behind words, and what ends a line as well
+_MARKS = frozenset(".,;:!?")
+_STOPS = _MARKS | {"\n"}
 SLICE = 256
 NULL_KEY = -1 << 63
 # every white space character with a blank behind it
@@ -184,7 +187,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind, self.code, self.known = f"<u{width}", {2: "H", 4: "I"}[width], {}
+        self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
+        # words of letters met lately and before that, marks behind them, and other parts
+        self.words, self.older, self.marks, self.known = {}, {}, {}, {}
         self.merge = self.tokenizer.model.tokenize
         # printable bytes stand for themselves, the others for characters from 256 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -201,31 +206,56 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def merged(self, word: str) -> bytes:
+        found = self.merge("".join([self.shown[b] for b in word.encode()]))
+        return array(self.code, [t.id for t in found]).tobytes()
+
     def word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        made = self.known.get(word)
+        """Ids of one pre-token of letters, with or without a blank before it."""
+        made = self.words.get(word)
         if made is None:
-            found = self.merge("".join([self.shown[b] for b in word.encode()]))
-            made = self.remember(word, array(self.code, [t.id for t in found]).tobytes())
+            made = self.older.get(word) or self.merged(word)
+            if len(word) <= LONGEST_CACHED:
+                if len(self.words) >= CACHED:  # forget what was not met since the last time
+                    self.words, self.older = {}, self.words
+                self.words[word] = made
+        return made
+
+    def mark(self, marks: str) -> bytes:
+        """Ids of one pre-token of marks or a line break."""
+        made = self.marks.get(marks)
+        if made is None:
+            made = self.merged(marks)
+            self.marks = self.remember(self.marks, marks, made)
         return made
 
     def part(self, part: str) -> bytes:
+        # most parts that are no known word are one with a mark behind it; only words are remembered
+        if part in self.older:
+            return self.word(part)
+        if part[-1:] in _MARKS and (part[:-1] in self.words or part[:-1] in self.older):
+            return self.word(part[:-1]) + self.mark(part[-1])
         plain = self._PLAIN.fullmatch(part)
         if not plain:
-            return self.remember(part, self.plain(part))
+            made = self.known.get(part)
+            if made is None:
+                made = self.plain(part)
+                self.known = self.remember(self.known, part, made)
+            return made
         head, marks, lines = plain.groups()
         made = self.word(head)
         if marks or lines:
-            rest = [self.word(w) for w in ([marks] if marks else []) + self._WORDS.findall(lines)]
-            made = self.remember(part, made + b"".join(rest))
+            made += b"".join([self.mark(marks)] if marks else [])
+            made += b"".join([self.word(w) if w[0] not in _STOPS else self.mark(w) for w in self._WORDS.findall(lines)])
         return made
 
-    def remember(self, part: str, made: bytes) -> bytes:
+    @staticmethod
+    def remember(known: dict, part: str, made: bytes) -> dict:
         if len(part) <= LONGEST_CACHED:
-            if len(self.known) >= CACHED:  # forget the older half
-                self.known = dict(islice(self.known.items(), CACHED // 2, None))
-            self.known[part] = made
-        return made
+            if len(known) >= CACHED:  # forget the older half
+                known = dict(islice(known.items(), CACHED // 2, None))
+            known[part] = made
+        return known
 
     def encode(self, text: str) -> bytes:
         if not self.split:
@@ -235,7 +265,7 @@ class Encoder:
         else:
             parts = text.split(" ")
             parts[1:] = [" " + p for p in parts[1:]]
-        found = list(map(self.known.get, parts))
+        found = list(map(self.words.get, parts))
         if None in found:
             found = [self.part(p) if f is None else f for p, f in zip(parts, found)]
         return b"".join(found)
