@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.contract import DEFAULT_THRESHOLD, SWEEP_THRESHOLDS
-from flowspark.functions.scalar import c, log_floor, safe_div
+from flowspark.functions.scalar import c, log_floor, safe_div, sigmoid
 from flowspark.operators.quantiles import quantile_row
+from flowspark.session import materialize
 
 
 def confusion(df: DataFrame, truth: str = "y_true", pred: str = "pred",
@@ -44,7 +45,11 @@ def threshold_sweep(df: DataFrame, prob: str = "prob", truth: str = "y_true",
     reached = sum(((~F.isnan(p)) & (p >= t)).cast("int") for t in cuts)
     grouped = df.groupBy(F.coalesce(reached, F.lit(0)).alias("reached"),
                          F.col(truth).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return _sweep_of(grouped, cuts)
 
+
+def _sweep_of(grouped: DataFrame, cuts: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Metrics per threshold from counts ``n`` of (thresholds reached, truth ``y``) per key."""
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
 
@@ -58,7 +63,7 @@ def threshold_sweep(df: DataFrame, prob: str = "prob", truth: str = "y_true",
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"),
                               *[F.col(f"{x}{i}").alias(x) for x in ("tp", "fp", "tn", "fn")])
                      for i, t in enumerate(cuts)])
-    flat = grouped.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    flat = grouped.groupBy(*keys).agg(*aggs).select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
     return metrics(flat).withColumn("detected", F.col("tp") + F.col("fp"))
 
 
@@ -187,3 +192,62 @@ def validation_report(df: DataFrame, prob: str = "prob", truth: str = "y_true",
     return report.select(F.to_json(F.struct(
         n.alias("n_rows"), F.lit(threshold).alias("threshold"), "raw_out", "metrics", "sweep",
         "best_threshold")).alias("report"))
+
+
+def models_report(df: DataFrame, models: dict[str, tuple[str, bool]], truth: str = "y_true",
+                  threshold: float = DEFAULT_THRESHOLD, other_threshold: float = DEFAULT_THRESHOLD,
+                  thresholds: Sequence[float] = SWEEP_THRESHOLDS) -> DataFrame:
+    """One JSON document that compares models on the same labelled rows, from one aggregate over them.
+
+    ``models`` maps a name to (column of raw outputs, whether the logistic function is applied to them). Per
+    model: range, mean and deviation of the raw outputs, ``logits`` (some of them lie outside 0 to 1), counts and
+    metrics, the sweep and its best threshold. The first model is cut at ``threshold``, the others at
+    ``other_threshold``. With two models or more: how many rows the first two decide alike, and the percentage.
+    A missing output reaches no threshold.
+    """
+    cuts = sorted(float(t) for t in thresholds)
+    names = list(models)
+    entries = []
+    for i, (name, (raw, logistic)) in enumerate(models.items()):
+        x = F.col(raw).cast("double")
+        p = sigmoid(x) if logistic else x
+        p = F.nanvl(p, F.lit(None).cast("double"))
+        hit = F.coalesce(p >= (threshold if i == 0 else other_threshold), F.lit(False))
+        reached = sum(F.coalesce((p >= t).cast("int"), F.lit(0)) for t in cuts)
+        entries.append((name, hit, F.struct(F.lit(name).alias("model"), reached.alias("reached"), hit.alias("hit"), x.alias("raw"))))
+    alike = entries[0][1] == entries[1][1] if len(names) > 1 else F.lit(True)
+    # rows that agree are counted with the first model's entry
+    rows = df.select(F.col(truth).alias("y"), alike.alias("alike"), F.explode(F.array(*[e for _, _, e in entries])).alias("e"))
+    groups = rows.select("y", "alike", "e.*").groupBy("model", "reached", "y", "hit").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("alike").alias("agree"), F.min("raw").alias("min"), F.max("raw").alias("max"),
+        F.count("raw").alias("m"), F.avg("raw").alias("mean"), F.var_pop("raw").alias("var"))
+    # a few rows per model from here on
+    groups = materialize(groups, "counts")
+    mean = F.sum(F.col("m") * F.col("mean")) / F.sum("m")
+    square = F.sum(F.col("m") * (F.col("var") + F.col("mean") * F.col("mean"))) / F.sum("m")
+    raw_out = groups.groupBy("model").agg(
+        F.sum("n").alias("n_rows"), F.sum("agree").alias("agree"), F.min("min").alias("min"), F.max("max").alias("max"),
+        mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"))
+
+    def counted(hit: int, y: int) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("hit") == bool(hit)) & (F.col("y") == y), F.col("n"))), F.lit(0))
+
+    quality = metrics(groups.groupBy("model").agg(
+        *[counted(*v).alias(k) for k, v in {"tp": (1, 1), "fp": (1, 0), "tn": (0, 0), "fn": (0, 1)}.items()]))
+    sweep = _sweep_of(groups, cuts, ["model"])
+    best = sweep.groupBy("model").agg(
+        F.array_sort(F.collect_list(F.struct("threshold", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1",
+                                             "detected"))).alias("sweep"),
+        F.max_by("threshold", F.struct(F.col("f1"), -F.col("threshold"))).alias("best_threshold"))
+    whole = quality.select("model", F.struct(*[x for x in quality.columns if x != "model"]).alias("metrics")) \
+        .join(raw_out, "model").join(best, "model")
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("model"))
+    logits = (F.col("min") < 0) | (F.col("max") > 1)
+    model = F.struct(place.alias("place"), "model", F.struct("min", "max", "mean", "std").alias("raw_out"), logits.alias("logits"),
+                     F.element_at(F.array(*[F.lit(v) for _, v in models.values()]), place.cast("int")).alias("sigmoid_applied"),
+                     "metrics", "sweep", "best_threshold")
+    one = whole.agg(F.max("n_rows").alias("n_rows"), F.array_sort(F.collect_list(model)).alias("models"),
+                    F.max(F.when(F.col("model") == names[0], F.col("agree"))).alias("agree"))
+    pair = [F.col("agree").alias("agreement"),
+            F.round(100 * F.col("agree") / F.greatest("n_rows", F.lit(1)), 2).alias("agreement_pct")] if len(names) > 1 else []
+    return one.select(F.to_json(F.struct("n_rows", F.lit(threshold).alias("threshold"), "models", *pair)).alias("report"))

@@ -213,6 +213,40 @@ def write_report_json(spark, sf):
                     F.round("raw_out.max", 6).alias("max_prob"))
 
 
+_TWO = f"""two AS (SELECT 'first' AS model, y_true, logit AS raw, 1 / (1 + exp(-logit)) AS prob FROM scored
+  UNION ALL SELECT 'second', y_true, prob2, prob2 FROM scored),
+cuts AS (SELECT unnest([{", ".join(map(str, SWEEP_THRESHOLDS))}]::DOUBLE[]) AS threshold),
+counts AS (SELECT model, threshold, {_COUNTS.format(t="threshold")} FROM two, cuts GROUP BY model, threshold),
+{_WITH_PR}, sweep AS (SELECT model, threshold, tp, fp, tn, fn, {_METRICS} FROM pr)"""
+
+
+@query("models_report", with_views("scored", f"""
+WITH {_TWO},
+best AS (SELECT model, threshold FROM sweep QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold) = 1),
+r AS (SELECT model, min(raw) < 0 OR max(raw) > 1 AS logits, round(avg(raw), 6) AS mean, round(stddev_pop(raw), 6) AS std
+      FROM two GROUP BY model),
+j AS (SELECT count(*) AS n_rows, count(*) FILTER ((1 / (1 + exp(-logit)) >= 0.4) = (prob2 >= 0.5)) AS agreement FROM scored)
+SELECT s.model, s.threshold, s.tp, s.fp, s.tn, s.fn, s.f1, best.threshold AS best_threshold, logits, mean, std, n_rows, agreement,
+       round(100.0 * agreement / n_rows, 2) AS agreement_pct, c.tp AS tp_at, c.fn AS fn_at
+FROM sweep s JOIN best USING (model) JOIN r USING (model), j,
+     LATERAL (SELECT count(*) FILTER (y_true = 1 AND prob >= t) AS tp, count(*) FILTER (y_true = 1 AND NOT prob >= t) AS fn
+              FROM two, (SELECT CASE WHEN s.model = 'first' THEN 0.4 ELSE 0.5 END AS t) WHERE two.model = s.model) c"""))
+def models_report(spark, sf):
+    """Two models in one document: raw outputs, metrics, sweeps, best thresholds, agreement."""
+    path = scratch_path(spark, "report")
+    report = ev.models_report(scored(spark, sf), {"first": ("logit", True), "second": ("prob2", False)},
+                              threshold=0.4, other_threshold=0.5)
+    src.write_report_json(report, path)
+    point = "threshold: double, tp: long, fp: long, tn: long, fn: long, f1: double"
+    shape = (f"n_rows long, agreement long, agreement_pct double, models array<struct<model: string, logits: boolean, "
+             f"raw_out: struct<mean: double, std: double>, best_threshold: double, "
+             f"metrics: struct<tp: long, fn: long>, sweep: array<struct<{point}>>>>")
+    r = spark.read.schema(shape).json(path).select("n_rows", "agreement", "agreement_pct", F.explode("models").alias("m"))
+    return r.select("n_rows", "agreement", "agreement_pct", "m.model", "m.logits", F.round("m.raw_out.mean", 6).alias("mean"),
+                    F.round("m.raw_out.std", 6).alias("std"), "m.best_threshold", F.col("m.metrics.tp").alias("tp_at"),
+                    F.col("m.metrics.fn").alias("fn_at"), F.explode("m.sweep").alias("s")).select("*", "s.*").drop("s")
+
+
 # ---- lists and membership --------------------------------------------------------------
 
 _IP = "trim(coalesce(src_ip, 'nan'))"

@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.contract import ALWAYS_ALLOWED, FEATURES, FLOW_METADATA
 from flowspark.functions.scalar import c
 from flowspark.operators.actions import ip_list
 from flowspark.sources.flow_csv import file_layouts, union_parts
 
-PARAMS_SCHEMA = "idx int, feature string, mean double, scale double"
+# flags of a fitted scaler are stored with each feature; NULL means that nothing was stored
+PARAMS_SCHEMA = ("idx int, feature string, mean double, scale double, with_mean boolean, with_std boolean, "
+                 "n_features_in int")
 
 
 def read_ip_list(spark: SparkSession, path: str,
@@ -22,7 +25,10 @@ def read_ip_list(spark: SparkSession, path: str,
 
 
 def write_params(params: DataFrame, path: str) -> None:
-    params.select("idx", "feature", "mean", "scale").write.mode("overwrite").parquet(path)
+    """Parameters and, where the table has them, the flags ``with_mean``, ``with_std``, ``n_features_in``."""
+    wanted = T._parse_datatype_string(PARAMS_SCHEMA)
+    params.select(*[(F.col(f.name) if f.name in params.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                    for f in wanted.fields]).write.mode("overwrite").parquet(path)
 
 
 def read_params(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

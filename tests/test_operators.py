@@ -371,3 +371,35 @@ def test_metrics_ignore_row_order(spark):
 
 def test_feature_contract_is_complete():
     assert len(FEATURES) == 80 == len(set(FEATURES))
+
+
+def test_report_of_two_models(spark):
+    import json
+    from flowspark.operators.evaluate import models_report
+    rows = [(1, 3.0, 0.9), (1, -1.0, 0.7), (0, -2.0, 0.6), (0, 0.5, None), (1, float("nan"), 0.2)]
+    df = spark.createDataFrame(rows, "y_true int, a double, b double")
+    r = json.loads(models_report(df, {"a": ("a", True), "b": ("b", False)}, thresholds=[0.5, 0.8]).first().report)
+    a, b = r["models"]
+    assert (a["model"], a["logits"], a["sigmoid_applied"], b["logits"]) == ("a", True, True, False)
+    assert [a["metrics"][k] for k in ("tp", "fp", "tn", "fn")] == [1, 1, 1, 2]
+    assert [b["metrics"][k] for k in ("tp", "fp", "tn", "fn")] == [2, 1, 1, 1]
+    assert [p["tp"] for p in b["sweep"]] == [2, 1] and b["best_threshold"] == 0.5
+    # rows 1 and 5 are decided alike
+    assert (r["n_rows"], r["agreement"], r["agreement_pct"]) == (5, 2, 40.0)
+    one = json.loads(models_report(df, {"b": ("b", False)}).first().report)
+    assert "agreement" not in one and len(one["models"]) == 1
+
+
+def test_stored_scaling_flags(spark, tmp_path):
+    from flowspark.sources.tables import read_params, write_params
+    path = str(tmp_path / "params")
+    params = spark.createDataFrame([(0, "a", 5.0, 2.0, False, True, 1)],
+                                   "idx int, feature string, mean double, scale double, with_mean boolean, with_std boolean, n_features_in int")
+    write_params(params, path)
+    df = spark.createDataFrame([(4.0,)], "a double")
+    assert cl.apply_scaler(df, ["a"], read_params(spark, path)).first().a == 2.0
+    write_params(params.select("idx", "feature", "mean", "scale"), path)
+    assert cl.apply_scaler(df, ["a"], read_params(spark, path)).first().a == -0.5
+    write_params(params.withColumn("n_features_in", F.lit(3)), path)
+    with pytest.raises(Exception, match="scaling parameters for 3"):
+        cl.apply_scaler(df, ["a"], read_params(spark, path)).collect()

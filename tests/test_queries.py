@@ -29,3 +29,13 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["source ip", "n_flows"]
+
+
+def test_core_queries_do_without_a_library_of_the_text_part(monkeypatch):
+    import sys
+    core = {k for k in QUERIES if not k.startswith("op") and k != "pipeline"}
+    for name in [x for x in sys.modules if x.startswith("flowspark.llm") or x == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    # None makes the import fail as if the library were not there
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert set(entry.queries()) == core and set(entry.oracle_sql()) <= core
