@@ -1,7 +1,6 @@
 """Packets to bidirectional flows with 80 features.
 
-A flow table is assembled from three independent aggregates over the packet table, each
-safe for a flow that holds any share of all packets:
+Three operators read one kind of feature each; all are safe for a flow that holds any share of all packets:
 
 ``flow_totals``    counts, sums, extrema, deviations and first values. Mergeable, so packets
                    are combined map-side and only one row per flow and task is shuffled.
@@ -9,8 +8,9 @@ safe for a flow that holds any share of all packets:
 ``flow_timeline``  gaps, active and idle periods in time order.
 
 The last two need neighbours. They sort inside bounded pieces of a flow (arrival chunks,
-time slices) and then combine the pieces, one row each. Catalyst does not prune a joined aggregate
-whose columns are unused; ``flow_table(features=...)`` builds only those that are asked for.
+time slices) and then combine the pieces, one row each. ``flow_table`` makes both kinds of pieces in one pass:
+each packet goes to its arrival chunk and to its time slice, where the totals are counted too, and one
+grouping by flow chains all pieces. It shuffles packets instead of totals, but once.
 
 Both directions are aggregated under the canonical endpoint order (``lo``/``hi``) and named
 forward/backward at the end, when the first arrival is known, so finding the direction
@@ -310,20 +310,151 @@ def directional_gaps(packets: DataFrame, extra_keys: Sequence[str] = (),
     return joined.select(*keys, "`flow id`", *name_directions(joined))
 
 
+# the flow, which side sent (NULL: both, in time order) and the piece of that order
+_ID, _LINE, _PIECE = ["__a", "__b"], ["__a", "__b", "__side"], ["__a", "__b", "__side", "__piece"]
+_STATS = ("mean", "std", "max", "min")
+
+
+def _pieces(packets: DataFrame, keys: Sequence[str], chunk_rows: int, width: int) -> DataFrame:
+    """Pieces of every flow: arrival chunks of each side, and time slices, which hold the totals as well.
+
+    A packet belongs to one of each. A flow goes by two 64-bit hashes of its key, so the key itself, text mostly, is
+    not compared; gaps are those to the packet before inside the piece.
+    """
+    p = with_flow_key(packets)
+    flags, seq, size = F.col("tcp_flags"), F.col("seq"), F.col("total_len").cast("bigint")
+    places = F.array(
+        F.struct(F.col("from_lo").alias("__side"), chunk_of("seq", chunk_rows).alias("__piece"), seq.alias("__at")),
+        F.struct(F.lit(None).cast("boolean").alias("__side"),
+                 F.floor(F.col("ts_us") / F.lit(width)).cast("bigint").alias("__piece"), F.col("ts_us").alias("__at")))
+    own_key = F.struct(*keys)
+    placed = p.select(
+        F.xxhash64(*keys).alias("__a"), F.xxhash64(F.lit(1), *keys).alias("__b"), own_key.alias("__key"), "from_lo", "seq",
+        "ts_us", size.alias("__size"), F.col("l4_hdr_len").cast("bigint").alias("__hdr"), "tcp_window", "tcp_flags",
+        (size - F.col("ip_hdr_len") - F.col("l4_hdr_len") > 0).alias("__data"), F.explode(places).alias("__p")) \
+        .select("*", "__p.*").drop("__p")
+    inside = Window.partitionBy(*_PIECE).orderBy("__at", "seq")
+    gapped = placed.withColumn("__gap", F.col("ts_us") - F.lag("ts_us").over(inside))
+    gap, whole = F.col("__gap"), F.col("__side").isNull()
+    aggs = [F.first("__key").alias("__key"), F.count(F.lit(1)).alias("n"), F.min_by("ts_us", "__at").alias("head"),
+            F.max_by("ts_us", "__at").alias("tail"), F.min(gap).alias("gap_min"), F.max(gap).alias("gap_max"),
+            F.var_pop(gap).alias("gap_var"),
+            F.min(F.when(whole, F.struct("seq", "ts_us"))).alias("first"), F.max(F.when(whole, F.struct("seq", "ts_us"))).alias("last"),
+            *[F.count_if(whole & flag_set(flags, bit)).alias(f"{name}_n") for name, bit in TCP_FLAGS.items()]]
+    for side, sent in (("lo", F.col("from_lo")), ("hi", ~F.col("from_lo"))):
+        own = whole & sent
+        tcp = own & flags.isNotNull()
+        aggs += [
+            F.count_if(own).alias(f"{side}_n"), F.min(F.when(own, F.col("seq"))).alias(f"{side}_first_seq"),
+            F.sum(F.when(own, F.col("__size"))).alias(f"{side}_bytes"),
+            F.sum(F.when(own, F.col("__size") * F.col("__size"))).alias(f"{side}_squares"),
+            F.min(F.when(own, F.col("__size"))).alias(f"{side}_len_min"),
+            F.max(F.when(own, F.col("__size"))).alias(f"{side}_len_max"),
+            F.count_if(own & flag_set(flags, TCP_FLAGS["psh"])).alias(f"{side}_psh"),
+            F.count_if(own & flag_set(flags, TCP_FLAGS["urg"])).alias(f"{side}_urg"),
+            F.sum(F.when(own, F.col("__hdr"))).alias(f"{side}_hdr"),
+            F.min(F.when(tcp, F.struct("seq", "tcp_window"))).alias(f"{side}_win"),
+            F.count_if(tcp & F.col("__data")).alias(f"{side}_data"),
+            F.min(F.when(tcp, F.col("__hdr"))).alias(f"{side}_seg_min")]
+    return gapped.groupBy(*_PIECE).agg(*aggs)
+
+
+def _chained(pieces: DataFrame, activity_us: int) -> DataFrame:
+    """Pieces with the gap before them, the mean gap of their line, and the active period they are in."""
+    line = Window.partitionBy(*_LINE)
+    order = line.orderBy("__piece")
+    # one row per piece from here on, all of a flow together
+    brought = pieces.repartition(*[F.col(x) for x in _ID])
+    border = F.col("head") - F.lag("tail").over(order)
+    mean = F.try_divide(F.max_by("tail", "__piece").over(line) - F.min_by("head", "__piece").over(line),
+                        F.sum("n").over(line) - 1)
+    breaks = F.when(F.col("__side").isNull() & (F.col("border") > activity_us), 1).otherwise(0)
+    period = F.sum(breaks).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = F.try_divide(F.col("tail") - F.col("head"), F.col("n") - 1)
+    squares = (F.coalesce((F.col("n") - 1) * (F.col("gap_var") + F.pow(inner - F.col("mean"), F.lit(2))), F.lit(0.0))
+               + F.coalesce(F.pow(F.col("border") - F.col("mean"), F.lit(2)), F.lit(0.0)))
+    return brought.withColumns({"border": border, "mean": mean}).withColumns({"period": period, "squares": squares})
+
+
+_SUMS = [f"{name}_n" for name in TCP_FLAGS] + [f"{s}_{x}" for s in ("lo", "hi") for x in (
+    "n", "bytes", "squares", "psh", "urg", "hdr", "data")]
+_LEAST = ["first"] + [f"{s}_{x}" for s in ("lo", "hi") for x in ("first_seq", "len_min", "win", "seg_min")]
+_MOST = ["last", "lo_len_max", "hi_len_max"]
+
+
+def _merged(extra: Sequence[Column] = ()) -> list[Column]:
+    """Aggregates that join pieces, or periods, of a flow."""
+    return [F.first("__key").alias("__key"), *[F.sum(x).alias(x) for x in _SUMS], *[F.min(x).alias(x) for x in _LEAST],
+            *[F.max(x).alias(x) for x in _MOST], *extra]
+
+
+def _ordered_totals(packets: DataFrame, keys: Sequence[str], activity_us: int, chunk_rows: int, slice_us: int) -> DataFrame:
+    """One row per flow: totals of both sides and all order statistics, from one scan and two exchanges."""
+    chained = _chained(_pieces(packets, keys, chunk_rows, min(slice_us, activity_us)), activity_us)
+    # periods of the time line; each side's arrivals are one period
+    periods = chained.groupBy(*_LINE, "period").agg(*_merged([
+        F.sum("n").alias("n"), F.min("head").alias("begin"), F.max("tail").alias("end"), F.max("mean").alias("mean"),
+        F.sum("squares").alias("squares"), F.max(F.greatest("gap_max", "border")).alias("gap_max"),
+        F.min(F.least("gap_min", "border")).alias("gap_min"), F.min_by("head", "__piece").alias("head"),
+        F.max_by("tail", "__piece").alias("tail"),
+        F.max(F.when(F.col("border") > activity_us, F.col("border"))).alias("idle")]))
+    lines = [("flow", F.col("__side").isNull()), ("lo", F.col("__side")), ("hi", ~F.col("__side"))]
+    aggs = []
+    for name, own in lines:
+        def only(x: str, own: Column = own) -> Column:
+            return F.when(F.coalesce(own, F.lit(False)), F.col(x))
+        aggs += [F.sum(only("n")).alias(f"{name}_m"), F.max(only("mean")).alias(f"{name}_mean"),
+                 F.sum(only("squares")).alias(f"{name}_sq"), F.max(only("gap_max")).alias(f"{name}_max"),
+                 F.min(only("gap_min")).alias(f"{name}_min"), F.max(only("tail")).alias(f"{name}_tail"),
+                 F.max(only("head")).alias(f"{name}_head")]
+    whole = F.col("__side").isNull()
+    for name, x in (("active", F.when(whole, F.col("end") - F.col("begin"))), ("idle", F.when(whole, F.col("idle")))):
+        aggs += [f(x).alias(f"{name}_{stat}") for stat, f in zip(_STATS, (F.avg, F.stddev_samp, F.max, F.min))]
+    flows = periods.groupBy(*_ID).agg(*_merged(aggs))
+    out = {"n": F.col("flow_m"), "first_ts": F.col("first.ts_us"), "last_ts": F.col("last.ts_us"),
+           "len_min": F.least("lo_len_min", "hi_len_min"), "len_max": F.greatest("lo_len_max", "hi_len_max"),
+           **{f"{x}_n": F.col(f"{x}_n") for x in TCP_FLAGS}}
+
+    def spread(n: Column, total: Column, squares: Column) -> list[Column]:
+        n, total, squares = (F.coalesce(x, F.lit(0)).cast("double") for x in (n, total, squares))
+        return [F.try_divide(total, n),
+                F.when(n > 1, F.sqrt(F.greatest(n * squares - total * total, F.lit(0.0)) / (n * (n - 1))))]
+
+    both = [F.coalesce(F.col(f"lo_{x}"), F.lit(0)) + F.coalesce(F.col(f"hi_{x}"), F.lit(0)) for x in ("n", "bytes", "squares")]
+    out["len_avg"], out["len_std"] = spread(*both)
+    for side in ("lo", "hi"):
+        out |= {f"{side}_{x}": F.col(f"{side}_{x}") for x in (
+            "n", "first_seq", "bytes", "len_min", "len_max", "psh", "urg", "hdr", "data", "seg_min")}
+        out[f"{side}_len_avg"], out[f"{side}_len_std"] = spread(*[F.col(f"{side}_{x}") for x in ("n", "bytes", "squares")])
+        out[f"{side}_win"] = F.col(f"{side}_win.tcp_window")
+        out |= {f"{side}_iat_total": F.coalesce(F.col(f"{side}_tail") - F.col(f"{side}_head"), F.lit(0)).cast("double"),
+                f"{side}_iat_mean": safe_stat(F.col(f"{side}_mean")),
+                f"{side}_iat_std": F.coalesce(_merged_std(F.col(f"{side}_m") - 1, F.col(f"{side}_sq")), F.lit(0.0)),
+                f"{side}_iat_max": safe_stat(F.col(f"{side}_max")), f"{side}_iat_min": safe_stat(F.col(f"{side}_min"))}
+    out |= {"flow iat mean": safe_stat(F.col("flow_mean")), "flow iat std": _merged_std(F.col("flow_m") - 1, F.col("flow_sq")),
+            "flow iat max": safe_stat(F.col("flow_max")), "flow iat min": safe_stat(F.col("flow_min"))}
+    out |= {f"{name} {stat}": F.when(F.col("flow_m") > 1, safe_stat(F.col(f"{name}_{stat}"))).otherwise(F.lit(0.0))
+            for name in ("active", "idle") for stat in _STATS}
+    return flows.select("__key.*", *[e.alias(x) for x, e in out.items()])
+
+
 def flow_table(packets: DataFrame, extra_keys: Sequence[str] = (),
                activity_timeout_us: int = ACTIVITY_TIMEOUT_US, chunk_rows: int = CHUNK_ROWS,
                slice_us: int = SLICE_US, features: Sequence[str] = FEATURES) -> DataFrame:
     """One row per flow: 5 identification columns, then the features, by default all 80 in contract order.
 
-    Gaps in arrival order and the time line are read and joined only if one of their features is wanted.
+    With a feature of gaps or periods, all come from pieces of the flows (one scan, two exchanges); without one,
+    from the totals, which are combined before the shuffle.
     """
     keys = _key(extra_keys)
-    table = flow_totals(packets, extra_keys)
-    if any(x.startswith(("fwd iat", "bwd iat")) for x in features):
-        table = table.join(arrival_gaps(packets, extra_keys, chunk_rows), keys)
+    timed = [f"{x} {s}" for x in ("flow iat", "active", "idle") for s in _STATS]
+    if any(x.startswith(("fwd iat", "bwd iat")) or x in timed for x in features):
+        pieces = _ordered_totals(packets, keys, activity_timeout_us, chunk_rows, slice_us)
+        gaps = [f"{s}_iat_{x}" for s in ("lo", "hi") for x in ("total", "mean", "std", "max", "min")]
+        table = named_totals(pieces, keys, *[f"`{x}`" for x in timed], *gaps)
         table = table.select("*", *name_directions(table))
-    if any(x.startswith(("flow iat", "active ", "idle ")) for x in features):
-        table = table.join(flow_timeline(packets, extra_keys, activity_timeout_us, slice_us), keys)
+    else:
+        table = flow_totals(packets, extra_keys)
     return table.select(*[f"`{x}`" for x in [*FLOW_METADATA, *extra_keys, *features]])
 
 

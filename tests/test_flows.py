@@ -163,3 +163,26 @@ def test_timeout_split(spark):
     packets = [packet(0, 0), packet(1, limit), packet(2, 2 * limit + 1)]
     rows = fl.split_on_timeout(table(spark, packets)).orderBy("seq").collect()
     assert [r["segment"] for r in rows] == [0, 0, 1]
+
+
+def test_flow_table_is_one_scan_and_two_exchanges(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    table(spark, random_packets()).write.parquet(path)
+    df = fl.flow_table(spark.read.parquet(path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_flow_table_equals_its_three_parts(spark):
+    rows = table(spark, random_packets()).withColumn("part", __import__("pyspark.sql.functions", fromlist=["col"]).col("seq") % 2)
+    whole = {(r["flow id"], r["part"]): r for r in fl.flow_table(rows, ["part"], chunk_rows=16).collect()}
+    totals = fl.flow_totals(rows, ["part"])
+    gaps = fl.arrival_gaps(rows, ["part"], 16).join(totals, [*fl.FLOW_KEY, "part"])
+    named = gaps.select("part", "`flow id`", *fl.name_directions(gaps)).collect()
+    line = fl.flow_timeline(rows, ["part"]).join(totals.select(*fl.FLOW_KEY, "part", "`flow id`"), [*fl.FLOW_KEY, "part"]).collect()
+    assert len(whole) == len(named) == len(line)
+    for r in [*totals.collect(), *named, *line]:
+        got = whole[r["flow id"], r["part"]]
+        for name, value in r.asDict().items():
+            if name in FEATURES:
+                assert got[name] == pytest.approx(value, rel=1e-9, abs=1e-6), name
