@@ -26,6 +26,8 @@ OUT_ROWS = 1 << 15
 WORD_BYTES = 1 << 20
 # words that are compared with others of their fingerprint at once
 CHECKED_WORDS = 1 << 16
+# between a phrase and its language; no word holds it
+KEY_CUT = "\t"
 # bits of the set that lets n-grams through whose parts are frequent; a full set lets more through, never less
 FILTER_BITS = 1 << 26
 # every separator of pieces becomes this one; no word holds it
@@ -230,20 +232,20 @@ class _Grams:
 
 
 def _counted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
-    """(fingerprint, count, document of one occurrence) of n-grams whose parts are frequent."""
+    """(fingerprint, count) of n-grams whose parts are frequent."""
     for size in sizes:
         places, first, n = grams.grouped(size, grams.places(size, known, min(2, size)))
-        shown = places[first]
-        yield grams.of(size)[0][shown].view(np.int64), n, grams.doc_of(shown)
+        yield grams.of(size)[0][places[first]].view(np.int64), n
 
 
 def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
-    """(language, size, phrase, count, document) of n-grams with a frequent fingerprint, told apart by their words.
+    """(phrase and language, count, document) of n-grams with a frequent fingerprint, told apart by their words.
 
-    Size 0 counts all words.
+    A fingerprint's places point into the text: there its phrase is read, and every other place compared with it.
+    An empty phrase counts all words.
     """
-    lang, ids = grams.slice.lang, grams.numbers()
-    yield [lang], [0], [""], [len(grams.words) - grams.slice.lead], [None]
+    tail, ids = KEY_CUT + grams.slice.lang, grams.numbers()
+    yield [tail], [len(grams.words) - grams.slice.lead], [None]
     for size in sizes:
         places, first, n = grams.grouped(size, grams.places(size, known, size))
         # an occurrence whose words differ from those of its fingerprint's first one here is a collision
@@ -254,13 +256,11 @@ def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None,
         if len(first):
             n = n - np.add.reduceat(other.astype(np.int64), first)
         at, counts = np.append(places[first], places[other]), np.append(n, np.ones(other.sum(), np.int64))
-        texts = [grams.text(p, size, names) for p in at.tolist()]
-        yield [lang] * len(at), np.full(len(at), size), texts, counts, grams.doc_of(at)
+        yield [grams.text(p, size, names) + tail for p in at.tolist()], counts, grams.doc_of(at)
 
 
-_COUNTED = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("doc", pa.int64())])
-_RECOUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()),
-                        ("doc", pa.int64())])
+_COUNTED = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
+_RECOUNTED = pa.schema([("key", pa.string()), ("n", pa.int64()), ("doc", pa.int64())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int, ...], known: Broadcast | None,
@@ -283,9 +283,9 @@ def _scanned(texts: DataFrame, count: Callable, sizes: tuple[int, ...], known: B
 
 
 def _frequent(texts: DataFrame, sizes: tuple[int, ...], known: Broadcast | None, least: int) -> DataFrame:
-    """(fp, n, doc): fingerprints that occur ``least`` times or more, with a document that holds one."""
-    rows = _scanned(texts, _counted, sizes, known, _COUNTED, "fp long, n long, doc long")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("doc").alias("doc")).filter(F.col("n") >= least)
+    """(fp, n): fingerprints that occur ``least`` times or more."""
+    rows = _scanned(texts, _counted, sizes, known, _COUNTED, "fp long, n long")
+    return rows.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
@@ -321,10 +321,14 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
 
     short = _bitmap(_frequent(texts, (1, 2), None, least), filter_bits)
     longer = _bitmap(_frequent(texts, (3, 4), shared(short), least), filter_bits)
-    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(short | longer), _RECOUNTED,
-                     "lang string, size int, phrase string, n long, doc long")
-    counted = again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"), F.min("doc").alias("doc"))
-    kept = materialize(counted.filter((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(short | longer), _RECOUNTED, "key string, n long, doc long")
+    # one text per language and phrase: narrower rows than two
+    counted = again.groupBy("key").agg(F.sum("n").alias("f"), F.min("doc").alias("doc"))
+    found = counted.select(F.expr(f"substring(key, instr(key, '{KEY_CUT}') + 1)").alias("lang"),
+                           F.substring_index("key", KEY_CUT, 1).alias("phrase"), "f", "doc")
+    found = found.filter((F.col("f") >= least) | (F.col("phrase") == "")).withColumn(
+        "size", F.when(F.col("phrase") != "", F.size(F.split("phrase", " ", -1))).otherwise(0))
+    kept = materialize(found, "phrases")
     return kept.filter("size > 0"), kept.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 

@@ -181,7 +181,7 @@ def _mined(df, **options):
 
 TEXTS = [(1, "New York, new york. NEW\tYORK\nnew  york city", "en"), (1, "New York, new york. NEW\tYORK\nnew  york city", "en"),
          (2, None, "en"), (3, "", None), (None, "a b c d e a b c d e", None), (4, "é é é. É x\x00y x\x00y", "fr"),
-         (5, "one " * 30_000, "de"), (6, "...", "de"), (7, "x" * 100_000 + " tail tail", "de")]
+         (5, "one " * 30_000, "de"), (6, "...", "de"), (6, "a b a b", "x\ty"), (7, "x" * 100_000 + " tail tail", "de")]
 
 
 @pytest.mark.parametrize("size", [256, 4096, 4 << 20])
@@ -215,9 +215,10 @@ def _sliced(slices, names, sizes):
     out: Counter = Counter()
     polynomials = collocations.Polynomials(16)
     for s in slices:
-        for langs, of, texts, counts, _ in collocations._recounted(collocations._Grams(s, polynomials), sizes, None, names):
-            for lang, size, text, n in zip(langs, of, texts, counts):
-                if size:
+        for keys, counts, _ in collocations._recounted(collocations._Grams(s, polynomials), sizes, None, names):
+            for key, n in zip(keys, counts):
+                text, _, lang = key.partition(collocations.KEY_CUT)
+                if text:
                     out[lang, text] += int(n)
     return out
 
@@ -244,10 +245,11 @@ def test_equal_fingerprints_of_different_phrases_are_told_apart(monkeypatch):
     monkeypatch.setattr(collocations, "CHECKED_WORDS", 2)
     s = collocations._Slice("en", b"a b a b c a.bb", [0], [9], 0)
     made: Counter = Counter()
-    for _, sizes, texts, counts, docs in collocations._recounted(
+    for keys, counts, docs in collocations._recounted(
             collocations._Grams(s, collocations.Polynomials(16)), (1, 2), None, {}):
-        for size, p, c, d in zip(sizes, texts, counts, docs if isinstance(docs, list) else docs.to_pylist()):
-            assert d == (9 if size else None)
+        for key, c, d in zip(keys, counts, docs if isinstance(docs, list) else docs.to_pylist()):
+            p = key.partition(collocations.KEY_CUT)[0]
+            assert d == (9 if p else None)
             made[p] += int(c)
     assert made == {"": 7, "a": 3, "b": 2, "c": 1, "bb": 1, "a b": 2, "b a": 1, "b c": 1, "c a": 1}
 
