@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.scalar import safe_div
 from flowspark.operators.actions import relative_time
-from flowspark.operators.lookups import lookup
+from flowspark.operators.lookups import FEW_ROWS, lookup
 from flowspark.operators.quantiles import quantile_row
 from flowspark.operators.sampling import first_per_group
+from flowspark.session import materialize
 
 # --- fixed values: timed stages of a batch ---
 STAGES = ["read", "preprocess", "inference", "postprocess", "log"]
@@ -35,13 +36,14 @@ def drop_warmup(df: DataFrame, run: Sequence[str], order: Sequence[str], n: int,
     """Drop the first ``n`` rows of every run that has more than ``n``.
 
     Shorter runs stay whole, or vanish with ``skip_short_runs``. Only the first rows of a
-    run are ranked; the others are compared with the key at the cut.
+    run are ranked; the others are compared with the key at the cut. The cuts are found once, when
+    this is called; those of a few runs are broadcast, those of many joined plainly.
     """
     key = F.struct(*[F.col(x) for x in order])
     head = first_per_group(df.select(*run, *[F.col(x) for x in order]), run,
                            [F.col(x) for x in order], n + 1)
-    cuts = head.groupBy(*run).agg(F.max(F.when(F.col("rn") == n + 1, key)).alias("__cut"))
-    kept = lookup(df, cuts, run, "inner", small=True)
+    cuts = materialize(head.groupBy(*run).agg(F.max(F.when(F.col("rn") == n + 1, key)).alias("__cut")), "cuts")
+    kept = lookup(df, cuts, run, "inner", small=cuts.count() <= FEW_ROWS)
     reached = F.col("__cut").isNotNull() & (key >= F.col("__cut"))
     rule = reached if skip_short_runs else reached | F.col("__cut").isNull()
     return kept.filter(rule).drop("__cut")
