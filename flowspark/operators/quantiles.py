@@ -1,30 +1,33 @@
 """Exact quantiles by distributed selection.
 
-``percentile`` and ``median`` keep every distinct value of a group in one task. Here a value becomes a 64-bit key
-that sorts like it, and the wanted ranks are found from the top: one scan counts the keys' leading 16 bits,
-which says which of those hold a rank and how many values are left there; the next scan counts the next
-16 bits of those values alone, and so on. Counts merge map-side, and a histogram has at most 2 ** 16 rows per group,
-column and narrowed range. Once no range holds more than ``LEFT`` values, one scan counts these by
-themselves. So any number of columns and probabilities takes two scans as a rule and four at most.
-
-The rounds run when the function is called, since each decides what the next one reads; their few result rows
+``percentile`` and ``median`` keep every distinct value of a group in one task. Here one scan makes a quantile sketch per
+group and column, which gives each wanted quantile a bracket: two values around it with a few of 10,000 values between
+them. A second scan counts exactly: values inside a bracket one by one, equal ones merged map-side, the others as one
+number per gap between brackets. Sums of these counts give the ranks. Groups of at most ``LEFT`` values are
+counted whole. So any number of columns and probabilities takes two scans; a rank that a bracket misses is
+found by one more scan that counts all values of its group and column, so results never depend on the sketch.
+
+The scans run when the function is called, since each decides what the next one counts; their few result rows
 are written to the session's shared folder.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark import session
 from flowspark.functions.scalar import quoted, sql_text
 from flowspark.operators.lookups import FEW_ROWS
 from flowspark.session import materialize
 
-# values of one range that are sorted in one task at the end
+# groups of at most so many values are counted without brackets
 LEFT = 1 << 18
-BITS = 16
+# ranks of the sketch are right to this share; brackets begin and end two shares from the wanted one
+ACCURACY = 10_000
 _MANTISSA = 1 << 52
 _LEAST_NORMAL = "2.2250738585072014E-308D"
 
@@ -54,50 +57,59 @@ def sql_from_key(k: str) -> str:
     return f"CASE WHEN {k} < 0 THEN -({size}) ELSE {size} END"
 
 
-def _entries(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """(groups, ci, k): one row per row and column; the keys under names of their own."""
+def _values(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(groups, v0, v1, ..): the columns as numbers without NaN; the keys under names of their own."""
     groups = [f"g{i}" for i in range(len(keys))]
-    rows = df.selectExpr(*[f"{quoted(x)} AS {g}" for x, g in zip(keys, groups)], *[
-        f"nanvl(CAST({quoted(x)} AS DOUBLE), NULL) AS v{i}" for i, x in enumerate(columns)])
-    each = ", ".join(f"struct({i} AS ci, {sql_order_key(f'v{i}')} AS k)" for i in range(len(columns)))
-    return rows.selectExpr(*groups, f"explode(array({each})) AS e").select(*groups, "e.*"), groups
+    return df.selectExpr(*[f"{quoted(x)} AS {g}" for x, g in zip(keys, groups)], *[
+        f"nanvl(CAST({quoted(x)} AS DOUBLE), NULL) AS v{i}" for i, x in enumerate(columns)]), groups
 
 
-def _holding(counts: DataFrame, range_columns: list[str]) -> DataFrame:
-    """Of counted places ``b`` those that hold a wanted rank, with the ranks inside them."""
-    upto = F.sum("m").over(Window.partitionBy(*range_columns).orderBy("b")
-                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = F.expr("transform(filter(wanted, t -> t.rank >= upto - m AND t.rank < upto), "
-                    "t -> struct(t.id AS id, t.rank - (upto - m) AS rank))")
-    return counts.withColumn("upto", upto).withColumn("wanted", inside)
+def _brackets(values: DataFrame, columns: int, keys: list[str], probs: list[float], left: int) -> DataFrame:
+    """(keys, ci, n, lo0, hi0, lo1, ..) after one scan: per group and column a bracket for each of the sorted probabilities."""
+    near = 2 / ACCURACY
+    ends = ", ".join(f"{max(p - near, 0.0)!r}D, {min(p + near, 1.0)!r}D" for p in probs)
+    rows = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.expr(
+        f"struct({i} AS ci, count(v{i}) AS n, percentile_approx(v{i}, array({ends}), {ACCURACY}) AS at)")
+        for i in range(columns)]).alias("e"))
+    each = rows.filter("rows > 0").select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
+    whole = F.col("n") <= left
 
+    def bound(j: int, p: float, low: bool):
+        # from the first to the last they never fall
+        side = [F.col("at")[2 * i + (not low)] for i in (range(j, len(probs)) if low else range(j + 1))]
+        value = side[0] if len(side) == 1 else F.least(*side) if low else F.greatest(*side)
+        beyond = p <= near if low else p >= 1 - near
+        return F.when(whole | F.lit(beyond), F.lit(-math.inf if low else math.inf)).otherwise(value)
+
+    return each.select(*keys, "ci", "n", *[x for j, p in enumerate(probs) for x in (
+        bound(j, p, True).alias(f"lo{j}"), bound(j, p, False).alias(f"hi{j}"))])
 
-def _started(entries: DataFrame, keys: list[str], probs: list[float], shift: int) -> DataFrame:
-    """(keys, ci, n, prefix, wanted, m) after the first scan; columns without values have a row without prefix."""
-    counts = entries.groupBy(*keys, "ci", F.shiftright("k", shift).alias("b")).agg(F.count("k").alias("m"))
-    whole = Window.partitionBy(*keys, "ci")
-    ranks = ", ".join(f"struct({2 * j} AS id, CAST(floor({p!r}D * (n - 1)) AS BIGINT) AS rank), "
-                      f"struct({2 * j + 1} AS id, CAST(ceil({p!r}D * (n - 1)) AS BIGINT) AS rank)"
-                      for j, p in enumerate(probs))
-    counted = counts.withColumn("n", F.sum("m").over(whole)).withColumn("wanted", F.expr(f"array({ranks})"))
-    # a column without values has the place NULL alone, which holds no rank
-    held = _holding(counted, [*keys, "ci"]).filter("size(wanted) > 0 OR n = 0")
-    return held.select(*keys, "ci", "n", F.col("b").alias("prefix"), "wanted", "m")
 
+def _counted(values: DataFrame, columns: int, brackets: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys, ci, v, ids) after one scan: values at the wanted ranks; ``v`` is NULL for a rank outside its bracket.
 
-def _narrowed(entries: DataFrame, found: DataFrame, keys: list[str], before: int, shift: int) -> DataFrame:
-    """(keys, ci, prefix, wanted, m) after one more scan of the values in the ranges ``found``."""
-    ranges = found.filter(F.col("prefix").isNotNull()).select(
-        *[F.col(k).alias(f"__on_{k}") for k in keys], F.col("ci").alias("__ci"), "prefix", "wanted")
-    # a few rows per group, column and probability; with many groups a plain join
+    Probability j has the ranks 2 * j below and 2 * j + 1 above its position.
+    """
+    each = ", ".join(f"struct({i} AS ci, v{i} AS v)" for i in range(columns))
+    entries = values.selectExpr(*keys, f"explode(array({each})) AS e").select(*keys, "e.*").filter("v IS NOT NULL")
+    ranges = brackets.withColumnsRenamed({x: f"__on_{x}" for x in [*keys, "ci"]})
+    # a row per group and column; with many groups a plain join
     if ranges.count() <= FEW_ROWS:
         ranges = F.broadcast(ranges)
     same = [entries[f"`{k}`"].eqNullSafe(ranges[f"`__on_{k}`"]) for k in keys]
-    hits = entries.join(ranges, [*same, entries["ci"] == ranges["__ci"],
-                                 F.shiftright(entries["k"], before) == ranges["prefix"]])
-    counts = hits.groupBy(*keys, "ci", "prefix", "wanted", F.shiftright("k", shift).alias("b")).agg(F.count("*").alias("m"))
-    return _holding(counts, [*keys, "ci", "prefix"]).filter("size(wanted) > 0").select(
-        *keys, "ci", F.col("b").alias("prefix"), "wanted", "m")
+    placed = entries.join(ranges, [*same, entries["ci"] == ranges["__on_ci"]])
+    gap = " + ".join(f"if(v > hi{j}, 1, 0)" for j in range(len(probs)))
+    inside = " OR ".join(f"(v >= lo{j} AND v <= hi{j})" for j in range(len(probs)))
+    # values of one gap outside all brackets lie before those inside
+    counts = placed.groupBy(*keys, "ci", "n", F.expr(gap).alias("gap"), F.expr(f"if({inside}, v, NULL)").alias("v")) \
+        .agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*keys, "ci").orderBy("gap", F.asc_nulls_first("v"))
+                           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = ", ".join(f"struct({2 * j} AS id, CAST(floor({p!r}D * (n - 1)) AS BIGINT) AS rank), "
+                      f"struct({2 * j + 1} AS id, CAST(ceil({p!r}D * (n - 1)) AS BIGINT) AS rank)"
+                      for j, p in enumerate(probs))
+    ids = F.expr(f"transform(filter(array({ranks}), t -> t.rank >= upto - m AND t.rank < upto), t -> t.id)")
+    return counts.withColumn("upto", upto).withColumn("ids", ids).filter("size(ids) > 0").select(*keys, "ci", "v", "ids")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -105,24 +117,26 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact quantiles (linear interpolation), one row per (key, column, probability).
 
     Result columns: ``keys``, ``name``, ``prob``, ``value``. NULL and NaN are left out; a column without values
-    gets a NULL value; NULL is a group key like any other. Reads ``df`` two to four times.
+    gets a NULL value; NULL is a group key like any other. Reads ``df`` two or three times.
     """
-    names, columns, probs = list(keys), list(columns), [float(p) for p in probs]
-    entries, keys = _entries(df, columns, names)
-    shift = 64 - BITS
-    first = found = materialize(_started(entries, keys, probs, shift), "ranges")
-    while shift:
-        most = found.agg(F.max("m")).first()[0] or 0
-        before, shift = shift, 0 if most <= left or shift == BITS else shift - BITS
-        if most:
-            found = materialize(_narrowed(entries, found, keys, before, shift), "ranges")
-    picks = found.filter(F.col("prefix").isNotNull()).select(*keys, "ci", F.expr(sql_from_key("prefix")).alias("v"),
-                                                             F.explode("wanted.id").alias("id"))
-    sides = picks.groupBy(*keys, "ci").agg(F.map_from_entries(F.collect_list(F.struct("id", "v"))).alias("at"))
+    names, columns, probs = list(keys), list(columns), sorted(float(p) for p in probs)
+    values, keys = _values(df, columns, names)
+    groups = session.materialize(_brackets(values, len(columns), keys, probs, left), "brackets")
+    found = materialize(_counted(values, len(columns), groups, keys, probs), "found")
+    on = [*keys, "ci"]
+    missed = found.filter("v IS NULL").select(*[F.col(x).alias(f"__on_{x}") for x in on]).distinct()
+    if not missed.isEmpty():
+        again = groups.join(missed, [groups[f"`{x}`"].eqNullSafe(missed[f"`__on_{x}`"]) for x in on], "left_semi").withColumns(
+            {f"{side}{j}": F.lit(end) for j in range(len(probs)) for side, end in (("lo", -math.inf), ("hi", math.inf))})
+        again = session.materialize(again, "brackets")
+        more = materialize(_counted(values, len(columns), again, keys, probs), "found")
+        found = found.join(missed, [found[f"`{x}`"].eqNullSafe(missed[f"`__on_{x}`"]) for x in on], "left_anti").unionByName(more)
+    picks = found.select(*on, "v", F.explode("ids").alias("id"))
+    sides = picks.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("id", "v"))).alias("at"))
     # one row per group and column, with or without values
-    groups = first.select(*keys, "ci", "n").distinct()
-    renamed = sides.withColumnsRenamed({x: f"__on_{x}" for x in [*keys, "ci"]})
-    joined = groups.join(renamed, [groups[f"`{x}`"].eqNullSafe(renamed[f"`__on_{x}`"]) for x in [*keys, "ci"]], "left")
+    renamed = sides.withColumnsRenamed({x: f"__on_{x}" for x in on})
+    joined = groups.select(*on, "n").join(
+        renamed, [groups[f"`{x}`"].eqNullSafe(renamed[f"`__on_{x}`"]) for x in on], "left")
 
     def value(j: int, p: float):
         lower, upper = F.col("at")[2 * j], F.col("at")[2 * j + 1]

@@ -124,6 +124,33 @@ def test_quantiles_read_few_times_and_sort_no_share_of_the_rows(spark, tmp_path,
             assert plan.index("Window") < plan.index("HashAggregate") < plan.index("Generate")
 
 
+def test_quantiles_of_repeated_values_take_two_scans(spark, tmp_path, monkeypatch):
+    """However often a value repeats, no further scan is needed to part it from others."""
+    from flowspark import session
+    plans = []
+
+    def kept(df, name, original=session.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, name)
+
+    monkeypatch.setattr(session, "materialize", kept)
+    monkeypatch.setattr(qu, "materialize", kept)
+    path = str(tmp_path / "x")
+    spark.range(20_000).selectExpr("id % 9 / 100D AS x", "IF(id % 3 = 0, double('-Infinity'), 7D) AS y", "id % 2 AS k").write.parquet(path)
+    got = {(r.k, r.name): r.value for r in exact_quantiles(spark.read.parquet(path), ["x", "y"], [0.5], ["k"], left=100).collect()}
+    assert got == {(k, x): v for k in (0, 1) for x, v in (("x", 0.04), ("y", 7.0))}
+    assert sum(plan.count(path) for plan in plans) == 2
+
+
+def test_quantiles_outside_their_brackets_are_found(spark, monkeypatch):
+    original = qu._brackets
+    monkeypatch.setattr(qu, "_brackets", lambda *args: original(*args).withColumns({
+        "lo0": F.when(F.col("g0") == 1, 3.0).otherwise(F.col("lo0")), "hi0": F.when(F.col("g0") == 1, 5.0).otherwise(F.col("hi0"))}))
+    rows = spark.range(1_000).selectExpr("CAST(id AS DOUBLE) AS x", "id % 2 AS k")
+    got = {(r.k, r.prob): r.value for r in exact_quantiles(rows, ["x"], [0.9, 0.5], ["k"], left=10).collect()}
+    assert got == {(0, 0.5): 499.0, (0, 0.9): pytest.approx(898.2), (1, 0.5): 500.0, (1, 0.9): pytest.approx(899.2)}
+
+
 def test_order_cuts_with_one_crowded_instant(spark):
     rows = [(10 if i % 3 else i, i) for i in range(200)]
     df = spark.createDataFrame(rows, "ts long, id long")
