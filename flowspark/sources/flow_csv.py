@@ -38,11 +38,11 @@ def file_layouts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         # ids grow within a task, and the first block of a file is read by one task
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))
     undefined = F.col("latin").rlike("[" + _chars(CP1252_UNDEFINED) + "]")
-    tested = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(undefined).alias("undefined"),
-        F.min_by("latin", "at").alias("header"))
-    return tested.select("path", F.when(F.col("utf8"), F.lit("utf-8"))
-                         .when(F.col("undefined"), F.lit("latin1"))
+    # at most four kinds of lines; a collected set lets Spark keep one hashed row per file instead of sorting the lines
+    kinds = F.collect_set(F.struct(F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined")))
+    tested = lines.groupBy("path").agg(kinds.alias("kinds"), F.min_by("latin", "at").alias("header"))
+    return tested.select("path", F.when(F.forall("kinds", lambda k: k["utf8"]), F.lit("utf-8"))
+                         .when(F.exists("kinds", lambda k: k["undefined"]), F.lit("latin1"))
                          .otherwise(F.lit("cp1252")).alias("encoding"), "header")
 
 

@@ -151,6 +151,16 @@ def test_quantiles_outside_their_brackets_are_found(spark, monkeypatch):
     assert got == {(0, 0.5): 499.0, (0, 0.9): pytest.approx(898.2), (1, 0.5): 500.0, (1, 0.9): pytest.approx(899.2)}
 
 
+def test_layouts_of_files_sort_no_lines(spark, tmp_path):
+    for i, data in enumerate([b"a,b\n1,2\n", b"a\n\xe4 \x80\n", b"c\n\x81\n\xc3\xa4\n", "a,b\n\u00e4,\u20ac\n".encode()]):
+        (tmp_path / f"{i}.csv").write_bytes(data)
+    layouts = fc.file_layouts(spark, str(tmp_path))
+    plan = layouts._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Sort" not in plan
+    got = sorted((r.path.rsplit("/", 1)[-1], r.encoding, r.header) for r in layouts.collect())
+    assert got == [("0.csv", "utf-8", "a,b"), ("1.csv", "cp1252", "a"), ("2.csv", "latin1", "c"), ("3.csv", "utf-8", "a,b")]
+
+
 def test_order_cuts_with_one_crowded_instant(spark):
     rows = [(10 if i % 3 else i, i) for i in range(200)]
     df = spark.createDataFrame(rows, "ts long, id long")
