@@ -1,10 +1,10 @@
 """Continuous flow building: keyed state of time slices and arrival chunks, closed by event-time timers.
 
 Packets are combined to one piece per (flow, time slice) inside each Arrow batch, before they are
-shuffled. The state of an open flow holds one entry per time slice (counts, sums, extrema and the
-distinct times in it) and one per chunk of arrival numbers, so an update touches only the slices and chunks
-that new packets fall into, and closing a flow handles one of them at a time: pieces are sorted inside and
-then chained, as the batch operators do.
+shuffled. The state of an open flow holds time slices (counts, sums, extrema and the distinct times in it)
+and chunks of arrival numbers. Small neighbours share a state entry, a large one has its own, so an update
+touches few entries of limited size, and closing a flow handles one of them at a time: pieces are
+sorted inside and then chained, as the batch operators do.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from flowspark.operators.flows import FLOW_KEY, SLICE_US, name_directions, named
 
 # arrival numbers per entry of a flow's arrival state
 ARRIVAL_CHUNK = 1 << 16
+# neighbouring slices or chunks per state entry, and the bytes of times from which one has its own entry
+PAGE, OWN_BYTES = 64, 1 << 13
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _NONE = 1 << 62
@@ -235,6 +237,93 @@ _CLOSED_COLUMNS = ["kind", *FLOW_KEY, *_LONGS, *_DOUBLES]
 
 # ---- state ----
 
+class _Pages:
+    """Numbered pairs of byte strings of one key; every access is a call to the state store, so small neighbours share one."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        # a number without bytes in its page has them in an entry of its own
+        self.pages = handle.getMapState(f"{name}_pages", "page long", "numbers array<long>, a array<binary>, b array<binary>")
+        self.own = handle.getMapState(name, "number long", "a binary, b binary")
+
+    def _page(self, page: int) -> dict[int, tuple]:
+        found = self.pages.getValue((page,))
+        return {n: (a, b) for n, a, b in zip(*found)} if found else {}
+
+    def _save(self, page: int, items: dict[int, tuple]) -> None:
+        if items:
+            self.pages.updateValue((page,), (list(items), [a for a, _ in items.values()], [b for _, b in items.values()]))
+        else:
+            self.pages.removeKey((page,))
+
+    def merge(self, added: dict, join) -> None:
+        """Add pairs of arrays; ``join(old pair or None, new)`` gives the pair to keep."""
+        numbers = sorted(added)
+        for page in sorted({n // PAGE for n in numbers}):
+            items = self._page(page)
+            for n in [x for x in numbers if x // PAGE == page]:
+                old = items.get(n)
+                if old is not None and old[0] is None:
+                    self.own.updateValue((n,), self._bytes(join(self._pair(self.own.getValue((n,))), added[n])))
+                    continue
+                a, b = self._bytes(join(self._pair(old), added[n]))
+                if len(b) > OWN_BYTES:
+                    self.own.updateValue((n,), (a, b))
+                    a = b = None
+                items[n] = (a, b)
+            self._save(page, items)
+
+    def visit(self, step) -> None:
+        """Call ``step(number, a, b)`` in order; it returns the pair to keep in its place, or None to remove the number."""
+        for page in sorted(k[0] for k in self.pages.keys()):
+            items, changed = self._page(page), False
+            for n in sorted(items):
+                own = items[n][0] is None
+                pair = self._pair(self.own.getValue((n,)) if own else items[n])
+                kept = step(n, *pair)
+                if kept is None:
+                    del items[n]
+                    if own:
+                        self.own.removeKey((n,))
+                elif kept[0] is not pair[0]:
+                    if own:
+                        self.own.updateValue((n,), self._bytes(kept))
+                    else:
+                        items[n] = self._bytes(kept)
+                else:
+                    continue
+                changed = True
+            if changed:
+                self._save(page, items)
+
+    def remove(self, numbers: set[int]) -> None:
+        for page in sorted({n // PAGE for n in numbers}):
+            items = self._page(page)
+            for n in [x for x in items if x in numbers]:
+                if items.pop(n)[0] is None:
+                    self.own.removeKey((n,))
+            self._save(page, items)
+
+    @staticmethod
+    def _pair(stored):
+        return None if stored is None else tuple(np.frombuffer(x, "<i8") for x in stored)
+
+    @staticmethod
+    def _bytes(pair) -> tuple[bytes, bytes]:
+        return tuple(np.ascontiguousarray(x, "<i8").tobytes() for x in pair)
+
+
+def _joined_slices(old, parts: list) -> tuple[np.ndarray, np.ndarray]:
+    parts = parts if old is None else [*parts, old]
+    merged = parts[0][0]
+    for totals, _ in parts[1:]:
+        merged = _joined(merged, totals)
+    return merged, np.unique(np.concatenate([t for _, t in parts]))
+
+
+def _joined_arrivals(old, new) -> tuple[np.ndarray, np.ndarray]:
+    return new if old is None else tuple(np.append(a, b) for a, b in zip(old, new))
+
+
 class FlowState(StatefulProcessor):
     """State of the open flows of one key."""
 
@@ -243,8 +332,7 @@ class FlowState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slices = handle.getMapState("slices", "slice long", "totals array<long>, times binary")
-        self.arrivals = handle.getMapState("arrivals", "chunk long", "marks binary, times binary")
+        self.slices, self.arrivals = _Pages(handle, "slices"), _Pages(handle, "arrivals")
 
     def close(self) -> None:
         pass
@@ -269,56 +357,41 @@ class FlowState(StatefulProcessor):
             yield _frame([row])
 
     def _store(self, slices: dict, marks: np.ndarray, times: np.ndarray) -> None:
-        for number, parts in slices.items():
-            if self.slices.containsKey((number,)):
-                totals, t = self.slices.getValue((number,))
-                parts.append((np.array(totals, np.int64), np.frombuffer(t, "<i8")))
-            merged = parts[0][0]
-            for totals, _ in parts[1:]:
-                merged = _joined(merged, totals)
-            self.slices.updateValue((number,), (
-                merged.tolist(), np.unique(np.concatenate([t for _, t in parts])).astype("<i8").tobytes()))
+        self.slices.merge(slices, _joined_slices)
         chunk = (marks >> 1) // ARRIVAL_CHUNK
-        for number in np.unique(chunk).tolist():
-            m, t = marks[chunk == number], times[chunk == number]
-            if self.arrivals.containsKey((number,)):
-                old = [np.frombuffer(x, "<i8") for x in self.arrivals.getValue((number,))]
-                m, t = np.append(old[0], m), np.append(old[1], t)
-            self.arrivals.updateValue((number,), (m.astype("<i8").tobytes(), t.astype("<i8").tobytes()))
+        self.arrivals.merge({n: (marks[chunk == n], times[chunk == n]) for n in np.unique(chunk).tolist()}, _joined_arrivals)
         # timers stand at multiples of the timeout, so a busy flow has few of them
         quiet = int(times.max()) + self.timeout_us + self.slice_us
         self.handle.registerTimer((quiet // self.timeout_us + 1) * self.timeout_us // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        numbers = sorted(k[0] for k in self.slices.keys())
         flows: list[_Flow] = []
-        for number in numbers:
-            totals, t = self.slices.getValue((number,))
-            t = np.frombuffer(t, "<i8")
+
+        def add_slice(number, totals, t):
             if not flows or int(t[0]) - flows[-1].end > self.timeout_us:
                 flows.append(_Flow(int(t[0])))
-            flows[-1].add_slice(number, np.array(totals, np.int64), t, self.activity_us)
+            flows[-1].add_slice(number, totals, t, self.activity_us)
+            return totals, t
+
+        self.slices.visit(add_slice)
         # a packet that is not late any more would come a timeout after the end
         ended = [f for f in flows if f.end + self.timeout_us + self.slice_us <= watermark]
         if not ended:
             return
         begins = np.array([f.begin for f in flows])
-        for number in sorted(k[0] for k in self.arrivals.keys()):
-            m, t = (np.frombuffer(x, "<i8") for x in self.arrivals.getValue((number,)))
+
+        def add_arrivals(number, m, t):
             order = np.argsort(m, kind="stable")
             m, t = m[order], t[order]
             flow = np.searchsorted(begins, t, "right") - 1
-            for i, f in enumerate(ended):
-                f.add_arrivals(m[flow == i], t[flow == i])
+            for i in np.unique(flow[flow < len(ended)]).tolist():
+                ended[i].add_arrivals(m[flow == i], t[flow == i])
             rest = flow >= len(ended)
-            if rest.any():
-                self.arrivals.updateValue((number,), (m[rest].tobytes(), t[rest].tobytes()))
-            else:
-                self.arrivals.removeKey((number,))
-        for f in ended:
-            for number in f.slices:
-                self.slices.removeKey((number,))
+            return (m[rest], t[rest]) if rest.any() else None
+
+        self.arrivals.visit(add_arrivals)
+        self.slices.remove({number for f in ended for number in f.slices})
         yield _frame([dict(zip(_CLOSED_COLUMNS, ["flow", *key])) | f.row() for f in ended])
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,73 @@ def test_late_packets_are_counted_and_state_ends(spark, tmp_path):
     assert left <= 3
 
 
+class _Store:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.maps, self.calls = {}, 0
+
+    def getMapState(self, name, *_):
+        rows, store = self.maps.setdefault(name, {}), self
+
+        class Map:
+            def __getattr__(self, call):
+                store.calls += 1
+                return {"getValue": rows.get, "updateValue": rows.__setitem__, "containsKey": rows.__contains__,
+                        "removeKey": rows.pop, "keys": lambda: iter(list(rows))}[call]
+        return Map()
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+
+def test_sparse_flows_take_few_state_calls():
+    """Packets far apart in time and arrival number cost no state calls of their own."""
+    import numpy as np
+    import pandas as pd
+    store, state = _Store(), sflows.FlowState(GAP, 5_000_000, 1_000_000)
+    state.init(store)
+    long = lambda x: np.array([x], "<i8").tobytes()
+    rows = pd.DataFrame({"slice": range(50), "totals": [[int(not x.startswith("lo_")) for x, _ in sflows._TOTALS]] * 50,
+                         "marks": [long(2 * i * sflows.ARRIVAL_CHUNK) for i in range(50)],
+                         "times": [long(i * 1_000_000) for i in range(50)]})
+    watermark = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+    before = type("Timer", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    assert not list(state.handleInputRows(("a", 1, "b", 2, 6), iter([rows]), before)) and store.calls < 20
+    closed = list(state.handleExpiredTimer(("a", 1, "b", 2, 6), watermark, None))
+    assert len(closed) == 1 and closed[0]["last_ts"][0] == 49_000_000 and store.calls < 40
+    assert not any(store.maps.values())
+
+
+def test_pages_keep_large_entries_apart(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(sflows, "PAGE", 4)
+    monkeypatch.setattr(sflows, "OWN_BYTES", 40)
+    rng, store, want = random.Random(2), _Store(), {}
+    pages = sflows._Pages(store, "x")
+    for _ in range(30):
+        added = {rng.randrange(-9, 9): np.arange(rng.randrange(1, 4)) for _ in range(3)}
+        pages.merge({n: (a, a + 1) for n, a in added.items()}, sflows._joined_arrivals)
+        for n, a in added.items():
+            want[n] = [*want.get(n, []), *a.tolist()]
+        gone = set(rng.sample(sorted(want), 1))
+        pages.remove(gone)
+        want = {n: a for n, a in want.items() if n not in gone}
+        short = {n: a[1:] for n, a in want.items() if n % 3 == 0}
+        seen = {}
+
+        def step(n, a, b):
+            seen[n] = a.tolist()
+            assert (b == a + 1).all()
+            return (a, b) if n % 3 else (a[1:], b[1:]) if len(a) > 1 else None
+
+        pages.visit(step)
+        assert seen == want and list(seen) == sorted(seen)
+        want = {n: a for n, a in (want | short).items() if a}
+        assert set(k[0] for k in store.maps["x"]) <= set(want)
+    assert store.maps["x"] and want
+
+
 def test_moments_merge_like_one_pass():
     values = [5.0, 1.0, 7.5, 7.5, -2.0, 100.0]
     m = sflows.Moments()
