@@ -15,13 +15,13 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, partial
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -34,13 +34,20 @@ LEVELS = 40
 MAX_SHARD = 1 << 30
 CACHED = 3 << 17
 LONGEST_CACHED = 64
-# marks that stand behind words, and what ends a line as well
-_MARKS = frozenset(".,;:!?")
-_STOPS = _MARKS | {"\n"}
 SLICE = 256
+# bytes of texts whose words are looked up at once
+SLICE_BYTES = 4 << 20
 NULL_KEY = -1 << 63
-# every white space character with a blank behind it
-BLANK_RUNS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+# white space beyond ASCII with a blank behind it: whether a pre-token ends between them depends on what follows
+_WIDE_BLANKS = "[%s] " % "".join(r"\x{%x}" % c for c in range(0x80, 0x3001) if chr(c).isspace())
+# kinds of bytes: white space, letters, digits, marks, the apostrophe; nothing is known of the others
+_SPACE, _LETTER, _DIGIT, _MARK, _QUOTE = range(1, 6)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[33:127] = _MARK
+_KINDS[48:58] = _DIGIT
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[ord("'")] = _QUOTE
 
 
 # ---- minimal perfect hash ----
@@ -109,7 +116,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 # ---- shard format ----
 
-def _index(keys: list[int], counts: list[int], shard: int, width: int, end_id: int) -> bytes:
+def _index(keys: Sequence[int], counts: Sequence[int], shard: int, width: int, end_id: int) -> bytes:
     """Index of documents in file order; equal keys are neighbours."""
     k, n = np.array(keys, np.int64), np.array(counts, np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
@@ -172,31 +179,62 @@ class Shard:
 
 # ---- encoding ----
 
+def _cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether a pre-token ends before each byte of UTF-8 texts that begin at ``begins``, as far as its neighbours show.
+
+    The pre-tokens are `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`. None reaches over a
+    place found here, none looks back, and none looks ahead over it with another outcome. Not every end is found.
+    """
+    kind = _KINDS[data]
+    # two bytes from 0xC3 on: À to ÿ, letters but for × and ÷
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    first = np.zeros(len(data) + 1, bool)
+    first[begins] = True
+    first = first[:-1]
+    shown, space, quote = kind > _SPACE, kind == _SPACE, kind == _QUOTE
+    blank = data == 32
+    cut = first.copy()
+    # letters, digits and marks end where another of them begins; an apostrophe may stand for the beginning of 's
+    differs = (kind[1:] != kind[:-1]) & shown[1:] & shown[:-1]
+    cut[1:] |= differs & ~quote[:-1] & ~(quote[1:] & (kind[:-1] == _MARK))
+    # what is no white space ends before it
+    cut[1:] |= space[1:] & shown[:-1]
+    cut[1:] |= blank[1:] & (data[:-1] >= 0x80)
+    # a single white space character other than a blank stands alone
+    alone = space & ~blank
+    alone[1:] &= shown[:-1] | first[1:]
+    cut[1:] |= shown[1:] & alone[:-1]
+    return cut
+
+
 class Encoder:
     """A byte-level tokenizer that remembers the ids of word parts.
 
-    Texts are cut before each blank that follows another character. No pre-token of such a tokenizer reaches over that
-    place, and none looks back, so the ids of the parts, put together, are those of the text. New parts of letters,
-    punctuation and single line breaks are cut into pre-tokens here and merged by the library's model; all
-    others go through the whole tokenizer.
+    Texts are cut where a pre-token of such a tokenizer ends whatever stands around that place, so the ids of
+    the parts, put together, are those of the text. New parts that are one pre-token are merged by the library's
+    model; all others go through the whole tokenizer.
     """
-    _PLAIN = re.compile("( ?L+)([.,;:!?]*)((?:\nL+[.,;:!?]*)*)".replace("L", "[A-Za-zÀ-ÖØ-öø-ÿ]"))
-    _WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+|\n")
+    _ONE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|[\t-\r]")
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
-        # words of letters met lately and before that, marks behind them, and other parts
-        self.words, self.older, self.marks, self.known = {}, {}, {}, {}
+        # parts met lately and before that
+        self.words, self.older = {}, {}
         self.merge = self.tokenizer.model.tokenize
         # printable bytes stand for themselves, the others for characters from 256 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
-        self.shown = [chr(b if b in printable else next(others)) for b in range(256)]
+        self.shown = {b: b if b in printable else next(others) for b in range(256)}
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        # added tokens are found before pre-tokens
+        self.added = {t["content"] for t in spec["added_tokens"]}
+        self.uncut = "|".join([_WIDE_BLANKS, *map(re.escape, sorted(self.added))])
         self.split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex")
                       and not pre.get("add_prefix_space") and not any(
                           " " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]))
@@ -207,68 +245,45 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def merged(self, word: str) -> bytes:
-        found = self.merge("".join([self.shown[b] for b in word.encode()]))
+        """Ids of one pre-token."""
+        found = self.merge(word.encode().decode("latin-1").translate(self.shown))
         return array(self.code, [t.id for t in found]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of one pre-token of letters, with or without a blank before it."""
-        made = self.words.get(word)
-        if made is None:
-            made = self.older.get(word) or self.merged(word)
-            if len(word) <= LONGEST_CACHED:
-                if len(self.words) >= CACHED:  # forget what was not met since the last time
-                    self.words, self.older = {}, self.words
-                self.words[word] = made
-        return made
-
-    def mark(self, marks: str) -> bytes:
-        """Ids of one pre-token of marks or a line break."""
-        made = self.marks.get(marks)
-        if made is None:
-            made = self.merged(marks)
-            self.marks = self.remember(self.marks, marks, made)
-        return made
-
     def part(self, part: str) -> bytes:
-        # most parts that are no known word are one with a mark behind it; only words are remembered
-        if part in self.older:
-            return self.word(part)
-        if part[-1:] in _MARKS and (part[:-1] in self.words or part[:-1] in self.older):
-            return self.word(part[:-1]) + self.mark(part[-1])
-        plain = self._PLAIN.fullmatch(part)
-        if not plain:
-            made = self.known.get(part)
-            if made is None:
-                made = self.plain(part)
-                self.known = self.remember(self.known, part, made)
-            return made
-        head, marks, lines = plain.groups()
-        made = self.word(head)
-        if marks or lines:
-            made += b"".join([self.mark(marks)] if marks else [])
-            made += b"".join([self.word(w) if w[0] not in _STOPS else self.mark(w) for w in self._WORDS.findall(lines)])
+        made = self.older.get(part)
+        if made is None:
+            made = self.merged(part) if self._ONE.fullmatch(part) and part not in self.added else self.plain(part)
+        if len(part) <= LONGEST_CACHED:
+            if len(self.words) >= CACHED:  # forget what was not met since the last time
+                self.words, self.older = {}, self.words
+            self.words[part] = made
         return made
 
-    @staticmethod
-    def remember(known: dict, part: str, made: bytes) -> dict:
-        if len(part) <= LONGEST_CACHED:
-            if len(known) >= CACHED:  # forget the older half
-                known = dict(islice(known.items(), CACHED // 2, None))
-            known[part] = made
-        return known
+    def parts(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, parts))
+        return [self.part(p) if f is None else f for p, f in zip(parts, found)] if None in found else found
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, null like empty; a part that many of the texts hold is looked up once."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
         if not self.split:
-            return self.plain(text)
-        if text[:1] == " " or text[-1:] == " " or any(b in text for b in BLANK_RUNS):
-            parts = re.split(r"(?<=\S)(?= )", text)
-        else:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-        found = list(map(self.words.get, parts))
-        if None in found:
-            found = [self.part(p) if f is None else f for p, f in zip(parts, found)]
-        return b"".join(found)
+            whole[:] = True
+        if whole.any():
+            rest = iter(self.encode_all(texts.filter(pa.array(~whole))) if not whole.all() else [])
+            made = [self.plain(t.as_py()) if w else next(rest).as_py() for t, w in zip(texts, whole)]
+            return pa.array(made, pa.binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        at = np.append(np.flatnonzero(_cuts(data, ends)) if len(data) else [], len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self.parts(parts.dictionary.to_pylist()), pa.binary()).take(parts.indices)
+        starts = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.searchsorted(at, ends)]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts), ids.buffers()[2]])
 
 
 @lru_cache(maxsize=2)
@@ -280,14 +295,16 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, width: int, end_id: int)
     work, keys, counts = encoder(path, width), [], []
     names = ["value"]
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            part = batch.slice(start, SLICE)
-            made = [work.encode(t or "") for t in part.column(1).to_pylist()]
-            keys += [NULL_KEY if k is None else k for k in part.column(0).to_pylist()]
-            counts += [len(m) // width + 1 for m in made]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=names)
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ends = np.flatnonzero(np.diff(sizes // SLICE_BYTES, append=-1))
+        for start, end in zip([0, *(ends + 1)], ends + 1):
+            part = batch.slice(start, end - start)
+            made = work.encode_all(part.column(1))
+            keys.append(part.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+            counts.append(pc.binary_length(made).to_numpy(zero_copy_only=False) // width + 1)
+            yield pa.RecordBatch.from_arrays([made], names=names)
     if keys:
-        index = _index(keys, counts, TaskContext.get().partitionId(), width, end_id)
+        index = _index(np.concatenate(keys), np.concatenate(counts), TaskContext.get().partitionId(), width, end_id)
         yield pa.RecordBatch.from_arrays([pa.array([index], pa.binary())], names=names)
 
 

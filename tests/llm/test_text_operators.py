@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -494,6 +495,23 @@ def test_remembered_parts_give_the_tokenizers_ids(documents):
         x.ids for x in work.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_parts_of_many_texts_are_looked_up_once():
+    work = token_shards.Encoder(BYTES, 2)
+    rng = random.Random(4)
+    letters = list("abstdlTé'' ,.#\n\r\t 9²中×÷ÿ\u00a0\u3000\u0085\x1c\x00\x7f\u0301Пя€") + ["'s", "  ", "\n\n", "'ll", " a", " b"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(5000)] + [
+        None, "", " ", "x<|endoftext|>, y", "a\u0085 b", "×, ÷.", "it's's, 'll!'s 9't x9'd", "\n\n a\n b\n  c\n", "²,3½x", "e\u0301, f"]
+    for some in (pa.array(texts), pa.array(texts).slice(7, 900), pa.array(texts[:0], pa.string()), pa.array([None], pa.string())):
+        made = work.encode_all(some)
+        made.validate(full=True)
+        assert [np.frombuffer(m, "<u2").tolist() for m in made.to_pylist()] == [
+            x.ids for x in work.tokenizer.encode_batch([t or "" for t in some.to_pylist()], add_special_tokens=False)]
+    asked, parts = [], work.parts
+    work.parts = lambda p: asked.extend(p) or parts(p)
+    made = work.encode_all(pa.array(["Newly met, newly seen!\nNewly met ###"] * 500))
+    assert len(made) == 500 and sorted(asked) == sorted(["Newly", " met", ",", " newly", " seen", "!", "\n", " ###"])
+
+
 def test_shards_hold_every_document_in_order(spark, odd, documents):
     got = sorted(map(tuple, queries.op8(spark, SF_DIR).collect()))
     work, start, want = token_shards.encoder(BYTES, 2), 0, []
