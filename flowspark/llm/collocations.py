@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
 
@@ -28,6 +28,12 @@ WORD_BYTES = 1 << 20
 CHECKED_WORDS = 1 << 16
 # between a phrase and its language; no word holds it
 KEY_CUT = "\t"
+# the first count keeps this much of a fingerprint, with its count in the bits below it
+FP_BITS = 40
+COUNT_BITS = 64 - FP_BITS
+# fingerprints that a task counts before it hands them on, and packed rows it reads at once
+HELD = 1 << 21
+PACKED_ROWS = 1 << 10
 # bits of the set that lets n-grams through whose parts are frequent; a full set lets more through, never less
 FILTER_BITS = 1 << 26
 # every separator of pieces becomes this one; no word holds it
@@ -77,7 +83,7 @@ def _cells(fps: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _known(bitmap: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    out = np.ones(len(fps), bool)
+    out, fps = np.ones(len(fps), bool), _mixed(fps >> np.uint64(COUNT_BITS))
     for cell in _cells(fps, 8 * len(bitmap)):
         out &= (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
@@ -231,11 +237,105 @@ class _Grams:
         return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
-def _counted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
-    """(fingerprint, count) of n-grams whose parts are frequent."""
-    for size in sizes:
-        places, first, n = grams.grouped(size, grams.places(size, known, min(2, size)))
-        yield grams.of(size)[0][places[first]].view(np.int64), n
+def _tallied(tallies: np.ndarray, cap: int) -> np.ndarray:
+    """Add up (fingerprint, count) pairs, each in one number, to one per fingerprint in order; counts end at ``cap``."""
+    if not len(tallies):
+        return tallies
+    tallies, low = np.sort(tallies), np.uint64((1 << COUNT_BITS) - 1)
+    fps = tallies & ~low
+    first = np.flatnonzero(np.append(True, fps[1:] != fps[:-1]))
+    return fps[first] | np.minimum(np.add.reduceat(tallies & low, first), np.uint64(cap))
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
+
+
+def _packed(tallies: np.ndarray, bits: int, cap: int) -> pa.RecordBatch:
+    """Rows of the tallies with equal leading ``bits``: steps between fingerprints, each with a bit that says
+    whether a count over 1 follows in ``counts``."""
+    low = np.uint64((1 << COUNT_BITS) - 1)
+    bounds = np.searchsorted(tallies, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    bounds = np.append(bounds, len(tallies))
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    bounds = np.append(bounds[full], len(tallies))
+    fps, n = tallies >> np.uint64(COUNT_BITS), tallies & low
+    steps = np.diff(fps, prepend=np.uint64(0))
+    steps[bounds[:-1]] = fps[bounds[:-1]] & np.uint64((1 << FP_BITS - bits) - 1)
+    steps = steps << np.uint64(1) | (n > 1).astype(np.uint64)
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    shown = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    kind = np.min_scalar_type(cap)
+    more = np.append(0, np.cumsum(n > 1))[bounds] * kind.itemsize
+    columns = [pa.array(full, pa.int32()), pa.array(np.full(len(full), width), pa.int32())] + [
+        pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        for ends, data in ((bounds * width, shown), (more, n[n > 1].astype(kind)))]
+    return pa.RecordBatch.from_arrays(columns, schema=_PACKED)
+
+
+def _unpacked(rows: pa.RecordBatch, bits: int, cap: int) -> np.ndarray:
+    """The tallies of packed rows."""
+    kind, out = np.min_scalar_type(cap), []
+    widths = rows.column(1).to_numpy()
+    for width in np.unique(widths).tolist():
+        buckets, _, steps, counts = rows.filter(pa.array(widths == width)).columns
+        ends = [np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset) for c in (steps, counts)]
+        data, more = (np.frombuffer(c.buffers()[2] or b"", np.uint8)[e[0]:e[-1]] for c, e in zip((steps, counts), ends))
+        sizes = np.diff(ends[0]) // width
+        wide = np.zeros((len(data) // width, 8), np.uint8)
+        wide[:, :width] = data.reshape(-1, width)
+        shown = wide.view("<u8").ravel()
+        sums = np.cumsum(shown >> np.uint64(1), dtype=np.uint64)
+        before = np.append(np.zeros(1, np.uint64), sums)[np.cumsum(sizes) - sizes]
+        base = (buckets.to_numpy().astype(np.uint64) << np.uint64(FP_BITS - bits)) - before
+        n = np.ones(len(shown), np.uint64)
+        n[shown & np.uint64(1) == 1] = np.frombuffer(more.tobytes(), kind)
+        out.append((sums + np.repeat(base, sizes)) << np.uint64(COUNT_BITS) | n)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], known: Broadcast | None, bits: int,
+           cap: int) -> Iterator[pa.RecordBatch]:
+    """Packed tallies of the n-grams of (doc, lang, text) rows whose parts are frequent."""
+    bitmap = None if known is None else np.frombuffer(known.value, np.uint8)
+    polynomials = Polynomials(SLICE_BYTES + (1 << 16))
+    held, n = [], 0
+    for s in _slices(batches, {}):
+        grams = _Grams(s, polynomials)
+        for size in sizes:
+            fps = grams.of(size)[0][grams.places(size, bitmap, min(2, size))]
+            held.append(_tallied(fps >> np.uint64(COUNT_BITS) << np.uint64(COUNT_BITS) | np.uint64(1), cap))
+            n += len(held[-1])
+        if n >= HELD:
+            held = [_tallied(np.concatenate(held), cap)]
+            n = len(held[0])
+            # where most were counted before, there is room for more
+            if n >= HELD // 2:
+                yield _packed(held[0], bits, cap)
+                held, n = [], 0
+    if n:
+        yield _packed(_tallied(np.concatenate(held), cap), bits, cap)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], bits: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with a count of ``cap``, of packed rows in order of their buckets."""
+    held, at = [], 0
+
+    def frequent(tallies: np.ndarray) -> pa.RecordBatch:
+        reached = tallies[tallies & np.uint64((1 << COUNT_BITS) - 1) == cap] >> np.uint64(COUNT_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(_mixed(reached).view(np.int64))], names=["fp"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, PACKED_ROWS):
+            rows = batch.slice(start, PACKED_ROWS)
+            held.append(_unpacked(rows, bits, cap))
+            last = rows.column(0)[-1].as_py()
+            if last > at:
+                tallies = _tallied(np.concatenate(held), cap)
+                whole = int(np.searchsorted(tallies, np.uint64(last << 64 - bits)))
+                yield frequent(tallies[:whole])
+                held, at = [tallies[whole:]], last
+    if held:
+        yield frequent(_tallied(np.concatenate(held), cap))
 
 
 def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None, names: dict[bytes, bytes]):
@@ -259,33 +359,34 @@ def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None,
         yield [grams.text(p, size, names) + tail for p in at.tolist()], counts, grams.doc_of(at)
 
 
-_COUNTED = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
 _RECOUNTED = pa.schema([("key", pa.string()), ("n", pa.int64()), ("doc", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], count: Callable, sizes: tuple[int, ...], known: Broadcast | None,
-          schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Count the n-grams of (doc, lang, text) rows, a slice of texts at a time."""
-    bitmap = None if known is None else np.frombuffer(known.value, np.uint8)
+def _recount(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], known: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Counts of the frequent n-grams of (doc, lang, text) rows by their text, a slice of texts at a time."""
+    bitmap = np.frombuffer(known.value, np.uint8)
     polynomials = Polynomials(SLICE_BYTES + (1 << 16))
     names: dict[bytes, bytes] = {}
     for s in _slices(batches, names):
-        for columns in count(_Grams(s, polynomials), sizes, bitmap, names):
+        for columns in _recounted(_Grams(s, polynomials), sizes, bitmap, names):
             for i in range(0, len(columns[0]), OUT_ROWS):
                 parts = [c[i:i + OUT_ROWS] for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(parts, schema)], schema=schema)
-
-
-def _scanned(texts: DataFrame, count: Callable, sizes: tuple[int, ...], known: Broadcast | None, schema: pa.Schema,
-             ddl: str) -> DataFrame:
-    return texts.mapInArrow(partial(_scan, count=count, sizes=sizes, known=known, schema=schema), ddl)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                                  for c, f in zip(parts, _RECOUNTED)], schema=_RECOUNTED)
 
 
 def _frequent(texts: DataFrame, sizes: tuple[int, ...], known: Broadcast | None, least: int) -> DataFrame:
-    """(fp, n): fingerprints that occur ``least`` times or more."""
-    rows = _scanned(texts, _counted, sizes, known, _COUNTED, "fp long, n long")
-    return rows.groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    """(fp): fingerprints that occur ``least`` times or more, shortened to ``FP_BITS`` and mixed.
+
+    Two n-grams that share a fingerprint count together, so more may pass, but none is lost. A task hands its
+    counts on packed, one row for all fingerprints with equal leading bits: by these, rows meet.
+    """
+    cap = max(1, min(least, (1 << COUNT_BITS) - 1))
+    # a task adds up one bucket at a time, so wider shuffles of more data have more of them
+    bits = min(20, max(12, (64 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    rows = texts.mapInArrow(partial(_count, sizes=sizes, known=known, bits=bits, cap=cap),
+                            "bucket int, width int, steps binary, counts binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_add_up, bits=bits, cap=cap), "fp long")
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
@@ -321,7 +422,8 @@ def phrase_counts(df: DataFrame, key: str = "doc_id", lang: str = "lang", text:
 
     short = _bitmap(_frequent(texts, (1, 2), None, least), filter_bits)
     longer = _bitmap(_frequent(texts, (3, 4), shared(short), least), filter_bits)
-    again = _scanned(texts, _recounted, (1, 2, 3, 4), shared(short | longer), _RECOUNTED, "key string, n long, doc long")
+    again = texts.mapInArrow(partial(_recount, sizes=(1, 2, 3, 4), known=shared(short | longer)),
+                             "key string, n long, doc long")
     # one text per language and phrase: narrower rows than two
     counted = again.groupBy("key").agg(F.sum("n").alias("f"), F.min("doc").alias("doc"))
     found = counted.select(F.expr(f"substring(key, instr(key, '{KEY_CUT}') + 1)").alias("lang"),

@@ -254,6 +254,37 @@ def test_equal_fingerprints_of_different_phrases_are_told_apart(monkeypatch):
     assert made == {"": 7, "a": 3, "b": 2, "c": 1, "bb": 1, "a b": 2, "b a": 1, "b c": 1, "c a": 1}
 
 
+def _word_rows(words, lines):
+    rng = np.random.default_rng(5)
+    made = [" ".join(f"w{int(x * x * words)}" for x in rng.random(200)) + "." for _ in range(lines)]
+    return pa.RecordBatch.from_pydict({"doc": list(range(lines)), "lang": ["en", "fr"] * (lines // 2), "text": made})
+
+
+@pytest.mark.parametrize("cap", [1, 3, 300])
+@pytest.mark.parametrize("held, rows", [(1 << 21, 1 << 10), (2000, 3), (50, 1 << 10)])
+def test_packed_counts_are_those_of_brute_force(monkeypatch, held, rows, cap):
+    for name, value in (("HELD", held), ("PACKED_ROWS", rows), ("SLICE_BYTES", 20_000)):
+        monkeypatch.setattr(collocations, name, value)
+    batch, mark = _word_rows(500, 60), np.uint64(collocations.COUNT_BITS)
+    tasks = [batch.slice(0, 25), batch.slice(25), batch.slice(0, 0)]
+    packed = [b for t in tasks for b in collocations._count(iter([t]), (1, 2), None, 12, cap)]
+    table = pa.Table.from_batches(packed).sort_by("bucket")
+    made = [b.column(0).to_numpy() for b in collocations._add_up(iter(table.to_batches(max_chunksize=1000)), 12, cap)]
+    grams = [collocations._Grams(s, collocations.Polynomials(16)) for s in collocations._slices(iter([batch]), {})]
+    fps, n = np.unique(np.concatenate([g.of(k)[0][g.places(k, None, 1)] for g in grams for k in (1, 2)]) >> mark, return_counts=True)
+    assert sorted(np.concatenate(made)) == sorted(collocations._mixed(fps[n >= cap]).view(np.int64))
+    assert list(collocations._add_up(iter([]), 12, cap)) == []
+
+
+def test_counts_are_handed_on_in_few_bytes():
+    batch = _word_rows(100_000, 2000)
+    packed = list(collocations._count(iter([batch]), (1, 2), None, 12, 30))
+    tallies = [collocations._unpacked(b, 12, 30) for b in packed]
+    # a row of (fingerprint, count) alone took 11 bytes in the shuffle
+    assert sum(len(t) for t in tallies) > 300_000
+    assert sum(b.nbytes for b in packed) < 5 * sum(len(t) for t in tallies)
+
+
 def test_polynomials_do_not_depend_on_the_place():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
