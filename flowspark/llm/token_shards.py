@@ -216,7 +216,7 @@ class Encoder:
     the parts, put together, are those of the text. New parts that are one pre-token are merged by the library's
     model; all others go through the whole tokenizer.
     """
-    _ONE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|[\t-\r]")
+    one = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|[\t-\r]").fullmatch
 
     def __init__(self, path: str, width: int):
         self.tokenizer = Tokenizer.from_file(path)
@@ -230,11 +230,11 @@ class Encoder:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         self.shown = {b: b if b in printable else next(others) for b in range(256)}
+        self.blank = chr(self.shown[32])
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         # added tokens are found before pre-tokens
-        self.added = {t["content"] for t in spec["added_tokens"]}
-        self.uncut = "|".join([_WIDE_BLANKS, *map(re.escape, sorted(self.added))])
+        self.uncut = "|".join([_WIDE_BLANKS, *(re.escape(t["content"]) for t in spec["added_tokens"])])
         self.split = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex")
                       and not pre.get("add_prefix_space") and not any(
                           " " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]))
@@ -246,13 +246,16 @@ class Encoder:
 
     def merged(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        found = self.merge(word.encode().decode("latin-1").translate(self.shown))
-        return array(self.code, [t.id for t in found]).tobytes()
+        if word.isascii() and word >= " ":
+            shown = self.blank + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
     def part(self, part: str) -> bytes:
         made = self.older.get(part)
         if made is None:
-            made = self.merged(part) if self._ONE.fullmatch(part) and part not in self.added else self.plain(part)
+            made = self.merged(part) if self.one(part) else self.plain(part)
         if len(part) <= LONGEST_CACHED:
             if len(self.words) >= CACHED:  # forget what was not met since the last time
                 self.words, self.older = {}, self.words
@@ -261,7 +264,11 @@ class Encoder:
 
     def parts(self, parts: list[str]) -> list[bytes]:
         found = list(map(self.words.get, parts))
-        return [self.part(p) if f is None else f for p, f in zip(parts, found)] if None in found else found
+        if None in found:
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = self.part(parts[i])
+        return found
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0].as_py()
@@ -281,7 +288,8 @@ class Encoder:
         ends = ends - ends[0]
         at = np.append(np.flatnonzero(_cuts(data, ends)) if len(data) else [], len(data)).astype(np.int32)
         parts = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        ids = pa.array(self.parts(parts.dictionary.to_pylist()), pa.binary()).take(parts.indices)
+        found = self.parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.binary()).take(parts.indices)
         starts = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.searchsorted(at, ends)]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts), ids.buffers()[2]])
 
