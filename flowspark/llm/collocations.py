@@ -22,6 +22,8 @@ TOP = 2000
 # bytes of text that a task hashes at once, and rows it hands on at once
 SLICE_BYTES = 4 << 20
 OUT_ROWS = 1 << 15
+# phrases whose texts are put together at once
+TEXT_ROWS = 1 << 13
 # a longer word is hashed and compared by its SHA-256
 WORD_BYTES = 1 << 20
 # words that are compared with others of their fingerprint at once
@@ -32,7 +34,7 @@ KEY_CUT = "\t"
 FP_BITS = 40
 COUNT_BITS = 64 - FP_BITS
 # fingerprints that a task counts before it hands them on, and packed rows it reads at once
-HELD = 1 << 21
+HELD = 1 << 22
 PACKED_ROWS = 1 << 10
 # bits of the set that lets n-grams through whose parts are frequent; a full set lets more through, never less
 FILTER_BITS = 1 << 26
@@ -232,9 +234,26 @@ class _Grams:
     def text(self, place: int, size: int, names: dict[bytes, bytes]) -> str:
         words = [self.slice.data[b:e] for b, e in zip(self.begin[place:place + size].tolist(),
                                                       self.end[place:place + size].tolist())]
+        return b" ".join([names.get(w, w) for w in words]).decode("utf-8", "surrogatepass")
+
+    def texts(self, places: np.ndarray, size: int, tail: str, names: dict[bytes, bytes]) -> list[str]:
+        """The words of each phrase, a blank between them, and ``tail`` behind them."""
         if names:
-            words = [names.get(w, w) for w in words]
-        return b" ".join(words).decode("utf-8", "surrogatepass")
+            return [self.text(p, size, names) + tail for p in places.tolist()]
+        more, out = b" " + tail.encode(), []
+        source = np.append(self.bytes, np.frombuffer(more, np.uint8))
+        for i in range(0, len(places), TEXT_ROWS):
+            words = places[i:i + TEXT_ROWS, None] + np.arange(size)
+            begins = np.full((len(words), 2 * size), len(self.bytes))
+            sizes = np.ones_like(begins)
+            begins[:, ::2], sizes[:, ::2] = self.begin[words], self.end[words] - self.begin[words]
+            begins[:, -1], sizes[:, -1] = len(self.bytes) + 1, len(more) - 1
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(begins.ravel() - ends + sizes.ravel(), sizes.ravel())
+            bounds = np.append(0, ends[2 * size - 1::2 * size]).astype(np.int32)
+            made = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(source[at])])
+            out += made.to_numpy(zero_copy_only=False).tolist()
+        return out
 
 
 def _tallied(tallies: np.ndarray, cap: int) -> np.ndarray:
@@ -250,26 +269,30 @@ def _tallied(tallies: np.ndarray, cap: int) -> np.ndarray:
 _PACKED = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
 
 
-def _packed(tallies: np.ndarray, bits: int, cap: int) -> pa.RecordBatch:
+def _packed(tallies: np.ndarray, bits: int, cap: int) -> Iterator[pa.RecordBatch]:
     """Rows of the tallies with equal leading ``bits``: steps between fingerprints, each with a bit that says
-    whether a count over 1 follows in ``counts``."""
-    low = np.uint64((1 << COUNT_BITS) - 1)
+    whether a count over 1 follows in ``counts``. A row's steps all take ``width`` bytes."""
     bounds = np.searchsorted(tallies, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    bounds = np.append(bounds, len(tallies))
-    full = np.flatnonzero(bounds[1:] > bounds[:-1])
-    bounds = np.append(bounds[full], len(tallies))
-    fps, n = tallies >> np.uint64(COUNT_BITS), tallies & low
+    sizes = np.diff(bounds, append=len(tallies))
+    buckets = np.flatnonzero(sizes)
+    bounds, sizes = bounds[buckets], sizes[buckets]
+    fps, n = tallies >> np.uint64(COUNT_BITS), tallies & np.uint64((1 << COUNT_BITS) - 1)
     steps = np.diff(fps, prepend=np.uint64(0))
-    steps[bounds[:-1]] = fps[bounds[:-1]] & np.uint64((1 << FP_BITS - bits) - 1)
+    steps[bounds] = fps[bounds] & np.uint64((1 << FP_BITS - bits) - 1)
     steps = steps << np.uint64(1) | (n > 1).astype(np.uint64)
-    width = max(1, -(-int(steps.max()).bit_length() // 8))
-    shown = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    widths = 1 + np.searchsorted([1 << 8 * k for k in range(1, 6)], np.maximum.reduceat(steps, bounds), "right")
     kind = np.min_scalar_type(cap)
-    more = np.append(0, np.cumsum(n > 1))[bounds] * kind.itemsize
-    columns = [pa.array(full, pa.int32()), pa.array(np.full(len(full), width), pa.int32())] + [
-        pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-        for ends, data in ((bounds * width, shown), (more, n[n > 1].astype(kind)))]
-    return pa.RecordBatch.from_arrays(columns, schema=_PACKED)
+    for width in np.unique(widths).tolist():
+        rows = widths == width
+        own = np.repeat(rows, sizes)
+        shown, counts = steps[own], n[own]
+        data = np.ascontiguousarray(shown.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+        ends = np.append(0, np.cumsum(sizes[rows]))
+        more = np.append(0, np.cumsum(counts > 1))[ends] * kind.itemsize
+        columns = [pa.array(buckets[rows], pa.int32()), pa.array(np.full(rows.sum(), width), pa.int32())] + [
+            pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(e.astype(np.int32)), pa.py_buffer(d)])
+            for e, d in ((ends * width, data), (more, counts[counts > 1].astype(kind)))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_PACKED)
 
 
 def _unpacked(rows: pa.RecordBatch, bits: int, cap: int) -> np.ndarray:
@@ -308,12 +331,12 @@ def _count(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], known: Bro
         if n >= HELD:
             held = [_tallied(np.concatenate(held), cap)]
             n = len(held[0])
-            # where most were counted before, there is room for more
-            if n >= HELD // 2:
-                yield _packed(held[0], bits, cap)
+            # where many were the same, there is room for more
+            if n > HELD // 4 * 3:
+                yield from _packed(held[0], bits, cap)
                 held, n = [], 0
     if n:
-        yield _packed(_tallied(np.concatenate(held), cap), bits, cap)
+        yield from _packed(_tallied(np.concatenate(held), cap), bits, cap)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch], bits: int, cap: int) -> Iterator[pa.RecordBatch]:
@@ -356,7 +379,7 @@ def _recounted(grams: _Grams, sizes: tuple[int, ...], known: np.ndarray | None,
         if len(first):
             n = n - np.add.reduceat(other.astype(np.int64), first)
         at, counts = np.append(places[first], places[other]), np.append(n, np.ones(other.sum(), np.int64))
-        yield [grams.text(p, size, names) + tail for p in at.tolist()], counts, grams.doc_of(at)
+        yield grams.texts(at, size, tail, names), counts, grams.doc_of(at)
 
 
 _RECOUNTED = pa.schema([("key", pa.string()), ("n", pa.int64()), ("doc", pa.int64())])
@@ -383,7 +406,7 @@ def _frequent(texts: DataFrame, sizes: tuple[int, ...], known: Broadcast | None,
     """
     cap = max(1, min(least, (1 << COUNT_BITS) - 1))
     # a task adds up one bucket at a time, so wider shuffles of more data have more of them
-    bits = min(20, max(12, (64 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    bits = min(20, max(12, (16 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     rows = texts.mapInArrow(partial(_count, sizes=sizes, known=known, bits=bits, cap=cap),
                             "bucket int, width int, steps binary, counts binary")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_add_up, bits=bits, cap=cap), "fp long")
