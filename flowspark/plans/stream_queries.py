@@ -36,14 +36,20 @@ def _staged(spark, df, name, parts=4):
     return sscore.stream_parquet(spark, path, df.schema, max_files=2)
 
 
+_ROW_GROUP = 4 << 20
+
+
 def _in_order(spark, df, order, name, parts=4, last=None):
-    """A stream of files that arrive in the order of a column, one per batch; ``last`` comes after them."""
+    """A stream of files that arrive in the order of a column, one per batch; ``last`` comes after them.
+
+    The rows of a file are made by many tasks and written by one, in row groups that are small enough for many to read.
+    """
     path = scratch_path(spark, name)
     ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     width = (ends.b - ends.a) // parts + 1
     for i in range(parts):
         part = df.filter((F.col(order) >= ends.a + i * width) & (F.col(order) < ends.a + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").option("parquet.block.size", _ROW_GROUP).parquet(path)
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(path)
     return sscore.stream_parquet(spark, path, df.schema, max_files=1)

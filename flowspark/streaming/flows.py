@@ -1,10 +1,11 @@
-"""Continuous flow building: keyed state of time slices and arrival chunks, closed by event-time timers.
-
-Packets are combined to one piece per (flow, time slice) inside each Arrow batch, before they are
-shuffled. The state of an open flow holds time slices (counts, sums, extrema and the distinct times in it)
-and chunks of arrival numbers. Small neighbours share a state entry, a large one has its own, so an update
-touches few entries of limited size, and closing a flow handles one of them at a time: pieces are
-sorted inside and then chained, as the batch operators do.
+"""Continuous flow building: keyed state of open flows, closed by event-time timers.
+
+Flows are dealt over shards. The state of a shard holds the packets of its small open flows together: an update
+appends them in one entry, and a timer closes all flows that have ended at once, so state calls and Python steps
+are per shard, not per flow. A flow with many open packets gets state of its own: time slices (counts, sums,
+extrema and the distinct times in it) and chunks of arrival numbers. Small neighbours share a state entry,
+a large one has its own, so an update touches few entries of limited size, and closing such a flow handles one of
+them at a time: pieces are sorted inside and then chained, as the batch operators do.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from flowspark.contract import ACTIVITY_TIMEOUT_US, FEATURES, FLOW_METADATA, FLOW_TIMEOUT_US, TCP_FLAGS
 from flowspark.operators.flows import FLOW_KEY, SLICE_US, name_directions, named_totals, with_flow_key
+from flowspark.streaming import small_flows as small
 
 # arrival numbers per entry of a flow's arrival state
 ARRIVAL_CHUNK = 1 << 16
 # neighbouring slices or chunks per state entry, and the bytes of times from which one has its own entry
 PAGE, OWN_BYTES = 64, 1 << 13
+# parts of the state; open packets from which a flow has state of its own
+SHARDS, LARGE = 128, 1 << 14
+# packets of a shard taken at a time, per state entry, and new ones that are looked through without waiting for a timer
+STEP, RUN, PENDING = 1 << 18, 1 << 16, 1 << 19
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _NONE = 1 << 62
@@ -193,15 +199,16 @@ class _Flow:
         t = {name: int(x) for (name, _), x in zip(_TOTALS, self.totals)}
         out = {"n": t["lo_n"] + t["hi_n"], "first_ts": self.first, "last_ts": self.last,
                **{f"{name}_n": t[f"{name}_n"] for name in TCP_FLAGS}}
-        sizes = [x for side in ("lo", "hi") if t[f"{side}_n"] for x in (t[f"{side}_len_min"], t[f"{side}_len_max"])]
+        sizes = [t[x] for x in ("lo_len_min", "lo_len_max", "hi_len_min", "hi_len_max") if abs(t[x]) < _NONE]
         both = {x: t[f"lo_{x}"] + t[f"hi_{x}"] for x in ("n", "bytes", "squares")}
-        out |= {"len_min": min(sizes), "len_max": max(sizes), **_average("len", both)}
+        out |= {"len_min": min(sizes, default=None), "len_max": max(sizes, default=None), **_average("len", both)}
         for side, code in (("lo", 1), ("hi", 0)):
             first_seq, head, tail, gaps = self.sides[code]
             some = t[f"{side}_n"] > 0
             out |= {f"{side}_{x}": t[f"{side}_{x}"] for x in ("n", "psh", "urg", "data")}
             out |= {f"{side}_first_seq": first_seq,
-                    **{f"{side}_{x}": t[f"{side}_{x}"] if some else None for x in ("bytes", "hdr", "len_min", "len_max")},
+                    **{f"{side}_{x}": t[f"{side}_{x}"] if some and abs(t[f"{side}_{x}"]) < _NONE else None
+                       for x in ("bytes", "hdr", "len_min", "len_max")},
                     **_average(f"{side}_len", {x: t[f"{side}_{x}"] for x in ("n", "bytes", "squares")}),
                     f"{side}_win": t[f"{side}_win"] if t[f"{side}_win_seq"] < _NONE else None,
                     f"{side}_seg_min": t[f"{side}_seg_min"] if t[f"{side}_seg_min"] < _NONE else None,
@@ -272,6 +279,10 @@ class _Pages:
                 items[n] = (a, b)
             self._save(page, items)
 
+    def numbers(self) -> list[int]:
+        """All numbers in order."""
+        return sorted(n for k in list(self.pages.keys()) for n in self._page(k[0]))
+
     def visit(self, step) -> None:
         """Call ``step(number, a, b)`` in order; it returns the pair to keep in its place, or None to remove the number."""
         for page in sorted(k[0] for k in self.pages.keys()):
@@ -364,8 +375,16 @@ class FlowState(StatefulProcessor):
         quiet = int(times.max()) + self.timeout_us + self.slice_us
         self.handle.registerTimer((quiet // self.timeout_us + 1) * self.timeout_us // 1000 + 1)
 
+    def _may_end(self, watermark: int) -> bool:
+        """Whether the numbers of the slices leave room for the end of a flow, so that times need not be read to see that none ended."""
+        numbers = self.slices.numbers()
+        wide = [(b - a + 1) * self.slice_us > self.timeout_us for a, b in zip(numbers, numbers[1:])] + [True]
+        return any(w and n * self.slice_us + self.timeout_us + self.slice_us <= watermark for n, w in zip(numbers, wide))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        if not self._may_end(watermark):
+            return
         flows: list[_Flow] = []
 
         def add_slice(number, totals, t):
@@ -395,9 +414,175 @@ class FlowState(StatefulProcessor):
         yield _frame([dict(zip(_CLOSED_COLUMNS, ["flow", *key])) | f.row() for f in ended])
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
+class _OwnState:
+    """Handle that gives map states of one flow at a time, kept in map states of a shard under the flow's key."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.flow = handle, None
+
+    def getMapState(self, name: str, keys: str, values: str) -> _OwnMap:
+        return _OwnMap(self, self.handle.getMapState(name, f"{_KEY_DDL}, {keys}", values))
+
+    def registerTimer(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+
+
+class _OwnMap:
+    def __init__(self, owner: _OwnState, rows):
+        self.owner, self.rows = owner, rows
+
+    def getValue(self, key: tuple):
+        return self.rows.getValue((*self.owner.flow, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.rows.updateValue((*self.owner.flow, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        self.rows.removeKey((*self.owner.flow, *key))
+
+    def keys(self) -> Iterator[tuple]:
+        return iter([tuple(k)[len(FLOW_KEY):] for k in self.rows.keys() if tuple(k)[:len(FLOW_KEY)] == self.owner.flow])
+
+
+class ShardState(StatefulProcessor):
+    """State of the open flows of one shard: runs of packets of small flows, and own state for each large flow."""
+
+    def __init__(self, timeout_us: int, activity_us: int, slice_us: int, large: int = LARGE):
+        self.timeout_us, self.activity_us, self.slice_us, self.large_from = timeout_us, activity_us, slice_us, large
+        self.looked = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.own = handle, _OwnState(handle)
+        # the number of packets, and whether they have been looked through, stand in the key: it is read without them
+        self.runs = handle.getMapState("runs", "number long, kept boolean, n long", "packets binary")
+        self.large = handle.getMapState("large", _KEY_DDL, "since long")
+        self.flow = FlowState(self.timeout_us, self.activity_us, self.slice_us)
+        self.flow.init(self.own)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # 0 stands for no watermark yet
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000 or -_NONE
+        late, held, n = [], [], 0
+        for part in rows:
+            for packets in part["packets"]:
+                held.append(small.from_bytes(packets))
+                n += held[-1].num_rows
+                if n >= STEP:
+                    yield from self._take(held, watermark, late)
+                    held, n = [], 0
+        if held:
+            yield from self._take(held, watermark, late)
+        if late:
+            counts = pa.concat_tables(late).group_by(FLOW_KEY).aggregate([("n", "sum")])
+            yield _frame({"kind": "late", **{x: counts[x].to_pandas(integer_object_nulls=True) for x in FLOW_KEY},
+                          "n": counts["n_sum"].to_numpy()})
+
+    def _take(self, held: list[pa.RecordBatch], watermark: int, late: list[pa.Table]) -> Iterator[pd.DataFrame]:
+        """Store packets; those that are late are counted in ``late``."""
+        t = pa.Table.from_batches(held).combine_chunks()
+        passed = (t["ts_us"].to_numpy() // self.slice_us + 1) * self.slice_us <= watermark
+        if passed.any():
+            late.append(t.filter(pa.array(passed)).group_by(FLOW_KEY).aggregate([([], "count_all")]).rename_columns([*FLOW_KEY, "n"]))
+            t = t.filter(pa.array(~passed)).combine_chunks()
+        if not t.num_rows:
+            return
+        earliest = int(t["ts_us"].to_numpy().min())
+        t = self._without_large(t, small.flow_codes(t) if t.num_rows > self.large_from else None)
+        runs = [tuple(k) for k in self.runs.keys()]
+        self._save(t, max((k[0] for k in runs), default=-1) + 1, kept=False)
+        self._register(earliest)
+        new, old = (sum(n for _, kept, n in runs if kept == x) for x in (False, True))
+        if new + t.num_rows > max(PENDING, old):
+            yield from self._close(watermark)
+
+    def _register(self, end: int) -> None:
+        """A timer at which a flow that ends here is closed; timers stand at multiples of the timeout, so they are few."""
+        quiet = end + self.timeout_us + self.slice_us
+        self.handle.registerTimer((quiet // self.timeout_us + 1) * self.timeout_us // 1000 + 1)
+
+    def _save(self, t: pa.Table, at: int, kept: bool) -> None:
+        for i in range(0, t.num_rows, RUN):
+            rows = small.one_batch(t.slice(i, RUN))
+            self.runs.updateValue((at + i // RUN, kept, rows.num_rows), (small.to_bytes(rows),))
+
+    def _without_large(self, t: pa.Table, code: np.ndarray | None) -> pa.Table:
+        """Gives packets of large flows, also of those that are large with these, to their own state; returns the others."""
+        large = [tuple(k) for k in self.large.keys()]
+        if code is not None:
+            first, n = np.unique(code, return_index=True, return_counts=True)[1:]
+            grown = t.select(FLOW_KEY).take(pa.array(first[n > self.large_from])).to_pylist()
+            for key in (tuple(x.values()) for x in grown):
+                if key not in large:
+                    self.large.updateValue(key, (int(t["ts_us"][0].as_py()),))
+                    large.append(key)
+        if not large:
+            return t
+        columns = [pa.array([key[i] for key in large], small.PACKETS.field(x).type) for i, x in enumerate(FLOW_KEY)]
+        both = pa.concat_tables([t.select(FLOW_KEY), pa.table(columns, names=FLOW_KEY)])
+        code = small.flow_codes(both)
+        for key, number in zip(large, code[t.num_rows:]):
+            own = code[:t.num_rows] == number
+            if own.any():
+                self.own.flow = key
+                pieces = _pieces([small.one_batch(t.filter(pa.array(own)))], self.slice_us)
+                # what is late has been taken out
+                list(self.flow.handleInputRows(key, (x.to_pandas() for x in pieces), TimerValues(0, 0)))
+        return t.filter(pa.array(~np.isin(code[:t.num_rows], code[t.num_rows:]))).combine_chunks()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        # a later timer of the same batch finds nothing new
+        if self.looked.get(tuple(key)) == watermark:
+            return
+        self.looked[tuple(key)] = watermark
+        yield from self._close(watermark)
+        for flow in [tuple(k) for k in self.large.keys()]:
+            self.own.flow = flow
+            yield from self.flow.handleExpiredTimer(flow, timerValues, expiredTimerInfo)
+            if not list(self.flow.slices.pages.keys()):
+                self.large.removeKey(flow)
+
+    def _close(self, watermark: int) -> Iterator[pd.DataFrame]:
+        """Close the small flows that have ended; what is left is stored anew."""
+        numbers = sorted(tuple(k) for k in self.runs.keys())
+        if not numbers:
+            return
+        t = pa.Table.from_batches([small.from_bytes(self.runs.getValue(k)[0]) for k in numbers]).combine_chunks()
+        t = self._without_large(t, None)
+        code, times = small.flow_codes(t), t["ts_us"].to_numpy()
+        order = np.lexsort((times, code))
+        times, code = times[order], code[order]
+        begins = np.append(True, (code[1:] != code[:-1]) | (np.diff(times) > self.timeout_us))[:len(times)]
+        starts = np.flatnonzero(begins)
+        ends = times[np.append(starts, len(times))[1:] - 1]
+        # a packet that is not late any more would come a timeout after the end
+        ended = ends + self.timeout_us + self.slice_us <= watermark
+        closed = np.repeat(ended, np.diff(np.append(starts, len(times))))
+        if closed.any():
+            flows = t.take(pa.array(order[closed])).combine_chunks()
+            yield _frame({"kind": "flow", **small.closed_flows(flows, np.flatnonzero(begins[closed]), self.activity_us)})
+        elif len(numbers) == 1 and numbers[0][1] and t.num_rows == numbers[0][2]:
+            self._register(int(ends.min()))
+            return
+        for k in numbers:
+            self.runs.removeKey(k)
+        rest = t.take(pa.array(np.sort(order[~closed]))).combine_chunks()
+        if rest.num_rows:
+            self._register(int(ends[~ended].min()))
+            rest = self._without_large(rest, small.flow_codes(rest) if rest.num_rows > self.large_from else None)
+            self._save(rest, 0, kept=True)
+
+
+_TYPES = {**{x: ("Int64", "int64") for x in [*_LONGS, "lo_port", "hi_port", "proto"]}, **{x: ("float64",) for x in _DOUBLES}}
+
+
+def _frame(rows: list[dict] | dict) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_CLOSED_COLUMNS)
-    return out.astype({**{x: "Int64" for x in [*_LONGS, "lo_port", "hi_port", "proto"]}, **{x: "float64" for x in _DOUBLES}})
+    found = {x: str(kind) for x, kind in out.dtypes.items()}
+    return out.astype({x: kinds[0] for x, kinds in _TYPES.items() if found[x] not in kinds})
 
 
 # ---- stream ----
@@ -408,7 +593,8 @@ def use_keyed_state(spark: SparkSession) -> None:
 
 
 def stream_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, late_us: int = 60_000_000,
-                 activity_timeout_us: int = ACTIVITY_TIMEOUT_US, slice_us: int = SLICE_US) -> DataFrame:
+                 activity_timeout_us: int = ACTIVITY_TIMEOUT_US, slice_us: int = SLICE_US, shards: int = SHARDS,
+                 large: int = LARGE) -> DataFrame:
     """Closed flows of a packet stream, with the columns of the batch flow table, and counts of late packets.
 
     A row of ``kind`` ``flow`` is a flow that ended with more than ``timeout_us`` of silence: ``first_ts``,
@@ -417,16 +603,17 @@ def stream_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, late_us:
     in ``n_packets``, packets of a flow and batch whose time slice the watermark (``late_us`` behind the
     newest packet) had passed; those are in no flow. State of a flow is gone when it is closed. The
     query needs RocksDB state, which is set for the session.
+
+    Flows are dealt over ``shards`` by their key; one task holds the packets of the small open flows of a shard at
+    a time, so more open flows take more shards. A flow of more than ``large`` open packets is held in pieces.
     """
     width = min(slice_us, activity_timeout_us, timeout_us)
     use_keyed_state(packets.sparkSession)
     timed = packets.withColumn("__ts", F.timestamp_micros("ts_us")).withWatermark("__ts", f"{late_us // 1000} milliseconds")
-    keyed = with_flow_key(timed).select(*FLOW_KEY, "from_lo", "seq", "ts_us", "total_len", "ip_hdr_len", "l4_hdr_len",
-                                        "tcp_flags", "tcp_window")
-    pieces = keyed.mapInArrow(partial(_pieces, slice_us=width),
-                              f"{_KEY_DDL}, slice long, totals array<long>, marks binary, times binary")
-    closed = pieces.groupBy(*FLOW_KEY).transformWithStateInPandas(
-        FlowState(timeout_us, activity_timeout_us, width), _CLOSED_DDL, "append", "eventTime")
+    shard = F.pmod(F.xxhash64(*FLOW_KEY), F.lit(shards)).cast("int").alias("shard")
+    keyed = with_flow_key(timed).select(*small.PACKETS.names, shard)
+    closed = keyed.mapInArrow(small.packed, "shard int, packets binary").groupBy("shard").transformWithStateInPandas(
+        ShardState(timeout_us, activity_timeout_us, width, large), _CLOSED_DDL, "append", "eventTime")
     order = [f"`{x} {s}`" for x in ("flow iat", "active", "idle") for s in ("mean", "std", "max", "min")]
     gaps = [f"{s}_iat_{x}" for s in ("lo", "hi") for x in ("total", "mean", "std", "max", "min")]
     table = named_totals(closed, FLOW_KEY, "kind", *order, *gaps)

@@ -14,6 +14,7 @@ from flowspark.sources import growing
 from flowspark.streaming import decisions, runs, timing
 from flowspark.streaming import flows as sflows
 from flowspark.streaming import score as sscore
+from flowspark.streaming import small_flows
 from test_flows import A, B, packet, random_packets
 
 GAP = 3_000_000
@@ -121,6 +122,88 @@ def test_sparse_flows_take_few_state_calls():
     assert not any(store.maps.values())
 
 
+class _Time:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def shard_packets(n, flows, seed=5):
+    """Packed rows of one shard: some columns NULL, some rows twice, flows in several parts."""
+    import pyarrow as pa
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        flow = rng.randrange(flows)
+        tcp = rng.random() < 0.7
+        rows.append({
+            "lo_ip": f"10.0.0.{flow // 2}", "lo_port": None if flow % 7 == 3 else 1000 + flow % 2, "hi_ip": "9.9.9.9",
+            "hi_port": 80, "proto": 6 if tcp else 17, "from_lo": rng.random() < 0.6 and flow % 5 != 1, "seq": 10_000 * seed + i,
+            "ts_us": rng.randrange(12) * 1_700_000 + rng.randrange(9) * 1000,
+            "total_len": None if rng.random() < 0.1 else rng.randrange(40, 1500), "ip_hdr_len": rng.choice([20, 24, None]),
+            "l4_hdr_len": rng.choice([8, 20, None]), "tcp_flags": rng.randrange(256) if tcp else None,
+            "tcp_window": rng.choice([None, 512, 1024])})
+    rows += rng.sample(rows, n // 10)
+    return pa.RecordBatch.from_pylist(rows, schema=small_flows.PACKETS)
+
+
+def shard_run(store, batches, large, ends):
+    """Rows that a shard gives for batches, each with the watermark before it, and for a timer at the end."""
+    import pandas as pd
+    state, out = sflows.ShardState(GAP, 1_000_000, 500_000, large), []
+    state.init(store)
+    for batch, watermark in batches:
+        halves = [batch.slice(0, len(batch) // 2), batch.slice(len(batch) // 2)]
+        frames = [pd.DataFrame({"packets": [small_flows.to_bytes(x)]}) for x in halves]
+        out += [x for x in state.handleInputRows((3,), iter(frames), _Time(watermark))]
+        out += [x for x in state.handleExpiredTimer((3,), _Time(watermark), None)]
+    out += [x for x in state.handleExpiredTimer((3,), _Time(ends), None)]
+    return pd.concat(out).sort_values(["kind", "lo_ip", "lo_port", "proto", "first_ts", "n"]).reset_index(drop=True)
+
+
+def test_small_flows_equal_flows_with_own_state():
+    """The same rows whether a flow is closed with others or from its own state, with late packets and NULLs."""
+    import pandas as pd
+    batches = [(shard_packets(400, 9), 0), (shard_packets(300, 12, 6), 9_000)]
+    stores = [_Store() for _ in range(3)]
+    together, apart, some = (shard_run(s, batches, large, 10**6) for s, large in zip(stores, (10**6, 0, 25)))
+    assert len(together) > 60 and set(together["kind"]) == {"flow", "late"}
+    assert together.loc[together["kind"] == "flow", "n"].sum() + together.loc[together["kind"] == "late", "n"].sum() == 770
+    for other in (apart, some):
+        pd.testing.assert_frame_equal(together, other, check_exact=False, rtol=1e-9)
+    assert not any(rows for s in stores for rows in s.maps.values())
+
+
+def test_shards_take_few_state_calls():
+    """State calls of a shard do not grow with its flows."""
+    store = _Store()
+    closed = shard_run(store, [(shard_packets(2000, 400, i), 0) for i in range(3)], 10**6, 10**6)
+    assert len(closed) > 1000 and store.calls < 40
+
+
+def test_what_waits_in_a_shard_is_bounded(monkeypatch):
+    """Ended flows are closed, and grown ones given own state, as soon as many packets wait, without a timer."""
+    monkeypatch.setattr(sflows, "PENDING", 300)
+    monkeypatch.setattr(sflows, "STEP", 50)
+    monkeypatch.setattr(sflows, "RUN", 40)
+    batches = [(shard_packets(500, 12, i), 0) for i in range(3)]
+    store = _Store()
+    got = shard_run(store, batches, 60, 10**6)
+    want = shard_run(_Store(), batches, 10**6, 10**6)
+    __import__("pandas").testing.assert_frame_equal(want, got, check_exact=False, rtol=1e-9)
+    assert not any(store.maps.values())
+
+
+@pytest.mark.parametrize("large", [0, 20])
+def test_streamed_flows_with_own_state_equal_the_batch_table(spark, tmp_path, large):
+    packets = random_packets(240)
+    stream = arriving(spark, str(tmp_path / "in"), packets[::2], packets[1::2], far(10**6))
+    closed, _ = drained(spark, sflows.stream_flows(stream, GAP, late_us=10**9, shards=3, large=large), str(tmp_path))
+    batch = fl.flow_table(fl.split_on_timeout(spark.createDataFrame(packets, fl.PACKET_SCHEMA), GAP), ["segment"])
+    assert rounded(closed.collect()) == rounded(batch.collect())
+
+
 def test_pages_keep_large_entries_apart(monkeypatch):
     import numpy as np
     monkeypatch.setattr(sflows, "PAGE", 4)
